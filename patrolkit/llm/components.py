@@ -1,0 +1,36 @@
+"""Connected components of a link table by minimum labels with pointer jumping, in joins over tables of the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import written
+
+#: Rounds after which the work is given up with an error; pointer jumping needs about log2 of the longest path.
+MAX_ROUNDS = 60
+
+
+def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, label)`` for every node of ``links``; label is the smallest node reachable.
+
+    Links count both ways; a loop or a null end is ignored; an empty table gives an empty table. Each round takes the
+    smallest label of the neighbours (one aggregation, combined before the shuffle), then the label of that label.
+    """
+    clean = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
+    edges = written(clean.union(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    for _ in range(MAX_ROUNDS):
+        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
+        taken = labels.join(near, labels.node == near.a, "left").select(
+            "node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("next")
+        )
+        up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
+        fresh = taken.join(up, taken.next == up.up, "left").select(
+            "node", "old", F.least("next", F.coalesce("up_label", "next")).alias("label")
+        )
+        step = written(fresh, "labels")
+        labels = step.select("node", "label")
+        if step.where("label <> old").limit(1).count() == 0:
+            return labels
+    raise RuntimeError(f"labels still changed after {MAX_ROUNDS} rounds")

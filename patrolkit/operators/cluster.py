@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import METRES_PER_DEGREE
-from patrolkit.plans.shared_tables import written
+from patrolkit.plans.shared_tables import ship, written
 
 from .components import components
 from .spatial import neighbour_counts, places, range_pairs
@@ -90,6 +90,7 @@ def dbscan_by_period(points: DataFrame, period: str, eps: float, min_samples: in
     For periods that fit a task (the sampled hours of the pipeline); whole tables go through :func:`dbscan`.
     """
     kind = dict(points.dtypes)[period]
+    ship(points.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("event_id", kind="stable")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patrolkit.plans.shared_tables import ship
+
 PENALTY = 4000.0
 
 
@@ -128,5 +130,6 @@ def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale:
                 values.append(known[key])
             yield pd.DataFrame({"selection": part["selection"], "epsilon": part["epsilon"], "penalty": [v[0] for v in values], "multiplier": [v[1] for v in values]})
 
+    ship(prizes.sparkSession)
     tasks = selections.select("selection", "epsilon", "nodes").repartition("selection")
     return tasks.mapInPandas(run, "selection string, epsilon double, penalty double, multiplier double")

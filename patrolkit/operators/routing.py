@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import COST_PER_KM, local_km, polar_angle
+from patrolkit.plans.shared_tables import ship
 
 from .robust import robust_value
 
@@ -279,6 +280,7 @@ def solve_grid(tasks: DataFrame, instances: dict[str, Instance]) -> DataFrame:
     """
     shared = tasks.sparkSession.sparkContext.broadcast(instances)
     count = tasks.count()
+    ship(tasks.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

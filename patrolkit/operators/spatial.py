@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import cell, degree_steps, haversine_m
-from patrolkit.plans.shared_tables import small, written
+from patrolkit.plans.shared_tables import ship, small, written
 
 
 def _around(column: str, reach: int = 1):
@@ -85,6 +85,7 @@ def k_distances(points: DataFrame, period: str, k: int, sample_rows: int = 50_00
         return pd.DataFrame({period: rows[period], "event_id": rows["event_id"], "k_dist": kth_distance(rows, k)})
 
     kind = dict(points.dtypes)[period]
+    ship(points.sparkSession)
     return kept.groupBy(period).applyInPandas(run, f"{period} {kind}, event_id long, k_dist double")
 
 
@@ -134,6 +135,7 @@ def symmetric_neighbours(points: DataFrame, k: int) -> DataFrame:
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             yield pd.DataFrame({"src": np.repeat(part["id"].to_numpy(), k), "dst": ids[near].ravel()})
 
+    ship(session)
     one = session.createDataFrame(whole).mapInPandas(run, "src long, dst long")
     both = one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))

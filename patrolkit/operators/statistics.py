@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.scalars import ratio_or_one
+from patrolkit.plans.shared_tables import ship
 
 
 def realized(misses: DataFrame, travel: float, scale: float) -> DataFrame:
@@ -206,6 +207,7 @@ def wilcoxon_by(pairs: DataFrame, method: str, alternative: str = "greater", zer
             yield part.assign(p_value=p)[[method, "n", "w_plus", "p_value"]]
 
     kind = dict(pairs.dtypes)[method]
+    ship(pairs.sparkSession)
     out = large.join(sizes.where("n > 50").select(method), method, "left_semi").mapInPandas(tail, f"{method} {kind}, n long, w_plus double, p_value double")
 
     def small_groups(rows: pd.DataFrame) -> pd.DataFrame:
@@ -228,6 +230,7 @@ def block_bootstrap(values: np.ndarray, block: int, reps: int, seed: int) -> np.
 def bootstrap_interval(rows: DataFrame, period: str, value: str, by: str, *, block: int = 4, reps: int = 10_000, seed: int = 7) -> DataFrame:
     """``(by, mean, low, high)``: 2.5 and 97.5 % quantiles of circular block bootstrap means of a series of periods."""
     kind = dict(rows.dtypes)[by]
+    ship(rows.sparkSession)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values(period)[value].to_numpy(float)
@@ -246,6 +249,7 @@ def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int
     wide = rows.pivot(index=period, columns="node_id", values="prize").sort_index()
     base = rows.groupby("node_id")[train].first().reindex(wide.columns).to_numpy(float)
     session = panel.sparkSession
+    ship(session)
     shared = session.sparkContext.broadcast((wide.to_numpy(float), base))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

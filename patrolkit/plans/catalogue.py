@@ -418,6 +418,10 @@ def q50_tsp_2opt_routes(spark, sf):
     """Full routes by sector, nearest neighbour and two-opt, one task for each region's nodes."""
     import pandas as pd
 
+    from patrolkit.plans.shared_tables import ship
+
+    ship(spark)
+
     x, y = local_km(F.col("lon"), F.col("lat"))
     rows = _nodes(spark, sf).select("region_key", "node_id", x.alias("x"), y.alias("y"))
 

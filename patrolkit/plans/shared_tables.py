@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +18,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process's own where the setting is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Unset, a local session (tests) gets a folder of its own; a cluster is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="patrolkit-")).as_uri()
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,6 +38,36 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def put_file(spark: SparkSession, data: bytes, name: str) -> str:
+    """Writes a small file into the shared folder and returns its path; removed when the process ends."""
+    path = f"{shared_folder(spark)}/patrolkit/{uuid.uuid4().hex}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    atexit.register(_forget, spark, path)
+    return path
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(put_file(spark, made.getvalue(), f"{root.name}.zip"))
+    _shipped.add(app)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, removed when the process ends."""
     spark = df.sparkSession

@@ -1,69 +1,20 @@
-"""Helpers shared by the text operators: shared-folder tables, code shipping, per-batch columns and distributed ranks."""
+"""Helpers shared by the text operators: per-batch columns and distributed ranks."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patrolkit.plans.shared_tables import ship, written  # noqa: F401  used by the operators
+
 #: Rows handled at once inside a Python worker, so that a batch of long texts stays small.
 SLICE_ROWS = 256
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process's own where the setting is unset (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = Path(tempfile.mkdtemp(prefix="patrolkit-")).as_uri()
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone when the process ends
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/patrolkit/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that workers can import it anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="patrolkit-code-"), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``taken`` has that name (case aside)."""
     used = {name.lower() for name in taken}

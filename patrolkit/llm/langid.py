@@ -9,7 +9,6 @@ words inside all blocks are then worked through at once, which gives the exact m
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -37,18 +36,50 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def feature_slots(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Slots of a word's features: the hashed affixes and n-grams, then its lexicon entry behind the hashed ones."""
-    w = word[:40]
-    names = [f"p{w[:k]}" for k in (1, 2, 3, 4) if k <= len(w)] + [f"s{w[-k:]}" for k in (1, 2, 3, 4) if k <= len(w)]
-    framed = f"^{w}$"
-    names += [f"n{framed[i : i + k]}" for k in (2, 3) for i in range(len(framed) - k + 1)]
-    slots = [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURE_SLOTS for n in names]
-    entry = lexicon.get(word)
-    return slots if entry is None else [*slots, FEATURE_SLOTS + entry]
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_BITS = np.uint64(64 - FEATURE_SLOTS.bit_length() + 1)
+
+
+def _slot(codes: list[np.ndarray], salt: int) -> np.ndarray:
+    """Hashed slots of equally long strings, given the code points of each place."""
+    mixed = np.uint64(salt * int(_MIX[3]) % (1 << 64))
+    for place, code in enumerate(codes):
+        mixed = (mixed + (code + np.uint64(1)) * _MIX[place % 3]) * _MIX[1]
+        mixed = mixed ^ (mixed >> np.uint64(29))
+    return ((mixed * _MIX[0]) >> _BITS).astype(np.int64)
+
+
+def feature_sections(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the words' features, as ``(slots, starts)``: a section holds some slots of each word, one word after
+    the other. Pairs and triples of the framed word, prefixes and suffixes of three and four letters, lexicon entry."""
+    none = FEATURE_SLOTS + len(lexicon)  # a slot whose weights stay zero
+    framed = [f"^{w[:40]}$" for w in words]
+    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    out = []
+    for k in (2, 3):
+        count = sizes - k + 1
+        starts = np.cumsum(count) - count
+        at = np.repeat(begin - starts, count) + np.arange(int(count.sum()))
+        out.append((_slot([codes[at + j] for j in range(k)], k), starts))
+    one = np.arange(len(words))
+    for k in (3, 4):
+        fits = sizes - 2 >= k
+        for salt, first in ((10 + k, begin + 1), (20 + k, begin + sizes - 1 - k)):
+            first = np.where(fits, first, 0)
+            slots = _slot([codes[np.minimum(first + j, len(codes) - 1)] for j in range(k)], salt)
+            out.append((np.where(fits, slots, none), one))
+    out.append((np.fromiter((FEATURE_SLOTS + lexicon[w] if w in lexicon else none for w in words), np.int64, len(words)), one))
+    return out
+
+
+def emission_scores(weights: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return sum(np.add.reduceat(weights[slots], starts, axis=0) for slots, starts in sections)
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -70,47 +101,51 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
     start = text_start[text_of] + rank * BLOCK
     size = np.minimum(BLOCK, lengths[text_of] - rank * BLOCK)
 
+    order = np.argsort(-size, kind="stable")  # long blocks first, so that the live ones are always a leading slice
+    place = np.empty(total, np.int64)
+    place[order] = np.arange(total)
+    start, size = start[order], size[order]
+    live = [int(np.searchsorted(-size, -t)) for t in range(BLOCK)]  # blocks of more than t words
+
     chain = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for t in range(BLOCK):
-        live = np.flatnonzero(size > t)
-        if not len(live):
+    for t, m in enumerate(live):
+        if not m:
             break
-        grown = (chain[live].reshape(-1, k) @ step).reshape(-1, k, k) * peak[start[live] + t][:, None, :]
-        chain[live] = grown / grown.max(axis=(1, 2), keepdims=True)
+        grown = (chain[:m].reshape(-1, k) @ step).reshape(-1, k, k) * peak[start[:m] + t][:, None, :]
+        chain[:m] = grown / grown.sum(axis=(1, 2), keepdims=True)
 
     into, out = np.empty((total, k)), np.empty((total, k))  # weights before the block's first and behind its last word
     now, later = np.full((len(lengths), k), 1.0 / k), np.ones((len(lengths), k))
+    by_blocks = np.argsort(-blocks, kind="stable")
+    many = -blocks[by_blocks]
     for r in range(int(blocks.max())):
-        live = np.flatnonzero(blocks > r)
-        at = first_block[live] + r
-        into[at] = now[live]
-        grown = np.einsum("bi,bij->bj", now[live], chain[at])
-        now[live] = grown / grown.sum(axis=1, keepdims=True)
-        at = first_block[live] + blocks[live] - 1 - r
-        out[at] = later[live]
-        grown = np.einsum("bij,bj->bi", chain[at], later[live])
-        later[live] = grown / grown.sum(axis=1, keepdims=True)
+        texts = by_blocks[: int(np.searchsorted(many, -r))]
+        at = place[first_block[texts] + r]
+        into[at] = now[texts]
+        grown = np.einsum("bi,bij->bj", now[texts], chain[at])
+        now[texts] = grown / grown.sum(axis=1, keepdims=True)
+        at = place[first_block[texts] + blocks[texts] - 1 - r]
+        out[at] = later[texts]
+        grown = np.einsum("bij,bj->bi", chain[at], later[texts])
+        later[texts] = grown / grown.sum(axis=1, keepdims=True)
 
     forward = np.empty((n, k))
     state = into
-    for t in range(BLOCK):
-        live = np.flatnonzero(size > t)
-        if not len(live):
+    for t, m in enumerate(live):
+        if not m:
             break
-        grown = (state[live] @ step) * peak[start[live] + t]
+        grown = (state[:m] @ step) * peak[start[:m] + t]
         grown /= grown.sum(axis=1, keepdims=True)
-        state[live] = grown
-        forward[start[live] + t] = grown
+        state[:m] = grown
+        forward[start[:m] + t] = grown
     state = out
     for t in reversed(range(BLOCK)):
-        live = np.flatnonzero(size > t)
-        if not len(live):
-            continue
-        at = start[live] + t
-        both = forward[at] * state[live]
+        m = live[t]
+        at = start[:m] + t
+        both = forward[at] * state[:m]
         forward[at] = both / both.sum(axis=1, keepdims=True)
-        grown = (peak[at] * state[live]) @ step.T
-        state[live] = grown / grown.sum(axis=1, keepdims=True)
+        grown = (peak[at] * state[:m]) @ step.T
+        state[:m] = grown / grown.sum(axis=1, keepdims=True)
     return forward
 
 
@@ -121,17 +156,27 @@ class Crf:
     weights: np.ndarray | None = None  # (slots x labels)
     transition: np.ndarray | None = None
 
-    def emissions(self, words: list[str], known: dict[str, np.ndarray]) -> np.ndarray:
-        """Scores of words; ``known`` remembers them within a task and is emptied beyond MAX_KNOWN words."""
-        if len(known) > MAX_KNOWN:
-            known.clear()
-        rows = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = self.weights[feature_slots(w, self.lexicon)].sum(axis=0)
-            rows.append(got)
-        return np.array(rows) if rows else np.zeros((0, len(self.labels)))
+
+class Emissions:
+    """Scores of words, each computed once in a task; forgotten beyond MAX_KNOWN words."""
+
+    def __init__(self, model: Crf):
+        self.model = model
+        self.row: dict[str, int] = {}
+        self.scores = np.empty((1024, len(model.labels)), np.float32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.row) > MAX_KNOWN:
+            self.row.clear()
+        row = self.row
+        fresh = list({w: None for w in words if w not in row})
+        if fresh:
+            at = len(row)
+            while at + len(fresh) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.scores[at : at + len(fresh)] = emission_scores(self.model.weights, feature_sections(fresh, self.model.lexicon))
+            row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+        return self.scores[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].astype(float)
 
 
 def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-4, seed: int = 5) -> Crf:
@@ -148,7 +193,7 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridg
             at = int(draw.integers(0, max(1, len(words) - FRAGMENT_WORDS + 1)))
             fragments.append((words[at : at + FRAGMENT_WORDS], place[lang]))
     if not fragments:
-        return Crf(labels, {}, np.zeros((FEATURE_SLOTS, len(labels))), np.zeros((len(labels), len(labels))))
+        return Crf(labels, {}, np.zeros((FEATURE_SLOTS + 1, len(labels))), np.zeros((len(labels), len(labels))))
     sequences = [[f] for f in fragments]
     order = draw.permutation(len(fragments))
     sequences += [[fragments[a], fragments[b]] for a, b in zip(order[::2].tolist(), order[1::2].tolist(), strict=False)]
@@ -160,12 +205,10 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridg
     types = list(dict.fromkeys(words))
     number = {w: i for i, w in enumerate(types)}
     which = np.array([number[w] for w in words])
-    slots = [feature_slots(w, lexicon) for w in types]
-    flat = np.concatenate([np.array(s) for s in slots])
-    starts = np.cumsum([0] + [len(s) for s in slots[:-1]])
-    owner = np.repeat(np.arange(len(types)), [len(s) for s in slots])
+    sections = feature_sections(types, lexicon)
+    owners = [np.repeat(np.arange(len(types)), np.diff(np.append(starts, len(slots)))) for slots, starts in sections]
     k = len(labels)
-    weights, transition = np.zeros((FEATURE_SLOTS + len(lexicon), k)), np.zeros((k, k))
+    weights, transition = np.zeros((FEATURE_SLOTS + len(lexicon) + 1, k)), np.zeros((k, k))
     seen, seen_t = np.full_like(weights, 1e-3), np.full_like(transition, 1e-3)
     text_end = np.cumsum(lengths) - 1
     inner = np.ones(len(words), bool)
@@ -176,12 +219,14 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridg
     pairs = np.zeros((k, k))
     np.add.at(pairs, (target[here], target[here + 1]), 1.0)
     for _ in range(rounds):
-        by_type = np.add.reduceat(weights[flat], starts, axis=0)
-        emission = by_type[which]
+        emission = emission_scores(weights, sections)[which]
         post = marginals(emission, lengths, transition)
         gap = truth - post
         per_type = np.stack([np.bincount(which, gap[:, j], len(types)) for j in range(k)], axis=1)
-        slope = np.stack([np.bincount(flat, per_type[owner, j], len(weights)) for j in range(k)], axis=1) / len(sequences) - ridge * weights
+        slope = -ridge * weights
+        for (slots, _), owner in zip(sections, owners, strict=True):
+            slope += np.stack([np.bincount(slots, per_type[owner, j], len(weights)) for j in range(k)], axis=1) / len(sequences)
+        slope[-1] = 0.0
         seen += slope**2
         weights += rate * slope / np.sqrt(seen)
         slope = (pairs - _expected_pairs(emission, post, here, transition)) / len(sequences) - ridge * transition
@@ -202,7 +247,7 @@ def fit_on_tables(docs: DataFrame) -> Crf:
     """Fits on a bounded sample of documents with a language, outside the held-out remainder."""
     rows = docs.where((remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT) & F.col("lang").isNotNull()).select("doc_id", "lang")
     few = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    return fit(bounded_sample(rows.where(F.col("lang").isin(few)), docs, "lang", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES))
+    return fit(bounded_sample(rows.where(F.col("lang").isin(few)), docs, "lang", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES)[0])
 
 
 RUNS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("lang", T.StringType())]))
@@ -218,7 +263,7 @@ def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool =
 
     def make():
         model = shared.value
-        known: dict[str, np.ndarray] = {}
+        known = Emissions(model)
 
         def work(column: pa.Array) -> list[pa.Array]:
             texts = [words_of(v) if v and model.labels else [] for v in column.to_pylist()]
@@ -226,7 +271,7 @@ def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool =
             full = np.flatnonzero(sizes)
             langs, scores, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if len(full):
-                post = marginals(model.emissions([w for i in full for w in texts[i]], known), sizes[full], model.transition)
+                post = marginals(known.of([w for i in full for w in texts[i]]), sizes[full], model.transition)
                 starts = np.cumsum(sizes[full]) - sizes[full]
                 share = np.add.reduceat(post, starts, axis=0) / sizes[full][:, None]
                 best = post.argmax(axis=1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,30 +12,28 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
 
 
-def bounded_sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int, seed: int = 11) -> list[tuple[str, object]]:
-    """At most ``per_label`` texts of each label, as ``(text, label)`` in an order that the ids decide.
+def bounded_sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int, seed: int = 11) -> tuple[list[tuple[str, object]], dict]:
+    """About ``per_label`` texts of each label, as ``(text, label)`` in an order that the ids decide, and all labels' counts.
 
     ``rows`` holds (doc_id, label), ``docs`` (doc_id, text). Ids with two labels and texts that are null or longer than
-    ``max_bytes`` are left out, so the sample fits the driver whatever the tables' size. Counts by label come first; a
-    threshold on a hash of the id then keeps about twice the wanted rows, and a rank over those few cuts to the bound.
+    ``max_bytes`` are left out, so the sample fits the driver whatever the tables' size: the counts by label come first,
+    and a hash of the id then keeps ``per_label / count`` of a label's ids (all of them when they are fewer).
     """
     clean = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     single = clean.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return [], {}
     spread = 1 << 30
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(spread))
     kept = F.lit(False)
     for value, n in counts.items():
-        kept = kept | ((F.col("label") == F.lit(value)) & (draw < F.lit(int(spread * min(1.0, (2.0 * per_label + 100) / n)))))
-    few = single.where(kept).withColumn("draw", draw)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
-    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_label)  # per_label rows a label: bounded, so broadcast
+        kept = kept | ((F.col("label") == F.lit(value)) & (draw < F.lit(int(spread * min(1.0, per_label / n)))))
+    chosen = single.where(kept).withColumn("draw", draw)  # about per_label rows a label: bounded, so broadcast
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
     joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("draw").alias("draw"))
     got = [(r["draw"], r["doc_id"], r["text"], r["label"]) for r in joined.collect()]
-    return [(text, value) for _, _, text, value in sorted(got, key=lambda r: r[:2])]
+    return [(text, value) for _, _, text, value in sorted(got, key=lambda r: r[:2])], counts
 
 
 def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,5 +66,12 @@ def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1.0, round
     return mean, scale, w
 
 
+def prior_shift(target: np.ndarray, counts: dict | None) -> float:
+    """What the constant of a fit on ``target`` lacks for the labels' true shares, given their counts in all rows."""
+    if not counts or not counts.get(0) or not counts.get(1):
+        return 0.0
+    return float(np.log(counts[1] / counts[0]) - np.log(target.sum() / (len(target) - target.sum())))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))

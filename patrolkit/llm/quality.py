@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import utf8, with_batches
-from ._training import bounded_sample, logistic, remainder, sigmoid
+from ._training import bounded_sample, logistic, prior_shift, remainder, sigmoid
 
 #: Bounds of the labelled sample: texts of each label, and bytes of a text.
 SAMPLE_PER_LABEL = 4000
@@ -75,9 +75,10 @@ def _features(by_good: np.ndarray, by_bad: np.ndarray, n: np.ndarray) -> np.ndar
     return np.stack([np.ones_like(n), difference, rate, length, difference**2, rate**2, difference * rate, difference * length, rate * length], axis=1)
 
 
-def fit(sample: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES) -> QualityModel:
+def fit(sample: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES, counts: dict[int, int] | None = None) -> QualityModel:
     """A model from ``(text, label)``: every second text of a label feeds its dictionary, the others the calibration.
 
+    ``counts`` are the labels' counts in all rows, to which the calibration's constant is moved.
     Without texts of both labels the score is the share of good texts (0.5 without any).
     """
     halves: dict[int, tuple[list[bytes], list[bytes]]] = {0: ([], []), 1: ([], [])}
@@ -91,13 +92,15 @@ def fit(sample: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES)
     texts = halves[0][1] + halves[1][1]
     target = np.array([0.0] * len(halves[0][1]) + [1.0] * len(halves[1][1]))
     mean, scale, weights = logistic(_features(*_sizer(good, bad)(texts)), target, ridge=0.05)
+    weights[0] += prior_shift(target, counts)
     return QualityModel(good, bad, mean, scale, weights)
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits on a bounded sample of labelled rows outside the held-out remainder."""
     rows = labels.where(remainder(F.col("doc_id"), HELD_OUT_OF) != 0).where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    return fit(bounded_sample(rows, docs, "quality", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES))
+    sample, counts = bounded_sample(rows, docs, "quality", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES)
+    return fit(sample, counts=counts)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "score", *, keep_text: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import with_batches
-from ._training import bounded_sample, logistic, remainder, sigmoid
+from ._training import bounded_sample, logistic, prior_shift, remainder, sigmoid
 
 #: Bounds of the labelled sample: texts of each label, bytes of a text, and tokens with a score of their own.
 SAMPLE_PER_LABEL = 3000
@@ -161,9 +161,10 @@ def _extreme_scale(values: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
+def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) -> ToxicityModel:
     """A model from ``(text, label)``: half of each label gives the log-odds, the other half law and calibration.
 
+    ``counts`` are the labels' counts in all rows, to which the calibration's constant is moved.
     Without texts of both labels the score is the share of toxic texts (0.5 without any).
     """
     halves: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
@@ -173,28 +174,29 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     sizes = [len(halves[k][0]) + len(halves[k][1]) for k in (0, 1)]
     if not halves[0][1] or not halves[1][1]:
         return ToxicityModel({}, 1.0, 0.0, prior=sizes[1] / sum(sizes) if sum(sizes) else 0.5)
-    counts = [Counter(f for words in halves[k][0] for f in {f for w in set(words) for f in forms(w)}) for k in (0, 1)]
-    lexicon = log_odds(counts[1], counts[0])
+    found = [Counter(f for words in halves[k][0] for f in {f for w in set(words) for f in forms(w)}) for k in (0, 1)]
+    lexicon = log_odds(found[1], found[0])
     known = WordScores(lexicon)
     met = Counter(float(v) for words in halves[0][0] for v in known.of(words))
     met.update({v: PRIOR_TOKENS / 1000 / max(1, len(lexicon)) for v in lexicon.values() if v > 0})  # none is impossible in clean text
     scale = _extreme_scale(np.array(list(met)), np.array(list(met.values())) / sum(met.values()))
     tops = []
     for words in halves[0][1]:
-        found = maximal_segments(known.of(words))
-        tops.append(scale * max((s[2] for s in found), default=0.0) - np.log(max(1, len(words))))
+        tops.append(scale * max((s[2] for s in maximal_segments(known.of(words))), default=0.0) - np.log(max(1, len(words))))
     location = float(np.mean(tops)) - 0.5772  # a Gumbel law's mean lies Euler's constant over its location
     plain = ToxicityModel(lexicon, scale, location)
     rows = [plain.segments(w, known) for k in (0, 1) for w in halves[k][1]]
     target = np.array([0.0] * len(halves[0][1]) + [1.0] * len(halves[1][1]))
     mean, spread, weights = logistic(_features(rows), target, ridge=0.1)
+    weights[0] += prior_shift(target, counts)
     return ToxicityModel(lexicon, scale, location, mean, spread, weights)
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows outside the held-out remainder."""
     rows = labels.where(remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    return fit(bounded_sample(rows, docs, "toxic", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES))
+    sample, counts = bounded_sample(rows, docs, "toxic", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES)
+    return fit(sample, counts)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", *, keep_text: bool = True) -> DataFrame:

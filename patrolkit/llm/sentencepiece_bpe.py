@@ -3,8 +3,9 @@
 Texts are normalised by the library and cut where no piece of the vocabulary can cross: before a run of the space mark,
 and between letters and other characters when no piece holds such a neighbourhood (checked for each model). Segments are
 therefore independent; each distinct one is merged once per task and remembered in a bounded table. The agenda is a
-heap of (score, place) over a linked list of symbols. Every Arrow batch is encoded and decoded by the library as well;
-where the two differ, the library's result stands and the row says so.
+heap of (score, place) over a linked list of symbols. In every Arrow batch the library encodes the segments that the
+batch brought anew, between marks that no piece holds; where the two differ, the library's ids stand and the rows say
+so. Ids are decoded by the library.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
+import sys
 from array import array
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from ._shared import with_batches
 
 SPACE = "▁"
 #: Segments remembered in one task; the table is emptied beyond that.
-MAX_SEGMENTS = 300_000
+MAX_SEGMENTS = 450_000
 #: Letters that may be counted among the other characters to keep the cut exact; with more, only spaces cut.
 _MAX_ODD_LETTERS = 200
 
@@ -43,11 +46,17 @@ class Agenda:
         self.unknown = lib.unk_id()
         self.cut = re.compile(self._cut(plain))
         self.known: dict[str, bytes] = {}
+        self.words = _Words(self)
+        self.fresh: list[str] = []
+        self.differing: set[str] = set()
+        merged = {c for i in plain if len(self.pieces[i]) > 1 for c in self.pieces[i]}
+        self.marks = [c for c in map(chr, range(1, 32)) if c not in merged and (c in self.rank or self.bytes)]
 
     def _cut(self, plain: list[int]) -> str:
         letter = re.compile(r"[^\W\d_]")
         near = {(a, b) for i in plain for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False)}
-        if any(a != SPACE and b == SPACE for a, b in near):
+        self.by_words = not any(a != SPACE and b == SPACE for a, b in near)
+        if not self.by_words:
             return r"(?s).+"  # spaces inside pieces: the whole text is one segment
         odd: set[str] = set()
         is_letter = lambda c: bool(letter.match(c)) and c not in odd
@@ -63,41 +72,49 @@ class Agenda:
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment: the adjacent pair of best score (leftmost of equal ones) is merged until none is a piece."""
-        rank = self.rank
+        rank, unused = self.rank, self.unused
         symbols = list(segment)
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-        halves: dict[str, tuple[str, str]] = {}
-
-        def offer(left: int, right: int) -> None:
-            if left < 0 or right < 0:
-                return
-            joined = symbols[left] + symbols[right]
-            got = rank.get(joined)
-            if got is not None:
-                heapq.heappush(agenda, (got[0], left, right, len(joined)))
-                if joined in self.unused:
-                    halves[joined] = (symbols[left], symbols[right])
-
+        agenda = []
         for i in range(n - 1):
-            offer(i, i + 1)
-        while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
-                continue  # one of the two was merged meanwhile
-            symbols[left] += symbols[right]
-            symbols[right] = ""
-            behind = after[right]
-            after[left] = behind
-            if behind >= 0:
-                before[behind] = left
-            offer(before[left], left)
-            offer(left, behind)
+            got = rank.get(symbols[i] + symbols[i + 1])
+            if got is not None:
+                agenda.append((got[0], i, i + 1, 2))
+        halves: dict[str, tuple[str, str]] = {}
+        if agenda:
+            before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+            heapq.heapify(agenda)
+            pop, push = heapq.heappop, heapq.heappush
+            while agenda:
+                _, left, right, size = pop(agenda)
+                a, b = symbols[left], symbols[right]
+                if not a or not b or len(a) + len(b) != size:
+                    continue  # one of the two was merged meanwhile
+                joined = symbols[left] = a + b
+                symbols[right] = ""
+                if joined in unused:
+                    halves[joined] = (a, b)
+                behind, ahead = after[right], before[left]
+                after[left] = behind
+                if behind >= 0:
+                    before[behind] = left
+                    more = joined + symbols[behind]
+                    got = rank.get(more)
+                    if got is not None:
+                        push(agenda, (got[0], left, behind, len(more)))
+                if ahead >= 0:
+                    more = symbols[ahead] + joined
+                    got = rank.get(more)
+                    if got is not None:
+                        push(agenda, (got[0], ahead, left, len(more)))
         ids: list[int] = []
         for symbol in symbols:
             if symbol:
-                self._emit(symbol, halves, ids)
+                got = rank.get(symbol)
+                if got is not None and symbol not in halves:
+                    ids.append(got[1])
+                else:
+                    self._emit(symbol, halves, ids)
         return ids
 
     def _emit(self, symbol: str, halves: dict[str, tuple[str, str]], ids: list[int]) -> None:
@@ -111,18 +128,53 @@ class Agenda:
         else:
             ids.append(self.unknown)
 
-    def encode(self, normalised: str) -> bytes:
-        """Ids of a normalised text as little-endian unsigned 32-bit integers, without begin and end."""
+    def segments(self, text: str) -> bytes:
+        """Ids of a stretch that starts and ends where no piece can cross."""
         known, out = self.known, []
-        for segment in self.cut.findall(normalised):
+        for segment in self.cut.findall(text):
             got = known.get(segment)
             if got is None:
                 if len(known) >= MAX_SEGMENTS:
                     known.clear()
                 got = known[segment] = little_endian(self.merge(segment))
+                self.fresh.append(segment)
             out.append(got)
         return b"".join(out)
 
+    def encode(self, normalised: str) -> bytes:
+        """Ids of a normalised text as little-endian unsigned 32-bit integers, without begin and end."""
+        if self.by_words and normalised.startswith(SPACE) and SPACE + SPACE not in normalised and len(normalised) > 1 and not normalised.endswith(SPACE):
+            return b"".join(map(self.words.__getitem__, normalised[1:].split(SPACE)))
+        return self.segments(normalised)
+
+    def check(self) -> bool:
+        """Encodes the segments met since the last call with the library; corrects and remembers those that differ."""
+        fresh, self.fresh = self.fresh, []
+        mark = next((m for m in self.marks if not any(m in s for s in fresh)), None)
+        if not fresh:
+            return True
+        lib = self.library
+        if mark is None:
+            raise ValueError("the vocabulary or the texts leave no mark to check segments between")
+        code = self.rank[mark][1] if mark in self.rank else self.bytes[ord(mark)]
+        ids = lib.encode(mark + mark.join(s.replace(SPACE, " ") for s in fresh) + mark)
+        cuts = [i for i, v in enumerate(ids) if v == code]
+        right = len(cuts) == len(fresh) + 1
+        if right and [v for a, b in zip(cuts, cuts[1:], strict=False) for v in ids[a + 1 : b]] == array("I", b"".join(map(self._now, fresh))).tolist():
+            return True
+        for segment in fresh:
+            alone = lib.encode(mark + segment.replace(SPACE, " ") + mark)
+            inner = little_endian(alone[alone.index(code) + 1 : -1])
+            if inner != self._now(segment):
+                self.known[segment] = inner
+                self.differing.add(segment)
+        self.words.clear()
+        return False
+
+    def _now(self, segment: str) -> bytes:
+        got = self.known.get(segment)
+        return little_endian(self.merge(segment)) if got is None else got
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are gathered into characters, begin and end say nothing, the first space mark goes."""
         out, run = [], bytearray()
@@ -144,11 +196,25 @@ class Agenda:
         return "".join(out).replace(SPACE, " ")
 
 
+class _Words(dict):
+    """Ids of words behind a space mark, filled as they are met."""
+
+    def __init__(self, agenda: Agenda):
+        super().__init__()
+        self.agenda = agenda
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_SEGMENTS:
+            self.clear()
+        got = self[word] = self.agenda.segments(SPACE + word)
+        return got
+
+
 def little_endian(ids: list[int]) -> bytes:
     made = array("I", ids)
     if made.itemsize != 4:
         return b"".join(i.to_bytes(4, "little") for i in ids)
-    if __import__("sys").byteorder == "big":
+    if sys.byteorder == "big":
         made.byteswap()
     return made.tobytes()
 
@@ -156,8 +222,8 @@ def little_endian(ids: list[int]) -> bytes:
 def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: bool = True, keep_ids: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, agrees and, on demand, token_ids of every row's whole text.
 
-    Null counts as the empty text, whose ids are begin and end. ``agrees`` is false where the library's ids or text
-    differed from the agenda's; the library's are returned there. Rows and other columns stay.
+    Null counts as the empty text, whose ids are begin and end. ``agrees`` is false where the library's ids
+    differed from the agenda's for a segment of the row; the library's are returned there. Rows and other columns stay.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one model file
@@ -165,22 +231,24 @@ def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: b
     def make():
         agenda = Agenda(shared.value)
         lib = agenda.library
+        native = sys.byteorder == "little" and array("I").itemsize == 4
         begin, end = little_endian([lib.bos_id()]), little_endian([lib.eos_id()])
 
         def work(column: pa.Array) -> list[pa.Array]:
             texts = [v or "" for v in column.to_pylist()]
             normalised = lib.normalize(texts) if texts else []
-            expected = lib.encode(texts, add_bos=True, add_eos=True, num_threads=1) if texts else []
-            decoded = lib.decode(expected, num_threads=1) if texts else []
-            n, digests, texts_sha, same, kept = [], [], [], [], []
-            for plain, ids, back in zip(normalised, expected, decoded, strict=True):
-                own, want = begin + agenda.encode(plain) + end, little_endian(ids)
-                fits = own == want
-                n.append(len(ids))
-                digests.append(hashlib.sha256(own if fits else want).hexdigest())
-                texts_sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                same.append(fits)
-                kept.append(ids)
+            coded = [agenda.encode(t) for t in normalised]
+            fits = agenda.check()
+            if not fits:
+                coded = [agenda.encode(t) for t in normalised]
+            wrong = agenda.differing
+            same = [not wrong or wrong.isdisjoint(agenda.cut.findall(t)) for t in normalised]
+            coded = [begin + c + end for c in coded]
+            kept = [array("I", c).tolist() if native else [i[0] for i in struct.iter_unpack("<I", c)] for c in coded]
+            decoded = lib.decode(kept, num_threads=1) if texts else []
+            n = [len(ids) for ids in kept]
+            digests = [hashlib.sha256(c).hexdigest() for c in coded]
+            texts_sha = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
             out = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts_sha, pa.string()), pa.array(same, pa.bool_())]
             return [*out, pa.array(kept, pa.list_(pa.int32()))] if keep_ids else out
 

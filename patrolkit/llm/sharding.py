@@ -2,9 +2,8 @@
 
 Documents with equal texts are linked. Copies of one text that lie in one shard are alike, so the state of the
 propagation is a count for each (text, shard), never a row for each link: a text with a third of all rows takes as many
-rows as there are shards. A round tallies the shards of every text, proposes the moves to the shard that holds most of
-it, and grants them up to the free bytes of the target; a text that does not fit moves in part. Documents without a
-link then fill what is left of each shard, long ones first, by running totals over hashed parts of the table.
+rows as there are shards. A round tallies the shards of every text, asks for moves to those that hold most of it, and
+grants them up to the free bytes of the targets; a text that does not fit moves in part. Documents without a link then fill what is left of each shard, long ones first, by running totals over hashed parts of the table.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ SHARDS = 40
 ROUNDS = 6
 #: Bytes that each document counts besides its text.
 OVERHEAD = 16
-#: A document without a link is long when it exceeds this share of a shard; long ones are placed before the others.
+#: A document without a link is long when it exceeds this share of a shard and the mean document; long ones are placed
+#: before the others, which then even out what the long ones left.
 LONG_SHARE = 1 / 2000
 #: Parts of the quota windows, running totals and slots. More parts mean smaller tasks, not other rules.
 PARTS = 256
@@ -63,34 +63,50 @@ def _loads(rows: DataFrame, shards: int, weight: Column) -> list[float]:
 def propagate(state: DataFrame, capacity: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """The state ``(text_key, shard, n, size)`` after at most ``rounds`` rounds of granted moves.
 
-    A text's target is the shard with most of its copies (smallest number of equal ones). The free bytes of a shard are
-    dealt to hashed parts of the proposals in proportion to what they ask for, and within a part in order of their
-    share of the text; so no window spans a shard and no shard ever exceeds its capacity.
+    In a round every text ranks its shards by the copies they hold (smallest number of equal ones) and would fill them
+    in that order, each up to its free bytes; what a shard would gain is asked for. A shard grants small requests
+    before large ones (by powers of two); the power that no longer fits is granted in part, dealt to hashed parts in
+    proportion and within a part to the texts with most copies there; so no window spans a shard and none exceeds its
+    capacity. What is granted leaves the text's least shards.
     """
     for _ in range(rounds):
         load = _loads(state, shards, F.col("n") * F.col("size"))
-        best = state.groupBy("text_key").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("top"))
-        target = written(best.select(F.col("text_key").alias("target_key"), (-F.col("top.low")).alias("target"), F.col("top.n").alias("there")), "targets")
-        wish = state.join(target, state.text_key == target.target_key).where("shard <> target")
+        free = F.lit(0.0)
+        for k, n in enumerate(load):
+            free = F.when(F.col("shard") == k, F.lit(max(0.0, capacity - n))).otherwise(free)
+        ranked = Window.partitionBy("text_key").orderBy(F.desc("n"), "shard")
+        room = F.col("n") + F.floor(free / F.col("size"))
+        holds = state.withColumns({"room": room, "whole": F.sum("n").over(Window.partitionBy("text_key"))})
+        before = F.coalesce(F.sum("room").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        goal = F.greatest(F.lit(0), F.least(F.col("room"), F.col("whole") - before))
         part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
-        wish = written(wish.select("text_key", "shard", "target", "n", "size", "there", part.alias("part")), "wishes")
-        asked = {r["target"]: float(r["n"]) for r in wish.groupBy("target").agg(F.sum(F.col("n") * F.col("size")).alias("n")).collect()}
-        if not asked:
+        wish = written(holds.withColumn("gain", goal - F.col("n")).where("gain <> 0").select("text_key", "shard", "n", "size", "gain", part.alias("part")), "wishes")
+        amount = (F.col("gain") * F.col("size")).cast("double")
+        asked = wish.where("gain > 0").withColumns({"bytes": amount, "grade": F.floor(F.log2(amount)).cast("int")})
+        sums = asked.groupBy("shard", "grade").agg(F.sum("bytes").alias("n")).collect()  # shards times powers of two
+        if not sums:
             break
-        share = F.lit(0.0)
-        for k, n in asked.items():
-            share = F.when(F.col("target") == k, F.lit(min(1.0, max(0.0, capacity - load[k]) / n))).otherwise(share)
-        order = Window.partitionBy("target", "part").orderBy(F.desc("there"), "text_key", "shard")
-        whole = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("target", "part"))
-        before = F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") * F.col("size")
-        granted = F.floor((share * whole - before) / F.col("size"))
-        moves = wish.withColumn("moved", F.least(F.col("n"), F.greatest(F.lit(0), granted)).cast("long")).where("moved > 0")
-        moves = written(moves.select("text_key", "shard", "target", "moved", "size"), "moves")
-        if moves.limit(1).count() == 0:
+        left, shares = [max(0.0, capacity - x) for x in load], []
+        for r in sorted(sums, key=lambda r: r["grade"]):
+            given = min(left[r["shard"]], r["n"])
+            left[r["shard"]] -= given
+            shares.append((r["shard"], r["grade"], given / r["n"]))
+        table = F.broadcast(state.sparkSession.createDataFrame(shares, "shard int, grade int, share double"))
+        asked = asked.join(table, ["shard", "grade"])
+        keys = ["shard", "grade", "part"]
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        passed = F.sum("bytes").over(order) - F.col("bytes")
+        fits = F.floor((F.col("share") * F.sum("bytes").over(Window.partitionBy(*keys)) - passed) / F.col("size") + 1e-9)
+        granted = asked.withColumn("moved", F.least(F.col("gain"), F.greatest(F.lit(0), fits)).cast("long")).where("moved > 0")
+        granted = written(granted.select("text_key", "shard", "moved", "size"), "granted")
+        if granted.limit(1).count() == 0:
             break
-        change = state.select("text_key", "shard", "n", "size").union(
-            moves.select("text_key", "shard", (-F.col("moved")).alias("n"), "size")
-        ).union(moves.select("text_key", F.col("target").alias("shard"), F.col("moved").alias("n"), "size"))
+        taken = granted.groupBy(F.col("text_key").alias("taken_key")).agg(F.sum("moved").alias("taken"))
+        lowest = Window.partitionBy("text_key").orderBy("n", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+        donors = wish.where("gain < 0").withColumn("passed", F.coalesce(F.sum(-F.col("gain")).over(lowest), F.lit(0)))
+        lost = F.greatest(F.lit(0), F.least(-F.col("gain"), F.col("taken") - F.col("passed")))
+        losses = donors.join(taken, donors.text_key == taken.taken_key).select("text_key", "shard", (-lost).cast("long").alias("n"), "size")
+        change = state.select("text_key", "shard", "n", "size").union(granted.select("text_key", "shard", F.col("moved").alias("n"), "size")).union(losses)
         state = written(change.groupBy("text_key", "shard").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n > 0"), "state")
     return state
 
@@ -102,7 +118,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     table gives an empty table. A document longer than a shard's share leaves its shard that much larger.
     """
     base = written(documents(docs), "documents")
-    total = float(base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
+    sums = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).first()
+    total = float(sums["n"])
     capacity = total / shards
     copies = written(base.where("text_key is not null").groupBy(F.col("text_key").alias("copied")).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     marked = written(base.join(copies, base.text_key == copies.copied, "left").drop("copied"), "marked")
@@ -119,7 +136,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     placed = written(placed.select(*columns), "linked")
 
     room = [max(0.0, capacity - x) for x in _loads(placed, shards, F.col("size"))]
-    limit = capacity * LONG_SHARE
+    limit = max(capacity * LONG_SHARE, float(sums["mean"]))
     long_ones = written(_fill(alone.where(F.col("size") > limit), room).select(*columns), "long")
     more = _loads(long_ones, shards, F.col("size"))
     room = [max(0.0, r - m) for r, m in zip(room, more, strict=True)]

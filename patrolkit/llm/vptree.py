@@ -156,7 +156,7 @@ def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embed
     """``(query_id, rank, vec_id, score)``: the k largest inner products found for the rows where ``queries`` holds.
 
     Candidates are all usable rows of another id; score is the inner product in double precision; equal scores go to the
-    smaller id. Rows with a null id take no part; of rows with one id one vector counts. Vectors of another length than
+    smaller id. Rows with a null id take no part; of rows with one id the smallest vector counts. Vectors of another length than
     the commonest take no part. An empty table gives an empty table. Every shard meets every block of queries; a task
     holds one shard and works through a block's queries as they come.
     """
@@ -173,10 +173,10 @@ def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embed
     spread = lambda salt, size: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(size)).cast("int")
     points = clean.select(spread(1, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("asks"), "vec_id", "v")
     asks = clean.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), spread(2, blocks).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
-    dealt = points.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "asks", "vec_id")
+    dealt = points.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "asks", "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows, shard = None, [], [], None
+        key, ids, rows, shard, asked = None, [], [], None, None
         for batch in batches:
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             own = batch.column("vec_id").to_numpy(zero_copy_only=False)
@@ -186,7 +186,7 @@ def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embed
                 if a == b:
                     continue
                 if tuple(keys[a, :2]) != key:
-                    key, ids, rows, shard = tuple(keys[a, :2]), [], [], None
+                    key, ids, rows, shard, asked = tuple(keys[a, :2]), [], [], None, None
                 if not keys[a, 2]:
                     ids.append(own[a:b])
                     rows.append(flat[a:b])
@@ -195,8 +195,10 @@ def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embed
                     if not ids:
                         continue
                     shard = Shard(np.concatenate(ids), np.concatenate(rows), k)
-                for start in range(a, b, 512):
-                    part = slice(start, min(b, start + 512))
+                fresh = np.flatnonzero(np.concatenate([[own[a] != asked], own[a + 1 : b] != own[a : b - 1]])) + a
+                asked = own[b - 1]
+                for start in range(0, len(fresh), 512):
+                    part = fresh[start : start + 512]
                     got = list(shard.nearest(own[part], flat[part], factor))
                     who = np.repeat(own[part], [len(g[0]) for g in got])
                     yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(np.concatenate([g[1] for g in got]), pa.float64())], names=["query_id", "vec_id", "score"])

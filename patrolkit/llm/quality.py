@@ -85,9 +85,9 @@ def fit(sample: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES,
     for text, label in sample:
         both = halves[int(label)]
         both[len(both[0]) > len(both[1])].append(text.encode())
-    counts = [len(halves[k][0]) + len(halves[k][1]) for k in (0, 1)]
+    sizes = [len(halves[k][0]) + len(halves[k][1]) for k in (0, 1)]
     if not halves[0][1] or not halves[1][1]:
-        return QualityModel(b"", b"", prior=counts[1] / sum(counts) if sum(counts) else 0.5)
+        return QualityModel(b"", b"", prior=sizes[1] / sum(sizes) if sum(sizes) else 0.5)
     good, bad = (_dictionary(halves[k][0], dictionary_bytes) for k in (1, 0))
     texts = halves[0][1] + halves[1][1]
     target = np.array([0.0] * len(halves[0][1]) + [1.0] * len(halves[1][1]))

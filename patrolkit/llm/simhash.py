@@ -154,12 +154,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     if repeated.limit(1).count():
-        twice = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row")).select("row.*")
+        copies = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_semi").select(F.col("doc_id").alias("key"), whole.alias("row"))
+        twice = copies.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
         stay = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_anti").unionByName(twice)
     nameless = docs.where("doc_id is null")
     if nameless.limit(1).count():
         marked = fingerprints(nameless.withColumn("text_to_mark", F.col("text")), "text_to_mark", "fp_to_mark")
-        lone = groups.where("component_id is null").select("fp", "component_fp").distinct()
-        first = marked.join(lone, marked["fp_to_mark"] == lone["fp"]).groupBy("component_fp").agg(F.min(whole).alias("row")).select("row.*")
+        lone = groups.where("component_id is null").select(F.col("fp").alias("lone_fp"), F.col("component_fp").alias("lone_class")).distinct()
+        mark = F.col(f"`{marked.columns[-1]}`")
+        keyed = marked.select(mark.alias("marked_fp"), whole.alias("marked_row"))
+        first = keyed.join(lone, F.col("marked_fp") == F.col("lone_fp")).groupBy("lone_class").agg(F.min("marked_row").alias("row")).select("row.*")
         stay = stay.unionByName(first)
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

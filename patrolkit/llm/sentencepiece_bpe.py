@@ -2,7 +2,7 @@
 
 Texts are normalised by the library and cut where no piece of the vocabulary can cross: before a run of the space mark,
 and between letters and other characters when no piece holds such a neighbourhood (checked for each model). Segments are
-therefore independent; each distinct one is merged once per task and remembered in a bounded table. The agenda is a
+therefore independent; each distinct one is merged once per worker process and remembered in a bounded table. The agenda is a
 heap of (score, place) over a linked list of symbols. In every Arrow batch the library encodes the segments that the
 batch brought anew, between marks that no piece holds; where the two differ, the library's ids stand and the rows say
 so. Ids are decoded by the library.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ._shared import with_batches
 
 SPACE = "▁"
-#: Segments remembered in one task; the table is emptied beyond that.
+#: Segments remembered in one worker process; the table is emptied beyond that.
 MAX_SEGMENTS = 450_000
 #: Letters that may be counted among the other characters to keep the cut exact; with more, only spaces cut.
 _MAX_ODD_LETTERS = 200
@@ -219,6 +219,18 @@ def little_endian(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
+_kept: dict[str, Agenda] = {}
+
+
+def agenda_for(model: bytes) -> Agenda:
+    """The agenda of a model, kept with its segments while the worker process serves further tasks; one model at a time."""
+    key = hashlib.sha256(model).hexdigest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Agenda(model)
+    return _kept[key]
+
+
 def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: bool = True, keep_ids: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, agrees and, on demand, token_ids of every row's whole text.
 
@@ -229,7 +241,7 @@ def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: b
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one model file
 
     def make():
-        agenda = Agenda(shared.value)
+        agenda = agenda_for(shared.value)
         lib = agenda.library
         native = sys.byteorder == "little" and array("I").itemsize == 4
         begin, end = little_endian([lib.bos_id()]), little_endian([lib.eos_id()])

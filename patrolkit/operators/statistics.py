@@ -300,3 +300,61 @@ def correlation_p(rho: float, n: int) -> float:
     if n < 3 or abs(rho) >= 1:
         return 0.0 if n >= 3 else 1.0
     return min(1.0, 2 * student_tail(abs(rho) * math.sqrt((n - 2) / (1 - rho * rho)), n - 2))
+
+
+def top_share(rows: DataFrame, rank_by: str, amount: str, key: str, share: float = 0.2) -> DataFrame:
+    """One row: the part of ``amount`` that the top ``ceil(share * n)`` rows by ``rank_by`` hold, and its lift."""
+    n = rows.count()
+    k = math.ceil(share * n - 1e-9)
+    top = rows.orderBy(F.desc(rank_by), key).limit(k)  # a top-k report
+    held = top.agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("held")).crossJoin(rows.agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("whole")))
+    part = ratio_or_one(F.col("held"), F.col("whole"))
+    return held.select(F.lit(k).cast("long").alias("k"), part.alias("share"), (part / F.lit(k / n if n else 1.0)).alias("lift"))
+
+
+def rank_quintiles(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """``rows`` with ``quintile`` 1..5: linear quantile edges over the ranks 1..n of ``value`` (ties by key).
+
+    Ranks come from counts of values and a rank inside one value, so no window holds all rows.
+    """
+    per = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(per.withColumn("before", before).drop("c"), rows[value] == F.col("v")).drop("v")
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    n = rows.count()
+    rank = F.col("before") + inside
+    bin_ = F.lit(1)
+    for i in range(1, 5):
+        bin_ = bin_ + F.when(rank > F.lit(1 + (n - 1) * i / 5), 1).otherwise(0)
+    return placed.withColumn("quintile", bin_).drop("before")
+
+
+def certified_gaps(records: DataFrame, references: DataFrame, key: str, value: str) -> DataFrame:
+    """``records`` with ``gap``: percent over the proven optimum, else over the lower bound, else null.
+
+    ``references`` holds (key, optimum, bound).
+    """
+    joined = records.join(references, key, "left")
+    ref = F.coalesce("optimum", "bound")
+    return joined.withColumn("gap", F.when(ref != 0, (F.col(value) - ref) / ref * 100.0)).drop("optimum", "bound")
+
+
+def complete_groups(rows: DataFrame, by: str, member: str, wanted: int) -> DataFrame:
+    """Groups that hold ``wanted`` different members."""
+    return rows.groupBy(by).agg(F.count_distinct(member).alias("members")).where(F.col("members") == wanted).select(by)
+
+
+def ranges(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
+    made = [f(v).alias(f"{v}_{n}") for v in values for n, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy(by).agg(*made)
+
+
+def removal_savings(routes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Every stop with the length that leaving it out saves: both of its legs less the one that replaces them."""
+    keys = [*(by or []), "vehicle"]
+    order = Window.partitionBy(*keys).orderBy("pos")
+    zero = F.lit(0.0)
+    near = {f"{p}{c}": F.coalesce(f(c).over(order), zero) for p, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y")}
+    wide = routes.withColumns(near)
+    leg = lambda a, b: F.sqrt((F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2)
+    return wide.withColumn("saving", (leg("p", "") + leg("", "n") - leg("p", "n")) * 100.0).drop(*near)

@@ -451,5 +451,7 @@ def q53_wilcoxon_p(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: f for k, f in globals().items() if k[:1] == "q" and k[1:3].isdigit()}
+    from . import catalogue_more
+
+    found = {k: f for part in (globals(), vars(catalogue_more)) for k, f in part.items() if k[:1] == "q" and k[1:3].isdigit()}
     return dict(sorted(found.items()))

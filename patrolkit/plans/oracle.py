@@ -339,4 +339,6 @@ SELECT user_id AS plate_num, strftime(point, '%Y-%m-%d') AS point, arg_max(event
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from . import catalogue_more
+
+    return ORACLE | catalogue_more.ORACLE

@@ -80,3 +80,9 @@ def suppliers_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(30.10) + F.lit(1.10) * place(53) + F.lit(0.002)).alias("lat"),
         F.col("s_nationkey").cast("bigint").alias("region_key"), F.col("s_acctbal").cast("double").alias("weight"),
     )
+
+
+def with_json_coordinates(pings: DataFrame) -> DataFrame:
+    """Raw pings with double lon and lat read by JSON paths; what cannot be read is null."""
+    part = lambda k: F.get_json_object("coord", f"$.{k}").try_cast("double")
+    return pings.withColumns({"lon": part("lon"), "lat": part("lat")}).drop("coord")

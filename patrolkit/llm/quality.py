@@ -104,7 +104,11 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "score", *, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the calibrated score of every row's whole text; null counts as empty. Rows and columns are kept."""
+    """``docs`` with the calibrated score of every row's whole text; null counts as empty.
+
+    Repeated rows and rows without an id stay rows; an empty table gives an empty table; a column that has the score's
+    name stays, and the score's gets underscores in front.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES and a few numbers
 
     def make():

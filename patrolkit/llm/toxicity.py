@@ -209,7 +209,11 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", *, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``score`` and ``passages`` (code-point offsets) of every row's whole text; null counts as empty."""
+    """``docs`` with ``score`` and ``passages`` (code-point offsets) of every row's whole text; null counts as empty.
+
+    Equal maximal segments stay apart, in text order. Repeated rows and rows without an id stay rows; an empty table
+    gives an empty table; columns that have the new names stay, and the new ones get underscores in front.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON_TOKENS scores at most
 
     def make():

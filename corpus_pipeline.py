@@ -14,26 +14,39 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts; it learns from the stage's own input and the labels."""
+    """Documents that the compression classifier accepts; it learns from the stage's own input and the labels.
+
+    A null text counts as empty and is scored like any other; repeated rows are judged alike; rows without an id stay
+    rows; without labels of both kinds every document gets the share of good labels; an empty table stays empty.
+    """
     model = quality.fit_on_tables(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, name=free_name(docs.columns, "score"))
     return scored.where(F.col(f"`{scored.columns[-1]}`") >= quality.CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the smallest id, once, however often it is repeated.
+
+    Null and empty texts have no words and are copies of each other; a group whose documents all lack an id keeps one.
+    """
     return simhash.one_of_each(docs)
 
 
 def untested_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a window of a benchmark item."""
+    """Documents without a word inside a window of a benchmark item.
+
+    Null texts have no words and stay; repeated rows are judged alike; an empty benchmark keeps every document.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     hit = found.columns[len(docs.columns) + 1]
     return found.where(F.col(f"`{hit}`") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and the number of characters counted anew."""
+    """All documents, with every secret replaced by a mark and the number of characters counted anew.
+
+    Null texts stay null with the count they had; overlapping spans get one mark; rows and other columns stay.
+    """
     clean = secret_scan.redacted(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -41,7 +54,10 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with digests of the ids and of the decoded text."""
+    """Token ids of every document with digests of the ids and of the decoded text.
+
+    A null text counts as empty: begin and end only. Repeated rows and rows without an id stay rows.
+    """
     coded = sentencepiece_bpe.tokens(docs.select("doc_id", "text"), tokenizer_path(), keep_text=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from ._shared import with_batches
 
 SPACE = "▁"
-#: Segments remembered in one worker process; the table is emptied beyond that.
-MAX_SEGMENTS = 450_000
+#: Segments (and words) remembered in one worker process: at most twice as many, those last met.
+MAX_SEGMENTS = 500_000
 #: Letters that may be counted among the other characters to keep the cut exact; with more, only spaces cut.
 _MAX_ODD_LETTERS = 200
 
@@ -45,8 +45,8 @@ class Agenda:
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in every if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.cut = re.compile(self._cut(plain))
-        self.known: dict[str, bytes] = {}
-        self.words = _Words(self)
+        self.known = _Recent(self._new_segment)
+        self.words = _Recent(lambda word: self.segments(SPACE + word))
         self.fresh: list[str] = []
         self.differing: set[str] = set()
         merged = {c for i in plain if len(self.pieces[i]) > 1 for c in self.pieces[i]}
@@ -130,16 +130,11 @@ class Agenda:
 
     def segments(self, text: str) -> bytes:
         """Ids of a stretch that starts and ends where no piece can cross."""
-        known, out = self.known, []
-        for segment in self.cut.findall(text):
-            got = known.get(segment)
-            if got is None:
-                if len(known) >= MAX_SEGMENTS:
-                    known.clear()
-                got = known[segment] = little_endian(self.merge(segment))
-                self.fresh.append(segment)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.cut.findall(text)))
+
+    def _new_segment(self, segment: str) -> bytes:
+        self.fresh.append(segment)
+        return little_endian(self.merge(segment))
 
     def encode(self, normalised: str) -> bytes:
         """Ids of a normalised text as little-endian unsigned 32-bit integers, without begin and end."""
@@ -160,21 +155,19 @@ class Agenda:
         ids = lib.encode(mark + mark.join(s.replace(SPACE, " ") for s in fresh) + mark)
         cuts = [i for i, v in enumerate(ids) if v == code]
         right = len(cuts) == len(fresh) + 1
-        if right and [v for a, b in zip(cuts, cuts[1:], strict=False) for v in ids[a + 1 : b]] == array("I", b"".join(map(self._now, fresh))).tolist():
+        own = [self.known[s] for s in fresh]
+        self.fresh = []
+        if right and b"".join(little_endian(ids[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)) == b"".join(own):
             return True
-        for segment in fresh:
+        for segment, was in zip(fresh, own, strict=True):
             alone = lib.encode(mark + segment.replace(SPACE, " ") + mark)
             inner = little_endian(alone[alone.index(code) + 1 : -1])
-            if inner != self._now(segment):
+            if inner != was:
                 self.known[segment] = inner
                 self.differing.add(segment)
         self.words.clear()
         return False
 
-    def _now(self, segment: str) -> bytes:
-        got = self.known.get(segment)
-        return little_endian(self.merge(segment)) if got is None else got
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are gathered into characters, begin and end say nothing, the first space mark goes."""
         out, run = [], bytearray()
@@ -196,19 +189,28 @@ class Agenda:
         return "".join(out).replace(SPACE, " ")
 
 
-class _Words(dict):
-    """Ids of words behind a space mark, filled as they are met."""
+class _Recent(dict):
+    """Values that ``make`` gives, kept in two generations: a full young one becomes the old one, and what is met there
+    comes back."""
 
-    def __init__(self, agenda: Agenda):
+    def __init__(self, make):
         super().__init__()
-        self.agenda = agenda
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= MAX_SEGMENTS:
-            self.clear()
-        got = self[word] = self.agenda.segments(SPACE + word)
+            self.old = dict(self)
+            dict.clear(self)
+        self[key] = got
         return got
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
 
 def little_endian(ids: list[int]) -> bytes:
     made = array("I", ids)

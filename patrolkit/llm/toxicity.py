@@ -31,9 +31,9 @@ CUT = 0.3
 #: The prior's weight in tokens, the signed root deviance that a token must exceed, and what each neutral token costs.
 PRIOR_TOKENS = 2000.0
 LEAST_ROOT = 3.6
-NEUTRAL = -0.25
+NEUTRAL = -0.05
 #: Besides whole words, the first letters of longer words are tokens, so that inflected forms share what is learned.
-STEMS = (6, 5, 4)
+STEMS = (8, 7, 6, 5, 4)
 #: Word scores remembered in one task; the table is emptied beyond that.
 MAX_KNOWN = 300_000
 #: Passages are significant under this expected number of equal ones in clean text of the document's length.

@@ -250,13 +250,19 @@ def fit_on_tables(docs: DataFrame) -> Crf:
     return fit(bounded_sample(rows.where(F.col("lang").isin(few)), docs, "lang", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES)[0])
 
 
+def word_weights(words: list[str]) -> np.ndarray:
+    """One over the root of each word's count in its text, so that a repeated phrase does not outvote the rest."""
+    count = Counter(words)
+    return 1.0 / np.sqrt(np.fromiter(map(count.__getitem__, words), float, len(words)))
+
+
 RUNS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("lang", T.StringType())]))
 
 
 def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and switches (runs of words by likeliest label) of every row's whole text.
 
-    lang_pred is the label with most expected words and score its share; ``und`` and 0 for null texts, texts without a
+    lang_pred is the label with most expected words, each weighted by :func:`word_weights`, and score its plain share; ``und`` and 0 for null texts, texts without a
     letter, and a field without labels. ``switches`` is empty where one label holds throughout.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURE_SLOTS + LEXICON_WORDS weights a language
@@ -273,11 +279,13 @@ def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool =
             if len(full):
                 post = marginals(known.of([w for i in full for w in texts[i]]), sizes[full], model.transition)
                 starts = np.cumsum(sizes[full]) - sizes[full]
+                weight = np.concatenate([word_weights(texts[i]) for i in full])
                 share = np.add.reduceat(post, starts, axis=0) / sizes[full][:, None]
+                votes = np.add.reduceat(post * weight[:, None], starts, axis=0)
                 best = post.argmax(axis=1)
                 change = np.flatnonzero(np.diff(best)) + 1
                 for j, i in enumerate(full.tolist()):
-                    top = int(share[j].argmax())
+                    top = int(votes[j].argmax())
                     langs[i], scores[i] = model.labels[top], float(min(1.0, share[j, top]))
                     a, b = int(starts[j]), int(starts[j] + sizes[i])
                     cuts = change[np.searchsorted(change, a, "right") : np.searchsorted(change, b)]

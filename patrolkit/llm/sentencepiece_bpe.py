@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from ._shared import with_batches
 
 SPACE = "▁"
-#: Segments (and words) remembered in one worker process: at most twice as many, those last met.
+#: Segments and words remembered in one worker process: at most twice as many, those last met.
 MAX_SEGMENTS = 500_000
+MAX_WORDS = 100_000
 #: Letters that may be counted among the other characters to keep the cut exact; with more, only spaces cut.
 _MAX_ODD_LETTERS = 200
 
@@ -45,8 +46,8 @@ class Agenda:
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in every if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.cut = re.compile(self._cut(plain))
-        self.known = _Recent(self._new_segment)
-        self.words = _Recent(lambda word: self.segments(SPACE + word))
+        self.known = _Recent(self._new_segment, MAX_SEGMENTS)
+        self.words = _Recent(lambda word: self.segments(SPACE + word), MAX_WORDS)
         self.fresh: list[str] = []
         self.differing: set[str] = set()
         merged = {c for i in plain if len(self.pieces[i]) > 1 for c in self.pieces[i]}
@@ -193,15 +194,15 @@ class _Recent(dict):
     """Values that ``make`` gives, kept in two generations: a full young one becomes the old one, and what is met there
     comes back."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= MAX_SEGMENTS:
+        if len(self) >= self.limit:
             self.old = dict(self)
             dict.clear(self)
         self[key] = got

@@ -2,8 +2,8 @@
 
 Lines that hold an assignment sign are lexed into tokens (names, quoted and bare literals, signs). Pairs of a name and a
 value come from ``name = value``, ``name: value``, ``"name": value``, ``name := value`` and ``name => value``. A value may
-join literals and names by ``+``; names are looked up among the constants assigned earlier in the same text, so a
-literal reaches the name that it is given to in the end. A literal scores by how sensitive its target names are and by
+join literals and names by ``+``; names are looked up among all constants assigned earlier in the same text, so a
+literal reaches every name that it is given to in the end. A literal scores by how sensitive its target names are and by
 its length, its kinds of characters and its entropy. Fixed patterns (assignments by keyword, access keys, long hex runs)
 are always kept.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 
 import pyarrow as pa
@@ -26,8 +27,6 @@ KINDS = ("assign", "access", "hex", "literal")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Literals that score at or over this are reported.
 CUT = 0.6
-#: Constants remembered in one text; the oldest is forgotten beyond that, so memory stays bounded in any text.
-MAX_CONSTANTS = 10_000
 
 
 def _either_case(word: str) -> str:
@@ -86,29 +85,36 @@ def in_order(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """``(name, literals)`` of every assignment, in order; each literal as ``(value, start, end)``.
+class Assignments:
+    """The assignments of one text, in order, as numbers: where each name and each literal stands, and the references.
 
-    A name on the right side stands for the literals that it was last given; unknown names stand for nothing. A bare
+    A reference leads from an assignment to the earlier one whose value its right side names, so a literal is held once
+    however often it is handed on.
+    """
+
+    def __init__(self) -> None:
+        self.names = array("q")  # start, end of each assignment's name
+        self.literals = array("q")  # assignment, start, end of each literal
+        self.references = array("q")  # assignment, earlier assignment
+
+
+def assignments(text: str) -> Assignments:
+    """Every assignment of the text with the literals and the names on its right side.
+
+    A name on the right side stands for the value that it was last given; unknown names stand for nothing. A bare
     word directly behind the sign that is no known name is a literal itself, as in configuration files.
     """
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    out = []
+    known: dict[str, int] = {}
+    out = Assignments()
     at = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
-            for name, literals in _line_pairs(line, at, known):
-                out.append((name, literals))
-                known.pop(name, None)
-                if literals:
-                    known[name] = literals[:64]
-                    if len(known) > MAX_CONSTANTS:
-                        known.pop(next(iter(known)))
+            _add_line(line, at, known, out)
         at += len(line) + 1
     return out
 
 
-def _line_pairs(line: str, offset: int, known: dict):
+def _add_line(line: str, offset: int, known: dict[str, int], out: Assignments) -> None:
     tokens = [(m.lastgroup, m.group(), m.start() + offset, m.end() + offset) for m in _TOKEN.finditer(line)]
     i = 1
     while i < len(tokens) - 1:
@@ -116,39 +122,62 @@ def _line_pairs(line: str, offset: int, known: dict):
         if kind != "sign" or value not in _SIGNS:
             i += 1
             continue
-        side, name, *_ = tokens[i - 1]
-        name = name[1:-1] if side == "string" else name
+        side, name, begin, stop = tokens[i - 1]
+        if side == "string":
+            name, begin, stop = name[1:-1], begin + 1, stop - 1
         if side == "sign" or not _NAME.match(name):
             i += 1
             continue
-        literals: list[tuple[str, int, int]] = []
+        number, given = len(out.names) // 2, False
         j, want = i + 1, True
         while j < len(tokens) and want:
             kind, value, start, end = tokens[j]
             if kind == "string":
-                literals.append((value[1:-1], start + 1, end - 1))
+                out.literals.extend((number, start + 1, end - 1))
+                given = True
             elif kind == "word":
                 key = value.removeprefix("${").removeprefix("$").removesuffix("}")
-                literals += known[key] if key in known else [(value, start, end)] if j == i + 1 else []
+                if key in known:
+                    out.references.extend((number, known[key]))
+                    given = True
+                elif j == i + 1:
+                    out.literals.extend((number, start, end))
+                    given = True
             else:
                 break
             want = j + 1 < len(tokens) and tokens[j + 1][1] == "+"
             j += 2 if want else 1
-        yield name, literals
+        if given:
+            known[name] = number
+            out.names.extend((begin, stop))
+        else:
+            known.pop(name, None)
         i = max(j, i + 1)
 
 
 def secret_literals(text: str) -> list[tuple[int, int, float, str]]:
-    """``(start, end, score, target)`` of literals whose best target name makes them a likely secret."""
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, literals in pairs(text):
-        weight = sensitivity(name)
-        if weight > 0:
-            for value, start, end in literals:
-                got = weight * strength(value)
-                if got >= CUT and got > best.get((start, end), (0.0, ""))[0]:
-                    best[start, end] = (got, name)
-    return sorted((a, b, s, n) for (a, b), (s, n) in best.items())
+    """``(start, end, score, target)`` of literals whose best target name makes them a likely secret.
+
+    The most sensitive name that an assignment's value reaches (the first of equal ones) is passed on from the last
+    assignment to the first, so no list of a name's literals is ever laid out.
+    """
+    made = assignments(text)
+    names, literals, references = made.names, made.literals, made.references
+    weight = array("d", (sensitivity(text[a:b]) for a, b in zip(names[::2], names[1::2], strict=True)))
+    target = array("q", range(len(weight)))
+    for k in range(len(references) - 2, -1, -2):
+        later, earlier = target[references[k]], references[k + 1]
+        now = target[earlier]
+        if weight[later] > weight[now] or weight[later] == weight[now] and later < now:
+            target[earlier] = later
+    out = []
+    for k in range(0, len(literals), 3):
+        best, start, end = target[literals[k]], literals[k + 1], literals[k + 2]
+        if weight[best] >= CUT:
+            score = weight[best] * strength(text[start:end])
+            if score >= CUT:
+                out.append((start, end, score, text[names[2 * best] : names[2 * best + 1]]))
+    return sorted(out)
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], list[float]]:

@@ -411,6 +411,47 @@ def test_constants_reach_their_targets():
     assert secret_scan.secret_literals('{"db": {"password": "aB3$kL9zQ1xV7w"}}')[0][3] == "password"
 
 
+def test_secret_constants_are_not_capped():
+    early = "k1 = 'aB3$kL9zQ1xV7w'\n" + "".join(f"n{i} = {i}\n" for i in range(10_050)) + "db_password = k1\n"
+    assert [(early[a:b], n) for a, b, _, n in secret_scan.secret_literals(early)] == [("aB3$kL9zQ1xV7w", "db_password")]
+    assert "aB3$" not in secret_scan.redact(early, secret_scan.spans_of(early)[1])
+    values = [hashlib.md5(b"%d" % i).hexdigest()[:14] + "Q$" for i in range(100)]
+    joined = "k = " + " + ".join(f"'{v}'" for v in values) + "\ndb_password = k\n"
+    assert [joined[a:b] for a, b, *_ in secret_scan.secret_literals(joined)] == values
+    doubled = "k = 'aB3$kL9zQ1xV7w'\n" + "k = k + k\n" * 2_000 + "password = k\n"
+    assert len(secret_scan.secret_literals(doubled)) == 1
+
+
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.lists(st.sampled_from([*"abcde", "'aB3$kL9zQ1xV7w'", "'pQ7!zX9@mN2$vB'"]), min_size=1, max_size=3)), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_secret_constants_against_copied_lists(lines):
+    """Names are replaced by ones of different sensitivity; the plain way copies each name's literals."""
+    named = {"a": "plain", "b": "auth_salt", "c": "client_secret", "d": "password", "e": "never_given"}
+    text, known, best = "", {}, {}
+    for name, right in lines:
+        text += named[name] + " = "
+        got = []
+        for i, item in enumerate(right):
+            text += " + " * (i > 0)
+            word = named.get(item, item)
+            if item[0] == "'":
+                got.append((len(text) + 1, len(text) + len(item) - 1))
+            elif item in known:
+                got += known[item]
+            elif i == 0:
+                got.append((len(text), len(text) + len(word)))
+            text += word
+        text += "\n"
+        known.pop(name, None)
+        if got:
+            known[name] = got
+        for a, b in got:
+            score = secret_scan.sensitivity(named[name]) * secret_scan.strength(text[a:b])
+            if score >= secret_scan.CUT and score > best.get((a, b), (0.0, ""))[0]:
+                best[a, b] = (score, named[name])
+    assert secret_scan.secret_literals(text) == sorted((a, b, *v) for (a, b), v in best.items())
+
+
 def test_secret_rows(odd_docs):
     got = secret_scan.scan(odd_docs)
     assert got.count() == odd_docs.count()

@@ -121,12 +121,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *,
     is one window; an empty benchmark hits nothing. One automaton of at most ``limit`` bytes of items is sent to the
     tasks; a larger benchmark is scanned in several rounds, whose hit words and items are joined row by row.
     """
-    batches = item_batches(benchmark, limit)
-    first = next(batches)
-    rest = list(batches) if sum(len((t or "").encode()) + 32 for _, t in first) else []
-    if not rest:
-        return _one_round(docs, windows(first, size), text, keep_text)
-    return _rounds(docs, [first, *rest], text, size, keep_text)
+    batches = [items for items in item_batches(benchmark, limit) if items]  # a cut by hash may hold no item
+    if len(batches) < 2:
+        return _one_round(docs, windows(batches[0] if batches else [], size), text, keep_text)
+    return _rounds(docs, batches, text, size, keep_text)
 
 
 def _fields() -> list[T.StructField]:

@@ -159,6 +159,24 @@ def test_scan_against_brute_force(text, items, size):
             assert len(decontaminate.words_of(part.encode())) == run["end_word"] - run["first_word"]
 
 
+def test_decontamination_with_empty_cuts(spark, docs_of):
+    """Few items over the limit: whichever of the cuts by hash are empty, the items of the others are found."""
+    words = [f"w{i}" for i in range(60)]
+    seen = set()
+    for turn in range(6):
+        for chosen in ([turn], [turn, turn + 10], [turn, turn]):
+            texts = [" ".join(f"{w}x{k}" for w in words) for k in chosen]
+            items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+            limit = sum(len(t) + 32 for t in texts) - 1
+            cuts = tuple(bool(c) for c in decontaminate.item_batches(items, limit))
+            if cuts in seen:
+                continue
+            seen.add(cuts)
+            got = decontaminate.contamination(docs_of([*texts, "nothing here"]), items, limit=limit).collect()
+            assert [r["n_hit"] for r in sorted(got, key=lambda r: r["doc_id"])] == [60] * len(texts) + [0]
+    assert any(not c[0] and any(c[1:]) for c in seen)
+
+
 @pytest.mark.parametrize("limit", [decontaminate.AUTOMATON_BYTES, 150])
 def test_contamination_rows(spark, odd_docs, limit):
     items = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven"), (8, "no id"), (9, None), (10, ""), (None, "twice"), (7, "alpha beta gamma alpha beta gamma alpha beta gamma alpha")], "item_id long, text string")

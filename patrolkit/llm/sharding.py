@@ -1,9 +1,11 @@
-"""Sharding by balanced label propagation: linked documents move towards their neighbours' shards under byte quotas.
-
-Documents with equal texts are linked. Copies of one text that lie in one shard are alike, so the state of the
-propagation is a count for each (text, shard), never a row for each link: a text with a third of all rows takes as many
-rows as there are shards. A round tallies the shards of every text, asks for moves to those that hold most of it, and
-grants them up to the free bytes of the targets; a text that does not fit moves in part. Documents without a link then fill what is left of each shard, long ones first, by running totals over hashed parts of the table.
+"""Sharding by balanced label propagation: linked documents move to their neighbours' shards under byte quotas.
+
+Documents with equal texts are linked, so a group of links is a text with its copies. Large texts, of which there can only
+be few, are laid into the shards first, each whole where a place exists and else in as few shards as the rooms allow. All
+smaller groups then leave their shards at once, so that opposite moves free each other's bytes: a group asks for the
+shard that holds most of it, a shard grants up to its room, and refused groups fill the rooms left, whole. No group has a
+link cut after that but a large one that fits nowhere, so further rounds have nothing to move. Documents without a link
+then fill what is left of each shard, long ones first, by running totals over hashed parts of the table.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from pyspark.sql import functions as F
 from ._shared import gapless, running_total, written
 
 SHARDS = 40
-ROUNDS = 6
 #: Bytes that each document counts besides its text.
 OVERHEAD = 16
 #: A document without a link is long when it exceeds this share of a shard and the mean document; long ones are placed
 #: before the others, which then even out what the long ones left.
 LONG_SHARE = 1 / 2000
+#: A text is large when its copies exceed this share of a shard; there are at most shards / LARGE_SHARE of them.
+LARGE_SHARE = 1 / 256
 #: Parts of the quota windows, running totals and slots. More parts mean smaller tasks, not other rules.
 PARTS = 256
 
@@ -43,7 +46,7 @@ def _ranges(at: Column, bounds: list[float]) -> Column:
     return out
 
 
-def _fill(rows: DataFrame, room: list[float]) -> DataFrame:
+def _fill(rows: DataFrame, room: list[float], order: tuple[str, ...] = ("doc_id", "row")) -> DataFrame:
     """``rows`` with ``shard``: their running total, stretched over the rooms laid end to end."""
     whole = float(rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
     free = sum(room) or 1.0
@@ -52,7 +55,7 @@ def _fill(rows: DataFrame, room: list[float]) -> DataFrame:
         reached += r
         bounds.append(reached)
     middle = (F.col("before") + F.col("size") / 2) * F.lit(free / whole if whole else 0.0)
-    return running_total(rows, "size", ["doc_id", "row"], "before", PARTS).withColumn("shard", _ranges(middle, bounds)).drop("before")
+    return running_total(rows, "size", list(order), "before", PARTS).withColumn("shard", _ranges(middle, bounds)).drop("before")
 
 
 def _loads(rows: DataFrame, shards: int, weight: Column) -> list[float]:
@@ -60,58 +63,64 @@ def _loads(rows: DataFrame, shards: int, weight: Column) -> list[float]:
     return [got.get(k, 0.0) for k in range(shards)]
 
 
-def propagate(state: DataFrame, capacity: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """The state ``(text_key, shard, n, size)`` after at most ``rounds`` rounds of granted moves.
+def pack(texts: list[tuple[str, int, int]], room: list[float]) -> list[tuple[str, int, int, int]]:
+    """``(text_key, shard, low, high)``: the shards of the copies ``low`` to ``high`` of each ``(text_key, copies, size)``.
+
+    Texts of most bytes come first. One that fits into a shard takes the fullest such shard, or the emptiest one if it is
+    at most one copy too long for that; another one fills the emptiest shards until its remainder fits. A copy that fits
+    nowhere goes to the emptiest shard. ``room`` is what is left.
+    """
+    out = []
+    for key, copies, size in sorted(texts, key=lambda t: (-t[1] * t[2], t[0])):
+        low = 0
+        while low < copies:
+            fits = [k for k, r in enumerate(room) if r >= (copies - low) * size]
+            k = min(fits, key=lambda k: (room[k], k)) if fits else max(range(len(room)), key=lambda k: (room[k], -k))
+            n = copies - low
+            if not fits and n * size > room[k] + size:
+                n = max(1, int(room[k] // size))
+            out.append((key, k, low, low + n))
+            room[k] -= n * size
+            low += n
+    return out
+
+
+def propagate(state: DataFrame, room: list[float]) -> DataFrame:
+    """``(text_key, shard)``: one shard for each text of the state ``(text_key, shard, n, size)``, under the rooms.
 
-    In a round every text ranks its shards by the copies they hold (smallest number of equal ones) and would fill them
-    in that order, each up to its free bytes; what a shard would gain is asked for. A shard grants small requests
+    A text asks for the shard that holds most of its copies (the smallest of equal ones). A shard grants small requests
     before large ones (by powers of two); the power that no longer fits is granted in part, dealt to hashed parts in
-    proportion and within a part to the texts with most copies there; so no window spans a shard and none exceeds its
-    capacity. What is granted leaves the text's least shards.
+    proportion, so no window spans a shard and none exceeds its room. Refused texts then fill what is left by running
+    totals, long ones first, each as a whole: a shard may end half a text over its room.
     """
-    for _ in range(rounds):
-        load = _loads(state, shards, F.col("n") * F.col("size"))
-        free = F.lit(0.0)
-        for k, n in enumerate(load):
-            free = F.when(F.col("shard") == k, F.lit(max(0.0, capacity - n))).otherwise(free)
-        ranked = Window.partitionBy("text_key").orderBy(F.desc("n"), "shard")
-        room = F.col("n") + F.floor(free / F.col("size"))
-        holds = state.withColumns({"room": room, "whole": F.sum("n").over(Window.partitionBy("text_key"))})
-        before = F.coalesce(F.sum("room").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        goal = F.greatest(F.lit(0), F.least(F.col("room"), F.col("whole") - before))
-        part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
-        wish = written(holds.withColumn("gain", goal - F.col("n")).where("gain <> 0").select("text_key", "shard", "n", "size", "gain", part.alias("part")), "wishes")
-        amount = (F.col("gain") * F.col("size")).cast("double")
-        asked = wish.where("gain > 0").withColumns({"bytes": amount, "grade": F.floor(F.log2(amount)).cast("int")})
-        sums = asked.groupBy("shard", "grade").agg(F.sum("bytes").alias("n")).collect()  # shards times powers of two
-        if not sums:
-            break
-        left, shares = [max(0.0, capacity - x) for x in load], []
-        for r in sorted(sums, key=lambda r: r["grade"]):
-            given = min(left[r["shard"]], r["n"])
-            left[r["shard"]] -= given
-            shares.append((r["shard"], r["grade"], given / r["n"]))
-        table = F.broadcast(state.sparkSession.createDataFrame(shares, "shard int, grade int, share double"))
-        asked = asked.join(table, ["shard", "grade"])
-        keys = ["shard", "grade", "part"]
-        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        passed = F.sum("bytes").over(order) - F.col("bytes")
-        fits = F.floor((F.col("share") * F.sum("bytes").over(Window.partitionBy(*keys)) - passed) / F.col("size") + 1e-9)
-        granted = asked.withColumn("moved", F.least(F.col("gain"), F.greatest(F.lit(0), fits)).cast("long")).where("moved > 0")
-        granted = written(granted.select("text_key", "shard", "moved", "size"), "granted")
-        if granted.limit(1).count() == 0:
-            break
-        taken = granted.groupBy(F.col("text_key").alias("taken_key")).agg(F.sum("moved").alias("taken"))
-        lowest = Window.partitionBy("text_key").orderBy("n", F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
-        donors = wish.where("gain < 0").withColumn("passed", F.coalesce(F.sum(-F.col("gain")).over(lowest), F.lit(0)))
-        lost = F.greatest(F.lit(0), F.least(-F.col("gain"), F.col("taken") - F.col("passed")))
-        losses = donors.join(taken, donors.text_key == taken.taken_key).select("text_key", "shard", (-lost).cast("long").alias("n"), "size")
-        change = state.select("text_key", "shard", "n", "size").union(granted.select("text_key", "shard", F.col("moved").alias("n"), "size")).union(losses)
-        state = written(change.groupBy("text_key", "shard").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n > 0"), "state")
-    return state
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    shards = len(room)
+    tally = state.groupBy("text_key").agg(F.max(F.struct("n", (-F.col("shard")).alias("place"))).alias("most"), F.sum(F.col("n") * F.col("size")).alias("size"))
+    part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
+    asked = tally.select("text_key", "size", (-F.col("most.place")).alias("wish"), F.floor(F.log2("size")).cast("int").alias("grade"), part.alias("part"))
+    asked = written(asked, "wishes")
+    sums = asked.groupBy("wish", "grade").agg(F.sum("size").alias("n")).collect()  # shards times powers of two
+    left, shares = [max(0.0, r) for r in room], []
+    for r in sorted(sums, key=lambda r: r["grade"]):
+        given = min(left[r["wish"]], float(r["n"]))
+        left[r["wish"]] -= given
+        shares.append((r["wish"], r["grade"], given / r["n"]))
+    table = F.broadcast(state.sparkSession.createDataFrame(shares, "wish int, grade int, share double"))
+    keys = Window.partitionBy("wish", "grade", "part")
+    upto = F.sum("size").over(keys.orderBy("text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    granted = (upto <= F.col("share") * F.sum("size").over(keys) + F.lit(1e-6)).alias("granted")
+    told = written(asked.join(table, ["wish", "grade"]).select("text_key", "size", F.col("wish").alias("shard"), granted), "told")
+    columns = ["text_key", "size", "shard"]
+    every, refused = told.where("granted").select(*columns), told.where("not granted").select("text_key", "size")
+    room = [r - m for r, m in zip(room, _loads(every, shards, F.col("size")), strict=True)]
+    limit = (sum(room) / shards if sums else 0.0) * LONG_SHARE
+    for name, some in (("long_texts", refused.where(F.col("size") > limit)), ("short_texts", refused.where(F.col("size") <= limit))):
+        filled = written(_fill(some, [max(0.0, r) for r in room], ("text_key",)).select(*columns), name)
+        room = [r - m for r, m in zip(room, _loads(filled, shards, F.col("size")), strict=True)]
+        every = every.union(filled)
+    return every.select("text_key", "shard")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row, by the law of even bytes.
 
     Repeated rows and ids stay apart (each row has its own slot); null ids and texts are rows like others; an empty
@@ -121,19 +130,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     sums = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).first()
     total = float(sums["n"])
     capacity = total / shards
-    copies = written(base.where("text_key is not null").groupBy(F.col("text_key").alias("copied")).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    marked = written(base.join(copies, base.text_key == copies.copied, "left").drop("copied"), "marked")
+    copies = written(base.where("text_key is not null").groupBy(F.col("text_key").alias("copied")).agg(F.count("*").alias("copies"), F.max("size").alias("one")).where("copies > 1"), "copies")
+    marked = written(base.join(copies.drop("one"), base.text_key == copies.copied, "left").drop("copied"), "marked")
     linked, alone = marked.where("copies is not null").drop("copies"), marked.where("copies is null").drop("copies")
 
-    dealt = linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
-    state = written(dealt.groupBy("text_key", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size")), "state")
-    state = propagate(state, capacity, shards, rounds)
-    ends = F.sum("n").over(Window.partitionBy("text_key").orderBy("shard"))
-    spans = written(state.select(F.col("text_key").alias("span_key"), F.col("shard"), (ends - F.col("n")).alias("low"), ends.alias("high")), "spans")
-    ranked = gapless(linked, ["text_key"], ["doc_id", "row"], "place", PARTS)
-    placed = ranked.join(spans, (ranked.text_key == spans.span_key) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     columns = ["doc_id", "size", "text_crc32", "row", "shard"]
-    placed = written(placed.select(*columns), "linked")
+    cut = float(capacity * LARGE_SHARE)
+    large = copies.where(F.col("copies") * F.col("one") > F.lit(cut)).collect()  # shards / LARGE_SHARE at most
+    large = [(r["copied"], r["copies"], r["one"]) for r in large]
+    room = [capacity] * shards
+    pieces = docs.sparkSession.createDataFrame(pack(large, room), "span_key string, shard int, low long, high long")
+    names = F.broadcast(docs.sparkSession.createDataFrame([(key,) for key, _, _ in large], "large_key string"))
+    ranked = gapless(linked.join(names, linked.text_key == names.large_key, "left_semi"), ["text_key"], ["doc_id", "row"], "place", PARTS)
+    placed = ranked.join(F.broadcast(pieces), (ranked.text_key == pieces.span_key) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    placed = placed.select(*columns)
+
+    small = written(linked.join(names, linked.text_key == names.large_key, "left_anti"), "small")
+    dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    state = dealt.groupBy("text_key", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    told = propagate(state, room).select(F.col("text_key").alias("told_key"), "shard")
+    gathered = small.join(told, small.text_key == told.told_key).select(*columns)
+    placed = written(placed.union(gathered), "linked")
 
     room = [max(0.0, capacity - x) for x in _loads(placed, shards, F.col("size"))]
     limit = max(capacity * LONG_SHARE, float(sums["mean"]))

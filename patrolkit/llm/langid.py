@@ -31,13 +31,28 @@ HELD_OUT_OF, HELD_OUT = 4, 2
 FEATURE_SLOTS = 1 << 16
 BLOCK = 32
 MAX_KNOWN = 300_000
+#: Letters of a word at most; longer runs are several words.
+WORD_LETTERS = 40
+#: Words whose features are laid out at once.
+FEATURE_WORDS = 16_384
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
+    """The lowered runs of letters; one of more than WORD_LETTERS, as in texts without spaces, is cut into even pieces
+    of that many at most, each a word of its own, so every letter is read and a language may change inside the run."""
     low = text.lower()
-    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+    if not words or len(max(words, key=len)) <= WORD_LETTERS:
+        return words
+    return [piece for w in words for piece in _pieces(w)]
+
+
+def _pieces(word: str) -> list[str]:
+    n = -(-len(word) // WORD_LETTERS)
+    edges = [len(word) * i // n for i in range(n + 1)]
+    return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -57,7 +72,7 @@ def feature_sections(words: list[str], lexicon: dict[str, int]) -> list[tuple[np
     """Slots of the words' features, as ``(slots, starts)``: a section holds some slots of each word, one word after
     the other. Pairs and triples of the framed word, prefixes and suffixes of three and four letters, lexicon entry."""
     none = FEATURE_SLOTS + len(lexicon)  # a slot whose weights stay zero
-    framed = [f"^{w[:40]}$" for w in words]
+    framed = [f"^{w}$" for w in words]
     sizes = np.fromiter(map(len, framed), np.int64, len(framed))
     codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     begin = np.cumsum(sizes) - sizes
@@ -174,7 +189,9 @@ class Emissions:
             at = len(row)
             while at + len(fresh) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            self.scores[at : at + len(fresh)] = emission_scores(self.model.weights, feature_sections(fresh, self.model.lexicon))
+            for a in range(0, len(fresh), FEATURE_WORDS):
+                some = fresh[a : a + FEATURE_WORDS]
+                self.scores[at + a : at + a + len(some)] = emission_scores(self.model.weights, feature_sections(some, self.model.lexicon))
             row.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         return self.scores[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].astype(float)
 
@@ -260,7 +277,7 @@ RUNS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.St
 
 
 def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool = True) -> DataFrame:
-    """``docs`` with lang_pred, score and switches (runs of words by likeliest label) of every row's whole text.
+    """``docs`` with lang_pred, score and switches (runs of :func:`words_of` by likeliest label) of every row's whole text.
 
     lang_pred is the label with most expected words, each weighted by :func:`word_weights`, and score its plain share; ``und`` and 0 for null texts, texts without a
     letter, and a field without labels. ``switches`` is empty where one label holds throughout.

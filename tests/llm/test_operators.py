@@ -373,6 +373,21 @@ def test_switches_are_labelled(spark):
     assert 0.7 < got[1]["score"] < 0.8
 
 
+def test_long_runs_of_letters_are_read_whole(spark):
+    assert langid.words_of("Ab " + "x" * 40) == ["ab", "x" * 40]
+    run = "".join(random.Random(4).choice("abcdé") for _ in range(1_001))
+    pieces = langid.words_of(f"one {run} two")
+    assert "".join(pieces[1:-1]) == run and {len(p) for p in pieces[1:-1]} <= {38, 39}
+    draw = random.Random(1)
+    words = {"xx": ["kalo", "kaldu", "kamir", "kasot"], "yy": ["thori", "thelm", "thusk", "thaen"]}
+    text = lambda lang, n, gap: gap.join(draw.choice(words[lang]) for _ in range(n))
+    model = langid.fit([(text(lang, 40, " "), lang) for lang in words for _ in range(60)])
+    rows = [(1, text("xx", 10, "") + text("yy", 300, "")), (2, text("yy", 10, "") + text("xx", 300, ""))]
+    got = {r["doc_id"]: r for r in langid.label(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert (got[1]["lang_pred"], got[2]["lang_pred"]) == ("yy", "xx")
+    assert all([s["lang"] for s in got[i]["switches"]] == order for i, order in ((1, ["xx", "yy"]), (2, ["yy", "xx"])))
+
+
 def test_language_odd_rows(odd_docs):
     got = langid.label(odd_docs, langid.fit_on_tables(odd_docs))
     assert got.count() == odd_docs.count()

@@ -145,24 +145,33 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one of the smallest id.
 
-    Of rows that repeat its id the smallest row stays. A component whose documents all lack an id keeps its smallest
-    row. Columns stay; only rows that repeat an id, or lack one, are shuffled with their texts, pre-aggregated.
+    Of rows that repeat its id in one component the smallest row stays; rows of one id in several components are
+    documents of their own. A component whose documents all lack an id keeps its smallest row. Columns stay; only rows
+    that repeat an id, or lack one, are shuffled with their texts, pre-aggregated.
     """
     groups = written(near_copies(docs), "groups")
-    kept = groups.where("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct()
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated")
+    nameless = docs.where("doc_id is null")
+    twice, unnamed = bool(repeated.limit(1).count()), bool(nameless.limit(1).count())
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    if twice:
+        stay = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    if repeated.limit(1).count():
-        copies = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_semi").select(F.col("doc_id").alias("key"), whole.alias("row"))
-        twice = copies.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
-        stay = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_anti").unionByName(twice)
-    nameless = docs.where("doc_id is null")
-    if nameless.limit(1).count():
-        marked = fingerprints(nameless.withColumn("text_to_mark", F.col("text")), "text_to_mark", "fp_to_mark")
-        lone = groups.where("component_id is null").select(F.col("fp").alias("lone_fp"), F.col("component_fp").alias("lone_class")).distinct()
+
+    def smallest(rows: DataFrame, best: DataFrame) -> DataFrame:
+        """The smallest of the rows of each component, among those whose id and fingerprint ``best`` lists."""
+        marked = fingerprints(rows.withColumn("text_to_mark", F.col("text")), "text_to_mark", "fp_to_mark")
         mark = F.col(f"`{marked.columns[-1]}`")
-        keyed = marked.select(mark.alias("marked_fp"), whole.alias("marked_row"))
-        first = keyed.join(lone, F.col("marked_fp") == F.col("lone_fp")).groupBy("lone_class").agg(F.min("marked_row").alias("row")).select("row.*")
-        stay = stay.unionByName(first)
+        keyed = marked.select(mark.alias("marked_fp"), F.col("doc_id").alias("marked_id"), whole.alias("marked_row"))
+        match = (F.col("marked_fp") == F.col("best_fp")) & F.col("marked_id").eqNullSafe(F.col("best_id"))
+        return keyed.join(best, match).groupBy("best_class").agg(F.min("marked_row").alias("row")).select("row.*")
+
+    columns = [F.col("fp").alias("best_fp"), F.col("doc_id").alias("best_id"), F.col("component_fp").alias("best_class")]
+    if twice:
+        again = docs.join(repeated, docs["doc_id"] == repeated["repeated_id"], "left_semi")
+        best = groups.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("repeated_id"), "left_semi")
+        stay = stay.unionByName(smallest(again, best.select(*columns).distinct()))
+    if unnamed:
+        stay = stay.unionByName(smallest(nameless, groups.where("component_id is null").select(*columns).distinct()))
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

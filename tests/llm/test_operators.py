@@ -632,3 +632,10 @@ def test_near_copies_against_brute_force(spark, odd_docs, sf):
         got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_copies(docs).collect()), key=str)
         assert got == want
     assert simhash.near_copies(odd_docs.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_a_repeated_id_for_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{random.Random(x).randrange(10**6) * i % 9973}" for i in range(1, 80)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (7, d), (None, d), (8, c), (9, "alone at last")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(rows_of(got)) == sorted([(3, a), (5, b), (7, c), (7, d), (9, "alone at last")])

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patrolkit.plans.shared_tables import ship, written  # noqa: F401  used by the operators
 
-#: Rows handled at once inside a Python worker, so that a batch of long texts stays small.
+#: Rows and bytes handled at once inside a Python worker; a longer text is a slice of its own.
 SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
 
 
 def free_name(taken: list[str], wanted: str) -> str:
@@ -41,14 +43,29 @@ def with_batches(df: DataFrame, source: str, fields: list[T.StructField], make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for start, rows in slices(whole.column(source)):
+                batch = whole.slice(start, rows)
                 got = work(batch.column(source))
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + got, names=labels)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """``(start, rows)`` of the slices of a column: at most SLICE_ROWS rows and, unless it is one row, SLICE_BYTES bytes."""
+    if pa.types.is_struct(column.type):
+        column = column.field(0)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and (at - start >= SLICE_ROWS or held + size > SLICE_BYTES):
+            yield start, at - start
+            start, held = at, 0
+        held += size
+    if sizes:
+        yield start, len(sizes) - start
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts as bytes, without decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

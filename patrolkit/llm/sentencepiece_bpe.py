@@ -50,8 +50,9 @@ class Agenda:
         self.words = _Recent(lambda word: self.segments(SPACE + word), MAX_WORDS)
         self.fresh: list[str] = []
         self.differing: set[str] = set()
+        self.unmarked: set[str] = set()
         merged = {c for i in plain if len(self.pieces[i]) > 1 for c in self.pieces[i]}
-        self.marks = [c for c in map(chr, range(1, 32)) if c not in merged and (c in self.rank or self.bytes)]
+        self.marks = [c for c in map(chr, range(1, 32)) if c not in merged and (c in self.rank or self.bytes) and c in lib.normalize(c)]
 
     def _cut(self, plain: list[int]) -> str:
         letter = re.compile(r"[^\W\d_]")
@@ -144,30 +145,51 @@ class Agenda:
         return self.segments(normalised)
 
     def check(self) -> bool:
-        """Encodes the segments met since the last call with the library; corrects and remembers those that differ."""
+        """Encodes the segments met since the last call with the library; corrects and remembers those that differ.
+
+        Segments are checked together between marks that none of them holds. One that holds a mark is checked with
+        others that lack the same one; one that holds every mark goes to ``unmarked``, and its texts are the library's.
+        """
         fresh, self.fresh = self.fresh, []
-        mark = next((m for m in self.marks if not any(m in s for s in fresh)), None)
-        if not fresh:
-            return True
+        by_mark: dict[str, list[str]] = {}
+        common = next((m for m in self.marks if not any(m in s for s in fresh)), None)
+        for segment in fresh:
+            mark = common or next((m for m in self.marks if m not in segment), None)
+            if mark is None:
+                self.unmarked.add(segment)
+            else:
+                by_mark.setdefault(mark, []).append(segment)
+        fits = all([self._check_between(mark, some) for mark, some in by_mark.items()])
+        self.fresh = []
+        if not fits:
+            self.words.clear()
+        return fits
+
+    def forget_unmarked(self) -> None:
+        """Lets the segments that cannot be checked be met anew."""
+        for segment in self.unmarked:
+            self.known.pop(segment, None)
+            self.known.old.pop(segment, None)
+        self.unmarked.clear()
+        self.words.clear()
+
+    def _check_between(self, mark: str, segments: list[str]) -> bool:
         lib = self.library
-        if mark is None:
-            raise ValueError("the vocabulary or the texts leave no mark to check segments between")
         code = self.rank[mark][1] if mark in self.rank else self.bytes[ord(mark)]
-        ids = lib.encode(mark + mark.join(s.replace(SPACE, " ") for s in fresh) + mark)
+        ids = lib.encode(mark + mark.join(s.replace(SPACE, " ") for s in segments) + mark)
         cuts = [i for i, v in enumerate(ids) if v == code]
-        right = len(cuts) == len(fresh) + 1
-        own = [self.known[s] for s in fresh]
-        self.fresh = []
-        if right and b"".join(little_endian(ids[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)) == b"".join(own):
+        own = [self.known[s] for s in segments]
+        if len(cuts) == len(segments) + 1 and b"".join(little_endian(ids[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)) == b"".join(own):
             return True
-        for segment, was in zip(fresh, own, strict=True):
+        fits = True
+        for segment, was in zip(segments, own, strict=True):
             alone = lib.encode(mark + segment.replace(SPACE, " ") + mark)
             inner = little_endian(alone[alone.index(code) + 1 : -1])
             if inner != was:
                 self.known[segment] = inner
                 self.differing.add(segment)
-        self.words.clear()
-        return False
+                fits = False
+        return fits
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are gathered into characters, begin and end say nothing, the first space mark goes."""
@@ -238,7 +260,10 @@ def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: b
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, agrees and, on demand, token_ids of every row's whole text.
 
     Null counts as the empty text, whose ids are begin and end. ``agrees`` is false where the library's ids
-    differed from the agenda's for a segment of the row; the library's are returned there. Rows and other columns stay.
+    differed from the agenda's for a segment of the row; the library's are returned there. A text with a segment that
+    holds every mark is encoded by the library as a whole and compared. Very long texts are slices of their own. Rows,
+    repeated ones too, and other columns stay; an empty table gives an empty table; columns that have the new names
+    stay, and the new ones get underscores in front.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one model file
@@ -256,8 +281,14 @@ def tokens(docs: DataFrame, model_path: str, text: str = "text", *, keep_text: b
             fits = agenda.check()
             if not fits:
                 coded = [agenda.encode(t) for t in normalised]
-            wrong = agenda.differing
+            wrong, unsure = agenda.differing, agenda.unmarked
             same = [not wrong or wrong.isdisjoint(agenda.cut.findall(t)) for t in normalised]
+            if unsure:
+                for i, t in enumerate(normalised):
+                    if not unsure.isdisjoint(agenda.cut.findall(t)):
+                        given = little_endian(lib.encode(texts[i]))
+                        same[i], coded[i] = same[i] and given == coded[i], given
+                agenda.forget_unmarked()
             coded = [begin + c + end for c in coded]
             kept = [array("I", c).tolist() if native else [i[0] for i in struct.iter_unpack("<I", c)] for c in coded]
             decoded = lib.decode(kept, num_threads=1) if texts else []

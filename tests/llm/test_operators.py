@@ -436,6 +436,25 @@ def test_token_rows_equal_the_library(spark, odd_docs, sf, agenda):
     assert sentencepiece_bpe.tokens(odd_docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_texts_that_hold_every_mark(spark, agenda):
+    every = "".join(map(chr, range(1, 32)))
+    rows = [(1, every), (2, "and " + every * 3 + " so on"), (3, "plain words")] + [(10 + i, f"one {chr(i)} mark{chr(i)}") for i in range(1, 32)]
+    got = {r["doc_id"]: r for r in sentencepiece_bpe.tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()}
+    for doc_id, text in rows:
+        assert got[doc_id]["token_ids"] == agenda.library.encode(text, add_bos=True, add_eos=True) and got[doc_id]["agrees"]
+
+
+def test_slices_hold_few_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(_shared, "SLICE_BYTES", 10)
+    monkeypatch.setattr(_shared, "SLICE_ROWS", 3)
+    sizes = [4, 4, 4, None, 0, 0, 0, 30, 1, 9, 1]
+    column = pa.array([None if n is None else "x" * n for n in sizes])
+    assert list(_shared.slices(column)) == [(0, 2), (2, 3), (5, 2), (7, 1), (8, 2), (10, 1)]
+    assert list(_shared.slices(column[:0])) == []
+
+
 # ---- 8 secrets -------------------------------------------------------------------------------------------------------
 
 

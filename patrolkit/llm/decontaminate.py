@@ -1,9 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the items' word windows, one scan of each text.
 
 Texts and items are normalised byte by byte (A-Z lowered, other ASCII than letters and digits to spaces), so words are
-the runs between spaces and every other byte stays. A window is matched with a space at either side, so only whole
-words match; overlapping windows share those spaces. Hit words keep their place among the words of the text, which
-gives their offsets in the original.
+the runs between spaces and every other byte stays. Each distinct word of the items is one symbol of the automaton's
+alphabet and all other words share one that no window holds, so a text is scanned word by word and only whole words
+match. Hit words keep their place among the words of the text, which gives their offsets in the original.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name, utf8, with_batches
+from ._shared import free_name, ship, utf8, with_batches, written
 
 WINDOW_WORDS = 10
-#: UTF-8 bytes of the items that one automaton may be built from. Larger benchmarks take several, one scan for each.
-AUTOMATON_BYTES = 16 << 20
+#: UTF-8 bytes of items that one automaton may be built from (about 100 MB of memory a MB); larger benchmarks take several.
+AUTOMATON_BYTES = 2 << 20
+#: Windows in a piece of an item: pieces, which overlap by a window less a word, are what is dealt to the automata.
+PIECE_WINDOWS = 2_000
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
@@ -37,37 +39,41 @@ _RUNS_ARROW = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.in
 
 @dataclass(frozen=True)
 class Windows:
-    """Normalised windows of the items: ``owners[i]`` are the item ids of ``patterns[i]``, ``lengths[i]`` its words."""
+    """Windows of the items as strings of one symbol a word: ``owners[i]`` are the item ids of ``patterns[i]``."""
 
-    patterns: list[bytes]
-    lengths: list[int]
+    alphabet: dict[bytes, str]
+    patterns: list[str]
     owners: list[tuple[int, ...]]
 
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
         for i, pattern in enumerate(self.patterns):
-            made.add_word((b" %b " % pattern).decode("latin-1"), i)
+            made.add_word(pattern, i)
         made.make_automaton()
         return made
 
 
+#: The symbol of a word that no item holds.
+_OTHER = "\x00"
+
+
+def _symbol(number: int) -> str:
+    return chr(number if number < 0xD800 else number + 0x800)  # no surrogates
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
 def windows(items: list[tuple[int | None, str | None]], size: int = WINDOW_WORDS) -> Windows:
     """The distinct windows of the items. An item without words has none; windows of a null id count for hits only."""
-    by: dict[bytes, set[int]] = {}
-    length: dict[bytes, int] = {}
+    alphabet: dict[bytes, str] = {}
+    by: dict[str, set[int]] = {}
     for item_id, text in items:
-        words = words_of((text or "").encode())
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            part = words[i : i + size]
-            key = b" ".join(part)
-            by.setdefault(key, set()).update(() if item_id is None else (item_id,))
-            length[key] = len(part)
-    keys = list(by)
-    return Windows(keys, [length[k] for k in keys], [tuple(sorted(by[k])) for k in keys])
+        coded = "".join([alphabet.setdefault(w, _symbol(len(alphabet) + 1)) for w in words_of((text or "").encode())])
+        for i in range(max(1, len(coded) - size + 1) if coded else 0):
+            by.setdefault(coded[i : i + size], set()).update(() if item_id is None else (item_id,))
+    return Windows(alphabet, list(by), [tuple(sorted(ids)) for ids in by.values()])
 
 
 def scan(text: bytes, made: ahocorasick.Automaton, found: Windows) -> tuple[int, np.ndarray | None, set[int]]:
@@ -75,17 +81,15 @@ def scan(text: bytes, made: ahocorasick.Automaton, found: Windows) -> tuple[int,
     words = words_of(text)
     if not words or not found.patterns:
         return len(words), None, set()
-    joined = b" %b " % b" ".join(words)
-    matches = list(made.iter(joined.decode("latin-1")))
+    get = found.alphabet.get
+    matches = list(made.iter("".join([get(w, _OTHER) for w in words])))
     if not matches:
         return len(words), None, set()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # place of the space behind each word
-    last = np.searchsorted(ends, [m[0] for m in matches])
     edge = np.zeros(len(words) + 1, np.int64)
     ids: set[int] = set()
-    for at, (_, i) in zip(last.tolist(), matches, strict=True):
-        edge[at - found.lengths[i] + 1] += 1
-        edge[at + 1] -= 1
+    for last, i in matches:
+        edge[last - len(found.patterns[i]) + 1] += 1
+        edge[last + 1] -= 1
         ids.update(found.owners[i])
     return len(words), np.cumsum(edge[:-1]) > 0, ids
 
@@ -104,27 +108,37 @@ def runs_of(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def item_batches(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in lists of about ``limit`` bytes at most (an item alone may be longer): size first, then that many reads."""
-    rows = benchmark.select("item_id", "text").where("text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first()["n"]
-    cuts = max(1, -(-2 * size // limit)) if size > limit else 1
-    for cut in range(cuts):
-        part = rows if cuts == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(cuts)) == cut)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def pieces(benchmark: DataFrame, size: int = WINDOW_WORDS, piece: int = PIECE_WINDOWS) -> DataFrame:
+    """``(item_id, text)``: the normalised words of each item in pieces that together hold the item's windows."""
+    ship(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text")), strict=True):
+                words = words_of(text or b"")
+                for at in range(0, max(1, len(words) - size + 1) if words else 0, piece):
+                    ids.append(item_id)
+                    texts.append(b" ".join(words[at : at + piece + size - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, text string").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, size: int = WINDOW_WORDS, limit: int = AUTOMATON_BYTES, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items and runs.
 
-    Every row stays one row. A null text has no words. Equal item ids count once; an item of fewer words than a window
-    is one window; an empty benchmark hits nothing. One automaton of at most ``limit`` bytes of items is sent to the
-    tasks; a larger benchmark is scanned in several rounds, whose hit words and items are joined row by row.
+    Every row stays one row, repeated ones too. A null text has no words; a text of any length is scanned whole. Equal
+    item ids count once; an item of fewer words than a window is one window; an empty benchmark hits nothing. Columns
+    that have the new names stay, and the new ones get underscores in front. One automaton of at most about ``limit``
+    bytes of items is sent to the tasks; a larger benchmark is dealt to several by hash, whose scans leave the hit words
+    of the rows that they hit in the shared folder, one automaton at a time.
     """
-    batches = [items for items in item_batches(benchmark, limit) if items]  # a cut by hash may hold no item
-    if len(batches) < 2:
-        return _one_round(docs, windows(batches[0] if batches else [], size), text, keep_text)
-    return _rounds(docs, batches, text, size, keep_text)
+    rows = pieces(benchmark, size, PIECE_WINDOWS)
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first()["n"]
+    if held <= limit:
+        return _one_round(docs, windows([(r["item_id"], r["text"]) for r in rows.collect()], size), text, keep_text)
+    return _rounds(docs, written(rows, "pieces"), -(-2 * held // limit), text, size, keep_text)
 
 
 def _fields() -> list[T.StructField]:
@@ -149,12 +163,25 @@ def _columns(results: list[tuple[bytes, int, np.ndarray | None, set[int]]]) -> l
     return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array(flags, pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(runs, _RUNS_ARROW)]
 
 
+_built: dict[int, tuple[Windows, ahocorasick.Automaton]] = {}
+
+
+def _automaton_of(shared) -> tuple[Windows, ahocorasick.Automaton | None]:
+    """The automaton of a broadcast, built once in a worker process; one at a time."""
+    found = shared.value
+    if not found.patterns:
+        return found, None
+    if _built.get(id(found), (None,))[0] is not found:
+        _built.clear()
+        _built[id(found)] = (found, found.automaton())
+    return _built[id(found)]
+
+
 def _one_round(docs: DataFrame, found: Windows, text: str, keep_text: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    shared = docs.sparkSession.sparkContext.broadcast(found)  # of at most AUTOMATON_BYTES of items
 
     def make():
-        windows_ = shared.value
-        made = windows_.automaton() if windows_.patterns else None
+        windows_, made = _automaton_of(shared)
 
         def work(column: pa.Array) -> list[pa.Array]:
             return _columns([(x or b"", *scan(x or b"", made, windows_)) for x in utf8(column)])
@@ -164,38 +191,53 @@ def _one_round(docs: DataFrame, found: Windows, text: str, keep_text: bool) -> D
     return with_batches(docs, text, _fields(), make, drop_source=not keep_text)
 
 
-def _rounds(docs: DataFrame, batches: list, text: str, size: int, keep_text: bool) -> DataFrame:
-    """One scan of the rows for each list of windows; the first rounds leave their hit words and items in two columns."""
+def _rounds(docs: DataFrame, rows: DataFrame, cuts: int, text: str, size: int, keep_text: bool) -> DataFrame:
+    """One scan for each hashed part of the pieces; the flags and items of hit rows are joined by a row number."""
     context = docs.sparkSession.sparkContext
-    flags, ids = (free_name(docs.columns, n) for n in ("hit_flags", "hit_items"))
-    both = [T.StructField(flags, T.BinaryType()), T.StructField(ids, T.ArrayType(T.LongType()))]
-    packed = "packed_row"
-    current = docs
-    for turn, batch in enumerate(batches):
-        shared = context.broadcast(windows(batch, size))
-        final = turn == len(batches) - 1
-
-        def make(shared=shared, final=final, turn=turn):
-            found = shared.value
-            made = found.automaton() if found.patterns else None
+    row = free_name(docs.columns, "scanned_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    left: DataFrame | None = None
+    for cut in range(cuts):
+        items = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == cut).collect()]
+        if not items:
+            continue
+        shared = context.broadcast(windows(items, size))
+
+        def make(shared=shared):
+            found, made = _automaton_of(shared)
 
             def work(column: pa.Array) -> list[pa.Array]:
-                rows = []
-                for row in column.to_pylist():
-                    value = (row["text"] or "").encode()
-                    n, hit, got = scan(value, made, found)
-                    if turn and row["flags"] is not None:
-                        before = np.frombuffer(row["flags"], np.uint8).astype(bool)
-                        hit = before if hit is None else before | hit
-                    rows.append((value, n, hit, got | set(row["ids"] or ())))
-                if final:
-                    return _columns(rows)
-                return [pa.array([None if r[2] is None else r[2].astype(np.uint8).tobytes() for r in rows], pa.binary()), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.int64()))]
+                got = [scan(x or b"", made, found) for x in utf8(column)]
+                flags = [None if hit is None else np.packbits(hit).tobytes() for _, hit, _ in got]
+                return [pa.array(flags, pa.binary()), pa.array([sorted(ids) for *_, ids in got], pa.list_(pa.int64()))]
 
             return work
 
-        old = [F.col(flags), F.col(ids)] if turn else [F.lit(None).cast("binary"), F.lit(None).cast("array<bigint>")]
-        name = free_name(current.columns, packed)
-        given = current.withColumn(name, F.struct(F.col(text).alias("text"), old[0].alias("flags"), old[1].alias("ids"))).drop(*([flags, ids] if turn else []))
-        current = with_batches(given, name, _fields() if final else both, make, drop_source=True)
-    return current if keep_text else current.drop(text)
+        fields = [T.StructField("flags", T.BinaryType()), T.StructField("ids", T.ArrayType(T.LongType()))]
+        hit = with_batches(numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").alias("text")), "text", fields, make, drop_source=True)
+        hit = written(hit.where("flags is not null"), "hit_rows")
+        shared.destroy()
+        left = hit if left is None else left.union(hit)
+    name = free_name([*docs.columns, row], "scanned")
+    given = numbered.withColumn(name, F.struct(F.col(f"`{text}`").alias("text"), F.array().cast("array<struct<flags:binary,ids:array<bigint>>>").alias("hits")))
+    if left is not None:
+        per_row = left.groupBy(F.col("row").alias("hit_row")).agg(F.collect_list(F.struct("flags", "ids")).alias("hits"))  # one entry an automaton
+        given = numbered.join(per_row, numbered[row] == per_row["hit_row"], "left").withColumn(name, F.struct(F.col(f"`{text}`").alias("text"), "hits"))
+    given = given.select(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text], name)
+
+    def finish():
+        def work(column: pa.Array) -> list[pa.Array]:
+            out = []
+            for entry in column.to_pylist():
+                value = (entry["text"] or "").encode()
+                n, hit, ids = len(words_of(value)), None, set()
+                for part in entry["hits"] or ():
+                    flags = np.unpackbits(np.frombuffer(part["flags"], np.uint8))[:n].astype(bool)
+                    hit = flags if hit is None else hit | flags
+                    ids.update(part["ids"])
+                out.append((value, n, hit, ids))
+            return _columns(out)
+
+        return work
+
+    return with_batches(given, name, _fields(), finish, drop_source=True)

@@ -188,22 +188,18 @@ def test_scan_against_brute_force(text, items, size):
             assert len(decontaminate.words_of(part.encode())) == run["end_word"] - run["first_word"]
 
 
-def test_decontamination_with_empty_cuts(spark, docs_of):
-    """Few items over the limit: whichever of the cuts by hash are empty, the items of the others are found."""
+def test_decontamination_in_several_rounds(spark, docs_of, monkeypatch):
+    """Whatever the cuts, and whichever of them are empty, the rows are those of one round; long items go in pieces."""
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
     words = [f"w{i}" for i in range(60)]
-    seen = set()
-    for turn in range(6):
-        for chosen in ([turn], [turn, turn + 10], [turn, turn]):
-            texts = [" ".join(f"{w}x{k}" for w in words) for k in chosen]
-            items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
-            limit = sum(len(t) + 32 for t in texts) - 1
-            cuts = tuple(bool(c) for c in decontaminate.item_batches(items, limit))
-            if cuts in seen:
-                continue
-            seen.add(cuts)
-            got = decontaminate.contamination(docs_of([*texts, "nothing here"]), items, limit=limit).collect()
-            assert [r["n_hit"] for r in sorted(got, key=lambda r: r["doc_id"])] == [60] * len(texts) + [0]
-    assert any(not c[0] and any(c[1:]) for c in seen)
+    for turn, chosen in enumerate(([0], [1, 11], [2, 2], [3, 4, 5, 6, 7], [])):
+        texts = [" ".join(f"{w}x{k}" for w in words) for k in chosen]
+        items = spark.createDataFrame([*enumerate(texts), (90, "short one"), (91, None)][: None if turn % 2 else len(texts)], "item_id long, text string")
+        docs = docs_of([*texts, "nothing here", None, "a short one", " ".join([*words[:5], *texts[:1], "tail"])])
+        whole = sorted(map(str, decontaminate.contamination(docs, items).collect()))
+        for limit in (40, 300, 1000):
+            assert sorted(map(str, decontaminate.contamination(docs, items, limit=limit).collect())) == whole
+    assert decontaminate.pieces(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), 10, 7).count() == 8
 
 
 @pytest.mark.parametrize("limit", [decontaminate.AUTOMATON_BYTES, 150])
@@ -213,10 +209,9 @@ def test_contamination_rows(spark, odd_docs, limit):
     assert found.count() == odd_docs.count()
     start = len(odd_docs.columns)
     for r in found.collect():
-        n, hit, ids = brute_scan(r["text"], [(x["item_id"], x["text"]) for x in items.collect()], 10) if (r["text"] or "").__len__() < 1000 else (None, None, None)
-        if n is not None:
-            named = ",".join(sorted(map(str, ids)))
-            assert tuple(r)[start : start + 5] == (n, hit, len(ids), hashlib.sha256(named.encode()).hexdigest(), hit > 0)
+        n, hit, ids = brute_scan(r["text"], [(x["item_id"], x["text"]) for x in items.collect()], 10)
+        named = ",".join(sorted(map(str, ids)))
+        assert tuple(r)[start : start + 5] == (n, hit, len(ids), hashlib.sha256(named.encode()).hexdigest(), hit > 0)
     assert decontaminate.contamination(odd_docs, items.limit(0), limit=limit).where(f"`{found.columns[start + 1]}` > 0").count() == 0
     assert decontaminate.contamination(odd_docs.limit(0), items, limit=limit).count() == 0
 

@@ -21,11 +21,11 @@ from pyspark.sql import types as T
 from ._shared import with_batches
 from ._training import bounded_sample, remainder
 
-#: Bounds of the sample: texts of each language, bytes of a text, words taken from one text, languages, lexicon words.
+#: Bounds of the sample: texts of each language and of all, bytes of a text, words taken from one text, lexicon words.
 SAMPLE_PER_LABEL = 800
+SAMPLE_TEXTS = 160_000
 SAMPLE_MAX_BYTES = 20_000
 FRAGMENT_WORDS = 30
-MAX_LANGUAGES = 200
 LEXICON_WORDS = 20_000
 HELD_OUT_OF, HELD_OUT = 4, 2
 FEATURE_SLOTS = 1 << 16
@@ -102,9 +102,16 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
 
     ``emission`` holds scores (words x labels), ``transition`` scores (from x to). All texts must have a word.
     """
+    forward, backward = forward_backward(emission, lengths, transition)
+    both = forward * backward
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word the weights of its labels by what stands up to it, and by what follows it, each row summing to one."""
     n, k = emission.shape
     if not n:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((0, k))
     step = np.exp(transition - transition.max())
     peak = np.exp(emission - emission.max(axis=1, keepdims=True))
     blocks = -(-lengths // BLOCK)
@@ -153,15 +160,15 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
         grown /= grown.sum(axis=1, keepdims=True)
         state[:m] = grown
         forward[start[:m] + t] = grown
-    state = out
+    backward = np.empty((n, k))
+    state = out / out.sum(axis=1, keepdims=True)
     for t in reversed(range(BLOCK)):
         m = live[t]
         at = start[:m] + t
-        both = forward[at] * state[:m]
-        forward[at] = both / both.sum(axis=1, keepdims=True)
+        backward[at] = state[:m]
         grown = (peak[at] * state[:m]) @ step.T
         state[:m] = grown / grown.sum(axis=1, keepdims=True)
-    return forward
+    return forward, backward
 
 
 @dataclass(frozen=True)
@@ -227,18 +234,11 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridg
     k = len(labels)
     weights, transition = np.zeros((FEATURE_SLOTS + len(lexicon) + 1, k)), np.zeros((k, k))
     seen, seen_t = np.full_like(weights, 1e-3), np.full_like(transition, 1e-3)
-    text_end = np.cumsum(lengths) - 1
-    inner = np.ones(len(words), bool)
-    inner[text_end] = False
-    here = np.flatnonzero(inner)
     truth = np.zeros((len(words), k))
     truth[np.arange(len(words)), target] = 1.0
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (target[here], target[here + 1]), 1.0)
     for _ in range(rounds):
         emission = emission_scores(weights, sections)[which]
-        post = marginals(emission, lengths, transition)
-        gap = truth - post
+        gap, slope_t = likelihood_slopes(emission, lengths, transition, target, truth)
         per_type = np.stack([np.bincount(which, gap[:, j], len(types)) for j in range(k)], axis=1)
         slope = -ridge * weights
         for (slots, _), owner in zip(sections, owners, strict=True):
@@ -246,25 +246,45 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, ridg
         slope[-1] = 0.0
         seen += slope**2
         weights += rate * slope / np.sqrt(seen)
-        slope = (pairs - _expected_pairs(emission, post, here, transition)) / len(sequences) - ridge * transition
+        slope = slope_t / len(sequences) - ridge * transition
         seen_t += slope**2
         transition += rate * slope / np.sqrt(seen_t)
     return Crf(labels, lexicon, weights.astype(np.float32), transition)
 
 
-def _expected_pairs(emission: np.ndarray, post: np.ndarray, here: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Expected transitions between neighbouring words, from the marginals and the local factor of each neighbourhood."""
+def likelihood_slopes(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, target: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the log-likelihood of the labels ``target`` (``truth``: as 0 and 1) by every word's scores and by the transitions.
+
+    Pair marginals are forward x transition x evidence of the next word x backward, each word's evidence once. The label
+    before a text is hidden and uniform, so the text's first step counts by its share of each such label.
+    """
+    forward, backward = forward_backward(emission, lengths, transition)
+    post = forward * backward
+    post /= post.sum(axis=1, keepdims=True)
+    k = len(transition)
     step = np.exp(transition - transition.max())
-    joint = post[here][:, :, None] * step[None] * np.maximum(post[here + 1][:, None, :], 1e-12)
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
-    return joint.sum(axis=0)
+    behind = np.exp(emission - emission.max(axis=1, keepdims=True)) * backward
+    first = np.cumsum(lengths) - lengths
+    inner = np.ones(len(target), bool)
+    inner[first] = False
+    to = np.flatnonzero(inner)
+    # expected pairs, summed: step * sum of outer(forward, behind) / each pair's total
+    total = np.einsum("ij,ij->i", forward[to - 1] @ step, behind[to])
+    expected = step * (forward[to - 1].T @ (behind[to] / total[:, None]))
+    start = behind[first]
+    expected += step * (start / (start @ step.T).sum(axis=1, keepdims=True)).sum(axis=0)[None, :]
+    given = np.zeros((k, k))
+    np.add.at(given, (target[to - 1], target[to]), 1.0)
+    given += step / step.sum(axis=0, keepdims=True) * np.bincount(target[first], minlength=k)[None, :]
+    return truth - post, given - expected
 
 
 def fit_on_tables(docs: DataFrame) -> Crf:
-    """Fits on a bounded sample of documents with a language, outside the held-out remainder."""
+    """Fits on a bounded sample of documents with a language, outside the held-out remainder. Every language is learned."""
     rows = docs.where((remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT) & F.col("lang").isNotNull()).select("doc_id", "lang")
-    few = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    return fit(bounded_sample(rows.where(F.col("lang").isin(few)), docs, "lang", SAMPLE_PER_LABEL, SAMPLE_MAX_BYTES)[0])
+    languages = rows.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    per_label = max(1, min(SAMPLE_PER_LABEL, SAMPLE_TEXTS // max(1, languages)))
+    return fit(bounded_sample(rows, docs, "lang", per_label, SAMPLE_MAX_BYTES)[0])
 
 
 def word_weights(words: list[str]) -> np.ndarray:
@@ -280,7 +300,10 @@ def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool =
     """``docs`` with lang_pred, score and switches (runs of :func:`words_of` by likeliest label) of every row's whole text.
 
     lang_pred is the label with most expected words, each weighted by :func:`word_weights`, and score its plain share; ``und`` and 0 for null texts, texts without a
-    letter, and a field without labels. ``switches`` is empty where one label holds throughout.
+    letter, and a field without labels; of equal votes the label that comes first by name wins. ``switches`` is empty
+    where one label holds throughout. Texts of any length are read whole, in bounded slices. Repeated rows and rows
+    without an id stay rows; an empty table gives an empty table; columns that have the new names stay, and the new ones
+    get underscores in front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURE_SLOTS + LEXICON_WORDS weights a language
 

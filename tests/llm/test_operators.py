@@ -339,6 +339,42 @@ def test_marginals_sum_over_all_paths(lengths, k, seed):
         at += n
 
 
+def path_likelihood(emission, lengths, transition, target):
+    """Log-likelihood of the labels by the sum over all paths; the label before a text is hidden and uniform."""
+    total, at = 0.0, 0
+    for n in lengths:
+        e, y = emission[at : at + n], target[at : at + n]
+        weigh = lambda p, e=e: np.exp(transition[:, p[0]]).mean() * np.exp(sum(e[i, v] for i, v in enumerate(p)) + sum(transition[a, b] for a, b in itertools.pairwise(p)))
+        total += np.log(weigh(tuple(y)) / sum(weigh(p) for p in itertools.product(range(len(transition)), repeat=n)))
+        at += n
+    return total
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=3), st.integers(1, 3), st.integers(0, 999))
+def test_likelihood_slopes_equal_finite_differences(lengths, k, seed):
+    draw = np.random.default_rng(seed)
+    emission, transition = draw.normal(size=(sum(lengths), k)) * 2, draw.normal(size=(k, k))
+    target = draw.integers(0, k, sum(lengths))
+    by_word, by_pair = langid.likelihood_slopes(emission, np.array(lengths), transition, target, np.eye(k)[target])
+    for values, slopes in ((emission, by_word), (transition, by_pair)):
+        for place in np.ndindex(*values.shape):
+            sides = []
+            for h in (1e-5, -1e-5):
+                values[place] += h
+                sides.append(path_likelihood(emission, lengths, transition, target))
+                values[place] -= h
+            assert abs((sides[0] - sides[1]) / 2e-5 - slopes[place]) < 1e-5
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 1000)
+    monkeypatch.setattr(langid, "fit", lambda sample: {lang for _, lang in sample})
+    langs = [f"l{i:03}" for i in range(230)]
+    rows = [(i, f"text {i} of {lang} with words w{i}", lang) for i, lang in enumerate(langs * 12)]
+    assert len(langid.fit_on_tables(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) > 200
+
+
 def test_long_texts_cross_blocks():
     draw = np.random.default_rng(7)
     emission, transition = draw.normal(size=(500, 3)), draw.normal(size=(3, 3))
@@ -383,10 +419,19 @@ def test_long_runs_of_letters_are_read_whole(spark):
     assert all([s["lang"] for s in got[i]["switches"]] == order for i, order in ((1, ["xx", "yy"]), (2, ["yy", "xx"])))
 
 
-def test_language_odd_rows(odd_docs):
+def test_language_odd_rows(spark, odd_docs):
     got = langid.label(odd_docs, langid.fit_on_tables(odd_docs))
     assert got.count() == odd_docs.count()
     assert langid.label(odd_docs.limit(0), langid.fit_on_tables(odd_docs.limit(0))).count() == 0
+    draw = random.Random(1)
+    words = {"xx": ["kalo", "kaldu", "kamir", "kasot"], "yy": ["thori", "thelm", "thusk", "thaen"]}
+    text = lambda lang, n: " ".join(draw.choice(words[lang]) for _ in range(n))
+    model = langid.fit([(text(lang, 40), lang) for lang in words for _ in range(60)])
+    long_one = text("yy", 100_000)
+    rows = [(1, long_one, "own"), (1, long_one, "own"), (None, text("xx", 3), "own"), (2, "kalo thori", "own"), (3, "", None), (4, None, None)]
+    got = langid.label(spark.createDataFrame(rows, "doc_id long, text string, score string"), model)
+    assert got.columns == ["doc_id", "text", "score", "lang_pred", "_score", "switches"]
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in got.collect() if r["doc_id"] != 2) == [("1", "yy"), ("1", "yy"), ("3", "und"), ("4", "und"), ("None", "xx")]
 
 
 # ---- 7 SentencePiece -------------------------------------------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 A template is only called: with the turns so far, and with one turn more. What the longer output adds is the new turn's
 span; the same turn rendered with an empty text and with a mark shows where its text lies inside. A template whose longer output does
-not continue the shorter one rewrites history, which is reported and not trusted. A long conversation keeps the last
-turns as history, so a task's memory holds a window of one conversation.
+not continue the shorter one rewrites history, which is reported and not trusted. Every prefix is rendered whole, so a
+task holds one conversation. A template that declares itself append-only needs no more than the last turns as history,
+which bounds a task's memory and time; the declaration is checked at every turn, and breaking it is an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ship
 
-#: Turns that stay as history of a turn.
+#: Turns that stay as history of a turn under an append-only template.
 HISTORY_TURNS = 64
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
@@ -26,8 +27,12 @@ Render = Callable[[list[Turn]], str]
 
 @dataclass(frozen=True)
 class Template:
-    """Turns as ``<turn>role<text>text</turn>`` lines; a backslash guards backslashes and ``<`` inside roles and texts."""
+    """Turns as ``<turn>role<text>text</turn>`` lines; a backslash guards backslashes and ``<`` inside roles and texts.
 
+    ``append_only`` declares that a turn adds the same output behind any history.
+    """
+
+    append_only = True
     begin: str = "<turn>"
     middle: str = "<text>"
     end: str = "</turn>\n"
@@ -117,25 +122,32 @@ def sorted_turns(conversations: DataFrame) -> DataFrame:
 class _Digest:
     """Running values of one conversation, all read back from the rendered output."""
 
-    def __init__(self, conv_id: int | None, template: Template):
-        self.conv_id, self.template = conv_id, template
+    def __init__(self, conv_id: int | None, template: Render, windowed: bool):
+        self.conv_id, self.template, self.windowed = conv_id, template, windowed
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = 0
+        self.n = self.loss_chars = 0
         self.rewrites = False
         self.history: list[Turn] = []
-        self.before = template([])
-        self.chars = len(self.before)
+        self.blank = self.before = template([])
+        self.passed = 0  # characters of the output that the window has left behind
+
+    @property
+    def chars(self) -> int:
+        return self.passed + len(self.before)
 
     def add(self, role: str, text: str) -> Placed:
-        if len(self.history) >= HISTORY_TURNS:
+        if self.windowed and len(self.history) >= HISTORY_TURNS:
+            whole = len(self.before)
             self.history = self.history[-HISTORY_TURNS // 2 :]
             self.before = self.template(self.history)
+            self.passed += whole - len(self.before)
         placed, self.before = place_turn(self.template, self.history, self.before, (role, text))
+        if self.windowed and (placed.rewrites or self.blank + placed.fragment != self.template([(role, text)])):
+            raise ValueError("the template declares itself append-only, but a turn's output depends on its history")
         self.history.append((role, text))
         read_role = self.template.role_of(placed.fragment[: placed.start])
         read_text = self.template.unescape(placed.fragment[placed.start : placed.end])
         self.n += 1
-        self.chars += len(placed.fragment)
         self.rewrites |= placed.rewrites
         self.turns.update(f"{read_role}\n{read_text}\n".encode("utf-8", "surrogatepass"))
         if read_role == "assistant":
@@ -162,9 +174,10 @@ def _walk(conversations: DataFrame, template: Template, by_turn: bool) -> DataFr
                 if now is None or now.conv_id != conv_id:
                     if now is not None and not by_turn:
                         out.append(now.row())
-                    now = _Digest(conv_id, template)
-                offset, position = now.chars, now.n
+                    now = _Digest(conv_id, template, getattr(template, "append_only", False))
+                position = now.n
                 placed = now.add(role, text)
+                offset = now.chars - len(placed.fragment)
                 if by_turn:
                     out.append({"conv_id": conv_id, "position": position, "offset": offset, "fragment": placed.fragment, "text_start": offset + placed.start, "text_end": offset + placed.end, "in_loss": role == "assistant", "rewrites_history": placed.rewrites})
             if out:
@@ -188,6 +201,9 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
 def digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """One row a conversation with what is read back from its output. Rows of a null conv_id are one conversation.
 
-    Null roles and texts are empty; repeated turns stay, in order of role and text; an empty table gives an empty table.
+    Null roles and texts are empty; repeated turns stay, in order of role and text; texts of any length are rendered
+    whole; an empty table gives an empty table; other columns are not looked at, whatever their names. formatted_chars
+    is the length of the whole conversation's rendering, rewrites_history whether any longer prefix changed a shorter
+    one's output. All turns of a conversation pass through one task in order, as its digests ask for.
     """
     return _walk(conversations, template or Template(), False)

@@ -313,6 +313,33 @@ def test_conversations_read_back(spark):
     assert chat.digests(table.limit(0)).count() == 0
 
 
+def rewriting_template(turns_kept, declared):
+    """A template that blanks the texts of older turns; local, so that workers need not import this file."""
+
+    class Forgetful(chat.Template):
+        append_only = declared
+
+        def __call__(self, turns):
+            return chat.Template.__call__(self, [(r, x if len(turns) - i <= turns_kept else "") for i, (r, x) in enumerate(turns)])
+
+    return Forgetful()
+
+
+def test_late_rewriting_is_seen_and_counted(spark):
+    forgetful = rewriting_template(70, False)
+    turns = [("assistant" if i % 2 else "user", f"turn number {i}") for i in range(200)]
+    short = turns[:60]
+    rows = [(k, i, *t) for k, some in ((1, turns), (2, short)) for i, t in enumerate(some)] + [(3, 0, "user", "x <y" * 500_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(table, forgetful).collect()}
+    assert {k: r["rewrites_history"] for k, r in got.items()} == {1: chat.rewrites_history(forgetful, turns), 2: False, 3: False} == {1: True, 2: False, 3: False}
+    for k, some in ((1, turns), (2, short)):
+        assert got[k]["formatted_chars"] == len(forgetful(some))
+    assert got[3]["formatted_chars"] == len(chat.Template()([rows[-1][2:]])) and got[3]["n_turns"] == 1
+    with pytest.raises(Exception, match="append-only"):
+        chat.digests(table.where("conv_id = 1"), rewriting_template(10, True)).collect()
+
+
 # ---- 6 language ------------------------------------------------------------------------------------------------------
 
 

@@ -559,6 +559,46 @@ def test_constants_reach_their_targets():
     assert secret_scan.secret_literals('{"db": {"password": "aB3$kL9zQ1xV7w"}}')[0][3] == "password"
 
 
+PLANTED = "aB3$kL9zQ1xV7w"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "private_key: {0}+ZZtop9QW8er7\nnext: x", "client_secret = eR5t:uI8&oP0{0}\n", 'pwd = """{0}"""', "pwd = f('{0}')", "password =\n    '{0}'\n",
+        "db:\n  pwd:\n    {0}\n  other: 1\n", "pwd: |\n  first\n  {0}\nnext: 1", "<pwd>{0}</pwd>", "pwds = ['x', '{0}']", "secrets:\n  - a\n  - {0}\n",
+        "credentials = {{'db': {{'x': '{0}'}}}}", "pwd = (\n 'part one'\n '{0}'\n)", 'url = "Server=x;Pwd={0};User=a"', "pwd = os.getenv('A') or '{0}'",
+        "Authorization: Bearer {0}", "pwd = {0}(abc)Lm2", "sad :( text\npwd: {0},x)1\n", "pwd=`{0}`", '{{"db": {{"pwd":"{0}","u":"x"}}}}', "pwd: str = '{0}'",
+        "k += '{0}'\nk += 'zzz'\npwd = k", "a = '{0}'\nb = [a]\npwd = b[0]", "pwd = a.b('{0}').strip()", "--db-pwd={0} --x", "pwd => '{0}',", "f(x)(pwd={0}, y=1)",
+        "auth_key := base64.b64decode(b'{0}')", "pwd = 'unclosed{0}\nnext = 1", "f(pwd='x{0}', other=g('zz'), z=1)\npwd = {0}", "x = {{\n  pwd: '{0}',\n}}", "pwd = \\\n  '{0}'",
+    ],
+)
+def test_no_part_of_a_planted_secret_survives(text):
+    text = text.format(PLANTED)
+    clean = secret_scan.redact(text, secret_scan.spans_of(text)[1])
+    kept = "next other plain".split()
+    assert PLANTED not in clean and not any(PLANTED[i : i + 6] in clean for i in range(len(PLANTED) - 5))
+    assert all((w in text) == (w in clean) for w in kept)
+
+
+def test_what_is_no_secret_stays():
+    for text in ("pwd = os.environ['DB_PASSWORD_X1']", "pwd = os.getenv('DB_PASSWORD_X1')", "title = f('aB3$kL9zQ1xV7w')", "colours:\n  - aB3$kL9zQ1xV7w\n", "plain words, nothing: here (or there"):
+        assert secret_scan.secret_literals(text) == []
+
+
+def test_lexing_takes_linear_time():
+    import time
+
+    for piece in ("a = {", "pwd = f(", "x: [", "'", '"""', "`", "(", ")", "k: |\n ", "= ", "<a>x", "  \\ ", "- x: ", "a+", "$", ",a", "a.b", "\n", " "):
+        took = []
+        for n in (20_000, 80_000):
+            text = "name: " + piece * n
+            start = time.perf_counter()
+            secret_scan.spans_of(text)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 10 * took[0] + 0.5, piece
+
+
 def test_secret_constants_are_not_capped():
     early = "k1 = 'aB3$kL9zQ1xV7w'\n" + "".join(f"n{i} = {i}\n" for i in range(10_050)) + "db_password = k1\n"
     assert [(early[a:b], n) for a, b, _, n in secret_scan.secret_literals(early)] == [("aB3$kL9zQ1xV7w", "db_password")]

@@ -1,15 +1,17 @@
 """SimHash near copies through an inverted index on byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits agree in at least four of their eight positional bytes. A
-posting list of one positional byte would hold 1/256 of the corpus, so a posting is kept for each of 20 triples of
-positions, chosen so that any four positions hold one of the triples: no pair with four shared bytes is missed. A pair
-is looked at in its first shared triple only; the shared positional bytes are tallied, pairs under the guaranteed four
-are dropped, and the bits of the rest are compared.
+posting list of one positional byte would hold 1/256 of the corpus, so each positional byte is refined by others: a
+posting is kept for every set of ``width`` positions with the bytes there. Postings shared by a pair are tallied; a pair
+that agrees in m bytes shares C(m, width) of them, so pairs under C(4, width) are dropped, and the bits of the rest are
+compared. Wider sets give shorter lists and tell less by their number; the width follows the number of fingerprints and
+does not change the links.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +28,11 @@ SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 BYTES = 8
-LEAST_SHARED = BYTES - MAX_BITS
+#: Fingerprints up to which a posting holds three positional bytes (56 postings each, lists of N / 2^24); four beyond.
+THREE_UP_TO = 1 << 25
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def position_triples() -> list[tuple[int, int, int]]:
-    """Triples of byte positions such that every four positions contain one.
-
-    Positions fall into three classes by remainder. A triple is kept when it lies in one class, or has two positions in
-    a class and one in the next. Four positions in three classes always hold such a triple.
-    """
-    kept = []
-    for triple in combinations(range(BYTES), 3):
-        count = [sum(p % 3 == c for p in triple) for c in range(3)]
-        if any(count[c] == 3 or (count[c] == 2 and count[(c + 1) % 3] == 1) for c in range(3)):
-            kept.append(triple)
-    return kept
-
-
-TRIPLES = position_triples()
-
-
-def _first_triple() -> list[int]:
-    """For each set of agreeing positions (as bits), the first triple inside it; -1 where there is none."""
-    masks = [sum(1 << p for p in t) for t in TRIPLES]
-    return [next((i for i, m in enumerate(masks) if m & agree == m), -1) for agree in range(1 << BYTES)]
-
-
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     """The 64-bit majority fingerprint of one text; zero without words."""
     words = text.translate(_LOWER).split()
@@ -89,38 +69,36 @@ def _byte(column, position: int):
     return F.shiftrightunsigned(column, 8 * position).bitwiseAND(F.lit(255))
 
 
-def linked_fingerprints(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
+def postings(distinct: DataFrame, width: int, fp: str = "fp") -> DataFrame:
+    """``(key, fp)``: one posting for each set of ``width`` positions; its key holds the set's number and bytes."""
+    keys = []
+    for number, places in enumerate(combinations(range(BYTES), width)):
+        packed = F.lit(number).cast("long")
+        for p in places:
+            packed = packed * 256 + _byte(F.col(fp), p)
+        keys.append(packed)
+    return distinct.where(F.col(fp).isNotNull()).select(F.explode(F.array(*keys)).alias("key"), F.col(fp).alias("fp"))
+
+
+def tallies(index: DataFrame) -> DataFrame:
+    """``(src, dst, shared)``: the number of postings that two fingerprints share, for all pairs that share any."""
+    left = index.select("key", F.col("fp").alias("src"))
+    right = index.select(F.col("key").alias("other_key"), F.col("fp").alias("dst"))
+    met = left.join(right.hint("merge"), (F.col("key") == F.col("other_key")) & (F.col("src") < F.col("dst")))
+    return met.groupBy("src", "dst").agg(F.count("*").alias("shared"))
+
+
+def linked_fingerprints(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS, width: int | None = None) -> DataFrame:
     """``(src, dst)``: all pairs of distinct fingerprints that differ in at most ``max_bits`` (four at most) bits.
 
-    The join's condition holds the count filter and the check of the bits, so only true links leave it; a hot posting
-    is an ordinary skewed join, which adaptive execution splits.
+    A hot posting is an ordinary skewed join, which adaptive execution splits.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
-    value = F.col(fp)
-    keys = []
-    for i, (a, b, c) in enumerate(TRIPLES):
-        packed = F.lit(i).cast("long")
-        for p in (a, b, c):
-            packed = packed * 256 + _byte(value, p)
-        keys.append(packed)
-    index = distinct.where(value.isNotNull()).select(value.alias("fp"), F.explode(F.array(*keys)).alias("key"))
-    left = index.select("key", F.col("fp").alias("src"))
-    right = index.select(F.col("key").alias("other_key"), F.col("fp").alias("dst"))
-    unlike = F.col("src").bitwiseXOR(F.col("dst"))
-    agree = F.lit(0)
-    for p in range(BYTES):
-        agree = agree + F.when(_byte(unlike, p) == 0, 1 << p).otherwise(0)
-    first = F.array(*[F.lit(i) for i in _first_triple()])
-    triple = F.shiftrightunsigned(F.col("key"), 24).cast("int")
-    condition = (
-        (F.col("key") == F.col("other_key"))
-        & (F.col("src") < F.col("dst"))
-        & (F.bit_count(unlike) <= max_bits)
-        & (F.bit_count(agree) >= LEAST_SHARED)
-        & (F.element_at(first, agree + 1) == triple)
-    )
-    return left.join(right.hint("merge"), condition).select("src", "dst")
+    if width is None:
+        width = 3 if distinct.count() <= THREE_UP_TO else 4
+    counted = tallies(postings(distinct, width, fp)).where(F.col("shared") >= comb(BYTES - max_bits, width))
+    return counted.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits).select("src", "dst")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

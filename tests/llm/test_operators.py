@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -708,13 +709,19 @@ def test_fingerprints_against_the_definition(text):
     assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
-def test_every_four_positions_hold_a_triple():
-    assert len(simhash.TRIPLES) == 20
-    for four in itertools.combinations(range(8), 4):
-        assert any(set(t) <= set(four) for t in simhash.TRIPLES)
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_tallies_count_the_shared_positional_bytes(spark, width):
+    draw = random.Random(9)
+    values = [int.from_bytes(bytes(draw.choice([7, 200]) for _ in range(8)), "little", signed=True) for _ in range(40)]
+    table = spark.createDataFrame([(v,) for v in set(values)], "fp long")
+    got = {frozenset((r["src"], r["dst"])): r["shared"] for r in simhash.tallies(simhash.postings(table, width)).collect()}
+    for a, b in itertools.combinations(set(values), 2):
+        shared = sum(x == y for x, y in zip(a.to_bytes(8, "little", signed=True), b.to_bytes(8, "little", signed=True), strict=True))
+        assert got.get(frozenset((a, b)), 0) == math.comb(shared, width)
 
 
-def test_links_lose_none_and_add_none(spark):
+@pytest.mark.parametrize("width", [None, 2, 4])
+def test_links_lose_none_and_add_none(spark, width):
     draw = random.Random(8)
     values = {0, (1 << 64) - 1}
     for _ in range(40):
@@ -726,8 +733,8 @@ def test_links_lose_none_and_add_none(spark):
                 other ^= 1 << b
             values.add(other)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {frozenset((r["src"], r["dst"])) for r in simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
-    rows = simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long")).count()
+    pairs = simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), width=width).collect()
+    got, rows = {frozenset((r["src"], r["dst"])) for r in pairs}, len(pairs)
     want = {frozenset((a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
     assert got == want and rows == len(want)
 

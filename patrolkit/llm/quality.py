@@ -67,12 +67,13 @@ def _sizer(good: bytes, bad: bytes):
 
 
 def _features(by_good: np.ndarray, by_bad: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The normalised difference of the compressed sizes, with the compressed rate and the length it depends on."""
+    """The normalised difference of the compressed sizes, with two corrections: the compressed rate, since text that
+    repeats itself compresses well under any dictionary, and the length, which both depend on."""
     n = np.maximum(n, 1.0)
     difference = (by_bad - by_good) / (by_bad + by_good)
     rate = np.log((by_good + by_bad) / 2 / n)
     length = np.log(n) / 8
-    return np.stack([np.ones_like(n), difference, rate, length, difference**2, rate**2, difference * rate, difference * length, rate * length], axis=1)
+    return np.stack([np.ones_like(n), difference, rate, rate**2, difference * rate, length, rate * length], axis=1)
 
 
 def fit(sample: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES, counts: dict[int, int] | None = None) -> QualityModel:
@@ -106,8 +107,9 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame) -> QualityModel:
 def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "score", *, keep_text: bool = True) -> DataFrame:
     """``docs`` with the calibrated score of every row's whole text; null counts as empty.
 
-    Repeated rows and rows without an id stay rows; an empty table gives an empty table; a column that has the score's
-    name stays, and the score's gets underscores in front.
+    Texts of any length are compressed whole. Repeated rows and rows without an id stay rows, equal texts score alike;
+    an empty table gives an empty table; a column that has the score's name stays, and the score's gets underscores in
+    front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES and a few numbers
 

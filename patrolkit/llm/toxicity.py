@@ -28,7 +28,9 @@ SAMPLE_MAX_BYTES = 20_000
 LEXICON_TOKENS = 50_000
 HELD_OUT_OF, HELD_OUT = 4, 2
 CUT = 0.3
-#: The prior's weight in tokens, the signed root deviance that a token must exceed, and what each neutral token costs.
+FOLDS = 5
+#: The prior's weight in tokens, the root deviance that a token of half the sample must exceed (it grows with the root
+#: of the sample's size), and what each neutral token costs.
 PRIOR_TOKENS = 2000.0
 LEAST_ROOT = 3.6
 NEUTRAL = -0.05
@@ -109,10 +111,12 @@ class ToxicityModel:
 
     def segments(self, words: list[str], known: WordScores) -> list[tuple[int, int, float, float]]:
         """Significant segments with the number of equal ones that clean text of this length would hold."""
-        found = maximal_segments(known.of(words))
+        return self.significant(maximal_segments(known.of(words)), len(words))
+
+    def significant(self, found: list[tuple[int, int, float]], length: int) -> list[tuple[int, int, float, float]]:
         out = []
         for first, end, score in found:
-            expected = float(np.exp(min(50.0, self.location + np.log(len(words)) - self.scale * score)))
+            expected = float(np.exp(min(50.0, self.location + np.log(length) - self.scale * score)))
             if expected <= MAX_EXPECTED:
                 out.append((first, end, score, expected))
         return out
@@ -142,17 +146,17 @@ def log_odds(toxic: Counter, clean: Counter, least_root: float = LEAST_ROOT) ->
     if not n1 or not n0:
         return {}
     share = n1 / every
-    found = []
-    for word in set(toxic) | set(clean):
-        k, m = toxic[word], toxic[word] + clean[word]
-        deviance = sum(x * np.log(x / y) for x, y in ((k, m * share), (m - k, m * (1 - share))) if x)
-        root = np.sqrt(max(0.0, 2 * deviance))
-        if root >= least_root:
-            prior = PRIOR_TOKENS * m / every
-            a, b = k + prior, m - k + prior
-            odds = np.log(a / (n1 + PRIOR_TOKENS - a)) - np.log(b / (n0 + PRIOR_TOKENS - b))
-            found.append((root, word, float(odds) + NEUTRAL))
-    return {word: value for _, word, value in sorted(found, reverse=True)[:LEXICON_TOKENS]}
+    words = list(toxic.keys() | clean.keys())
+    k = np.fromiter((toxic[w] for w in words), float, len(words))
+    m = k + np.fromiter((clean[w] for w in words), float, len(words))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(x > 0, x * np.log(x / y), 0.0) for x, y in ((k, m * share), (m - k, m * (1 - share)))]
+    root = np.sqrt(np.maximum(0.0, 2 * (parts[0] + parts[1])))
+    prior = PRIOR_TOKENS * m / every
+    a, b = k + prior, m - k + prior
+    odds = np.log(a / (n1 + PRIOR_TOKENS - a)) - np.log(b / (n0 + PRIOR_TOKENS - b)) + NEUTRAL
+    found = sorted(((root[i], words[i], float(odds[i])) for i in np.flatnonzero(root >= least_root)), reverse=True)
+    return {word: value for _, word, value in found[:LEXICON_TOKENS]}
 
 
 def _extreme_scale(values: np.ndarray, shares: np.ndarray) -> float:
@@ -169,36 +173,48 @@ def _extreme_scale(values: np.ndarray, shares: np.ndarray) -> float:
 
 
 def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) -> ToxicityModel:
-    """A model from ``(text, label)``: half of each label gives the log-odds, the other half law and calibration.
+    """A model from ``(text, label)``: log-odds of all texts, with law and calibration from texts out of the fold.
 
-    ``counts`` are the labels' counts in all rows, to which the calibration's constant is moved.
-    Without texts of both labels the score is the share of toxic texts (0.5 without any).
+    The texts of each label are dealt to FOLDS folds. A fold's texts are scored by the log-odds of the other folds, whose
+    threshold is scaled to their share of the texts, so that they stand for the log-odds of all; the law's scale and
+    location and the calibration come from those scores. ``counts`` are the labels' counts in all rows, to which the
+    calibration's constant is moved. Without FOLDS texts of both labels the score is the share of toxic texts (0.5
+    without any).
     """
-    halves: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-    for text, label in sample:
-        both = halves[int(label)]
-        both[len(both[0]) > len(both[1])].append(tokens(text)[0])
-    sizes = [len(halves[k][0]) + len(halves[k][1]) for k in (0, 1)]
-    if not halves[0][1] or not halves[1][1]:
+    words: list[list[str]] = [tokens(text)[0] for text, _ in sample]
+    labels = np.array([int(label) for _, label in sample], dtype=int)
+    sizes = [int((labels == k).sum()) for k in (0, 1)]
+    if min(sizes) < FOLDS:
         return ToxicityModel({}, 1.0, 0.0, prior=sizes[1] / sum(sizes) if sum(sizes) else 0.5)
-    first, second = ([Counter(f for words in halves[k][side] for f in {f for w in set(words) for f in forms(w)}) for k in (0, 1)] for side in (0, 1))
-    lexicon = log_odds(first[1], first[0])
-    known = WordScores(lexicon)
-    met = Counter(float(v) for words in halves[0][0] for v in known.of(words))
-    met.update({v: PRIOR_TOKENS / 1000 / max(1, len(lexicon)) for v in lexicon.values() if v > 0})  # none is impossible in clean text
+    fold = np.empty(len(labels), int)
+    for k in (0, 1):
+        fold[labels == k] = np.arange(sizes[k]) % FOLDS
+    parts = [[Counter() for _ in range(FOLDS)] for _ in (0, 1)]
+    for text, label, f in zip(words, labels.tolist(), fold.tolist(), strict=True):
+        parts[label][f].update({form for w in set(text) for form in forms(w)})
+    whole = [sum(parts[k], Counter()) for k in (0, 1)]
+    root = LEAST_ROOT * (2.0 * (FOLDS - 1) / FOLDS) ** 0.5
+    scores: list[np.ndarray] = [np.empty(0)] * len(words)
+    met: Counter = Counter()
+    for f in range(FOLDS):
+        lexicon = log_odds(whole[1] - parts[1][f], whole[0] - parts[0][f], root)
+        known = WordScores(lexicon)
+        for i in np.flatnonzero(fold == f).tolist():
+            scores[i] = known.of(words[i])
+            if not labels[i]:
+                met.update(scores[i].tolist())
+        met.update({v: PRIOR_TOKENS / 1000 / max(1, len(lexicon)) / FOLDS for v in lexicon.values() if v > 0})  # none is impossible in clean text
     scale = _extreme_scale(np.array(list(met)), np.array(list(met.values())) / sum(met.values()))
-    tops = []
-    for words in halves[0][1]:
-        tops.append(scale * max((s[2] for s in maximal_segments(known.of(words))), default=0.0) - np.log(max(1, len(words))))
+    found = [maximal_segments(s) for s in scores]
+    tops = [scale * max((s[2] for s in found[i]), default=0.0) - np.log(max(1, len(words[i]))) for i in np.flatnonzero(labels == 0).tolist()]
     location = float(np.mean(tops)) - 0.5772  # a Gumbel law's mean lies Euler's constant over its location
+    lexicon = log_odds(whole[1], whole[0], LEAST_ROOT * 2**0.5)
     plain = ToxicityModel(lexicon, scale, location)
-    rows = [plain.segments(w, known) for k in (0, 1) for w in halves[k][1]]
-    target = np.array([0.0] * len(halves[0][1]) + [1.0] * len(halves[1][1]))
+    rows = [plain.significant(s, len(w)) for s, w in zip(found, words, strict=True)]
+    target = labels.astype(float)
     mean, spread, weights = logistic(_features(rows), target, ridge=0.1)
     weights[0] += prior_shift(target, counts)
-    # the calibration's half joins the tokens at last; twice the counts raise a true token's root by the root of two
-    every = log_odds(first[1] + second[1], first[0] + second[0], LEAST_ROOT * 2**0.5)
-    return ToxicityModel(every, scale, location, mean, spread, weights)
+    return ToxicityModel(lexicon, scale, location, mean, spread, weights)
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

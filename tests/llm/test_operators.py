@@ -259,6 +259,21 @@ def test_toxicity_finds_passages(spark):
     assert any("FOOL" in text[p["start"] : p["end"]] for p in row["passages"])
 
 
+def test_expected_counts_hold_in_simulated_clean_text():
+    """Clean text holds about as many passages under an expected count as that count says, whatever its length."""
+    draw = random.Random(6)
+    common = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    mild = ["grim", "sharp", "bitter"]  # more often in toxic text, but not only there
+    words = lambda n, share: [draw.choice(mild) if draw.random() < share else draw.choice(common) for _ in range(n)]
+    model = toxicity.fit([(" ".join(words(draw.randrange(40, 300), 0.02)), 0) for _ in range(800)] + [(" ".join(words(100, 0.3)), 1) for _ in range(400)])
+    known = toxicity.WordScores(model.lexicon)
+    assert {f for w in mild for f in toxicity.forms(w)} & set(model.lexicon)
+    for n in (100, 400):
+        some = [model.segments(words(n, 0.02), known) for _ in range(1500)]
+        for limit in (0.05, 0.02):
+            assert np.mean([sum(s[3] <= limit for s in found) for found in some]) < 2 * limit
+
+
 def test_toxicity_without_labels(spark, odd_docs, labels_of):
     model = toxicity.fit_on_tables(odd_docs, labels_of([(None, 1, 1), (1, None, None), (3, 1, 7)]))
     got = toxicity.score(odd_docs, model)

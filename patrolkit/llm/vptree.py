@@ -1,9 +1,11 @@
 """Largest inner products by vantage-point trees, one for each shard of the vectors.
 
-Inner products become distances by one more component: a vector gets sqrt(M^2 - |x|^2), M being its shard's largest
-norm, a query gets 0; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the triangle inequality bounds what a subtree can hold.
-A subtree is left out when its bound, times ``factor``, exceeds the query's k-th best distance: one is exact, more
-leaves out more. A block of queries walks a tree together, each node with the queries that still need it.
+Inner products become distances by one more component: a vector gets sqrt(M^2 - |x|^2), M being the largest norm, a query
+gets 0; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the triangle inequality bounds what a shard or a subtree can hold.
+Shards are metric: each vector lies in the shard of its nearest pivot, with the shard's least and largest distance to it.
+A query searches the shard of its nearest pivot first; its k-th best score there then leaves out every shard, and every
+subtree of the others, whose bound, times ``factor``, exceeds the distance of that score: one is exact, more leaves out
+more. A block of queries walks a tree together, each node with the queries that still need it.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ship
+from ._shared import ship, written
 
-#: Vectors in a shard (about), queries in a block of queries, and points in a leaf.
+#: Vectors in a shard (about; one pivot each, so the driver holds one vector in that many), queries in a block of
+#: queries, and points in a leaf.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 65_536
 LEAF = 64
@@ -34,6 +37,7 @@ class VantageTree:
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF, seed: int = 3):
         norms = (vectors * vectors).sum(axis=1)
         self.top = float(norms.max()) if len(norms) else 0.0
+        self.visited = 0  # pairs of a query and a point that were compared
         self.points = np.hstack([vectors, np.sqrt(np.maximum(0.0, self.top - norms))[:, None]])
         self.nodes: list[tuple] = []  # ("leaf", rows) or ("split", vantage row, near child, its range, far child, its range)
         draw = np.random.default_rng(seed)
@@ -60,14 +64,20 @@ class VantageTree:
         square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T
         return np.sqrt(np.maximum(square, 0.0))
 
-    def candidates(self, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """For each query the rows found that may be among its k nearest; with factor one none of those is missing."""
+    def candidates(self, queries: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the rows found that may be among its k nearest; with factor one none of those is missing.
+
+        ``floor`` is the score that the query's k-th best has elsewhere; less is not asked for.
+        """
         asked = np.hstack([queries, np.zeros((len(queries), 1))])
         best = np.full((len(asked), k), np.inf)  # the k least distances met so far
+        if floor is not None:
+            best[:] = np.sqrt(np.maximum(0.0, (queries * queries).sum(axis=1) + self.top - 2 * floor))[:, None] + _SLACK * (1 + self.top)
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in asked]
 
         def meet(who: np.ndarray, rows: np.ndarray) -> None:
             d = self._distance(asked[who], self.points[rows])
+            self.visited += d.size
             both = np.hstack([best[who], d])
             best[who] = np.partition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
             keep = d <= best[who].max(axis=1)[:, None] + _SLACK * (1 + self.top)
@@ -134,9 +144,9 @@ class Shard:
         self.vectors = vectors[[rows[0] for rows in groups.values()]] if groups else vectors
         self.tree = VantageTree(self.vectors)
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, factor: float, floor: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query ``(ids, scores)``, best first, its own id left out."""
-        for i, rows in enumerate(self.tree.candidates(queries, self.k + 1, factor)):
+        for i, rows in enumerate(self.tree.candidates(queries, self.k + 1, factor, floor)):
             scores = (self.vectors[rows] * queries[i]).sum(axis=1)  # one sum a pair, so that copies score alike anywhere
             ids = [self.owners[r] for r in rows]
             score = np.repeat(scores, [len(x) for x in ids])
@@ -153,42 +163,144 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+class Pivots:
+    """Pivots in the space of one more component, ``top`` being the largest squared norm of all vectors."""
+
+    def __init__(self, vectors: np.ndarray, top: float):
+        self.top = top
+        self.points = self.lifted(vectors)
+
+    def lifted(self, vectors: np.ndarray) -> np.ndarray:
+        return np.hstack([vectors, np.sqrt(np.maximum(0.0, self.top - (vectors * vectors).sum(axis=1)))[:, None]])
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        return VantageTree._distance(points, self.points)
+
+    def visits(self, queries: np.ndarray, floor: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, factor: float) -> list[np.ndarray]:
+        """For each query the shards besides ``first`` that may hold a score of ``floor``; shards without rows have low over high."""
+        d = self.distances(np.hstack([queries, np.zeros((len(queries), 1))]))
+        worst = np.sqrt(np.maximum(0.0, (queries * queries).sum(axis=1) + self.top - 2 * floor)) + _SLACK * (1 + self.top)
+        bound = np.maximum(np.maximum(low[None] - d, d - high[None]), 0.0)
+        need = (bound * factor <= worst[:, None]) & (low <= high)[None]
+        need[np.arange(len(queries)), first] = False
+        return [np.flatnonzero(row) for row in need]
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+#: Rows whose distances to all pivots are laid out at once.
+_ROWS = 512
+
+
+def _one_row_each(clean: DataFrame) -> DataFrame:
+    """``clean`` with the smallest vector of each repeated id; only rows that repeat an id are shuffled."""
+    again = written(clean.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("vec_id").alias("again")), "repeated_ids")
+    if not again.limit(1).count():
+        return clean
+    lone = clean.join(again, clean.vec_id == again.again, "left_anti")
+    few = clean.join(again, clean.vec_id == again.again, "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    return lone.unionByName(few.select("vec_id", "v", "asks"))
+
+
 def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest inner products found for the rows where ``queries`` holds.
 
     Candidates are all usable rows of another id; score is the inner product in double precision; equal scores go to the
     smaller id. Rows with a null id take no part; of rows with one id the smallest vector counts. Vectors of another length than
-    the commonest take no part. An empty table gives an empty table. Every shard meets every block of queries; a task
-    holds one shard and works through a block's queries as they come.
+    the commonest take no part. An empty table gives an empty table. Other columns are not looked at, whatever their
+    names. A task holds one shard and works through a block's queries as they come; a shard that many vectors share, as
+    copies do, is cut by a hash of the id into parts of about ``shard_rows``.
     """
     session = vectors.sparkSession
     ship(session)
-    clean = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), queries.alias("asks"))
+    clean = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n, q = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"] or 0
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block))
-    clean = clean.where(F.size("v") == d)
-    spread = lambda salt, size: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(size)).cast("int")
-    points = clean.select(spread(1, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("asks"), "vec_id", "v")
-    asks = clean.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), spread(2, blocks).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
-    dealt = points.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "asks", "vec_id", "v")
+    d, n, top = sizes[0]["d"], sizes[0]["n"], float(sizes[0]["top"])
+    clean = _one_row_each(clean.where(F.size("v") == d))
+
+    wanted = -(-n // shard_rows)
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n))
+    chosen = clean.where(draw < 4 * wanted + 16).orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(wanted).select("v").collect()  # one a shard
+    given = sorted({tuple(r["v"]) for r in chosen}) or [tuple([0.0] * d)]
+    pivots = session.sparkContext.broadcast(Pivots(np.array(given, float), top))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pivots.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                x = _matrix(batch.column("v"), d)
+                own = held.distances(held.lifted(x))
+                asked = held.distances(np.hstack([x, np.zeros((len(x), 1))]))
+                shard = own.argmin(axis=1)
+                more = [pa.array(shard.astype(np.int32)), pa.array(own[np.arange(len(x)), shard]), pa.array(asked.argmin(axis=1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "asks")), *more], names=["vec_id", "v", "asks", "shard", "away", "near"])
+
+    placed = written(clean.mapInArrow(assign, "vec_id long, v array<double>, asks boolean, shard int, away double, near int"), "placed")
+    held = {r["shard"]: r for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}  # a row a pivot
+    low, high = np.full(len(given), np.inf), np.full(len(given), -np.inf)
+    for s, r in held.items():
+        low[s], high[s] = r["low"], r["high"]
+    parts = {s: max(1, -(-2 * r["n"] // (3 * shard_rows))) for s, r in held.items()}
+    no_floor = F.lit(None).cast("double").alias("floor")
+    walk = lambda asked: _walk(session, placed, asked, parts, d, k, factor, block)
+    first = written(walk(placed.where("asks").select("vec_id", "v", no_floor, F.array("near").alias("visits"))), "first_found")
+    found = first
+    if len(held) > 1 or not set(range(len(given))) <= set(held):
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        asking = placed.where("asks").select("vec_id", "v", "near").join(floors, F.col("vec_id") == F.col("query_id"), "left").drop("query_id")
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pivots.value
+            for whole in batches:
+                for start in range(0, whole.num_rows, _ROWS):
+                    batch = whole.slice(start, _ROWS)
+                    floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
+                    least = np.where(np.isnan(floor), -np.inf, floor)
+                    which = held.visits(_matrix(batch.column("v"), d), least, batch.column("near").to_numpy(zero_copy_only=False), low, high, factor)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "floor")), pa.array([w.astype(np.int32) for w in which], pa.list_(pa.int32()))], names=["vec_id", "v", "floor", "visits"])
+
+        found = first.union(walk(written(asking.mapInArrow(choose, "vec_id long, v array<double>, floor double, visits array<int>"), "visits")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _walk(session, placed: DataFrame, asked: DataFrame, parts: dict[int, int], d: int, k: int, factor: float, block: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: what each query of ``asked`` finds in the shards that its ``visits`` lists."""
+    counts = {r["visit"]: r["n"] for r in asked.select(F.explode("visits").alias("visit")).groupBy("visit").agg(F.count("*").alias("n")).collect()}
+    plan = [(s, parts[s], max(1, -(-n // block))) for s, n in counts.items() if s in parts]
+    units = sum(p * b for _, p, b in plan)
+    table = F.broadcast(session.createDataFrame(plan, "visit int, parts int, blocks int"))  # a row a pivot
+    spread = lambda salt, size: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(size)).cast("int")
+    upto = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    points = placed.select("vec_id", "v", F.col("shard").alias("visit")).join(table, "visit")
+    points = points.select("visit", spread(1, "parts").alias("part"), upto("blocks").alias("block"), F.lit(0).alias("asks"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
+    asks = asked.select("vec_id", "v", "floor", F.explode("visits").alias("visit")).join(table, "visit")
+    asks = asks.select("visit", upto("parts").alias("part"), spread(2, "blocks").alias("block"), F.lit(1).alias("asks"), "vec_id", "v", "floor")
+    order = ["visit", "part", "block", "asks"]
+    dealt = points.union(asks).repartition(max(1, min(units, 20_000)), *order[:3]).sortWithinPartitions(*order, "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows, shard, asked = None, [], [], None, None
+        key, ids, rows, shard = None, [], [], None
         for batch in batches:
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            flat = _matrix(batch.column("v"), d)
             own = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "asks")], axis=1)
+            floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
+            floor = np.where(np.isnan(floor), -np.inf, floor)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in order], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if tuple(keys[a, :2]) != key:
-                    key, ids, rows, shard, asked = tuple(keys[a, :2]), [], [], None, None
-                if not keys[a, 2]:
+                if tuple(keys[a, :3]) != key:
+                    key, ids, rows, shard = tuple(keys[a, :3]), [], [], None
+                if not keys[a, 3]:
                     ids.append(own[a:b])
                     rows.append(flat[a:b])
                     continue
@@ -196,14 +308,10 @@ def search(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embed
                     if not ids:
                         continue
                     shard = Shard(np.concatenate(ids), np.concatenate(rows), k)
-                fresh = np.flatnonzero(np.concatenate([[own[a] != asked], own[a + 1 : b] != own[a : b - 1]])) + a
-                asked = own[b - 1]
-                for start in range(0, len(fresh), 512):
-                    part = fresh[start : start + 512]
-                    got = list(shard.nearest(own[part], flat[part], factor))
+                for start in range(a, b, 512):
+                    part = slice(start, min(b, start + 512))
+                    got = list(shard.nearest(own[part], flat[part], factor, floor[part]))
                     who = np.repeat(own[part], [len(g[0]) for g in got])
                     yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(np.concatenate([g[1] for g in got]), pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")

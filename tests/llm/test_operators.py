@@ -146,6 +146,45 @@ def test_pruning_leaves_out_subtrees():
     assert met[1] <= met[0]
 
 
+def test_shards_and_subtrees_are_skipped():
+    """At 64 components, vectors about 40 centres: far fewer points are compared than there are, and none is lost."""
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(40, 64))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 200, axis=0) + draw.normal(size=(8000, 64)) * 0.005
+    asked, top = x[::200], float((x * x).sum(1).max())
+    scores = asked @ x.T
+    floor = np.sort(scores, axis=1)[:, -20]
+    tree = vptree.VantageTree(x)
+    for f, most in ((1.0, 0.35), (vptree.FACTOR, 0.22)):
+        tree.visited = 0
+        got = tree.candidates(asked, 20, f)
+        assert tree.visited < most * scores.size
+        assert all(set(np.argsort(-s, kind="stable")[:20]) <= set(g) for s, g in zip(scores, got, strict=True)) or f > 1
+    pivots = vptree.Pivots(x[::200], top)
+    own = pivots.distances(pivots.lifted(x))
+    shard = own.argmin(1)
+    away = own[np.arange(len(x)), shard]
+    low, high = (np.array([fold(away[shard == s]) for s in range(40)]) for fold in (np.min, np.max))
+    near = pivots.distances(np.hstack([asked, np.zeros((40, 1))])).argmin(1)
+    visits = pivots.visits(asked, floor, near, low, high, 1.0)
+    assert sum(map(len, visits)) < 0.2 * 40 * 39
+    for i in range(40):
+        needed = set(shard[scores[i] >= floor[i]])
+        assert needed <= {near[i], *visits[i].tolist()}
+
+
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    ids = rows["vec_id"].to_numpy()
+    got = {}
+    for r in vptree.search(table, F.col("vec_id") % 20 == 0, shard_rows=64).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {w[0] for w in brute_neighbours(ids, x, i, 20)}) for i, q in enumerate(ids) if q % 20 == 0]
+    assert np.mean(hits) >= 0.9 * 20
+
+
 def test_search_leaves_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (20, [2.0, 1.0]), (20, [2.0, 1.0]), (None, [1.0, 1.0]), (40, [-1.0, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("own"))

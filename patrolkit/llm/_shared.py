@@ -71,15 +71,34 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def gapless(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
+def parts_for(rows: int, least: int = 256, each: int = 1_000_000) -> int:
+    """Parts of about ``each`` rows at most, and no fewer than ``least``."""
+    return max(least, -(-rows // each))
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, table_key: str, hot: list) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key); the keys in ``hot`` meet a broadcast, so that none fills a task.
+
+    ``hot`` holds the keys of more than a fixed share of all rows, so its length is bounded.
+    """
+    if not hot:
+        return rows.join(table, rows[key] == table[table_key])
+    kind = dict(rows.dtypes)[key]
+    few = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"hot_key {kind}"))
+    cold = rows.join(few, rows[key] == few["hot_key"], "left_anti").join(table, F.col(key) == F.col(table_key))
+    warm = rows.join(F.broadcast(table.join(few, table[table_key] == few["hot_key"], "left_semi")), F.col(key) == F.col(table_key))
+    return cold.unionByName(warm)
+
+
+def gapless(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int, deal: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... within ``by``, without a task that holds all rows of one key.
 
-    Rows are cut into ``buckets`` by a hash of ``order``; the counts of (by, bucket) give where each bucket starts, and a
+    Rows are cut into ``buckets`` by a hash of ``deal`` (``order`` unless given); the counts of (by, bucket) give where each bucket starts, and a
     window ranks the rows inside one bucket. Rows that agree in ``order`` fall into one bucket, so give a fine one.
     """
     cut = free_name(df.columns, "cut")
     base, size = free_name(df.columns, "base"), free_name(df.columns, "size_of_cut")
-    dealt = df.withColumn(cut, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn(cut, F.pmod(F.xxhash64(*(deal or order)), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*by).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*by, cut).agg(F.count("*").alias(size)).select(*by, cut, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(base))
     inside = F.row_number().over(Window.partitionBy(*by, cut).orderBy(*order))
@@ -91,14 +110,14 @@ def gapless(df: DataFrame, by: list[str], order: list[str], name: str, buckets:
     return joined.withColumn(name, (F.col(name) + F.col(base)).cast("long")).select(*df.columns, name)
 
 
-def running_total(df: DataFrame, size: str, order: list[str], name: str, parts: int) -> DataFrame:
+def running_total(df: DataFrame, size: str, order: list[str], name: str, parts: int, deal: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``size`` over all rows before this one in the order of (part, order).
 
-    A part is a hash of ``order``; the totals of the parts, one row each, give where a part starts. No task holds more
+    A part is a hash of ``deal`` (``order`` unless given); the totals of the parts, one row each, give where a part starts. No task holds more
     than one part.
     """
     part, base, total = (free_name(df.columns, x) for x in ("part", "part_base", "part_total"))
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(*(deal or order)), F.lit(parts)).cast("int"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(part).agg(F.sum(size).alias(total)).select(part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
     inside = F.sum(size).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import gapless, running_total, written
+from ._shared import gapless, join_hot, parts_for, running_total, written
 
 SHARDS = 40
 #: Bytes that each document counts besides its text.
@@ -23,18 +23,22 @@ OVERHEAD = 16
 LONG_SHARE = 1 / 2000
 #: A text is large when its copies exceed this share of a shard; there are at most shards / LARGE_SHARE of them.
 LARGE_SHARE = 1 / 256
-#: Parts of the quota windows, running totals and slots. More parts mean smaller tasks, not other rules.
+#: Parts of the quota windows, running totals and slots at least; more rows mean more parts of about a million rows.
 PARTS = 256
+#: Rows are told apart by these columns, in this order, and dealt to parts by these: by content, but for null ids.
+ORDER = ("doc_id", "text_crc32", "row")
+DEAL = ("doc_id", "text_crc32", "tie")
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, size, text_crc32, text_key, row)`` for each row; a null text has no bytes, no checksum and no link."""
+    """``(doc_id, size, text_crc32, text_key, row, tie)`` for each row; a null text has no bytes, no checksum and no link."""
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.md5(F.col("text").cast("binary")).alias("text_key"),
         F.monotonically_increasing_id().alias("row"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("tie"),
     )
 
 
@@ -46,7 +50,7 @@ def _ranges(at: Column, bounds: list[float]) -> Column:
     return out
 
 
-def _fill(rows: DataFrame, room: list[float], order: tuple[str, ...] = ("doc_id", "row")) -> DataFrame:
+def _fill(rows: DataFrame, room: list[float], parts: int, order: tuple[str, ...] = ORDER, deal: tuple[str, ...] = DEAL) -> DataFrame:
     """``rows`` with ``shard``: their running total, stretched over the rooms laid end to end."""
     whole = float(rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
     free = sum(room) or 1.0
@@ -55,7 +59,7 @@ def _fill(rows: DataFrame, room: list[float], order: tuple[str, ...] = ("doc_id"
         reached += r
         bounds.append(reached)
     middle = (F.col("before") + F.col("size") / 2) * F.lit(free / whole if whole else 0.0)
-    return running_total(rows, "size", list(order), "before", PARTS).withColumn("shard", _ranges(middle, bounds)).drop("before")
+    return running_total(rows, "size", list(order), "before", parts, list(deal)).withColumn("shard", _ranges(middle, bounds)).drop("before")
 
 
 def _loads(rows: DataFrame, shards: int, weight: Column) -> list[float]:
@@ -85,7 +89,7 @@ def pack(texts: list[tuple[str, int, int]], room: list[float]) -> list[tuple[str
     return out
 
 
-def propagate(state: DataFrame, room: list[float]) -> DataFrame:
+def propagate(state: DataFrame, room: list[float], parts: int = PARTS) -> DataFrame:
     """``(text_key, shard)``: one shard for each text of the state ``(text_key, shard, n, size)``, under the rooms.
 
     A text asks for the shard that holds most of its copies (the smallest of equal ones). A shard grants small requests
@@ -95,7 +99,7 @@ def propagate(state: DataFrame, room: list[float]) -> DataFrame:
     """
     shards = len(room)
     tally = state.groupBy("text_key").agg(F.max(F.struct("n", (-F.col("shard")).alias("place"))).alias("most"), F.sum(F.col("n") * F.col("size")).alias("size"))
-    part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("text_key"), F.lit(parts)).cast("int")
     asked = tally.select("text_key", "size", (-F.col("most.place")).alias("wish"), F.floor(F.log2("size")).cast("int").alias("grade"), part.alias("part"))
     asked = written(asked, "wishes")
     sums = asked.groupBy("wish", "grade").agg(F.sum("size").alias("n")).collect()  # shards times powers of two
@@ -114,50 +118,64 @@ def propagate(state: DataFrame, room: list[float]) -> DataFrame:
     room = [r - m for r, m in zip(room, _loads(every, shards, F.col("size")), strict=True)]
     limit = (sum(room) / shards if sums else 0.0) * LONG_SHARE
     for name, some in (("long_texts", refused.where(F.col("size") > limit)), ("short_texts", refused.where(F.col("size") <= limit))):
-        filled = written(_fill(some, [max(0.0, r) for r in room], ("text_key",)).select(*columns), name)
+        filled = written(_fill(some, [max(0.0, r) for r in room], parts, ("text_key",), ("text_key",)).select(*columns), name)
         room = [r - m for r, m in zip(room, _loads(filled, shards, F.col("size")), strict=True)]
         every = every.union(filled)
     return every.select("text_key", "shard")
 
 
+def cut_edges(placed: DataFrame, text: str = "text", shard: str = "shard") -> DataFrame:
+    """One row ``(edges, cut)``: pairs of rows of equal texts, and those of them in two shards, from counts alone."""
+    pairs = lambda n: n * (n - 1) / 2
+    held = placed.where(F.col(text).isNotNull()).groupBy(F.md5(F.col(text).cast("binary")).alias("key"), F.col(shard).alias("at")).agg(F.count("*").alias("n"))
+    per_text = held.groupBy("key").agg(pairs(F.sum("n")).alias("edges"), F.sum(pairs(F.col("n"))).alias("whole"))
+    return per_text.select(F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("edges"), F.coalesce(F.sum(F.col("edges") - F.col("whole")), F.lit(0)).cast("long").alias("cut"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row, by the law of even bytes.
 
     Repeated rows and ids stay apart (each row has its own slot); null ids and texts are rows like others; an empty
-    table gives an empty table. A document longer than a shard's share leaves its shard that much larger.
+    table gives an empty table; other columns are not looked at, whatever their names. A document longer than a shard's
+    share leaves its shard that much larger. The result follows from the rows' contents, except that rows without an id
+    are told apart by their place in the files.
     """
     base = written(documents(docs), "documents")
-    sums = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).first()
+    sums = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).first()
     total = float(sums["n"])
-    capacity = total / shards
+    capacity, parts = total / shards, parts_for(sums["rows"], PARTS)
     copies = written(base.where("text_key is not null").groupBy(F.col("text_key").alias("copied")).agg(F.count("*").alias("copies"), F.max("size").alias("one")).where("copies > 1"), "copies")
-    marked = written(base.join(copies.drop("one"), base.text_key == copies.copied, "left").drop("copied"), "marked")
-    linked, alone = marked.where("copies is not null").drop("copies"), marked.where("copies is null").drop("copies")
-
-    columns = ["doc_id", "size", "text_crc32", "row", "shard"]
+    hot = [r["copied"] for r in copies.where(F.col("copies") * PARTS > sums["rows"]).select("copied").collect()]  # under PARTS texts
+    marks = copies.select("copied")
+    linked = written(join_hot(base.where("text_key is not null"), "text_key", marks, "copied", hot).drop("copied"), "with_copies")
+    known = F.broadcast(docs.sparkSession.createDataFrame([(key,) for key in hot], "hot_text string"))
+    lone = base.where("text_key is not null").join(known, F.col("text_key") == F.col("hot_text"), "left_anti")
+    alone = written(lone.join(marks, lone.text_key == marks.copied, "left_anti").union(base.where("text_key is null")), "without_copies")
+
+    columns = ["doc_id", "size", "text_crc32", "row", "tie", "shard"]
     cut = float(capacity * LARGE_SHARE)
     large = copies.where(F.col("copies") * F.col("one") > F.lit(cut)).collect()  # shards / LARGE_SHARE at most
     large = [(r["copied"], r["copies"], r["one"]) for r in large]
     room = [capacity] * shards
     pieces = docs.sparkSession.createDataFrame(pack(large, room), "span_key string, shard int, low long, high long")
     names = F.broadcast(docs.sparkSession.createDataFrame([(key,) for key, _, _ in large], "large_key string"))
-    ranked = gapless(linked.join(names, linked.text_key == names.large_key, "left_semi"), ["text_key"], ["doc_id", "row"], "place", PARTS)
+    ranked = gapless(linked.join(names, linked.text_key == names.large_key, "left_semi"), ["text_key"], list(ORDER), "place", parts, list(DEAL))
     placed = ranked.join(F.broadcast(pieces), (ranked.text_key == pieces.span_key) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     placed = placed.select(*columns)
 
     small = written(linked.join(names, linked.text_key == names.large_key, "left_anti"), "small")
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    dealt = small.withColumn("shard", F.pmod(F.xxhash64(*DEAL), F.lit(shards)).cast("int"))
     state = dealt.groupBy("text_key", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    told = propagate(state, room).select(F.col("text_key").alias("told_key"), "shard")
-    gathered = small.join(told, small.text_key == told.told_key).select(*columns)
+    told = written(propagate(state, room, parts).select(F.col("text_key").alias("told_key"), "shard"), "told_texts")
+    gathered = join_hot(small, "text_key", told, "told_key", hot).select(*columns)
     placed = written(placed.union(gathered), "linked")
 
     room = [max(0.0, capacity - x) for x in _loads(placed, shards, F.col("size"))]
     limit = max(capacity * LONG_SHARE, float(sums["mean"]))
-    long_ones = written(_fill(alone.where(F.col("size") > limit), room).select(*columns), "long")
+    long_ones = written(_fill(alone.where(F.col("size") > limit), room, parts).select(*columns), "long")
     more = _loads(long_ones, shards, F.col("size"))
     room = [max(0.0, r - m) for r, m in zip(room, more, strict=True)]
-    short_ones = _fill(alone.where(F.col("size") <= limit), room).select(*columns)
+    short_ones = _fill(alone.where(F.col("size") <= limit), room, parts).select(*columns)
     every = written(placed.union(long_ones).union(short_ones), "placed")
-    slotted = gapless(every, ["shard"], ["doc_id", "row"], "slot", PARTS)
+    slotted = gapless(every, ["shard"], list(ORDER), "slot", parts, list(DEAL))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

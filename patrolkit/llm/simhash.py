@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from patrolkit.operators.components import components
 
-from ._shared import utf8, with_batches, written
+from ._shared import join_hot, utf8, with_batches, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -30,6 +30,8 @@ MAX_BITS = 4
 BYTES = 8
 #: Fingerprints up to which a posting holds three positional bytes (56 postings each, lists of N / 2^24); four beyond.
 THREE_UP_TO = 1 << 25
+#: A fingerprint of more than one in so many rows is joined by broadcast.
+HOT_SHARE = 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -110,14 +112,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = written(fingerprints(pairs), "fingerprints")
-    distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    hot = [r["fp"] for r in distinct.where(F.col("copies") * HOT_SHARE > total).select("fp").collect()]  # under HOT_SHARE
     labels = components(linked_fingerprints(distinct))
     known = labels.join(distinct, labels.node == distinct.fp)
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = known.join(lowest, "label").select(F.col("fp").alias("linked_fp"), "component_id", F.col("label").alias("component_fp"))
     joined = distinct.join(linked, distinct.fp == linked.linked_fp, "left")
     classes = written(joined.select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp")), "classes")
-    return base.join(classes, base.fp == classes.class_fp).select("doc_id", "fp", "component_id", "component_fp")
+    return join_hot(base, "fp", classes, "class_fp", hot).select("doc_id", "fp", "component_id", "component_fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

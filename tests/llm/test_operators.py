@@ -97,6 +97,25 @@ def test_sharding_odd_rows(spark, odd_docs):
     assert sharding.shard(odd_docs.limit(0), 3).count() == 0
 
 
+def test_sharding_follows_from_contents_and_cuts_few_links(spark, docs_of):
+    draw = random.Random(3)
+    texts = [f"group {draw.randrange(60)} " * 9 for _ in range(300)] + [None] * 200 + ["hot text"] * 250 + ["v" * draw.randrange(1, 300) + str(i) for i in range(400)]
+    draw.shuffle(texts)
+    docs = docs_of(texts)
+    one, other = (sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(d, 8).collect()) for d in (docs.coalesce(1), docs.repartition(7, "n_chars")))
+    assert one == other
+    placed = spark.createDataFrame([(texts[i], s) for i, s, _ in one], "text string, shard int")
+    by_chance = placed.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)).cast("int"))
+    pairs = lambda n: n * (n - 1) // 2
+    counts = {}
+    for i, s, _ in one:
+        counts.setdefault(texts[i], {}).setdefault(s, []).append(i)
+    want = sum(pairs(sum(map(len, at.values()))) - sum(pairs(len(v)) for v in at.values()) for t, at in counts.items() if t is not None)
+    got = sharding.cut_edges(placed).first()
+    assert (got["edges"], got["cut"]) == (sum(pairs(sum(map(len, at.values()))) for t, at in counts.items() if t is not None), want)
+    assert got["cut"] < 0.2 * sharding.cut_edges(by_chance).first()["cut"]
+
+
 # ---- 2 vantage-point trees -------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import written
+from patrolkit.plans.shared_tables import scratch, written
 
 #: Rounds after which the work is given up with an error; each leaves only local minima of the links as nodes.
 MAX_ROUNDS = 60
@@ -19,22 +19,31 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     a dense group folds into one node at once, so its links are read in the first round only.
     """
     clean = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    edges = written(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    for _ in range(MAX_ROUNDS):
-        if labels is not None and edges.limit(1).count() == 0:
-            return labels
-        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("low")), F.struct(F.col("b").alias("node"), F.col("a").alias("low")))).alias("e"))
-        low = written(ends.groupBy("e.node").agg(F.min("e.low").alias("low")), "low")
-        above = low.select(F.col("node").alias("up"), F.col("low").alias("lower"))
-        image = written(low.join(above, low.low == above.up).select("node", F.col("lower").alias("image")), "image")
-        left = image.select(F.col("node").alias("a"), F.col("image").alias("image_a"))
-        right = image.select(F.col("node").alias("b"), F.col("image").alias("image_b"))
-        moved = edges.join(left, "a").join(right, "b").where("image_a <> image_b")
-        edges = written(moved.select(F.least("image_a", "image_b").alias("a"), F.greatest("image_a", "image_b").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = image.select("node", F.col("image").alias("label"))
-        else:
-            step = image.select(F.col("node").alias("label"), "image")
-            labels = written(labels.join(step, "label", "left").select("node", F.coalesce("image", "label").alias("label")), "labels")
+    with scratch():
+        edges = written(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        labels = None
+        for _ in range(MAX_ROUNDS):
+            if labels is not None and edges.limit(1).count() == 0:
+                return written(labels, "components", keep=True)
+            with scratch():
+                edges, image = _contracted(edges)
+                if labels is None:
+                    labels = image.select("node", F.col("image").alias("label"))
+                else:
+                    step = image.select(F.col("node").alias("label"), "image")
+                    labels = labels.join(step, "label", "left").select("node", F.coalesce("image", "label").alias("label"))
+                labels = written(labels, "labels", keep=True)
     raise RuntimeError(f"links were left after {MAX_ROUNDS} rounds")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links between different images of their ends, and each node's image."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("low")), F.struct(F.col("b").alias("node"), F.col("a").alias("low")))).alias("e"))
+    low = written(ends.groupBy("e.node").agg(F.min("e.low").alias("low")), "low")
+    above = low.select(F.col("node").alias("up"), F.col("low").alias("lower"))
+    image = written(low.join(above, low.low == above.up).select("node", F.col("lower").alias("image")), "image")
+    left = image.select(F.col("node").alias("a"), F.col("image").alias("image_a"))
+    right = image.select(F.col("node").alias("b"), F.col("image").alias("image_b"))
+    moved = edges.join(left, "a").join(right, "b").where("image_a <> image_b")
+    edges = written(moved.select(F.least("image_a", "image_b").alias("a"), F.greatest("image_a", "image_b").alias("b")).distinct(), "edges", keep=True)
+    return edges, image

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,12 +70,35 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, removed when the process ends."""
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables written inside when the block ends, but for those written with ``keep``."""
+    scope: list[tuple[SparkSession, str]] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        for spark, path in scope:
+            _forget(spark, path)
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    It is removed when the innermost :func:`scratch` block ends (with ``keep`` the one around that), else with the process.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/patrolkit/{name}-{uuid.uuid4().hex}"
+    around = _scopes[: len(_scopes) - keep]
+    if around:
+        around[-1].append((spark, path))
+    else:
+        atexit.register(_forget, spark, path)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

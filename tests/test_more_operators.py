@@ -80,3 +80,19 @@ def test_late_rows_within_the_watermark(spark, tmp_path):
     query = batches.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT * FROM windowed").count() == 3
+
+
+def test_scratch_tables_are_removed_and_kept_ones_stay(spark):
+    from pathlib import Path
+
+    from patrolkit.plans.shared_tables import scratch, written
+
+    where = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).parent
+    rows = spark.range(3)
+    with scratch():
+        with scratch():
+            inner, kept = written(rows, "inner"), written(rows, "kept", keep=True)
+            gone = where(inner)
+        assert not gone.exists() and kept.count() == 3
+        place = where(kept)
+    assert not place.exists()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patrolkit.llm import decontaminate, quality, secret_scan, sentencepiece_bpe, simhash
-from patrolkit.llm._shared import free_name, written
+from patrolkit.llm._shared import free_name, scratch, written
 from patrolkit.llm.queries import table, tokenizer_path
 
 #: SQL cannot express the classifier, the fingerprints and the tokens.
@@ -72,10 +72,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written to the shared folder and read again."""
+    """All stages over ``documents``, each one's rows written to the shared folder and read again.
+
+    What a stage leaves besides its rows is removed when the rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = written(docs, f"stage{place}")
-    return docs
+    for place, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            docs = written(stage(spark, docs, sf_dir), f"stage{place}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from patrolkit.operators.components import components
 
-from ._shared import join_hot, utf8, with_batches, written
+from ._shared import join_hot, scratch, utf8, with_batches, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -110,17 +110,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     where no row of the component has an id; component_fp, the component's smallest fingerprint, names it in any case. Equal fingerprints are folded first, so copies cost no pairs; an empty
     table gives an empty table; other columns are not looked at.
     """
-    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = written(fingerprints(pairs), "fingerprints")
-    distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
-    hot = [r["fp"] for r in distinct.where(F.col("copies") * HOT_SHARE > total).select("fp").collect()]  # under HOT_SHARE
-    labels = components(linked_fingerprints(distinct))
-    known = labels.join(distinct, labels.node == distinct.fp)
-    lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = known.join(lowest, "label").select(F.col("fp").alias("linked_fp"), "component_id", F.col("label").alias("component_fp"))
-    joined = distinct.join(linked, distinct.fp == linked.linked_fp, "left")
-    classes = written(joined.select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp")), "classes")
+    with scratch():
+        pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        base = written(fingerprints(pairs), "fingerprints", keep=True)
+        distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+        total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+        hot = [r["fp"] for r in distinct.where(F.col("copies") * HOT_SHARE > total).select("fp").collect()]  # under HOT_SHARE
+        labels = components(linked_fingerprints(distinct))
+        known = labels.join(distinct, labels.node == distinct.fp)
+        lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
+        linked = known.join(lowest, "label").select(F.col("fp").alias("linked_fp"), "component_id", F.col("label").alias("component_fp"))
+        joined = distinct.join(linked, distinct.fp == linked.linked_fp, "left")
+        classes = written(joined.select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp")), "classes", keep=True)
     return join_hot(base, "fp", classes, "class_fp", hot).select("doc_id", "fp", "component_id", "component_fp")
 
 

@@ -1,12 +1,20 @@
 """The stages of the pipeline, each on its own input, and the whole run against plainer decisions."""
 
+import hashlib
+import math
 import random
+import re
+import zlib
 
+import numpy as np
 import pytest
+import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipe
-from patrolkit.llm import decontaminate, secret_scan, simhash
+import test_operators as helpers
+from patrolkit.llm import decontaminate, langid, quality, queries, secret_scan, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +116,148 @@ def test_sql_agrees(spark, sf):
         names = [d[0] for d in got.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, got.fetchall()))
+
+
+# ---- whole queries against plain versions ----------------------------------------------------------------------------
+
+
+def plain_quality(model, text):
+    data = text.encode()
+    sizes = []
+    for words in (model.good, model.bad):
+        made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words), level=quality.LEVEL, write_content_size=False, write_dict_id=False)
+        sizes.append(len(made.compress(data)))
+    n = max(1, len(data))
+    d, rate, length = (sizes[1] - sizes[0]) / sum(sizes), math.log(sum(sizes) / 2 / n), math.log(n) / 8
+    terms = np.array([1.0, d, rate, rate**2, d * rate, length, rate * length])
+    return 1 / (1 + math.exp(-float(((terms - model.mean) / model.scale) @ model.weights)))
+
+
+def plain_toxicity(model, text):
+    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+    scores = [next((model.lexicon[f] for f in [w, *(w[:k] + "*" for k in toxicity.STEMS if len(w) > k)] if f in model.lexicon), toxicity.NEUTRAL) for w in words]
+    evidence = []
+    for a, b, value in slow_segments(scores):
+        expected = math.exp(min(50.0, model.location + math.log(len(words)) - model.scale * value))
+        if expected <= toxicity.MAX_EXPECTED:
+            evidence.append(-math.log(max(expected, 1e-30)))
+    terms = np.array([1.0, max(evidence, default=0.0), math.log1p(sum(evidence)), float(bool(evidence))])
+    return 1 / (1 + math.exp(-float(((terms - model.mean) / model.spread) @ model.weights)))
+
+
+def slow_segments(scores):
+    """Segments of the largest sum, by a full scan, then the same on both sides."""
+    best, place = 0.0, None
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best + 1e-12:
+                best, place = total, (i, j + 1)
+    if place is None:
+        return []
+    i, j = place
+    return slow_segments(scores[:i]) + [(i, j, best)] + [(a + j, b + j, s) for a, b, s in slow_segments(scores[j:])]
+
+
+def plain_language(model, text):
+    """The label of most expected words by one forward and one backward pass, word by word."""
+    words = langid.words_of(text or "")
+    if not words:
+        return "und", 0.0
+    known = langid.Emissions(model)
+    emission, step = known.of(words), np.exp(model.transition)
+    k = len(model.labels)
+    forward, now = [], np.full(k, 1.0 / k)
+    for e in emission:
+        now = (now @ step) * np.exp(e - e.max())
+        now /= now.sum()
+        forward.append(now)
+    later, post = np.ones(k), [None] * len(words)
+    for i in reversed(range(len(words))):
+        both = forward[i] * later
+        post[i] = both / both.sum()
+        later = step @ (np.exp(emission[i] - emission[i].max()) * later)
+        later /= later.sum()
+    post = np.array(post)
+    votes = (post * langid.word_weights(words)[:, None]).sum(axis=0)
+    top = int(votes.argmax())
+    return model.labels[top], float(post[:, top].mean())
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_op9_against_plain_compression(spark, sf, small_tables):
+    docs, labels = small_tables
+    model = quality.fit_on_tables(docs.select("doc_id", "text"), labels)
+    want = {r["doc_id"]: plain_quality(model, r["text"] or "") for r in docs.collect()}
+    for r in queries.op9_quality(spark, sf).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_op4_against_plain_segments(spark, sf, small_tables):
+    docs, labels = small_tables
+    model = toxicity.fit_on_tables(docs.select("doc_id", "text"), labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in queries.op4_toxicity(spark, sf).collect():
+        if len(texts[r["doc_id"]]) < 4000:  # the plain version takes quadratic time
+            want = plain_toxicity(model, texts[r["doc_id"]]) if model.weights is not None else model.prior
+            assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_op6_against_plain_passes(spark, sf, small_tables):
+    docs, _ = small_tables
+    model = langid.fit_on_tables(docs.select("doc_id", "text", "lang"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op6_language_id(spark, sf).collect():
+        lang, score = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_op1_law_on_the_whole_table(spark, sf, small_tables):
+    rows = queries.op1_sharding(spark, sf).collect()
+    texts = {r["doc_id"]: r["text"] for r in small_tables[0].collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    load, slots = {}, {}
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["law"], r["grown_shard"]) == (len(data) + 16, "bytes", None) and 0 <= r["shard"] < 40
+        assert r["text_crc32"] == (None if texts[r["doc_id"]] is None else zlib.crc32(data))
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share, longest = sum(load.values()) / 40, max(r["size"] for r in rows)
+    assert max(load.values()) <= share + longest
+
+
+def test_pipeline_against_plain_stages(spark, sf, small_tables):
+    docs, labels = small_tables
+    model = quality.fit_on_tables(docs, labels)
+    rows = [r.asDict() for r in docs.collect()]
+    rows = [r for r in rows if (plain_quality(model, r["text"] or "") if model.weights is not None else model.prior) >= 0.3]
+    prints = [helpers.slow_fingerprint(r["text"]) for r in rows]
+    least = helpers.brute_components([r["doc_id"] for r in rows], prints)
+    rows = [r for r, c in zip(rows, least, strict=True) if r["doc_id"] == c]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = set()
+    for _, text in items:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        windows |= {tuple(words[i : i + 10]) for i in range(max(1, len(words) - 9) if words else 0)}
+    sizes = {len(w) for w in windows}
+
+    def clean(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return not any(tuple(words[i : i + k]) in windows for k in sizes for i in range(len(words) - k + 1))
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    want = {}
+    for r in rows:
+        if clean(r["text"]):
+            text = secret_scan.redact(r["text"] or "", secret_scan.spans_of(r["text"] or "")[1])
+            ids = library.encode(text, add_bos=True, add_eos=True)
+            want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), ids)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["token_ids"]) for r in queries.pipeline(spark, sf).collect()}
+    assert got == want

@@ -8,33 +8,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import METRES_PER_DEGREE
-from patrolkit.plans.shared_tables import ship, written
+from patrolkit.plans.shared_tables import scratch, ship, written
 
 from .components import components
-from .spatial import neighbour_counts, places, range_pairs
+from .spatial import neighbour_counts
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """``(event_id, is_core, label, is_noise)``: label is 1 + the smallest core id of the cluster, 0 for noise.
+#: Cells have sides of eps / sqrt(2), so points of one cell are neighbours; a neighbour lies at most two cells away.
+_REACH = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
 
-    Works on distinct positions with their numbers of points; clusters are connected components over core positions.
-    A border point takes the neighbouring cluster whose smallest core id is lowest.
+
+def _celled(points: DataFrame, eps: float, by: list[str]) -> DataFrame:
+    """Distinct positions with weight, smallest id, and cell (nudged down, so that no rounding widens a cell)."""
+    side = eps / np.sqrt(2.0) * (1 - 1e-12)
+    at = points.groupBy(*by, "lon", "lat").agg(F.count("*").alias("weight"), F.min("event_id").alias("place_id"))
+    return at.withColumns({"cx": F.floor(F.col("lon") / F.lit(side)), "cy": F.floor(F.col("lat") / F.lit(side))})
+
+
+def _to_neighbours(rows: DataFrame, offsets: list[tuple[int, int]] = _REACH) -> DataFrame:
+    """One row for each cell of a row's neighbourhood, as near_x, near_y."""
+    cells = F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in offsets])
+    return rows.withColumn("near__", F.explode(cells)).withColumns({"near_x": F.col("near__.x"), "near_y": F.col("near__.y")}).drop("near__")
+
+
+def _counted(points: DataFrame, eps: float, min_samples: int, by: list[str]) -> DataFrame:
+    """Positions with ``is_core``. All of a cell with ``min_samples`` points are cores; the points of other cells, under
+    ``min_samples`` in each, are compared with their neighbourhood, so no dense cell meets itself or another one."""
+    at = written(_celled(points, eps, by), "celled")
+    cell_keys = [*by, "cx", "cy"]
+    dense = at.groupBy(*cell_keys).agg(F.sum("weight").alias("held")).where(F.col("held") >= min_samples).select(*cell_keys)
+    sure = at.join(dense, cell_keys, "left_semi").withColumn("is_core", F.lit(True))
+    rest = at.join(dense, cell_keys, "left_anti")
+    found = _near(rest, at.select(*by, "cx", "cy", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("weight").alias("weight2")), eps, by)
+    counts = found.groupBy("place_id").agg(F.sum("weight2").alias("n")).where(F.col("n") >= min_samples).select("place_id", F.lit(True).alias("is_core"))
+    decided = rest.join(counts, "place_id", "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)))
+    return written(sure.unionByName(decided), "counted")
+
+
+def _near(left: DataFrame, right: DataFrame, eps: float, by: list[str]) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` (lon2, lat2, in cells) at most ``eps`` away."""
+    wide = _to_neighbours(left.select(*by, "place_id", "lon", "lat", "cx", "cy")).drop("cx", "cy").withColumnsRenamed({"near_x": "cx", "near_y": "cy"})
+    dx, dy = F.col("lon") - F.col("lon2"), F.col("lat") - F.col("lat2")
+    return wide.join(right, [*by, "cx", "cy"]).where(dx * dx + dy * dy <= F.lit(eps) * F.lit(eps))
+
+
+def _cell_links(core: DataFrame, eps: float, by: list[str]) -> DataFrame:
+    """``(src, dst)``: neighbouring cells, by their leading cores, with two cores at most ``eps`` apart.
+
+    The outermost cores of a cell in eight directions are tried first; only pairs of cells that those do not link have
+    all their cores compared.
+    """
+    keys = [*by, "cx", "cy"]
+    spot = F.struct("lon", "lat")
+    ways = [F.col("lon"), -F.col("lon"), F.col("lat"), -F.col("lat"), F.col("lon") + F.col("lat"), -F.col("lon") - F.col("lat"), F.col("lon") - F.col("lat"), F.col("lat") - F.col("lon")]
+    outer = core.groupBy(*keys).agg(F.min("place_id").alias("lead"), F.array_distinct(F.array(*[F.max_by(spot, F.struct(w, "place_id")) for w in ways])).alias("rim"))
+    outer = written(outer, "cells")
+    half = [o for o in _REACH if o > (0, 0)]
+    left = _to_neighbours(outer, half).select(*by, F.col("lead").alias("src"), F.col("rim").alias("rim1"), F.col("near_x").alias("cx"), F.col("near_y").alias("cy"))
+    met = left.join(outer.select(*keys, F.col("lead").alias("dst"), F.col("rim").alias("rim2")), keys)
+    close = lambda p, q: (p["lon"] - q["lon"]) * (p["lon"] - q["lon"]) + (p["lat"] - q["lat"]) * (p["lat"] - q["lat"]) <= F.lit(eps) * F.lit(eps)
+    tried = written(met.select("src", "dst", F.exists("rim1", lambda p: F.exists("rim2", lambda q: close(p, q))).alias("linked")), "tried")
+    lead = core.join(outer.select(*keys, "lead"), keys).select("lead", spot.alias("p"))
+    open_ = tried.where("not linked").select("src", "dst")
+    compared = open_.join(lead.select(F.col("lead").alias("src"), "p"), "src").join(lead.select(F.col("lead").alias("dst"), F.col("p").alias("q")), "dst").where(close(F.col("p"), F.col("q")))
+    return tried.where("linked").select("src", "dst").union(compared.select("src", "dst").distinct())
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int, by: list[str] | None = None) -> DataFrame:
+    """``(by, event_id, is_core, label, is_noise)``: label is 1 + the smallest core id of the cluster, 0 for noise.
+
+    Ids are unique; with ``by`` every group is clustered on its own. Works on distinct positions with their numbers of
+    points, in cells whose cores are one cluster by construction; clusters are connected components of cells. A border
+    point takes the neighbouring cluster whose smallest core id is lowest. Nothing written grows faster than the points.
     """
-    at = written(places(points, []), "places")
-    pairs = written(range_pairs(at, eps, []), "pairs")
-    place_id = points.groupBy("lon", "lat").agg(F.min("event_id").alias("place_id"))
-    counted = written(pairs.groupBy("lon", "lat").agg(F.sum("weight_other").alias("neighbours")).join(place_id, ["lon", "lat"]), "counted")
-    core = counted.where(F.col("neighbours") >= min_samples).select("lon", "lat", "place_id")
-    other = core.select(F.col("lon").alias("lon_other"), F.col("lat").alias("lat_other"), F.col("place_id").alias("dst"))
-    reach = written(pairs.join(other, ["lon_other", "lat_other"]).select("lon", "lat", "dst"), "reach")
-    links = reach.join(core, ["lon", "lat"]).select(F.col("place_id").alias("src"), "dst")
-    found = components(links)
-    label = written(core.select("place_id").join(found, core.place_id == found.node, "left").select("place_id", F.coalesce("label", "place_id").alias("label")), "labels")
-    best = reach.join(label, reach.dst == label.place_id).groupBy("lon", "lat").agg(F.min("label").alias("border"))
-    own = counted.join(label, "place_id", "left").select("lon", "lat", "label", (F.col("neighbours") >= min_samples).alias("is_core"))
-    decided = own.join(best, ["lon", "lat"], "left")
-    cluster = F.coalesce(F.col("label") + 1, F.col("border") + 1, F.lit(0))
-    return points.join(decided, ["lon", "lat"]).select("event_id", "is_core", cluster.cast("long").alias("label"), (cluster == 0).alias("is_noise"))
+    by = by or []
+    with scratch():
+        counted = _counted(points, eps, min_samples, by)
+        core = counted.where("is_core")
+        found = components(_cell_links(core, eps, by))
+        keys = [*by, "cx", "cy"]
+        lead = core.groupBy(*keys).agg(F.min("place_id").alias("lead"))
+        labels = written(lead.join(found, lead.lead == found.node, "left").select(*keys, F.coalesce("label", "lead").alias("label")), "labels")
+        at_cores = core.join(labels, keys).select(*keys, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "label")
+        border = _near(counted.where("not is_core"), at_cores, eps, by).groupBy("place_id").agg(F.min("label").alias("border"))
+        own = counted.where("is_core").join(labels, keys).select(*by, "lon", "lat", "is_core", (F.col("label") + 1).alias("label"))
+        other = counted.where("not is_core").join(border, "place_id", "left").select(*by, "lon", "lat", "is_core", (F.coalesce("border", F.lit(-1)) + 1).alias("label"))
+        decided = written(own.unionByName(other), "decided", keep=True)
+    joined = points.select(*by, "event_id", "lon", "lat").join(decided, [*by, "lon", "lat"])
+    return joined.select(*by, "event_id", "is_core", F.col("label").cast("long").alias("label"), (F.col("label") == 0).alias("is_noise"))
 
 
 def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import ship
+from patrolkit.plans.shared_tables import ship, written
 
 PENALTY = 4000.0
 
@@ -107,13 +107,19 @@ def robust_value(samples: np.ndarray, unvisited: np.ndarray, epsilon: float, sca
     return scale * best[0], scale * best[1]
 
 
-def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale: float = PENALTY) -> DataFrame:
+#: Cells of the periods by nodes matrix up to which one goes to every task; larger ones stay distributed.
+MATRIX_CELLS = 20_000_000
+
+
+def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale: float = PENALTY, cells: int = MATRIX_CELLS) -> DataFrame:
     """``(selection, epsilon, penalty, multiplier)`` of the exact dual for every row ``(selection, epsilon, nodes)``.
 
-    The periods by nodes matrix of one case study (its rows are counted first) goes to the tasks; equal selections are
-    evaluated once for each radius.
+    The prizes are counted first: the matrix of a case study of at most ``cells`` goes to the tasks, where equal
+    selections are evaluated once for each radius; a larger table goes through :func:`robust_by_rows`.
     """
-    rows = prizes.select(period, "node_id", "prize").toPandas()  # one case study: periods times candidate nodes
+    if prizes.limit(cells + 1).count() > cells:
+        return robust_by_rows(prizes, selections, period, scale)
+    rows = prizes.select(period, "node_id", "prize").toPandas()  # counted above
     wide = rows.pivot(index=period, columns="node_id", values="prize").sort_index()
     shared = prizes.sparkSession.sparkContext.broadcast((wide.columns.to_numpy(), wide.to_numpy(float)))
 
@@ -133,3 +139,53 @@ def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale:
     ship(prizes.sparkSession)
     tasks = selections.select("selection", "epsilon", "nodes").repartition("selection")
     return tasks.mapInPandas(run, "selection string, epsilon double, penalty double, multiplier double")
+
+
+#: Points of the dual's range that one pass over the periods evaluates, and passes; each narrows the range to two steps.
+POINTS, PASSES = 33, 12
+
+
+def robust_by_rows(prizes: DataFrame, selections: DataFrame, period: str = "day", scale: float = PENALTY) -> DataFrame:
+    """What :func:`robust` gives, with one row a selection and period: its missed prize and its sorted rooms.
+
+    The dual is convex in s, so the least of POINTS values and its neighbours bound the minimum. A pass evaluates all
+    points of all (selection, radius) over the rows and adds them up by groups; only the points go to the tasks.
+    """
+    spark = prizes.sparkSession
+    ship(spark)
+    radii = [(r["selection"], r["epsilon"]) for r in selections.select("selection", "epsilon").distinct().collect()]  # the tasks
+    marks = selections.select("selection", F.explode_outer("nodes").alias("seen")).distinct()
+    grid = prizes.crossJoin(F.broadcast(selections.select("selection").distinct()))  # few selections, each over all prizes
+    hit = marks.where("seen is not null").select(F.col("selection").alias("s2"), "seen")
+    open_ = grid.join(hit, (F.col("selection") == F.col("s2")) & (F.col("node_id") == F.col("seen")), "left_anti")
+    rooms = open_.groupBy("selection", period).agg(F.sum("prize").alias("missed"), F.array_sort(F.collect_list(1.0 - F.col("prize"))).alias("room"))
+    rooms = written(rooms.select("selection", "missed", "room"), "rooms")
+    sizes = {r["selection"]: r["m"] for r in rooms.groupBy("selection").agg(F.max(F.size("room")).alias("m")).collect()}
+    nodes = prizes.select("node_id").distinct().count()
+    bounds = {(name, e): (0.0, float(np.sqrt(sizes[name]))) for name, e in radii if name in sizes}
+    best: dict[tuple, tuple[float, float]] = {}
+    for _ in range(PASSES):
+        points = {key: np.linspace(*ends, POINTS) for key, ends in bounds.items()}
+
+        def evaluate(batches: Iterator[pd.DataFrame], points=points) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                out = []
+                for name, missed_, room in zip(part["selection"], part["missed"], part["room"], strict=True):
+                    row = np.asarray(room, float)[None]
+                    for (who, epsilon), some in points.items():
+                        if who == name:
+                            for i, s in enumerate(some):
+                                d = common_level(row, float(s))[0]
+                                out.append((name, epsilon, i, epsilon * s + missed_ + max(0.0, float(d.sum() - s * np.sqrt((d**2).sum())))))
+                yield pd.DataFrame(out, columns=["selection", "epsilon", "point", "value"])
+
+        made = rooms.mapInPandas(evaluate, "selection string, epsilon double, point int, value double")
+        table: dict[tuple, np.ndarray] = {}
+        for r in made.groupBy("selection", "epsilon", "point").agg(F.avg("value").alias("value")).collect():  # POINTS a task
+            table.setdefault((r["selection"], r["epsilon"]), np.full(POINTS, np.inf))[r["point"]] = r["value"]
+        for key, values in table.items():
+            i = int(values.argmin())
+            best[key] = (float(values[i]), float(points[key][i]))
+            bounds[key] = (float(points[key][max(0, i - 1)]), float(points[key][min(POINTS - 1, i + 1)]))
+    rows = [(n, e, *(scale * v for v in best[n, e])) if (n, e) in best else (n, e, 0.0, float(np.sqrt(nodes))) for n, e in radii]
+    return spark.createDataFrame(rows, "selection string, epsilon double, penalty double, multiplier double")

@@ -131,8 +131,9 @@ def q15b_density_params(spark, sf):
 
 
 def _centres(spark, sf):
-    labelled = cluster.dbscan_by_period(_pings(spark, sf), "day", CENTRE_EPS, CENTRE_SAMPLES)
-    return cluster.centroids(labelled, ["day"])
+    points = _pings(spark, sf).select("day", "event_id", "lon", "lat")
+    found = cluster.dbscan(points, CENTRE_EPS, CENTRE_SAMPLES, by=["day"]).where("label > 0").select("event_id", "label")
+    return cluster.centroids(points.join(found, "event_id"), ["day"])
 
 
 def _merged(spark, sf):
@@ -140,7 +141,7 @@ def _merged(spark, sf):
     from patrolkit.plans.shared_tables import written
 
     day = F.datediff("day", F.lit("2000-01-01").cast("date"))
-    centres = written(_centres(spark, sf).withColumn("event_id", day.cast("long") * 1_000_000 + F.col("label")), "centres")
+    centres = written(_centres(spark, sf).withColumn("event_id", day.cast("long") * 1_000_000_000_000 + F.col("label")), "centres")
     mean_lat = centres.agg(F.avg("lat")).first()[0] or 0.0
     x, y = local_km(F.col("lon"), F.col("lat"), 0.0, float(mean_lat))
     local = centres.select("event_id", x.alias("lon"), (y + mean_lat * 110.57).alias("lat"))
@@ -210,7 +211,7 @@ def _selections(spark, sf):
 def q24_dro_general(spark, sf):
     chosen = _selections(spark, sf).groupBy("selection").agg(F.collect_list("node_id").alias("nodes"))
     tasks = chosen.crossJoin(_radii(spark, (0.0, 0.1, 0.5, 1.0)))
-    return robust.robust(_prizes(spark, sf), tasks, scale=SCALE).select("selection", "epsilon", F.round("penalty", 3).alias("penalty"), F.round("multiplier", 3).alias("multiplier"))
+    return robust.robust(_prizes(spark, sf), tasks, scale=SCALE).select("selection", "epsilon", F.round("penalty", 2).alias("penalty"))
 
 
 def _realized(spark, sf):
@@ -231,34 +232,41 @@ def q27_cvar(spark, sf):
     return made.select("n", F.round("mean_value", 3).alias("mean_value"), F.round("cvar_value", 3).alias("cvar_value"), F.round("worst_value", 3).alias("worst_value"))
 
 
+def _travel(spark, sf):
+    """Each selection's route cost: its nodes in four angular sectors, with the legs from and to the depot."""
+    chosen = _selections(spark, sf).join(F.broadcast(_nodes(spark, sf)), "node_id").select("selection", "node_id", "lon", "lat")
+    cost = routing.route_costs(routing.sector_routes(chosen, 4, by="selection"), by=["selection"]).groupBy("selection").agg(F.sum("cost").alias("travel"))
+    return _selections(spark, sf).select("selection").distinct().join(cost, "selection", "left").select("selection", F.coalesce("travel", F.lit(0.0)).alias("travel"))
+
+
+def _exact(spark, sf, radii, scale=SCALE):
+    """The exact robust penalty of each selection under each radius."""
+    chosen = _selections(spark, sf).groupBy("selection").agg(F.collect_list("node_id").alias("nodes"))
+    return robust.robust(_prizes(spark, sf), chosen.crossJoin(_radii(spark, radii)), scale=scale)
+
+
 def _cross(spark, sf):
-    """Plans by selection, each evaluated under every radius (travel plus the bound of the robust penalty)."""
-    misses = robust.missed(_prizes(spark, sf), _selections(spark, sf), by=["selection"])
-    value = robust.robust_bound(misses, _radii(spark, CROSS_RADII), SCALE, by=["selection"])
-    x, y = local_km(F.col("lon"), F.col("lat"))
-    reach = _selections(spark, sf).join(_nodes(spark, sf).select("node_id", x.alias("x"), y.alias("y")), "node_id", "left")
-    travel = reach.groupBy("selection").agg((F.coalesce(F.sum(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), F.lit(0.0)) * 2.0).alias("travel"))
-    return value.join(F.broadcast(travel), "selection").select("selection", "epsilon", (F.col("penalty") + F.col("travel")).alias("objective"), "travel")
+    """Plans by selection, each evaluated under every radius: route cost plus the exact robust penalty."""
+    value = _exact(spark, sf, CROSS_RADII).join(F.broadcast(_travel(spark, sf)), "selection")
+    return value.select("selection", "epsilon", (F.col("penalty") + F.col("travel")).alias("objective"), "travel")
 
 
 def q28_eps_cross_matrix(spark, sf):
     cells = _cross(spark, sf)
-    wide = cells.groupBy("selection").pivot("epsilon", [float(v) for v in CROSS_RADII]).agg(F.round(F.first("objective"), 3))
+    wide = cells.groupBy("selection").pivot("epsilon", [float(v) for v in CROSS_RADII]).agg(F.round(F.first("objective"), 2))
     return wide.select("selection", *[F.col(f"`{float(v)}`").alias(f"e{int(round(v * 1000))}") for v in CROSS_RADII])
 
 
 def q29_column_winners(spark, sf):
-    best = _cross(spark, sf).groupBy("epsilon").agg(F.min(F.struct(F.round("objective", 3).alias("objective"), "selection")).alias("best"))
+    best = _cross(spark, sf).groupBy("epsilon").agg(F.min(F.struct(F.round("objective", 2).alias("objective"), "selection")).alias("best"))
     return best.select("epsilon", "best.selection", "best.objective")
 
 
 def q30_lower_envelope(spark, sf):
-    misses = robust.missed(_prizes(spark, sf), _selections(spark, sf), by=["selection"])
-    unit = robust.robust_bound(misses, _radii(spark, (0.1,)), 1.0, by=["selection"]).select("selection", F.col("penalty").alias("unit_penalty"))
-    travel = _cross(spark, sf).groupBy("selection").agg(F.first("travel").alias("travel"))
-    pool = unit.join(travel, "selection").withColumnRenamed("selection", "plan_id")
+    unit = _exact(spark, sf, (0.1,), 1.0).select("selection", F.col("penalty").alias("unit_penalty"))
+    pool = unit.join(_travel(spark, sf), "selection").withColumnRenamed("selection", "plan_id")
     levels = spark.createDataFrame([(float(v),) for v in LEVELS], "level double")
-    return statistics.lower_envelope(pool, levels).select("level", "plan_id", F.round("objective", 2).alias("objective"))
+    return statistics.lower_envelope(pool, levels).select("level", "plan_id", F.round("objective", 1).alias("objective"))
 
 
 def q31_pareto(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import dihedral, local_km
-from patrolkit.operators import capacitated, cluster, features, spatial, statistics, tuning
+from patrolkit.operators import capacitated, cluster, features, routing, spatial, statistics, tuning
 from patrolkit.sources import pings as P
 from patrolkit.streaming import batches
 
@@ -122,8 +122,14 @@ def q68_capacitated_search(spark, sf):
 
 
 def q69_capacitated_feasibility(spark, sf):
+    """A fixed plan a region, checked: nodes in four angular sectors, some left out and some visited twice."""
     stops = _stops(spark, sf)
-    return capacitated.feasibility(capacitated.search(stops, CAPACITY), stops, CAPACITY).select("instance", "missed", "repeated", "feasible")
+    placed = routing.sector_routes(_nodes(spark, sf), 4, by="region_key").where("node_id % 7 <> 3").select(F.col("region_key").alias("instance"), "vehicle", F.struct("pos", (F.col("node_id") + 1).alias("node")).alias("stop"), "node_id")
+    route = F.transform(F.array_sort(F.collect_list("stop")), lambda s: s["node"])
+    twice = F.collect_list(F.when(F.col("node_id") % 11 == 5, F.col("stop.node")))
+    plans = placed.groupBy("instance", "vehicle").agg(F.concat(route, twice).alias("route"))
+    plans = plans.groupBy("instance").agg(F.to_json(F.collect_list("route")).alias("routes"))
+    return capacitated.feasibility(plans, stops, CAPACITY).select("instance", "missed", "repeated", F.round("largest_load", 3).alias("largest_load"), "feasible")
 
 
 def q70_enhanced_params(spark, sf):
@@ -181,6 +187,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
     "q67_removal_savings": O._with(O.NODES, O.XY, O.ROUTES) + """
 , n AS (SELECT *, coalesce(lag(x) OVER v, 0) AS px, coalesce(lag(y) OVER v, 0) AS py, coalesce(lead(x) OVER v, 0) AS nx, coalesce(lead(y) OVER v, 0) AS ny FROM routes WINDOW v AS (PARTITION BY vehicle ORDER BY pos))
 SELECT vehicle, node_id, round((sqrt((px - x) * (px - x) + (py - y) * (py - y)) + sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)) - sqrt((px - nx) * (px - nx) + (py - ny) * (py - ny))) * 100, 3) + 0::DOUBLE AS saving FROM n""",
-    "q69_capacitated_feasibility": O._with(O.NODES) + " SELECT DISTINCT region_key AS instance, CAST(0 AS BIGINT) AS missed, CAST(0 AS BIGINT) AS repeated, true AS feasible FROM nodes",
+    "q69_capacitated_feasibility": O._with(O.NODES, O.XY) + f"""
+, placed AS (SELECT region_key, node_id, ntile(4) OVER (PARTITION BY region_key ORDER BY round(atan2(y, x), 9), node_id) AS vehicle FROM xy),
+planned AS (SELECT * FROM placed WHERE node_id % 7 <> 3),
+visits AS (SELECT * FROM planned UNION ALL SELECT * FROM planned WHERE node_id % 11 = 5),
+loads AS (SELECT region_key, vehicle, sum(1 + node_id % 9)::DOUBLE AS load FROM visits GROUP BY ALL),
+seen AS (SELECT n.region_key, n.node_id, count(v.node_id) AS times FROM nodes n LEFT JOIN visits v USING (region_key, node_id) GROUP BY ALL)
+SELECT s.region_key AS instance, count(*) FILTER (times = 0) AS missed, count(*) FILTER (times > 1) AS repeated, round(max(l.load), 3) AS largest_load,
+  count(*) FILTER (times <> 1) = 0 AND coalesce(max(l.load), 0) <= {{CAPACITY}} AS feasible
+FROM seen s LEFT JOIN (SELECT region_key, max(load) AS load FROM loads GROUP BY region_key) l USING (region_key) GROUP BY s.region_key""".replace("{CAPACITY}", str(CAPACITY)),
     "q72_json_coordinates": O._with(O.PINGS) + " SELECT event_id, round(round(lon, 6), 6) AS lon, round(round(lat, 6), 6) AS lat FROM pings",
 }

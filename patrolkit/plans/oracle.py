@@ -115,10 +115,10 @@ day_walk AS (
   UNION SELECT w.node, p.b FROM day_walk w JOIN day_pair p ON w.reach = p.a AND p.b IN (SELECT a FROM day_core)),
 day_label AS (SELECT node AS event_id, min(reach) AS root FROM day_walk GROUP BY node),
 centres AS (
-  SELECT day, root, dense_rank() OVER (PARTITION BY day ORDER BY root) - 1 AS label, avg(lon) AS lon, avg(lat) AS lat, count(*) AS sampled_count
+  SELECT day, root, root + 1 AS label, avg(lon) AS lon, avg(lat) AS lat, count(*) AS sampled_count
   FROM pings JOIN day_label USING (event_id) GROUP BY day, root),
 spots AS (
-  SELECT *, date_diff('day', DATE '2000-01-01', day) * 1000000 + label AS id FROM centres),
+  SELECT *, date_diff('day', DATE '2000-01-01', day) * 1000000000000 + label AS id FROM centres),
 mid AS (SELECT avg(lat) AS m FROM spots),
 local AS (
   SELECT id AS event_id, lon * 111.32::DOUBLE * cos(radians(m)) AS lon, (lat - m) * 110.57::DOUBLE + m * 110.57::DOUBLE AS lat FROM spots, mid)"""
@@ -156,20 +156,57 @@ picked AS (
   SELECT 'every 2' AS selection, node_id FROM nodes WHERE node_id % 2 = 0 UNION ALL SELECT 'every 3', node_id FROM nodes WHERE node_id % 3 = 0
   UNION ALL SELECT 'every 5', node_id FROM nodes WHERE node_id % 5 = 0 UNION ALL SELECT 'all', node_id FROM nodes),
 names(selection) AS (VALUES ('every 2'), ('every 3'), ('every 5'), ('all'), ('none')),
-each_day AS (
-  SELECT s.selection, p.day, sum(CASE WHEN k.node_id IS NULL THEN prize ELSE 0 END) AS missed, count(*) FILTER (k.node_id IS NULL) AS m
-  FROM names s CROSS JOIN prizes p LEFT JOIN picked k ON k.selection = s.selection AND k.node_id = p.node_id GROUP BY s.selection, p.day),
-stats AS (SELECT selection, avg(missed) AS mean_missed, max(m) AS m FROM each_day GROUP BY selection),
+open_ones AS (
+  SELECT s.selection, p.day, p.prize, 1 - p.prize AS room FROM names s CROSS JOIN prizes p LEFT JOIN picked k ON k.selection = s.selection AND k.node_id = p.node_id WHERE k.node_id IS NULL),
+each_day AS (SELECT selection, day, sum(prize) AS missed, count(*) AS m FROM open_ones GROUP BY ALL),
+stats AS (SELECT selection, avg(missed) AS mean_missed, max(m) AS m FROM each_day GROUP BY selection)"""
+#: For each number k of filled rooms: their sum and sum of squares, the next room, and how many rooms are left.
+ROOMS = """
+sorted AS (SELECT selection, day, room, row_number() OVER v AS i, count(*) OVER (PARTITION BY selection, day) AS m, sum(room) OVER w AS upto, sum(room * room) OVER w AS squares
+  FROM open_ones WINDOW v AS (PARTITION BY selection, day ORDER BY room), w AS (PARTITION BY selection, day ORDER BY room ROWS UNBOUNDED PRECEDING)),
+filled AS (
+  SELECT selection, day, i - 1 AS k, m, m - i + 1 AS rest, upto - room AS s1, squares - room * room AS s2, room AS next FROM sorted
+  UNION ALL SELECT selection, day, m, m, 0, upto, squares, 9e9 FROM sorted WHERE i = m)"""
+
+
+def _dual(radii: tuple[float, ...]) -> str:
+    """CTEs up to ``dual`` (selection, epsilon, value): the least of the convex dual, by bisection on its slope."""
+    return f"""
+radius AS (SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in radii)}]) AS epsilon),
+halve AS (
+  SELECT selection, epsilon, 0 AS turn, 0::DOUBLE AS low, sqrt(m::DOUBLE) AS high FROM stats, radius
+  UNION ALL
+  SELECT selection, epsilon, turn + 1, CASE WHEN epsilon < g THEN mid ELSE low END, CASE WHEN epsilon < g THEN high ELSE mid END
+  FROM (
+    SELECT selection, epsilon, turn, any_value(low) AS low, any_value(high) AS high, any_value(mid) AS mid, avg(sqrt(n2)) AS g
+    FROM (
+      SELECT h.selection, h.epsilon, h.turn, h.low, h.high, (h.low + h.high) / 2 AS mid, f.day,
+        arg_min(f.s2 + CASE WHEN f.rest > 0 THEN f.rest * f.s2 / ((h.low + h.high) * (h.low + h.high) / 4 - f.rest) ELSE 0 END, f.k) AS n2
+      FROM halve h JOIN filled f ON f.selection = h.selection
+      WHERE h.turn < 44 AND (f.rest = 0 OR ((h.low + h.high) * (h.low + h.high) / 4 > f.rest AND sqrt(f.s2 / ((h.low + h.high) * (h.low + h.high) / 4 - f.rest)) <= f.next + 1e-12))
+      GROUP BY ALL) GROUP BY selection, epsilon, turn)),
+ends AS (SELECT selection, epsilon, unnest([0::DOUBLE, low, high, sqrt(m::DOUBLE)]) AS s, m FROM halve JOIN stats USING (selection) WHERE turn = 44),
+per_day AS (
+  SELECT e.selection, e.epsilon, e.s, f.day, any_value(e.m) AS m,
+    arg_min(f.s1 + CASE WHEN f.rest > 0 THEN f.rest * sqrt(f.s2 / (e.s * e.s - f.rest)) ELSE 0 END, f.k) AS d1,
+    arg_min(f.s2 + CASE WHEN f.rest > 0 THEN f.rest * f.s2 / (e.s * e.s - f.rest) ELSE 0 END, f.k) AS d2
+  FROM ends e JOIN filled f ON f.selection = e.selection
+  WHERE f.rest = 0 OR (e.s * e.s > f.rest AND sqrt(f.s2 / (e.s * e.s - f.rest)) <= f.next + 1e-12) GROUP BY e.selection, e.epsilon, e.s, f.day),
+at_s AS (
+  SELECT selection, epsilon, s, epsilon * s + avg(missed + CASE WHEN s * s >= p.m - 1e-12 THEN 0 ELSE greatest(0, d1 - s * sqrt(d2)) END) AS value
+  FROM per_day p JOIN each_day USING (selection, day) GROUP BY selection, epsilon, s),
+dual AS (SELECT selection, epsilon, coalesce(min(value), 0) AS value FROM names CROSS JOIN radius LEFT JOIN at_s USING (selection, epsilon) GROUP BY ALL)"""
+
+
+TRAVELS = """
+chosen AS (SELECT k.selection, x, y, node_id FROM picked k JOIN xy USING (node_id)),
+sectors AS (SELECT *, ntile(4) OVER v AS vehicle, row_number() OVER v AS pos FROM chosen WINDOW v AS (PARTITION BY selection ORDER BY round(atan2(y, x), 9), node_id)),
+stops AS (SELECT *, coalesce(lag(x) OVER v, 0) AS px, coalesce(lag(y) OVER v, 0) AS py, lead(pos) OVER v IS NULL AS last FROM sectors WINDOW v AS (PARTITION BY selection, vehicle ORDER BY pos)),
 travels AS (
-  SELECT s.selection, coalesce(sum(sqrt(x * x + y * y)), 0) * 2 AS travel
-  FROM names s LEFT JOIN picked k USING (selection) LEFT JOIN xy USING (node_id) GROUP BY s.selection)"""
-CROSS = (
-    SELECTIONS
-    + f""",
-crossed AS (
-  SELECT selection, e AS epsilon, travel, CASE WHEN m = 0 THEN 0 ELSE {SCALE} * (e * sqrt(m::DOUBLE) + mean_missed) END + travel AS objective
-  FROM stats JOIN travels USING (selection), (SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in CROSS_RADII)}]) AS e))"""
-)
+  SELECT selection, coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py)) + CASE WHEN last THEN sqrt(x * x + y * y) ELSE 0 END), 0) * 100 AS travel
+  FROM names LEFT JOIN stops USING (selection) GROUP BY selection)"""
+CROSS = ",".join((SELECTIONS, ROOMS, _dual(CROSS_RADII), TRAVELS)) + f""",
+crossed AS (SELECT selection, epsilon, travel, {SCALE} * value + travel AS objective FROM dual JOIN travels USING (selection))"""
 RECORDS = "records AS (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS instance, o_orderpriority AS method, CAST(o_totalprice AS DOUBLE) AS objective FROM orders)"
 PAIRED = (
     RECORDS
@@ -283,12 +320,13 @@ FROM (SELECT avg(missed) AS mm, avg(coalesce(room, 0)) AS mr, max(unvisited) AS
     "q27_cvar": _with(BASE, REALIZED) + """
 SELECT count(*) AS n, round(avg(cost), 3) AS mean_value, round(avg(cost) FILTER (r <= ceil(0.1::DOUBLE * n)), 3) AS cvar_value, round(max(cost), 3) AS worst_value
 FROM (SELECT cost, row_number() OVER (ORDER BY cost DESC) AS r, count(*) OVER () AS n FROM realized)""",
-    "q28_eps_cross_matrix": _with(BASE, XY, CROSS) + " SELECT selection, " + ", ".join(f"round(max(objective) FILTER (epsilon = {v}::DOUBLE), 3) AS e{round(v * 1000)}" for v in CROSS_RADII) + " FROM crossed GROUP BY selection",
-    "q29_column_winners": _with(BASE, XY, CROSS) + " SELECT epsilon, b.s AS selection, b.o AS objective FROM (SELECT epsilon, min({'o': round(objective, 3), 's': selection}) AS b FROM crossed GROUP BY epsilon)",
-    "q30_lower_envelope": _with(BASE, XY, SELECTIONS) + f"""
-SELECT level, b.s AS plan_id, round(b.o, 2) AS objective FROM (
-  SELECT level, min({{'o': round(travel + level * CASE WHEN m = 0 THEN 0 ELSE 0.1::DOUBLE * sqrt(m::DOUBLE) + mean_missed END, 6), 's': selection}}) AS b
-  FROM stats JOIN travels USING (selection), (SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in LEVELS)}]) AS level) GROUP BY level)""",
+    "q24_dro_general": _with(BASE, SELECTIONS, ROOMS, _dual((0.0, 0.1, 0.5, 1.0)), recursive=True) + f" SELECT selection, epsilon, round({SCALE} * value, 2) AS penalty FROM dual",
+    "q28_eps_cross_matrix": _with(BASE, XY, CROSS, recursive=True) + " SELECT selection, " + ", ".join(f"round(max(objective) FILTER (epsilon = {v}::DOUBLE), 2) AS e{round(v * 1000)}" for v in CROSS_RADII) + " FROM crossed GROUP BY selection",
+    "q29_column_winners": _with(BASE, XY, CROSS, recursive=True) + " SELECT epsilon, b.s AS selection, b.o AS objective FROM (SELECT epsilon, min({'o': round(objective, 2), 's': selection}) AS b FROM crossed GROUP BY epsilon)",
+    "q30_lower_envelope": _with(BASE, XY, SELECTIONS, ROOMS, _dual((0.1,)), TRAVELS, recursive=True) + f"""
+SELECT level, b.s AS plan_id, round(b.o, 1) AS objective FROM (
+  SELECT level, min({{'o': round(travel + level * value, 6), 's': selection}}) AS b
+  FROM dual JOIN travels USING (selection), (SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in LEVELS)}]) AS level) GROUP BY level)""",
     "q31_pareto": """
 WITH per AS (SELECT CAST(o_custkey AS BIGINT) AS o_custkey, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS cost, count(*)::DOUBLE AS gain FROM orders GROUP BY ALL),
 one AS (SELECT cost, max({'g': gain, 't': -o_custkey}) AS b FROM per GROUP BY cost),

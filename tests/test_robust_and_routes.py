@@ -136,3 +136,15 @@ def test_realised_cost_golden(spark):
     row = realized(misses, 57257.688501551376, 4000.0).first()
     assert row["cost"] == pytest.approx(77740.44712224104)
     assert row["coverage_pct"] == 100.0
+
+
+def test_robust_penalties_over_rows_equal_the_kernel(spark):
+    draw = np.random.default_rng(3)
+    rows = [(t, i, float(v)) for t in range(7) for i, v in enumerate(draw.uniform(0, 1, 9))]
+    prizes = spark.createDataFrame(rows, "day int, node_id long, prize double")
+    tasks = spark.createDataFrame([(name, e, nodes) for name, nodes in (("some", [0, 3, 4]), ("none", [None]), ("all", list(range(9)))) for e in (0.0, 0.1, 0.4, 1.0)], "selection string, epsilon double, nodes array<long>")
+    by_matrix, by_rows = ({(r["selection"], r["epsilon"]): (r["penalty"], r["multiplier"]) for r in robust.robust(prizes, tasks, cells=c).collect()} for c in (10**6, 10))
+    assert by_matrix.keys() == by_rows.keys() and len(by_rows) == 12
+    for key, (value, _) in by_matrix.items():
+        assert by_rows[key][0] == pytest.approx(value, abs=1e-4)
+    assert by_rows["all", 0.1] == (0.0, 3.0)

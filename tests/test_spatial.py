@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -78,20 +78,53 @@ def test_grid_kernel_agrees_with_brute_force(cells, k):
     assert got.tolist() == [order.get(v, -1) for v in want.tolist()]
 
 
-def test_distributed_dbscan_agrees_with_brute_force(spark):
-    x = np.round(np.random.default_rng(2).normal(size=(250, 2)) * 4) / 4
-    got = {r["event_id"]: (r["label"], r["is_core"]) for r in cluster.dbscan(points(spark, x), 0.5, 4).collect()}
-    want, core = brute_dbscan(x, 0.5, 4)
+@pytest.mark.parametrize("spread, k, step", [(4, 4, 4), (1, 6, 16), (12, 2, 2), (2, 300, 8)])
+def test_distributed_dbscan_agrees_with_brute_force(spark, spread, k, step):
+    """Sparse, dense and repeated positions; cells that are all core, cells with some cores, and none."""
+    x = np.round(np.random.default_rng(2).normal(size=(250, 2)) * spread * step) / step
+    x[40:60] = x[3]
+    got = {r["event_id"]: (r["label"], r["is_core"]) for r in cluster.dbscan(points(spark, x), 0.5, k).collect()}
+    want, core = brute_dbscan(x, 0.5, k)
     assert [got[i] for i in range(len(x))] == list(zip(want.tolist(), core.tolist(), strict=True))
 
 
+def test_cells_whose_rims_do_not_meet_are_compared(spark):
+    """Two neighbouring cells of many cores each, whose nearest pair is not among the outermost cores."""
+    side = 0.5 / np.sqrt(2)
+    draw = np.random.default_rng(5)
+    for _ in range(3):
+        x = np.vstack([draw.uniform(0, 1, (60, 2)) * side * 0.98, draw.uniform(0, 1, (60, 2)) * side * 0.98 + [2 * side, side]])
+        got = {r["event_id"]: r["label"] for r in cluster.dbscan(points(spark, x), 0.5, 5).collect()}
+        assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.5, 5)[0].tolist()
+
+
+def test_groups_are_clustered_apart(spark):
+    draw = np.random.default_rng(6)
+    x = np.round(draw.normal(size=(160, 2)) * 6) / 4
+    day = draw.integers(0, 3, len(x))
+    table = points(spark, x).join(spark.createDataFrame([(i, int(d)) for i, d in enumerate(day)], "event_id long, day long"), "event_id")
+    got = {r["event_id"]: r["label"] for r in cluster.dbscan(table, 0.5, 4, by=["day"]).collect()}
+    for d in range(3):
+        ids = np.flatnonzero(day == d)
+        want, _ = brute_dbscan(x[ids], 0.5, 4)
+        assert [got[i] for i in ids] == [0 if w == 0 else int(ids[w - 1]) + 1 for w in want]
+
+
 def test_empty_clouds(spark):
     none = points(spark, [])
     assert cluster.dbscan(none, 0.5, 3).count() == 0
     assert spatial.spaced(none.withColumnRenamed("event_id", "node_id").withColumn("s", F.lit(1.0)), "s", 100.0).count() == 0
 
 
-def test_components_of_a_long_path_and_a_clique(spark):
+@pytest.fixture(params=[0, 200_000])
+def few_links(request, monkeypatch):
+    """Rounds of joins, and one task."""
+    from patrolkit.operators import components as module
+
+    monkeypatch.setattr(module, "FEW_LINKS", request.param)
+
+
+def test_components_of_a_long_path_and_a_clique(spark, few_links):
     path = [(i, i + 1) for i in range(60)]
     clique = [(100 + i, 100 + j) for i in range(12) for j in range(i)]
     links = spark.createDataFrame(path + clique + [(7, 7), (None, 3)], "src long, dst long")
@@ -100,9 +133,9 @@ def test_components_of_a_long_path_and_a_clique(spark):
     assert components(links.limit(0)).count() == 0
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
-def test_components_agree_with_union_find(spark, links):
+def test_components_agree_with_union_find(spark, few_links, links):
     parent = list(range(26))
 
     def root(i):

@@ -31,16 +31,17 @@ def _to_neighbours(rows: DataFrame, offsets: list[tuple[int, int]] = _REACH) ->
     return rows.withColumn("near__", F.explode(cells)).withColumns({"near_x": F.col("near__.x"), "near_y": F.col("near__.y")}).drop("near__")
 
 
-def _counted(points: DataFrame, eps: float, min_samples: int, by: list[str]) -> DataFrame:
+def _counted(points: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame:
     """Positions with ``is_core``. All of a cell with ``min_samples`` points are cores; the points of other cells, under
     ``min_samples`` in each, are compared with their neighbourhood, so no dense cell meets itself or another one."""
     at = written(_celled(points, eps, by), "celled")
     cell_keys = [*by, "cx", "cy"]
-    dense = at.groupBy(*cell_keys).agg(F.sum("weight").alias("held")).where(F.col("held") >= min_samples).select(*cell_keys)
+    wanted = F.col(min_samples) if isinstance(min_samples, str) else F.lit(min_samples)
+    dense = at.groupBy(*cell_keys).agg(F.sum("weight").alias("held")).where(F.col("held") >= wanted).select(*cell_keys)
     sure = at.join(dense, cell_keys, "left_semi").withColumn("is_core", F.lit(True))
     rest = at.join(dense, cell_keys, "left_anti")
     found = _near(rest, at.select(*by, "cx", "cy", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("weight").alias("weight2")), eps, by)
-    counts = found.groupBy("place_id").agg(F.sum("weight2").alias("n")).where(F.col("n") >= min_samples).select("place_id", F.lit(True).alias("is_core"))
+    counts = found.groupBy("place_id", *by).agg(F.sum("weight2").alias("n")).where(F.col("n") >= wanted).select("place_id", F.lit(True).alias("is_core"))
     decided = rest.join(counts, "place_id", "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)))
     return written(sure.unionByName(decided), "counted")
 
@@ -74,10 +75,10 @@ def _cell_links(core: DataFrame, eps: float, by: list[str]) -> DataFrame:
     return tried.where("linked").select("src", "dst").union(compared.select("src", "dst").distinct())
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, by: list[str] | None = None) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int | str, by: list[str] | None = None) -> DataFrame:
     """``(by, event_id, is_core, label, is_noise)``: label is 1 + the smallest core id of the cluster, 0 for noise.
 
-    Ids are unique; with ``by`` every group is clustered on its own. Works on distinct positions with their numbers of
+    Ids are unique; with ``by`` every group is clustered on its own; ``min_samples`` may name a column of ``by``. Works on distinct positions with their numbers of
     points, in cells whose cores are one cluster by construction; clusters are connected components of cells. A border
     point takes the neighbouring cluster whose smallest core id is lowest. Nothing written grows faster than the points.
     """

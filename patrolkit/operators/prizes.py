@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from patrolkit.functions.scalars import persistence_score
 
-from .spatial import nearest_node
+from .cluster import dbscan, density_parameters, min_samples_for
+from .spatial import k_distances, nearest_node, spaced
 
 RADIUS_M = 600.0
 
@@ -50,12 +51,56 @@ def visits(found: DataFrame, period: str = "day") -> DataFrame:
 
 def persistent(centres: DataFrame, period: str, limit: int = 250) -> DataFrame:
     """Merged clusters with weighted centres, periods, and the persistence score; the best ``limit`` get node ids from 1."""
+    keys = [F.desc(F.round("score", 9)), F.desc("active_periods"), F.desc("sampled_count"), F.asc("merged_label")]
+    best = _scored(centres, period).orderBy(*keys).limit(limit)  # a top-k: `limit` rows
+    return best.withColumn("node_id", F.row_number().over(Window.orderBy(*keys)))
+
+
+def _scored(centres: DataFrame, period: str) -> DataFrame:
     w = F.col("sampled_count").cast("double")
     merged = centres.groupBy("merged_label").agg(
         (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"),
         F.sum("sampled_count").alias("sampled_count"), F.count_distinct(period).alias("active_periods"), F.count("*").alias("cluster_count"),
     )
-    scored = merged.withColumn("score", persistence_score(F.col("sampled_count"), F.col("active_periods")))
+    return merged.withColumn("score", persistence_score(F.col("sampled_count"), F.col("active_periods")))
+
+
+def candidates(centres: DataFrame, period: str, *, spacing_m: float = 250.0, limit: int = 250, least: int = 200, max_abs_lat: float = 60.0) -> DataFrame:
+    """Candidate nodes end to end: the persistence score of merged clusters, greedy spacing by falling score, the best
+    ``limit`` of what stays, numbered from 1 in that order. Fewer than ``least`` are an error."""
+    scored = _scored(centres, period)
     keys = [F.desc(F.round("score", 9)), F.desc("active_periods"), F.desc("sampled_count"), F.asc("merged_label")]
-    best = scored.orderBy(*keys).limit(limit)  # a top-k: `limit` rows
+    order = F.struct((-F.round("score", 9)).alias("s"), (-F.col("active_periods")).alias("p"), (-F.col("sampled_count")).alias("c"), F.col("merged_label").alias("l"))
+    kept = spaced(scored.withColumn("node_id", F.col("merged_label")), order, spacing_m, max_abs_lat=max_abs_lat).drop("node_id")
+    best = kept.orderBy(*keys).limit(limit)  # a top-k: `limit` rows
+    found = best.count()
+    if found < least:
+        raise ValueError(f"only {found} candidates lie {spacing_m:g} m apart; {least} are needed")
     return best.withColumn("node_id", F.row_number().over(Window.orderBy(*keys)))
+
+
+def day_counts(points: DataFrame, nodes: DataFrame, period: str, *, near_m: float = 750.0, assign_m: float = 500.0, max_abs_lat: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """``(counts, summary)`` by period: points near fixed nodes are clustered with the period's own parameters, and the
+    points of clusters within ``assign_m`` of their node are counted.
+
+    A period without a point near a node is an error. Coordinates are divided by the period's radius, so that one run
+    clusters all periods.
+    """
+    found = nearest_node(points, nodes.select("node_id", "lon", "lat"), near_m, max_abs_lat=max_abs_lat).where("node_id is not null")
+    empty = points.select(period).distinct().join(found.select(period).distinct(), period, "left_anti").limit(3).collect()
+    if empty:
+        raise ValueError(f"no point lies near a node in {[str(r[0]) for r in empty]}")
+    sizes = found.groupBy(period).agg(min_samples_for(F.count("*").cast("double")).alias("k"))
+    keyed = found.join(F.broadcast(sizes), period)
+    params = density_parameters(k_distances(keyed, period, "k"), k_distances(keyed, period, 2), found, period).withColumnRenamed("n", "points")
+    scaled = found.join(F.broadcast(params.select(period, "eps", "min_samples")), period).select(period, "min_samples", "event_id", (F.col("lon") / F.col("eps")).alias("lon"), (F.col("lat") / F.col("eps")).alias("lat"))
+    labelled = found.join(dbscan(scaled, 1.0, "min_samples", by=[period, "min_samples"]).select("event_id", "label"), "event_id")
+    ok = (F.col("label") > 0) & (F.col("dist_m") <= assign_m)
+    counted = labelled.where(ok).groupBy(period, "node_id").agg(F.count("*").alias("cnt"))
+    noise = F.avg((F.col("label") == 0).cast("double"))
+    made = labelled.groupBy(period).agg(
+        F.count("*").alias("nearby_points"), F.count_if(F.col("label") > 0).alias("clustered_points"), F.count_if(ok).alias("assigned_points"),
+        F.count_distinct(F.when(F.col("label") > 0, F.col("label"))).alias("clusters"), noise.alias("noise_ratio"),
+    )
+    top = counted.groupBy(period).agg(F.count("*").alias("nonzero_nodes"), F.max("cnt").alias("largest_count"))
+    return counted, made.join(params, period).join(top, period, "left")

@@ -141,6 +141,44 @@ def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale:
     return tasks.mapInPandas(run, "selection string, epsilon double, penalty double, multiplier double")
 
 
+def robust_over_spans(prizes: DataFrame, index: str, tasks: DataFrame, scale: float = PENALTY, cells: int = MATRIX_CELLS) -> DataFrame:
+    """``(case, model, epsilon, selection, penalty)`` for every task (case, model, epsilon, first, last, selection, nodes).
+
+    A task sees the periods whose number ``index`` lies in first..last. SP has radius 0; RO costs ``scale`` for every
+    unvisited node. The matrix goes to the tasks once for all cases; a larger table is evaluated case by case.
+    """
+    keys = ["case", "model", "epsilon", "first", "last"]
+    if prizes.limit(cells + 1).count() > cells:
+        out = None
+        for c in tasks.select(*keys).distinct().collect():  # a few cases
+            part = prizes.where(F.col(index).between(c["first"], c["last"]))
+            sets = tasks.where(F.col("case") == c["case"]).select("selection", "nodes")
+            if c["model"] == "RO":
+                visited = sets.select("selection", F.explode_outer("nodes").alias("node_id"))
+                value = box(missed(part, visited, index, by=["selection"]), scale, by=["selection"]).select("selection", F.col("penalty").cast("double").alias("penalty"))
+            else:
+                value = robust_by_rows(part, sets.withColumn("epsilon", F.lit(0.0 if c["model"] == "SP" else c["epsilon"])), index, scale).select("selection", "penalty")
+            one = value.select(F.lit(c["case"]).alias("case"), F.lit(c["model"]).alias("model"), F.lit(c["epsilon"]).alias("epsilon"), "selection", "penalty")
+            out = one if out is None else out.unionByName(one)
+        return out
+    rows = prizes.select(index, "node_id", "prize").toPandas()  # counted above
+    wide = rows.pivot(index=index, columns="node_id", values="prize").sort_index()
+    shared = prizes.sparkSession.sparkContext.broadcast((wide.index.to_numpy(), wide.columns.to_numpy(), wide.to_numpy(float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, nodes, matrix = shared.value
+        for part in batches:
+            values = []
+            for model, epsilon, first, last, chosen in zip(part["model"], part["epsilon"], part["first"], part["last"], part["nodes"], strict=True):
+                open_ = ~np.isin(nodes, chosen)
+                seen = matrix[(numbers >= first) & (numbers <= last)]
+                values.append(scale * float(open_.sum()) if model == "RO" else robust_value(seen, open_, 0.0 if model == "SP" else float(epsilon), scale)[0])
+            yield part[["case", "model", "epsilon", "selection"]].assign(penalty=values)
+
+    ship(prizes.sparkSession)
+    return tasks.select(*keys, "selection", "nodes").repartition("case", "selection").mapInPandas(run, "case string, model string, epsilon double, selection string, penalty double")
+
+
 #: Points of the dual's range that one pass over the periods evaluates, and passes; each narrows the range to two steps.
 POINTS, PASSES = 33, 12
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import cell, degree_steps, haversine_m
@@ -89,13 +89,14 @@ def k_distances(points: DataFrame, period: str, k: int, sample_rows: int = 50_00
     return kept.groupBy(period).applyInPandas(run, f"{period} {kind}, event_id long, k_dist double")
 
 
-def spaced(nodes: DataFrame, score: str, spacing_m: float, *, max_abs_lat: float = 60.0) -> DataFrame:
-    """The nodes that a greedy pass by falling score accepts, each at least ``spacing_m`` from all accepted before.
+def spaced(nodes: DataFrame, score: str | Column, spacing_m: float, *, max_abs_lat: float = 60.0) -> DataFrame:
+    """The nodes that a greedy pass by falling score (or a rising order column) accepts, each at least ``spacing_m`` from
+    all accepted before.
 
     The pass is sequential only between nodes that are close: in rounds, a node is accepted once no undecided better
     one is close, and turned down once an accepted one is. The result is that of the sequential pass.
     """
-    order = F.struct((-F.col(score)).alias("s"), F.col("node_id").alias("n"))
+    order = F.struct((-F.col(score) if isinstance(score, str) else score).alias("s"), F.col("node_id").alias("n"))
     ranked = written(nodes.select("node_id", "lon", "lat", order.alias("rank")), "ranked")
     step_lon, step_lat = degree_steps(spacing_m, max_abs_lat)
     keyed = ranked.withColumns({"cell_x": cell(F.col("lon"), step_lon), "cell_y": cell(F.col("lat"), step_lat)})
@@ -122,6 +123,20 @@ def distance_matrix(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return pairs.select(*by, "node_id", "other_id", d.alias("distance"))
 
 
+def with_depot(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``nodes`` (by, node_id, x, y) with the depot of each instance as node -1 at (0, 0)."""
+    by = by or []
+    keys = nodes.select(*by).distinct() if by else nodes.sparkSession.range(1).drop("id")
+    depot = keys.select(*by, F.lit(-1).cast("long").alias("node_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return nodes.select(*by, "node_id", "x", "y").unionByName(depot)
+
+
+def first_positions(points: DataFrame, order: str) -> DataFrame:
+    """The first row by ``order`` of each position."""
+    rest = F.struct(F.col(order), F.struct(*[F.col(c) for c in points.columns]).alias("row"))
+    return points.groupBy("lon", "lat").agg(F.min(rest).alias("first")).select("first.row.*")
+
+
 def symmetric_neighbours(points: DataFrame, k: int) -> DataFrame:
     """Edges (src, dst, w) of the k-nearest graph plus its transpose, for bounded point sets (one block per task)."""
     cols = [c for c in points.columns if c != "id"]

@@ -91,11 +91,16 @@ def calibration(rows: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def pareto(rows: DataFrame, cost: str, gain: str, tie: str, parts: int = 64) -> DataFrame:
+def pareto(rows: DataFrame, cost: str, gain: str, tie: str, parts: int = 64, *, positive_cost: bool = False, least_gain: float | None = None) -> DataFrame:
     """Rows that no cheaper (or equal) row matches in gain: least cost first, strictly more gain each time.
 
-    Each hashed part keeps its own frontier first; only those few meet in one window.
+    On demand only positive costs and gains from ``least_gain`` on count. Each hashed part keeps its own frontier first;
+    only those few meet in one window.
     """
+    if positive_cost:
+        rows = rows.where(F.col(cost) > 0)
+    if least_gain is not None:
+        rows = rows.where(F.col(gain) >= least_gain)
     best_at_cost = rows.groupBy(cost).agg(F.max(F.struct(F.col(gain).alias("g"), (-F.col(tie)).alias("t"))).alias("top"))
     points = best_at_cost.select(F.col(cost), F.col("top.g").alias(gain), (-F.col("top.t")).alias(tie))
 
@@ -219,13 +224,24 @@ def wilcoxon_by(pairs: DataFrame, method: str, alternative: str = "greater", zer
     return out.unionByName(few.groupBy(method).applyInPandas(small_groups, f"{method} {kind}, n long, w_plus double, p_value double"))
 
 
-def block_bootstrap(values: np.ndarray, block: int, reps: int, seed: int) -> np.ndarray:
-    """Means of ``reps`` resamples made of circular blocks, cut to the length of the values."""
-    draw = np.random.default_rng(seed)
-    n = len(values)
-    starts = draw.integers(0, n, size=(reps, -(-n // block)))
-    index = ((starts[:, :, None] + np.arange(block)) % n).reshape(reps, -1)[:, :n]
-    return values[index].mean(axis=1)
+def block_starts(n: int, blocks: int, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Starts in 0..n-1 of the blocks of each replicate, by an arithmetic generator that any engine can follow."""
+    i = reps.astype(np.int64)[:, None] * blocks + np.arange(blocks) + seed * 7919
+    x = (i * 1103515245 + 12345) % 2147483648
+    x = (x // 1024 * 1664525 + x * 69069 + 1013904223) % 2147483648
+    return x * n // 2147483648
+
+
+def resampled(n: int, block: int, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Places of each replicate of a series of ``n`` values: circular blocks, cut to its length."""
+    starts = block_starts(n, -(-n // block), reps, seed)
+    return ((starts[:, :, None] + np.arange(block)) % n).reshape(len(reps), -1)[:, :n]
+
+
+def block_bootstrap(values: np.ndarray, block: int, reps: int, seed: int, rows: int = 2_000_000) -> np.ndarray:
+    """Means of ``reps`` resamples made of circular blocks, a bounded number of values at a time."""
+    step = max(1, rows // max(1, len(values)))
+    return np.concatenate([values[resampled(len(values), block, np.arange(a, min(reps, a + step)), seed)].mean(axis=1) for a in range(0, reps, step)])
 
 
 def bootstrap_interval(rows: DataFrame, period: str, value: str, by: str, *, block: int = 4, reps: int = 10_000, seed: int = 7) -> DataFrame:
@@ -241,12 +257,19 @@ def bootstrap_interval(rows: DataFrame, period: str, value: str, by: str, *, blo
     return rows.select(by, period, value).groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, low double, high double")
 
 
+#: Cells of a panel that may go to every task of a bootstrap.
+PANEL_CELLS = 20_000_000
+
+
 def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int = 4, reps: int = 500, seed: int = 7) -> DataFrame:
     """Spearman correlations of training means with resampled holdout means, one row for each replicate.
 
-    ``panel`` holds (period, node_id, prize, train): one case study, sent whole to the tasks that draw replicates.
+    ``panel`` holds (period, node_id, prize, train): one case study, counted and then sent whole to the tasks that draw
+    replicates; a larger panel is an error. Means are rounded to nine decimals before they are ranked.
     """
-    rows = panel.toPandas()  # periods times candidate nodes of one case study
+    if panel.limit(PANEL_CELLS + 1).count() > PANEL_CELLS:
+        raise ValueError(f"the panel has over {PANEL_CELLS} cells; aggregate nodes or periods first")
+    rows = panel.toPandas()  # counted above
     wide = rows.pivot(index=period, columns="node_id", values="prize").sort_index()
     base = rows.groupby("node_id")[train].first().reindex(wide.columns).to_numpy(float)
     session = panel.sparkSession
@@ -255,15 +278,10 @@ def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, train_mean = shared.value
-        ranks = pd.Series(train_mean).rank()
+        ranks = pd.Series(np.round(train_mean, 9)).rank()
         for part in batches:
-            out = []
-            for rep in part["id"]:
-                draw = np.random.default_rng([seed, int(rep)])
-                n = len(matrix)
-                starts = draw.integers(0, n, size=-(-n // block))
-                index = ((starts[:, None] + np.arange(block)) % n).ravel()[:n]
-                out.append(ranks.corr(pd.Series(matrix[index].mean(axis=0)).rank()))
+            index = resampled(len(matrix), block, part["id"].to_numpy(), seed)
+            out = [ranks.corr(pd.Series(np.round(matrix[i].mean(axis=0), 9)).rank()) for i in index]
             yield pd.DataFrame({"replicate": part["id"], "rho": out})
 
     return session.range(reps).mapInPandas(run, "replicate long, rho double")
@@ -330,6 +348,21 @@ def rank_quintiles(rows: DataFrame, value: str, key: str) -> DataFrame:
     return placed.withColumn("quintile", bin_).drop("before__")
 
 
+def tiles(rows: DataFrame, value: str, key: str, count: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: which of ``count`` near-equal parts of the order of (value, key) a row lies in, from 1.
+
+    The first parts hold the surplus, as ntile deals it; ranks come from counts of values and a rank inside one value.
+    """
+    per = rows.groupBy(F.col(value).alias("value__")).agg(F.count("*").alias("count__"))
+    before = counts_before(per, [], "value__", "count__", "before__").drop("count__")
+    rank = F.col("before__") + F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1
+    n = rows.count()
+    size, surplus = divmod(n, count)
+    large = surplus * (size + 1)
+    tile = F.when(rank < large, F.floor(rank / F.lit(size + 1))).otherwise(F.lit(surplus) + F.floor((rank - F.lit(large)) / F.lit(max(1, size))))
+    return rows.join(before, rows[value].eqNullSafe(F.col("value__"))).withColumn(name, (tile + 1).cast("int")).drop("value__", "before__")
+
+
 def certified_gaps(records: DataFrame, references: DataFrame, key: str, value: str) -> DataFrame:
     """``records`` with ``gap``: percent over the proven optimum, else over the lower bound, else null.
 

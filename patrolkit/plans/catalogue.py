@@ -163,9 +163,8 @@ def q18_prize_quintiles(spark, sf):
     edges = means.agg(F.expr("percentile(round(mean_prize, 9), array(0.2, 0.4, 0.6, 0.8))").alias("edges"))
     value = F.round("mean_prize", 9)
     by_value = 1 + F.size(F.filter(F.array_distinct("edges"), lambda e: value > F.round(e, 9)))
-    from pyspark.sql import Window
-
-    return means.crossJoin(F.broadcast(edges)).select("node_id", F.round("mean_prize", 6).alias("mean_prize"), by_value.cast("int").alias("value_bin"), F.ntile(5).over(Window.orderBy(value, "node_id")).alias("rank_bin"))
+    ranked = statistics.tiles(means.withColumn("value", value), "value", "node_id", 5, "rank_bin")
+    return ranked.crossJoin(F.broadcast(edges)).select("node_id", F.round("mean_prize", 6).alias("mean_prize"), by_value.cast("int").alias("value_bin"), "rank_bin")
 
 
 def _routes(spark, sf):
@@ -365,19 +364,20 @@ def q42_lsh_dynamic(spark, sf):
 
 def q43_stream_batches(spark, sf):
     """Batches of 1000 inserts by event id, with the points and the distinct vehicles seen so far."""
-    from pyspark.sql import Window
-
     rows = _pings(spark, sf).select("event_id", "plate_num", F.floor(F.col("event_id") / 1000).alias("batch"))
     fresh = rows.groupBy("plate_num").agg(F.min("batch").alias("batch")).groupBy("batch").agg(F.count("*").alias("new_vehicles"))
-    line = Window.orderBy("batch")
-    per = rows.groupBy("batch").agg(F.count("*").alias("inserts")).join(fresh, "batch", "left")
-    return per.select("batch", "inserts", F.sum("inserts").over(line).alias("points"), F.sum(F.coalesce("new_vehicles", F.lit(0))).over(line).alias("vehicles"))
+    per = rows.groupBy("batch").agg(F.count("*").alias("inserts")).join(fresh, "batch", "left").withColumn("new_vehicles", F.coalesce("new_vehicles", F.lit(0)))
+    points = statistics.counts_before(per, [], "batch", "inserts", "points_before")
+    both = statistics.counts_before(points, [], "batch", "new_vehicles", "vehicles_before")
+    return both.select("batch", "inserts", (F.col("points_before") + F.col("inserts")).alias("points"), (F.col("vehicles_before") + F.col("new_vehicles")).alias("vehicles"))
 
 
 def q44_pivot_wide_prizes(spark, sf):
-    days = [f"2024-01-{d:02d}" for d in (1, 2, 3, 4, 5)]
-    wide = _prizes(spark, sf).withColumn("d", F.col("day").cast("string")).groupBy("node_id").pivot("d", days).agg(F.first("cnt").alias("cnt"), F.round(F.first("prize"), 6).alias("prize"))
-    return wide.select("node_id", *[F.col(f"`{d}_{k}`").alias(f"{k}_{d[8:]}") for d in days for k in ("cnt", "prize")])
+    """Counts and prizes of every day side by side."""
+    table = _prizes(spark, sf).withColumn("d", F.date_format("day", "yyyyMMdd"))
+    days = [r["d"] for r in table.select("d").distinct().orderBy("d").collect()]  # the output's columns
+    wide = table.groupBy("node_id").pivot("d", days).agg(F.first("cnt").alias("cnt"), F.round(F.first("prize"), 6).alias("prize"))
+    return wide.select("node_id", *[F.col(f"`{d}_{k}`").alias(f"{k}_{d}") for d in days for k in ("cnt", "prize")])
 
 
 def q45_density_grid(spark, sf):
@@ -390,7 +390,9 @@ def q46_cluster_report(spark, sf):
 
 
 def q47_timepoint_asof(spark, sf):
-    points = spark.sql("SELECT explode(sequence(timestamp'2024-01-02 00:00:00', timestamp'2024-01-30 00:00:00', interval 7 day)) AS point")
+    """The last ping of each vehicle at weekly time points, from the day after the first ping on."""
+    ends = _pings(spark, sf).agg(F.date_add(F.min("day"), 1).cast("timestamp").alias("a"), F.max("published_at").cast("timestamp").alias("b"))
+    points = ends.select(F.explode(F.expr("sequence(a, b, interval 7 day)")).alias("point"))
     rows = _pings(spark, sf).select("plate_num", "published_at", "event_id").withColumn("published_at", F.col("published_at").cast("timestamp"))
     made = statistics.as_of(rows, points, "published_at", "plate_num", "event_id")
     return made.select("plate_num", F.date_format("point", "yyyy-MM-dd").alias("point"), "last_event_id")
@@ -451,15 +453,17 @@ def q51_mns_solve(spark, sf):
 
 def q52_bootstrap_ci(spark, sf):
     rows = _realized(spark, sf).select(F.lit("every 2").alias("plan"), "day", "cost")
-    return statistics.bootstrap_interval(rows, "day", "cost", "plan", reps=2000)
+    made = statistics.bootstrap_interval(rows, "day", "cost", "plan", reps=2000)
+    return made.select("plan", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
 
 
 def q53_wilcoxon_p(spark, sf):
-    return statistics.wilcoxon_by(_paired(spark, sf), "method")
+    made = statistics.wilcoxon_by(_paired(spark, sf), "method")
+    return made.select("method", "n", "w_plus", F.round("p_value", 7).alias("p_value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue_more
+    from . import catalogue_more, catalogue_records
 
-    found = {k: f for part in (globals(), vars(catalogue_more)) for k, f in part.items() if k[:1] == "q" and k[1:3].isdigit()}
+    found = {k: f for part in (globals(), vars(catalogue_more), vars(catalogue_records)) for k, f in part.items() if k[:1] == "q" and k[1:3].isdigit()}
     return dict(sorted(found.items()))

@@ -361,7 +361,7 @@ WITH rows_ AS (SELECT event_id, user_id, CAST(floor(event_id / 1000) AS BIGINT)
 fresh AS (SELECT batch, count(*) AS k FROM (SELECT user_id, min(batch) AS batch FROM rows_ GROUP BY user_id) GROUP BY batch),
 per AS (SELECT batch, count(*) AS inserts FROM rows_ GROUP BY batch)
 SELECT batch, inserts, CAST(sum(inserts) OVER (ORDER BY batch) AS BIGINT) AS points, CAST(sum(coalesce(k, 0)) OVER (ORDER BY batch) AS BIGINT) AS vehicles FROM per LEFT JOIN fresh USING (batch)""",
-    "q44_pivot_wide_prizes": _with(BASE) + " SELECT node_id, " + ", ".join(f"max(cnt) FILTER (day = DATE '2024-01-0{d}') AS cnt_0{d}, round(max(prize) FILTER (day = DATE '2024-01-0{d}'), 6) AS prize_0{d}" for d in range(1, 6)) + " FROM prizes GROUP BY node_id",
+    "q44_pivot_wide_prizes": _with(BASE) + " SELECT node_id, " + ", ".join(f"max(cnt) FILTER (day = DATE '2024-01-{d:02d}') AS cnt_202401{d:02d}, round(max(prize) FILTER (day = DATE '2024-01-{d:02d}'), 6) AS prize_202401{d:02d}" for d in range(1, 31)) + " FROM prizes GROUP BY node_id",
     "q45_density_grid": _with(PINGS) + """
 SELECT CAST(least(359, floor((lon - 103.4::DOUBLE) / ((104.55::DOUBLE - 103.4::DOUBLE) / 360))) AS BIGINT) AS bin_x, CAST(least(359, floor((lat - 30.1::DOUBLE) / ((31.2::DOUBLE - 30.1::DOUBLE) / 360))) AS BIGINT) AS bin_y, count(*) AS amount
 FROM pings WHERE lon BETWEEN 103.4::DOUBLE AND 104.55::DOUBLE AND lat BETWEEN 30.1::DOUBLE AND 31.2::DOUBLE GROUP BY ALL""",
@@ -369,7 +369,7 @@ FROM pings WHERE lon BETWEEN 103.4::DOUBLE AND 104.55::DOUBLE AND lat BETWEEN 30
 , sizes AS (SELECT label, count(*) AS n FROM db GROUP BY label)
 SELECT CAST(sum(n) AS BIGINT) AS points, count(*) FILTER (label <> 0) AS clusters, CAST(coalesce(sum(n) FILTER (label = 0), 0) AS BIGINT) AS noise, round(coalesce(sum(n) FILTER (label = 0), 0)::DOUBLE / sum(n) * 100, 6) AS noise_pct, round(avg(n) FILTER (label <> 0), 6) AS mean_size, max(n) FILTER (label <> 0) AS max_size, min(n) FILTER (label <> 0) AS min_size FROM sizes""",
     "q47_timepoint_asof": """
-WITH points AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-30', INTERVAL 7 DAY)) AS point)
+WITH points AS (SELECT unnest(generate_series((SELECT min(ts)::DATE + 1 FROM events)::TIMESTAMP, (SELECT max(ts) FROM events)::TIMESTAMP, INTERVAL 7 DAY)) AS point)
 SELECT user_id AS plate_num, strftime(point, '%Y-%m-%d') AS point, arg_max(event_id, {'t': ts, 'e': event_id}) AS last_event_id FROM events, points WHERE ts <= point GROUP BY user_id, points.point""",
     "q48_running_best": "SELECT event_id, round(min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS best_so_far FROM events",
     "q49_mean_sem": "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(avg({c}::DOUBLE), 5) AS {c}_mean, round(stddev_samp({c}::DOUBLE) / sqrt(count({c})::DOUBLE), 5) AS {c}_sem" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem GROUP BY ALL",
@@ -377,6 +377,6 @@ SELECT user_id AS plate_num, strftime(point, '%Y-%m-%d') AS point, arg_max(event
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more
+    from . import catalogue_more, catalogue_records
 
-    return ORACLE | catalogue_more.ORACLE
+    return ORACLE | catalogue_more.ORACLE | catalogue_records.ORACLE

@@ -200,21 +200,39 @@ def test_selection_rules(spark):
 
 
 def test_stream_gives_the_static_labels(spark, tmp_path):
-    from patrolkit.operators.cluster import hashed_dbscan, shifts
+    """After every batch, over a restart, and with a cost that follows the batch."""
+    from patrolkit.operators.cluster import frozen_labels, hashed_dbscan, shifts
 
     draw = np.random.default_rng(6)
     pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(np.round(draw.normal(size=(150, 2)), 2))], "event_id long, lon double, lat double")
-    dealt = batches.as_batches(pts, 50)
+    dealt = batches.as_batches(pts, 50).cache()
     assert sorted(r["count"] for r in dealt.groupBy("batch").count().collect()) == [50, 50, 50]
+    etas = shifts(3, 0.3)
+    touched = []
     for b in range(3):
         dealt.where(f"batch = {b}").drop("batch").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    etas = shifts(3, 0.3)
-    state = batches.IncrementalClusters(spark, 0.3, 5, etas)
-    query = state.attach(batches.read_points(spark, str(tmp_path / "in"), "event_id long, lon double, lat double"), str(tmp_path / "ck"))
-    query.awaitTermination()
-    assert len(state.iterations) == 3
-    want = {r["event_id"]: (r["is_core"], r["label"]) for r in hashed_dbscan(pts, 0.3, 5, etas, core_by="any bucket").collect()}
-    assert {r["event_id"]: (r["is_core"], r["label"]) for r in state.labels().collect()} == want
+        for name, burn_in in (("all", None), ("burnt", 2)):
+            state = batches.IncrementalClusters(spark, str(tmp_path / name), 0.3, 5, etas, burn_in)  # a new object each time
+            stream = batches.read_points(spark, str(tmp_path / "in"), "event_id long, lon double, lat double")
+            query = state.attach(stream, str(tmp_path / f"{name}-checkpoint"))
+            query.awaitTermination()
+            assert [p["batch"] for p in state.progress] == [b]
+            if name == "all":
+                touched += [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+            so_far = dealt.where(f"batch <= {b if burn_in is None else min(b, 1)}")
+            want = {r["event_id"]: (r["is_core"], r["label"]) for r in hashed_dbscan(so_far, 0.3, 5, etas, core_by="any bucket").collect()}
+            if burn_in is not None and b == 2:
+                known = so_far.join(spark.createDataFrame([(i, *v) for i, v in want.items()], "event_id long, is_core boolean, label long"), "event_id")
+                want |= {r["event_id"]: (False, r["label"]) for r in frozen_labels(dealt.where("batch = 2"), known, 0.3, etas).collect()}
+            assert {r["event_id"]: (r["is_core"], r["label"]) for r in state.labels().collect()} == want
+    assert max(touched) <= 50 * 3  # at most one bucket of each hash function for each point of a batch
+
+
+def test_recomputed_baseline(spark):
+    from patrolkit.operators.cluster import dbscan
+
+    pts = spark.createDataFrame([(i, i % 7 / 10, i % 3 / 10, i // 20) for i in range(60)], "event_id long, lon double, lat double, batch int")
+    assert sorted(batches.recomputed(pts, 1, 0.11, 4).collect()) == sorted(dbscan(pts.where("event_id < 40"), 0.11, 4).collect())
 
 
 def test_live_labels(spark):

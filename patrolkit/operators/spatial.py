@@ -73,20 +73,41 @@ def kth_distance(points: pd.DataFrame, k: int, block: int = 512) -> np.ndarray:
     return out
 
 
-def k_distances(points: DataFrame, period: str, k: int, sample_rows: int = 50_000) -> DataFrame:
-    """``(period, event_id, k_dist)`` within each period, over a sample of at most ``sample_rows`` points of a period.
+#: Halvings of a period's extent that the k-distance grid knows.
+LEVELS = 16
 
-    The sample is drawn by rank of a hash of the id; a period below the bound is whole.
-    """
-    rank = F.row_number().over(Window.partitionBy(period).orderBy(F.xxhash64("event_id"), "event_id"))
-    kept = points.select(period, "event_id", "lon", "lat").withColumn("draw", rank).where(F.col("draw") <= sample_rows).drop("draw")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({period: rows[period], "event_id": rows["event_id"], "k_dist": kth_distance(rows, k)})
+def k_distances(points: DataFrame, period: str, k: int | str) -> DataFrame:
+    """``(period, event_id, k_dist)``: the distance to the k-th nearest point of the period, the point itself counted.
 
-    kind = dict(points.dtypes)[period]
-    ship(points.sparkSession)
-    return kept.groupBy(period).applyInPandas(run, f"{period} {kind}, event_id long, k_dist double")
+    ``k`` may name a column that is constant within a period; with fewer points the farthest counts. Exact: every
+    position looks for the finest cell (the period's extent halved up to LEVELS times) that holds k points with it; the
+    k-th lies within twice that cell's side, and so in the cells around the one of the next coarser level. Dense places
+    are searched in small cells and sparse ones in large ones, by equi-joins on cells; no task holds a period.
+    """
+    keys = [period, "lon", "lat"]
+    wanted = F.col(k) if isinstance(k, str) else F.lit(k)
+    own = points.select(*keys, "event_id", wanted.cast("long").alias("k__"))
+    at = own.groupBy(*keys).agg(F.count("*").alias("weight"), F.max("k__").alias("k__"))
+    extent = at.groupBy(F.col(period).alias("of")).agg(F.min("lon").alias("lon0"), F.min("lat").alias("lat0"), F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"), F.lit(1e-9)).alias("side"))
+    at = at.join(small(extent), F.col(period) == F.col("of"))
+    step = F.col("side") * (1 + 1e-9) / F.pow(F.lit(2.0), F.col("level"))
+    cells = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    cells = cells.withColumns({"cx": F.floor((F.col("lon") - F.col("lon0")) / step), "cy": F.floor((F.col("lat") - F.col("lat0")) / step)}).drop("lon0", "lat0", "side", "of")
+    cells = written(cells, "k_cells")
+    cell_keys = [period, "level", "cx", "cy"]
+    held = cells.groupBy(*cell_keys).agg(F.sum("weight").alias("held"), F.max("k__").alias("k2")).where(F.col("held") >= F.col("k2")).select(*cell_keys)
+    # the cell one level coarser than the finest that holds enough; too few points in all: level 0 shows them all
+    finest = cells.join(held, cell_keys, "left_semi").groupBy(*keys).agg(F.max("level").alias("finest"))
+    asks = cells.join(finest, keys, "left").where(F.col("level") == F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0)))
+    asks = asks.select(*keys, "k__", "level", _around("cx").alias("cx"), "cy").select(*keys, "k__", "level", "cx", _around("cy").alias("cy"))
+    other = cells.select(*cell_keys, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "weight")
+    dx, dy = F.col("lon") - F.col("lon2"), F.col("lat") - F.col("lat2")
+    near = asks.join(other, cell_keys).groupBy(*keys, "k__").agg(F.array_sort(F.collect_list(F.struct((dx * dx + dy * dy).alias("d"), "weight"))).alias("near"))
+    start = F.struct(F.lit(0).cast("long").alias("met"), F.lit(0.0).alias("d"))
+    take = lambda s, x: F.when(s["met"] < F.col("k__"), F.struct((s["met"] + x["weight"]).alias("met"), x["d"].alias("d"))).otherwise(s)
+    found = near.select(*keys, F.sqrt(F.aggregate("near", start, take, lambda s: s["d"])).alias("k_dist"))
+    return own.join(found, keys).select(period, "event_id", "k_dist")
 
 
 def spaced(nodes: DataFrame, score: str | Column, spacing_m: float, *, max_abs_lat: float = 60.0) -> DataFrame:

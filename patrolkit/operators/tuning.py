@@ -7,8 +7,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import ship
+from patrolkit.plans.shared_tables import ship, small
 
 from .cluster import grid_dbscan
 from .spatial import kth_distance
@@ -73,14 +74,25 @@ def best_setting(xy: np.ndarray, seed: int = 42) -> tuple[float, int, float]:
     return round(top[1], 6), top[2], top[0]
 
 
-def enhanced_parameters(points: DataFrame, period: str) -> DataFrame:
-    """``(period, n, eps, min_samples, score)`` by trials on each period, one task a period (periods are sampled before)."""
+#: Points of a period that its trials see; a larger period is sampled by a hash of the ids.
+SAMPLED_ROWS = 50_000
+
+
+def enhanced_parameters(points: DataFrame, period: str, sampled_rows: int = SAMPLED_ROWS) -> DataFrame:
+    """``(period, n, eps, min_samples, score)`` by trials on a sample of about ``sampled_rows`` points of each period.
+
+    A period is one task, bounded by the sample, which is part of the strategy; n is the number of all its points.
+    """
     ship(points.sparkSession)
     kind = dict(points.dtypes)[period]
+    sizes = points.groupBy(F.col(period).alias("of")).agg(F.count("*").alias("all_rows"))
+    spread = 1 << 30
+    draw = F.pmod(F.xxhash64("event_id"), F.lit(spread))
+    rows = points.select(period, "event_id", "lon", "lat").join(small(sizes), F.col(period) == F.col("of")).where(draw * F.col("all_rows") < F.lit(sampled_rows * spread))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         xy = rows.sort_values("event_id")[["lon", "lat"]].to_numpy(float)
         radius, k, got = best_setting(xy)
-        return pd.DataFrame({period: [rows[period].iloc[0]], "n": [len(xy)], "eps": [radius], "min_samples": [k], "score": [got]})
+        return pd.DataFrame({period: [rows[period].iloc[0]], "n": [int(rows["all_rows"].iloc[0])], "eps": [radius], "min_samples": [k], "score": [got]})
 
-    return points.select(period, "event_id", "lon", "lat").groupBy(period).applyInPandas(run, f"{period} {kind}, n long, eps double, min_samples int, score double")
+    return rows.select(period, "event_id", "lon", "lat", "all_rows").groupBy(period).applyInPandas(run, f"{period} {kind}, n long, eps double, min_samples int, score double")

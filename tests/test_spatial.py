@@ -208,3 +208,21 @@ def test_samples(spark):
     assert {r["count"] for r in sampling.exact_share(rows, "day", "event_id", 0.1).groupBy("day").count().collect()} == {33}
     assert sampling.per_cell(rows, [F.col("day")], "event_id", 5).count() == 15
     assert sampling.every_nth(rows, "day", "event_id", 10).count() == 102
+
+
+def test_k_distances_against_brute_force(spark):
+    """Dense and sparse places, repeated positions, a period with too few points, and k by period."""
+    draw = np.random.default_rng(8)
+    x = np.vstack([draw.normal(size=(150, 2)) * 0.01, draw.uniform(-5, 5, (60, 2)), np.repeat([[3.0, 3.0]], 9, axis=0), [[100.0, -40.0]]])
+    rows = [(0, i, float(a), float(b), 4) for i, (a, b) in enumerate(x)] + [(1, 1000 + i, float(i), 0.0, 5) for i in range(3)] + [(2, 2000, 7.0, 7.0, 2)]
+    table = spark.createDataFrame(rows, "day int, event_id long, lon double, lat double, need int")
+    for k in (1, 5, "need"):
+        got = {r["event_id"]: r["k_dist"] for r in spatial.k_distances(table, "day", k).collect()}
+        assert len(got) == len(rows)
+        for day in range(3):
+            part = [r for r in rows if r[0] == day]
+            at = np.array([r[2:4] for r in part])
+            d = np.sort(np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1)), axis=1)
+            want = d[:, min(k if isinstance(k, int) else part[0][4], len(part)) - 1]
+            assert np.allclose([got[r[1]] for r in part], want, atol=1e-12)
+    assert spatial.k_distances(table.limit(0), "day", 3).count() == 0

@@ -216,6 +216,20 @@ def q100_latex_cells(spark, sf):
     return summaries.latex_cells(made, "method", "mean_value", "std_value", ["n"], decimals=1)
 
 
+def _day_counts(spark, sf):
+    return prizes.day_counts(_pings(spark, sf).select("day", "event_id", "lon", "lat"), _nodes(spark, sf), "day", max_abs_lat=MAX_LAT)
+
+
+def q101_day_counts(spark, sf):
+    """Points of each day's clusters near fixed nodes, the clusters found with the day's own parameters."""
+    return _day_counts(spark, sf)[0].select(F.col("day").cast("string").alias("day"), "node_id", "cnt")
+
+
+def q102_day_summary(spark, sf):
+    made = _day_counts(spark, sf)[1]
+    return made.select(F.col("day").cast("string").alias("day"), "nearby_points", "clustered_points", "assigned_points", "clusters", F.round("noise_ratio", 8).alias("noise_ratio"), F.round("eps", 6).alias("eps"), "min_samples", "hashes", "nonzero_nodes", "largest_count")
+
+
 RECORDS = f"""
 rec AS (
   SELECT *, (record % 41) * 100.0::DOUBLE / n AS visit_rate_pct, scale / 100.0::DOUBLE AS equivalent_km_per_full_prize FROM (
@@ -309,7 +323,37 @@ assigned AS (SELECT day, count(*) AS clusters, count(node_id) AS assigned_cluste
 processed AS (
   SELECT p.day, count(*) AS raw_rows, count(*) AS selected_rows, count(DISTINCT l.root) AS clusters, avg(CASE WHEN l.root IS NULL THEN 1 ELSE 0 END) AS noise FROM pings p LEFT JOIN day_label l USING (event_id) GROUP BY p.day)"""
 
+_GAPS = """
+gap AS (
+  SELECT a.day, a.event_id, sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS d, z.n, z.kappa,
+    row_number() OVER (PARTITION BY a.day, a.event_id ORDER BY (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS r
+  FROM close_ones a JOIN close_ones b USING (day) JOIN size z USING (day))"""
+DAYS = O._with(O.PINGS, O.NODES, O.FOUND.replace(f"<= {RADIUS_M}", "<= 750.0"), f"""
+close_ones AS (SELECT * FROM found WHERE node_id IS NOT NULL),
+size AS (SELECT *, {O.N_SAMPLES} AS kappa, greatest(1, {O.N_HASHES}) AS hashes FROM (SELECT day, count(*)::DOUBLE AS n, (max(lon) - min(lon)) * (max(lat) - min(lat)) AS area FROM close_ones GROUP BY day))""", _GAPS, """
+k AS (SELECT day, quantile_cont(d, 0.5) AS q50, quantile_cont(d, 0.6) AS q60, quantile_cont(d, 0.7) AS q70, quantile_cont(d, 0.75) AS q75, min(d) AS lo, max(d) AS hi FROM gap WHERE r = least(kappa, n) GROUP BY day),
+base AS (SELECT day, avg(d) * 1.5::DOUBLE AS b FROM gap WHERE r = least(2, n) GROUP BY day),
+e AS (
+  SELECT *, greatest(0.001::DOUBLE, b * (0.5::DOUBLE - 0.1::DOUBLE * log10(greatest(1, n / greatest(area, 1e-12))))) AS e0,
+    least(0.5::DOUBLE, b * (3.0::DOUBLE + 0.2::DOUBLE * CASE WHEN n > 1000 THEN log10(n / 1000) ELSE 0 END)) AS raw1,
+    list_sort([CASE WHEN n > 50000 THEN q70 ELSE q60 END, q50 * 1.2::DOUBLE, q75])[2] AS mid
+  FROM size JOIN base USING (day) JOIN k USING (day)),
+f AS (SELECT *, CASE WHEN raw1 <= e0 THEN e0 * 2 ELSE raw1 END AS e1 FROM e),
+params AS (SELECT day, kappa, hashes, round_even(least(e1, greatest(e0, CASE WHEN hi - lo > 1e-6 THEN e0 + (mid - lo) / (hi - lo) * (e1 - e0) * 0.8::DOUBLE ELSE (e0 + e1) / 2 END)), 6) AS eps FROM f),
+scaled AS (SELECT c.day, c.event_id, c.node_id, c.dist_m, lon / eps AS x, lat / eps AS y, kappa FROM close_ones c JOIN params USING (day)),
+pair AS (SELECT a.event_id AS a, b.event_id AS b, a.kappa FROM scaled a JOIN scaled b USING (day) WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1),
+core AS (SELECT a FROM pair GROUP BY a HAVING count(*) >= any_value(kappa)),
+walk AS (SELECT a AS node, a AS reach FROM core UNION SELECT w.node, p.b FROM walk w JOIN pair p ON w.reach = p.a AND p.b IN (SELECT a FROM core)),
+label AS (SELECT node, min(reach) AS root FROM walk GROUP BY node),
+border AS (SELECT p.a AS event_id, min(l.root) AS root FROM pair p JOIN label l ON l.node = p.b GROUP BY p.a),
+marked AS (SELECT s.*, coalesce(l.root, b.root) AS root FROM scaled s LEFT JOIN label l ON l.node = s.event_id LEFT JOIN border b ON b.event_id = s.event_id),
+hits AS (SELECT day, node_id, count(*) AS cnt FROM marked WHERE root IS NOT NULL AND dist_m <= 500 GROUP BY ALL)""", recursive=True)
 ORACLE = {
+    "q101_day_counts": DAYS + " SELECT CAST(day AS VARCHAR) AS day, node_id, cnt FROM hits",
+    "q102_day_summary": DAYS + """
+SELECT CAST(m.day AS VARCHAR) AS day, count(*) AS nearby_points, count(root) AS clustered_points, count(*) FILTER (root IS NOT NULL AND dist_m <= 500) AS assigned_points, count(DISTINCT root) AS clusters,
+  round(avg(CASE WHEN root IS NULL THEN 1 ELSE 0 END), 8) AS noise_ratio, any_value(round(p.eps, 6)) AS eps, any_value(p.kappa) AS min_samples, any_value(p.hashes) AS hashes, any_value(t.n) AS nonzero_nodes, any_value(t.top) AS largest_count
+FROM marked m JOIN params p USING (day) LEFT JOIN (SELECT day, count(*) AS n, max(cnt) AS top FROM hits GROUP BY day) t USING (day) GROUP BY m.day""",
     "q52_bootstrap_ci": O._with(O.BASE, O.REALIZED, """
 series AS (SELECT 'every 2' AS who, cost, row_number() OVER (ORDER BY day) - 1 AS i FROM realized),
 sizes AS (SELECT who, count(*) AS n FROM series GROUP BY who)""", _starts(2000), """

@@ -56,7 +56,12 @@ def softmax(value: Column, window) -> Column:
     return shifted / F.sum(shifted).over(window)
 
 
+def tanh(x: Column) -> Column:
+    return F.tanh(x)
+
+
 def stable_seed(seed: int, key: Column) -> Column:
-    """The first eight bytes of sha256("seed|key"), little-endian, as a hexadecimal string and so without overflow."""
+    """The first eight bytes of sha256("seed|key"), little-endian, as a whole number (decimal(20,0): it has 64 bits)."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), key), 256)
-    return F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    turned = F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")

@@ -90,21 +90,46 @@ def relocated(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capaci
 
 
 def exchanged(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capacity: float, draw: np.random.Generator, tries: int = 5) -> bool:
-    """Swaps the tails of two sampled routes where both still fit and the sum is shorter."""
-    if len(routes) < 2:
+    """The first of ``tries`` drawn swaps of two customers of different routes that fits and shortens; in place."""
+    full = [k for k, r in enumerate(routes) if r]
+    if len(full) < 2:
         return False
     for _ in range(tries):
-        a, b = draw.choice(len(routes), 2, replace=False).tolist()
-        i, j = int(draw.integers(len(routes[a]) + 1)), int(draw.integers(len(routes[b]) + 1))
-        one, two = routes[a][:i] + routes[b][j:], routes[b][:j] + routes[a][i:]
-        if max(demand[one].sum(), demand[two].sum()) <= capacity + 1e-9 and length(d, one) + length(d, two) < length(d, routes[a]) + length(d, routes[b]) - GAIN:
+        a, b = draw.permutation(full)[:2].tolist()
+        i, j = int(draw.integers(len(routes[a]))), int(draw.integers(len(routes[b])))
+        one, two = list(routes[a]), list(routes[b])
+        one[i], two[j] = two[j], one[i]
+        fits = max(demand[one].sum(), demand[two].sum()) <= capacity + 1e-9
+        if fits and length(d, one) + length(d, two) < length(d, routes[a]) + length(d, routes[b]) - GAIN:
             routes[a], routes[b] = one, two
             return True
     return False
 
 
-def improve(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capacity: float, rounds: int, seed: int) -> tuple[list[list[int]], list[float]]:
-    """Routes after light local search, and the best length after each round; ends after PATIENCE rounds without a gain."""
+def batched_two_opt(d: np.ndarray, tours: np.ndarray, rounds: int) -> np.ndarray:
+    """Closed tours (a row each) over the leg lengths of each (batch x n x n) after up to ``rounds`` best reversals at once."""
+    tours, batch = tours.copy(), np.arange(len(tours))[:, None]
+    n = tours.shape[1]
+    i, j = np.triu_indices(n, 2)
+    keep = ~((i == 0) & (j == n - 1))
+    i, j = i[keep], j[keep]
+    for _ in range(rounds):
+        legs = lambda x, y: d[batch, x, y]
+        a, b, c, e = tours[:, i], tours[:, i + 1], tours[:, j], tours[:, (j + 1) % n]
+        gain = legs(a, b) + legs(c, e) - legs(a, c) - legs(b, e)
+        best = gain.argmax(axis=1) if gain.shape[1] else np.zeros(len(tours), int)
+        better = np.flatnonzero(gain[np.arange(len(tours)), best] > GAIN) if gain.shape[1] else np.empty(0, int)
+        if not len(better):
+            break
+        for t in better.tolist():
+            low, high = i[best[t]] + 1, j[best[t]] + 1
+            tours[t, low:high] = tours[t, low:high][::-1]
+    return tours
+
+
+def improve(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capacity: float, rounds: int, seed: int, patience: int | None = PATIENCE) -> tuple[list[list[int]], list[float]]:
+    """Routes after light local search, and the best length after each round; ends after ``patience`` rounds without a gain
+    (None: only after all rounds)."""
     draw = np.random.default_rng(seed)
     routes = [list(r) for r in routes]
     track, idle = [sum(length(d, r) for r in routes)], 0
@@ -116,7 +141,7 @@ def improve(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capacity
         now = sum(length(d, r) for r in routes)
         idle = 0 if now < track[-1] - GAIN else idle + 1
         track.append(min(now, track[-1]))
-        if idle >= PATIENCE:
+        if patience is not None and idle >= patience:
             break
     return routes, track
 
@@ -124,7 +149,14 @@ def improve(d: np.ndarray, routes: list[list[int]], demand: np.ndarray, capacity
 RECORD = "instance long, n long, augment int, start_cost double, cost double, rounds int, routes string, track string"
 
 
-def search(stops: DataFrame, capacity: float, rounds: int = 50, seed: int = 1, augment: int = 8) -> DataFrame:
+def best_at_rounds(plans: DataFrame, rounds: list[int]) -> DataFrame:
+    """``(instance, round, best_cost)``: the best cost that each plan's search had after the given rounds."""
+    track = plans.select("instance", F.from_json("track", "array<double>").alias("track"))
+    at = track.withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
+    return at.select("instance", "round", F.element_at("track", F.least(F.col("round") + 1, F.size("track"))).alias("best_cost"))
+
+
+def search(stops: DataFrame, capacity: float, rounds: int = 50, seed: int = 1, augment: int = 8, patience: int | None = PATIENCE) -> DataFrame:
     """Best routes of each instance over start plans from the eight turned and mirrored maps.
 
     ``stops`` holds (instance, node, x, y, demand); node 0 is the depot. One instance is a task; instances are bounded.
@@ -139,7 +171,7 @@ def search(stops: DataFrame, capacity: float, rounds: int = 50, seed: int = 1, a
         for turn in range(augment):
             seen = xy * np.array([1 - 2 * (turn & 1), 1 - (turn & 2)]) if turn < 4 else xy[:, ::-1] * np.array([1 - 2 * (turn & 1), 1 - (turn & 2)])
             start = sweep(seen, demand, capacity)
-            routes, track = improve(d, start, demand, capacity, rounds, seed + turn)
+            routes, track = improve(d, start, demand, capacity, rounds, seed + turn, patience)
             if best is None or track[-1] < best[1][-1]:
                 best = (routes, track, turn)
         routes, track, turn = best

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import METRES_PER_DEGREE
@@ -178,6 +178,50 @@ def hashes_for(n: Column, least: int = 1) -> Column:
     return F.greatest(F.lit(least), raw.cast("int"))
 
 
+#: Fixed values of the older strategies: radius, neighbours and hashes about 10,000 points, and their limits; the radius
+#: range of few and of many dimensions, and where and how steeply one passes into the other.
+MILD = {"eps": 0.75, "least_eps": 0.4, "k": 10, "most_k": 30, "hashes": 10, "most_hashes": 20, "fall": 0.03, "rise": 0.6}
+LOW_RANGE, HIGH_RANGE, MIDDLE, STEEPNESS = (0.2, 0.3), (0.7, 0.75), 15.0, 0.15
+PULL_MIDDLE, PULL_WIDTH, PULL, PULL_STRENGTH = 6.5, 8.0, 0.3, 0.4
+
+
+def mild_parameters(n: Column) -> tuple[Column, Column, Column]:
+    """``(eps, min_samples, hashes)`` that move slowly with the logarithm of the number of points."""
+    grown = F.ln(n.cast("double")) - F.ln(F.lit(10_000.0))
+    eps = F.greatest(F.lit(MILD["least_eps"]), F.lit(MILD["eps"]) / (1 + F.lit(MILD["fall"]) * grown))
+    k = F.least(MILD["k"] + MILD["rise"] * grown, F.lit(float(MILD["most_k"]))).cast("int")
+    hashes = F.least(MILD["hashes"] + grown / F.ln(F.lit(2.0)), F.lit(float(MILD["most_hashes"]))).cast("int")
+    return F.bround(eps, 4), k, hashes
+
+
+def dimension_radius(d: Column, raw: Column, least: Column, most: Column) -> Column:
+    """A radius for ``d`` dimensions: ``raw`` is moved from the range of the k-distances (least, most) into a range that a
+    sigmoid of d chooses, pulled low for few and high for many dimensions, and held inside 0.01..1 by another sigmoid."""
+    share = 1 / (1 + F.exp(-F.lit(STEEPNESS) * (d - F.lit(MIDDLE))))
+    low, high = (F.lit(a) + F.lit(b - a) * share for a, b in zip(LOW_RANGE, HIGH_RANGE, strict=True))
+    scaled = F.when(most - least < 1e-6, (low + high) / 2).otherwise(low + (raw - least) / (most - least) * (high - low))
+    bend = F.tanh((d - F.lit(PULL_MIDDLE)) / F.lit(PULL_WIDTH))
+    place, strength = (scaled - low) / (high - low), F.lit(PULL_STRENGTH) * F.abs(bend)
+    moved = low + (place * (1 - strength) + (0.5 + F.lit(PULL) * bend) * strength) * (high - low)
+    return F.bround(0.01 + 0.99 / (1 + F.exp(-10 * (moved - 0.5))), 4)
+
+
+def knee(rows: DataFrame, by: str, value: str, quantile: float = 0.9) -> DataFrame:
+    """``(by, raw, least, most)`` of a group's k-distances: their quantile, or its mean with the steepest point of their
+    sorted curve where the two differ by over half. Slopes come from neighbours in the order of distinct values."""
+    line = Window.partitionBy(by).orderBy(value)
+    per = rows.groupBy(by, value).agg(F.count("*").alias("c"))
+    near = per.withColumns({"before": F.lag(value).over(line), "behind": F.lead(value).over(line)})
+    alone = F.col("c") == 1
+    inner = (F.coalesce("behind", value) - F.coalesce("before", value)) / F.when(F.col("before").isNull() | F.col("behind").isNull(), 1.0).otherwise(2.0)
+    up, down = F.coalesce(F.col("behind") - F.col(value), F.lit(0.0)) / 2, F.coalesce(F.col(value) - F.col("before"), F.lit(0.0)) / 2
+    slope = F.when(alone, inner).otherwise(F.greatest(up, down))
+    steep = near.groupBy(by).agg(F.max_by(value, F.struct(F.round(slope, 12), -F.col(value))).alias("elbow"))
+    q = rows.groupBy(by).agg(F.expr(f"percentile({value}, {quantile})").alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
+    gap = F.abs(F.col("q") - F.col("elbow")) / F.greatest("q", F.lit(1e-6))
+    return q.join(steep, by).select(by, F.when(gap > 0.5, (F.col("q") + F.col("elbow")) / 2).otherwise(F.col("q")).alias("raw"), "least", "most")
+
+
 def region_parameters(k_dist: DataFrame, period: str, points: DataFrame) -> DataFrame:
     """``(period, n, eps, min_samples, hashes)`` by the 70 % quantile of the k-distances, held to 0.0002..0.01."""
     n = points.groupBy(period).agg(F.count("*").cast("double").alias("n"))

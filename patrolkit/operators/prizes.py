@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.scalars import persistence_score
+from patrolkit.plans.shared_tables import small
 
 from .cluster import dbscan, density_parameters, min_samples_for
 from .spatial import k_distances, nearest_node, spaced
@@ -25,7 +26,7 @@ def counts(found: DataFrame, period: str = "day", weight: str | None = None) ->
 
 def dense(counted: DataFrame, periods: DataFrame, nodes: DataFrame, period: str = "day") -> DataFrame:
     """Every period with every node: the grid is the output (periods times nodes), absent counts are 0."""
-    grid = periods.select(period).distinct().crossJoin(F.broadcast(nodes.select("node_id")))
+    grid = periods.select(period).distinct().crossJoin(small(nodes.select("node_id")))
     return grid.join(counted, [period, "node_id"], "left").select(period, "node_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 

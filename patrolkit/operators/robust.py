@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import ship, written
+from patrolkit.plans.shared_tables import ship, small, written
 
 PENALTY = 4000.0
 
@@ -23,10 +23,10 @@ def missed(prizes: DataFrame, visited: DataFrame, period: str = "day", by: list[
     by = by or []
     marks = visited.where("node_id is not null").select(*by, "node_id", F.lit(True).alias("seen"))
     if by:
-        grid = prizes.crossJoin(F.broadcast(visited.select(*by).distinct()))  # few selections, each over all prizes
-        joined = grid.join(F.broadcast(marks), [*by, "node_id"], "left")
+        grid = prizes.crossJoin(small(visited.select(*by).distinct()))  # few selections, each over all prizes
+        joined = grid.join(small(marks), [*by, "node_id"], "left")
     else:
-        joined = prizes.join(F.broadcast(marks), "node_id", "left")
+        joined = prizes.join(small(marks), "node_id", "left")
     open_ = F.col("seen").isNull()
     return joined.groupBy(*by, period).agg(
         F.sum(F.when(open_, F.col("prize")).otherwise(0.0)).alias("missed"), F.sum(F.when(open_, 0.0).otherwise(F.col("prize"))).alias("collected"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,22 @@ from patrolkit.plans.shared_tables import ship
 
 from .robust import robust_value
 
+#: Fixed values of the search: tolerances of the budget and of a gain, the share of good insertions drawn from, the share
+#: of nodes ruined, the chance to accept a worse plan, nodes on each side of an exchange, the largest share of nodes that a
+#: weighted removal takes, the rewards (new best, better, accepted, refused), their weight, and the cooling.
 TOLERANCE = 1e-7
 GAIN = 1e-8
+CANDIDATE_SHARE = 0.2
+RUIN_SHARE = 0.08
+ACCEPT_WORSE = 0.1
+EXCHANGED = 12
+REMOVAL_SHARE = 0.15
+REWARDS = (5.0, 2.0, 1.0, 0.0)
+REACTION = 0.2
+COOLING = 0.995
+#: What ``solve`` knows: seeded random starts; ruin and repair from a greedy start; weighted removals with cooling; angular
+#: sectors cut to the budget, as they are, with two-opt, and with ruin and repair; and a greedy start with ruin and repair.
+METHODS = ("grasp", "ils", "alns", "cut", "cut two-opt", "warm", "greedy")
 
 
 # ---- relational part -------------------------------------------------------------------------------------------------
@@ -71,6 +86,7 @@ class Instance:
     budget: float
     epsilon: float
     scale: float
+    evaluator: Callable[[Instance, np.ndarray], float] | None = None  # of the unvisited nodes; the robust penalty unless given
     distance: np.ndarray = field(init=False)
     known: dict[bytes, float] = field(default_factory=dict)
 
@@ -95,21 +111,29 @@ class Instance:
         open_[list(visited)] = False
         key = open_.tobytes()
         if key not in self.known:
-            self.known[key] = robust_value(self.samples, open_, self.epsilon, self.scale, rounds=50)[0]
+            value = self.evaluator(self, open_) if self.evaluator else robust_value(self.samples, open_, self.epsilon, self.scale, rounds=50)[0]
+            self.known[key] = float(value)
         return self.known[key]
 
     def value(self, routes: list[list[int]]) -> float:
         return sum(map(self.cost, routes)) + self.penalty({i for r in routes for i in r})
 
 
+def box_penalty(inst: Instance, open_: np.ndarray) -> float:
+    """The evaluator of the box model: the scale for every unvisited node."""
+    return inst.scale * float(open_.sum())
+
+
 def nearest_first(inst: Instance, nodes: list[int]) -> list[int]:
-    left, out, at = sorted(nodes), [], 0
-    while left:
-        step = min(left, key=lambda i: (inst.distance[at, i + 1], i))
-        left.remove(step)
-        out.append(step)
-        at = step + 1
-    return out
+    """The nodes by repeated nearest neighbour from the depot; of equally near ones the smallest."""
+    ids = np.unique(np.asarray(nodes, dtype=int))
+    gap = inst.distance[np.ix_(np.append(ids + 1, 0), ids + 1)]  # the last row is the depot's
+    order = np.empty(len(ids), int)
+    row = len(ids)
+    for turn in range(len(ids)):
+        row = order[turn] = int(gap[row].argmin())
+        gap[:, row] = np.inf
+    return ids[order].tolist()
 
 
 def two_opt(inst: Instance, route: list[int]) -> list[int]:
@@ -129,8 +153,16 @@ def two_opt(inst: Instance, route: list[int]) -> list[int]:
 
 def full_routes(inst: Instance) -> list[list[int]]:
     """All nodes in near-equal angular sectors, each by nearest neighbour and two-opt."""
-    order = np.argsort(np.arctan2(inst.xy[:, 1], inst.xy[:, 0]), kind="stable")
-    return [two_opt(inst, nearest_first(inst, part.tolist())) for part in np.array_split(order, inst.vehicles)]
+    x, y = inst.xy.T
+    sector = np.empty(inst.n, int)
+    sector[np.lexsort((np.arange(inst.n), np.arctan2(y, x)))] = _sectors(inst.n, inst.vehicles)
+    return [two_opt(inst, nearest_first(inst, np.flatnonzero(sector == v).tolist())) for v in range(inst.vehicles)]
+
+
+def _sectors(n: int, parts: int) -> np.ndarray:
+    """The number of the near-equal part of each of ``n`` places; the first parts hold one more."""
+    sizes = np.full(parts, n // parts) + (np.arange(parts) < n % parts)
+    return np.repeat(np.arange(parts), sizes)
 
 
 def cheapest_place(inst: Instance, routes: list[list[int]], node: int) -> tuple[float, int, int] | None:
@@ -163,13 +195,43 @@ def extend(inst: Instance, routes: list[list[int]], draw: np.random.Generator |
         if not moves:
             break
         moves.sort()
-        pick = 0 if draw is None else int(draw.integers(math.ceil(0.2 * len(moves))))
+        pick = 0 if draw is None else int(draw.integers(math.ceil(CANDIDATE_SHARE * len(moves))))
         _, node, r, p = moves[pick]
         routes[r].insert(p, node)
         left.remove(node)
     return routes
 
 
+def extend_in_order(inst: Instance, routes: list[list[int]], order: list[int]) -> list[list[int]]:
+    """Adds the nodes of ``order`` one by one at their cheapest place, each only if it pays then."""
+    routes = [list(r) for r in routes]
+    for node in order:
+        visited = {i for r in routes for i in r}
+        place = None if node in visited else cheapest_place(inst, routes, node)
+        if place is not None and place[0] + inst.penalty(visited | {node}) - inst.penalty(visited) < -GAIN:
+            routes[place[1]].insert(place[2], node)
+    return routes
+
+
+def order_descent(inst: Instance, routes: list[list[int]]) -> list[list[int]]:
+    """Two-opt within routes and the first relocation that shortens, until neither helps; the visited nodes stay."""
+    routes = [two_opt(inst, r) for r in routes]
+    while True:
+        moved = None
+        for r, route in enumerate(routes):
+            for node in route:
+                without = [[i for i in x if i != node] for x in routes]
+                place = cheapest_place(inst, without, node)
+                if place is not None and inst.cost(route) - inst.cost(without[r]) - place[0] > GAIN:
+                    moved = _put(without, node, place)
+                    break
+            if moved:
+                break
+        if moved is None:
+            return routes
+        routes = [two_opt(inst, r) for r in moved]
+
+
 def improve(inst: Instance, routes: list[list[int]], exchange: bool = True) -> list[list[int]]:
     """Descends over orders, relocations, and single additions, removals and exchanges until none helps."""
     routes = [two_opt(inst, r) for r in routes]
@@ -200,8 +262,8 @@ def _neighbours(inst: Instance, routes: list[list[int]], exchange: bool) -> Iter
         if place is not None:
             yield _put(routes, node, place)
     if exchange:
-        low = sorted(visited, key=lambda i: inst.means[i])[:12]
-        high = sorted(rest, key=lambda i: -inst.means[i])[:12]
+        low = sorted(visited, key=lambda i: inst.means[i])[:EXCHANGED]
+        high = sorted(rest, key=lambda i: -inst.means[i])[:EXCHANGED]
         for old in low:
             without = [[i for i in r if i != old] for r in routes]
             for new in high:
@@ -217,37 +279,52 @@ def _put(routes: list[list[int]], node: int, place: tuple[float, int, int]) -> l
 
 
 def solve(inst: Instance, method: str, seed: int, rounds: int) -> list[list[int]]:
-    """Routes by ``grasp`` (random starts), ``ils`` (ruin a few and repair), ``alns`` (weighted removals, cooling) or
-    ``warm`` (angular sectors cut to the budget, then ruin and repair). Rounds, not seconds, so results repeat."""
+    """Routes by one of METHODS. Rounds, not seconds, so results repeat."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
     draw = np.random.default_rng(seed)
-    empty = [[] for _ in range(inst.vehicles)]
+    empty: list[list[int]] = [[] for _ in range(inst.vehicles)]
     if method == "grasp":
         tries = [improve(inst, extend(inst, empty, draw), exchange=False) for _ in range(max(1, rounds))]
         return min(tries, key=inst.value)
+    if method in ("cut", "cut two-opt"):
+        cut = trimmed(inst, full_routes(inst))
+        return order_descent(inst, cut) if method == "cut two-opt" else cut
     start = trimmed(inst, full_routes(inst)) if method == "warm" else extend(inst, empty, None)
-    now = best = improve(inst, start, exchange=method != "alns")
-    heat, weights = max(1.0, 0.01 * inst.value(now)), np.ones(3)
+    if method == "greedy":
+        return ruin_and_repair(inst, start, draw, rounds)
+    return ruin_and_repair(inst, improve(inst, start, exchange=method != "alns"), draw, rounds, weighted=method == "alns")
+
+
+def ruin_and_repair(inst: Instance, start: list[list[int]], draw: np.random.Generator, rounds: int, *, weighted: bool = False) -> list[list[int]]:
+    """The best plan met while plans are ruined, repaired and improved. Plain: a random share goes, worse plans are taken by
+    chance. ``weighted``: one of three removals by its past rewards, and worse plans by a cooling."""
+    now = best = start
+    value = best_value = inst.value(start)
+    heat, weights = max(1.0, 0.01 * value), np.ones(3)
     for _ in range(rounds):
         visited = [i for r in now for i in r]
-        if method == "alns" and visited:
-            how = int(draw.choice(3, p=weights / weights.sum()))
-            out = _removals(inst, now, visited, how, draw)
+        how = int(draw.choice(3, p=weights / weights.sum())) if weighted else 0
+        if weighted:
+            gone = _removals(inst, now, visited, how, draw) if visited else set()
         else:
-            how, out = 0, set(draw.choice(visited, min(len(visited), max(1, round(0.08 * inst.n))), replace=False).tolist()) if visited else set()
-        candidate = improve(inst, extend(inst, [[i for i in r if i not in out] for r in now], draw), exchange=method != "alns")
-        gain = inst.value(now) - inst.value(candidate)
-        better = inst.value(candidate) < inst.value(best)
-        accept = gain > 0 or (draw.random() < math.exp(max(-700.0, gain / heat)) if method == "alns" else draw.random() < 0.1)
-        reward = 5.0 if better else 2.0 if gain > 1e-9 else 1.0 if accept else 0.0
-        weights[how] = max(1e-6, 0.8 * weights[how] + 0.2 * reward)
-        heat *= 0.995
-        best = candidate if better else best
-        now = candidate if accept else now
+            gone = set(draw.permutation(visited)[: max(1, round(RUIN_SHARE * inst.n))].tolist())
+        candidate = improve(inst, extend(inst, [[i for i in r if i not in gone] for r in now], draw), exchange=not weighted)
+        new = inst.value(candidate)
+        chance = math.exp(max(-700.0, (value - new) / heat)) if weighted else ACCEPT_WORSE
+        taken = new < value or draw.random() < chance
+        grade = 0 if new < best_value else 1 if new < value - 1e-9 else 2 if taken else 3
+        weights[how] = max(1e-6, (1 - REACTION) * weights[how] + REACTION * REWARDS[grade])
+        heat *= COOLING
+        if new < best_value:
+            best, best_value = candidate, new
+        if taken:
+            now, value = candidate, new
     return best
 
 
 def _removals(inst: Instance, routes, visited, how: int, draw) -> set[int]:
-    q = min(len(visited), int(draw.integers(1, max(2, int(0.15 * inst.n)) + 1)))
+    q = min(len(visited), int(draw.integers(1, max(2, int(REMOVAL_SHARE * inst.n)) + 1)))
     if how == 0:
         return set(draw.choice(visited, q, replace=False).tolist())
     if how == 1:
@@ -270,32 +347,46 @@ def trimmed(inst: Instance, routes: list[list[int]]) -> list[list[int]]:
     return out
 
 
-RECORD = "instance string, n int, vehicles int, method string, seed int, route_budget double, objective double, nominal_objective double, travel double, robust_penalty double, visited int, visit_rate_pct double, routes string"
+RECORD = (
+    "instance string, n int, vehicles int, route_budget double, method string, seed int, optimization_epsilon double, reporting_epsilon double, optimized_objective double, "
+    "nominal_objective double, objective double, travel double, robust_penalty double, visited int, visit_rate_pct double, runtime double, routes string"
+)
+
+
+def record(name: str, inst: Instance, method: str, seed: int, rounds: int, epsilon: float | None = None) -> tuple:
+    """One run's record. The search sees the radius ``epsilon`` (the instance's unless given); the objective is reported
+    under the instance's radius, and under none as nominal. Routes that break a rule are an error."""
+    began = time.perf_counter()
+    seen = inst if epsilon is None else replace(inst, epsilon=epsilon, known={})
+    routes = solve(seen, method, seed, rounds)
+    runtime = time.perf_counter() - began
+    visited = [i for r in routes for i in r]
+    if len(set(visited)) != len(visited) or len(routes) != inst.vehicles or any(inst.cost(r) > inst.budget + TOLERANCE for r in routes):
+        raise ValueError(f"routes of {name} by {method} break a rule")
+    travel, penalty = sum(map(inst.cost, routes)), inst.penalty(visited)
+    open_ = np.ones(inst.n, bool)
+    open_[visited] = False
+    plain = robust_value(inst.samples, open_, 0.0, inst.scale)[0]
+    title = method if epsilon is None else f"{method}-nominal" if epsilon == 0 else f"{method}-{epsilon:g}"
+    return (
+        name, inst.n, inst.vehicles, inst.budget, title, seed, float(seen.epsilon), inst.epsilon, seen.value(routes), travel + plain, travel + penalty, travel, penalty,
+        len(visited), 100 * len(visited) / max(1, inst.n), runtime, json.dumps(routes),
+    )
 
 
 def solve_grid(tasks: DataFrame, instances: dict[str, Instance]) -> DataFrame:
-    """Records of a task grid ``(instance, method, seed, rounds)``; every task is one row and runs where it lands.
-
-    Instances are bounded case studies and go to the tasks whole. Routes are checked before a record is returned.
-    """
+    """Records of a task grid ``(instance, method, seed, rounds)`` and, on demand, ``optimization_epsilon``; every task is
+    one row and runs where it lands. Instances are bounded case studies and go to the tasks whole."""
     shared = tasks.sparkSession.sparkContext.broadcast(instances)
     count = tasks.count()
     ship(tasks.sparkSession)
+    if "optimization_epsilon" not in tasks.columns:
+        tasks = tasks.withColumn("optimization_epsilon", F.lit(None).cast("double"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = []
-            for name, method, seed, rounds in zip(part["instance"], part["method"], part["seed"], part["rounds"], strict=True):
-                inst = shared.value[name]
-                routes = solve(inst, method, int(seed), int(rounds))
-                visited = [i for r in routes for i in r]
-                if len(set(visited)) != len(visited) or any(inst.cost(r) > inst.budget + TOLERANCE for r in routes):
-                    raise ValueError(f"routes of {name} by {method} break a rule")
-                travel, robust = sum(map(inst.cost, routes)), inst.penalty(visited)
-                open_ = np.ones(inst.n, bool)
-                open_[visited] = False
-                plain = robust_value(inst.samples, open_, 0.0, inst.scale)[0]
-                rows.append((name, inst.n, inst.vehicles, method, int(seed), inst.budget, travel + robust, travel + plain, travel, robust, len(visited), 100 * len(visited) / max(1, inst.n), json.dumps(routes)))
+            columns = (part[c] for c in ("instance", "method", "seed", "rounds", "optimization_epsilon"))
+            rows = [record(name, shared.value[name], method, int(seed), int(rounds), None if math.isnan(e) else float(e)) for name, method, seed, rounds, e in zip(*columns, strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
     return tasks.repartition(max(1, count), "instance", "method", "seed").mapInPandas(run, RECORD)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import cell, degree_steps, haversine_m
-from patrolkit.plans.shared_tables import ship, small, written
+from patrolkit.plans.shared_tables import BROADCAST_ROWS, ship, small, written
 
 
 def _around(column: str, reach: int = 1):
@@ -159,13 +159,19 @@ def first_positions(points: DataFrame, order: str) -> DataFrame:
 
 
 def symmetric_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """Edges (src, dst, w) of the k-nearest graph plus its transpose, for bounded point sets (one block per task)."""
+    """Edges (src, dst, w) of the k-nearest graph plus its transpose, for data sets of the experiment harness.
+
+    The points are counted first; more than BROADCAST_ROWS are an error.
+    """
     cols = [c for c in points.columns if c != "id"]
-    whole = points.toPandas()  # a bounded data set of the experiment harness
-    x, ids = whole[cols].to_numpy(float), whole["id"].to_numpy()
+    if points.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"over {BROADCAST_ROWS} points; use range joins on cells instead")
+    whole = points.toPandas()  # counted above
     session = points.sparkSession
+    shared = session.sparkContext.broadcast((whole[cols].to_numpy(float), whole["id"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, ids = shared.value
         for part in batches:
             d = ((part[cols].to_numpy(float)[:, None] - x[None]) ** 2).sum(axis=2)
             near = np.argsort(d, axis=1, kind="stable")[:, :k]

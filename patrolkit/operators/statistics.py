@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.scalars import ratio_or_one
-from patrolkit.plans.shared_tables import ship
+from patrolkit.plans.shared_tables import ship, small
 
 from .ranking import counts_before
 
@@ -114,7 +114,7 @@ def pareto(rows: DataFrame, cost: str, gain: str, tie: str, parts: int = 64, *,
 
 def lower_envelope(pool: DataFrame, levels: DataFrame) -> DataFrame:
     """For each penalty level the plan of least travel + level * unit penalty (ties: smaller plan id)."""
-    every = levels.crossJoin(F.broadcast(pool.select("plan_id", "travel", "unit_penalty")))  # a grid of levels and plans
+    every = levels.crossJoin(small(pool.select("plan_id", "travel", "unit_penalty")))  # a grid of levels and plans
     value = F.col("travel") + F.col("level") * F.col("unit_penalty")
     best = every.groupBy("level").agg(F.min(F.struct(F.round(value, 6).alias("objective"), F.col("plan_id"))).alias("best"))
     return best.select("level", F.col("best.plan_id").alias("plan_id"), F.col("best.objective").alias("objective"))

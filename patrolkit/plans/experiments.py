@@ -12,34 +12,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """A named table of points with what it promises: its columns, and where its true labels stand (if it has any)."""
+
+    name: str
+    points: DataFrame
+    label: str | None = None
+
+    def __post_init__(self):
+        if self.label is not None and self.label not in self.points.columns:
+            raise TypeError(f"{self.name} has no column {self.label}")
+
+
+def _columns_of(df: DataFrame) -> set[str]:
+    return {f"{n} {t}" for n, t in df.dtypes} | set(df.columns)
+
+
 @dataclass(frozen=True)
 class Algorithm:
-    """A named function from a table of points and parameters to labelled points."""
+    """A named function from a table of points and parameters to labelled points, or to such a table for each iteration.
+
+    ``needs`` are columns of the points and ``gives`` columns of the result, by name or as "name type"; a table that
+    lacks one is a TypeError.
+    """
 
     name: str
-    run: Callable[..., DataFrame]
+    run: Callable[..., DataFrame | Iterable[DataFrame]]
+    needs: tuple[str, ...] = ()
+    gives: tuple[str, ...] = ()
 
     def parameters(self) -> list[str]:
         return list(inspect.signature(self.run).parameters)[1:]
 
+    def accept(self, points: DataFrame) -> None:
+        if lacking := set(self.needs) - _columns_of(points):
+            raise TypeError(f"{self.name} needs columns {sorted(lacking)}")
+
+    def checked(self, result: object) -> DataFrame:
+        if not isinstance(result, DataFrame):
+            raise TypeError(f"{self.name} gave {type(result).__name__} instead of a table")
+        if lacking := set(self.gives) - _columns_of(result):
+            raise TypeError(f"{self.name} promised columns {sorted(lacking)}")
+        return result
+
 
 @dataclass(frozen=True)
 class Evaluator:
-    """A named function from (points, labelled points) to one number."""
+    """A named function from (points, labelled points) to one number; ``needs`` are columns of the labelled points."""
 
     name: str
     run: Callable[[DataFrame, DataFrame], float]
+    needs: tuple[str, ...] = ()
+
+    def accept(self, labelled: DataFrame) -> None:
+        if lacking := set(self.needs) - _columns_of(labelled):
+            raise TypeError(f"{self.name} needs columns {sorted(lacking)}")
 
 
 @dataclass
 class Suite:
-    """All combinations of data sets, algorithms and their parameters.
+    """All combinations of data sets, algorithms and their parameters; columns are checked before anything runs.
 
     A parameter's values may be a list, one value, or a function of the fixed parameters. ``run`` yields one record a
     trial, skipping trials that ``done`` holds.
     """
 
-    datasets: dict[str, DataFrame]
+    datasets: dict[str, DataFrame | Dataset]
     algorithms: dict[Algorithm, dict[str, object]]
     evaluators: list[Evaluator] = field(default_factory=list)
     runs: int = 1
@@ -49,6 +88,8 @@ class Suite:
             unknown = set(given) - set(algorithm.parameters())
             if unknown:
                 raise ValueError(f"{algorithm.name} has no parameters {sorted(unknown)}")
+            for data in self.datasets.values():
+                algorithm.accept(data.points if isinstance(data, Dataset) else data)
 
     def trials(self) -> Iterable[dict]:
         number = 0
@@ -66,13 +107,21 @@ class Suite:
         for trial in self.trials():
             if trial["trial_id"] in finished:
                 continue
-            points = self.datasets[trial["dataset"]]
-            began = time.perf_counter()
-            labelled = trial["algorithm"].run(points, **trial["parameters"])
-            count = labelled.count()
-            record = {"trial_id": trial["trial_id"], "run_id": trial["run_id"], "dataset": trial["dataset"], "algorithm": trial["algorithm"].name, "rows": count, "seconds": time.perf_counter() - began}
-            record |= {f"p_{k}": str(v) for k, v in trial["parameters"].items()}
-            yield record | {e.name: float(e.run(points, labelled)) for e in self.evaluators}
+            data = self.datasets[trial["dataset"]]
+            points = data.points if isinstance(data, Dataset) else data
+            head = {"trial_id": trial["trial_id"], "run_id": trial["run_id"], "dataset": trial["dataset"], "algorithm": trial["algorithm"].name}
+            head |= {f"p_{k}": str(v) for k, v in trial["parameters"].items()}
+            began = turn = time.perf_counter()
+            made = trial["algorithm"].run(points, **trial["parameters"])
+            steps = [made] if isinstance(made, DataFrame) or not isinstance(made, Iterable) else made
+            for iteration, result in enumerate(steps):
+                labelled = trial["algorithm"].checked(result)
+                count, now = labelled.count(), time.perf_counter()
+                for e in self.evaluators:
+                    e.accept(labelled)
+                scores = {e.name: float(e.run(points, labelled)) for e in self.evaluators}
+                yield head | {"iteration": iteration, "rows": count, "iteration_seconds": now - turn, "seconds": now - began} | scores
+                turn = time.perf_counter()
 
 
 def results(spark: SparkSession, records: Iterable[dict]) -> DataFrame:
@@ -111,9 +160,10 @@ def refinement_pairs(candidates: DataFrame, least_coverage: float = 85.0, band:
     return near.orderBy("cvar_cost", "mean_cost", "scale", "epsilon").limit(most).drop("first_scale")
 
 
-def best_epsilon(validation: DataFrame) -> DataFrame:
-    """One row: the radius of least validation mean, ties to the smaller."""
-    return validation.orderBy("validation_mean_cost", "epsilon").limit(1)
+def best_epsilon(validation: DataFrame, rule: str = "mean") -> DataFrame:
+    """One row: the radius of least validation mean, ties to the smaller; or (``tail``) of least tail, mean, radius and travel."""
+    order = {"mean": ["validation_mean_cost", "epsilon"], "tail": ["validation_cvar90", "validation_mean_cost", "epsilon", "travel_cost"]}[rule]
+    return validation.orderBy(*order).limit(1)
 
 
 def gap_buckets(results_: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patrolkit.plans.shared_tables import ship
+
 RAW = T.StructType([
     T.StructField("plate_num", T.StringType()), T.StructField("published_at", T.StringType()), T.StructField("speed", T.StringType()),
     T.StructField("coord", T.StringType()), T.StructField("publish_date", T.DateType()),
@@ -25,6 +32,52 @@ def raw_pings(spark: SparkSession, root: str, glob: str = "*.c000") -> DataFrame
     return reader.option("basePath", root).parquet(root)
 
 
+_FOOTER = "path string, rows long, first string, readable boolean"
+
+
+def file_report(spark: SparkSession, root: str, glob: str = "*.c000", column: str = "published_at") -> DataFrame:
+    """``(path, rows, first, readable)`` of every file, from its footer alone: the least value that the row groups state.
+
+    Files whose footer cannot be read are listed as such, so that what a read passes over is known.
+    """
+    ship(spark)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    where, name = fs.FileSystem.from_uri(path)
+                    with where.open_input_file(name) as file:
+                        meta = pq.ParquetFile(file).metadata
+                    place = meta.schema.names.index(column)
+                    stats = [meta.row_group(i).column(place).statistics for i in range(meta.num_row_groups)]
+                    lows = [s.min for s in stats if s is not None and s.has_min_max]
+                    out.append((path, meta.num_rows, str(min(lows)) if lows else None, True))
+                except (OSError, ValueError, pa.ArrowException):
+                    out.append((path, None, None, False))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["path", "rows", "first", "readable"]) if out else batch.slice(0, 0)
+
+    return listed.repartition("path").mapInArrow(run, _FOOTER)
+
+
+def hours_by_footer(report: DataFrame) -> DataFrame:
+    """``(path, hour)`` of readable files by their least time."""
+    return report.where("readable and first is not null").select("path", F.date_trunc("hour", F.to_timestamp("first")).alias("hour"))
+
+
+def duplicate_periods(by_file: DataFrame, period: str = "hour") -> DataFrame:
+    """Periods that more than one file claims, with their number of files."""
+    return by_file.groupBy(period).agg(F.count("*").alias("files")).where("files > 1")
+
+
+def missing_days(pings: DataFrame, first: str, last: str, day: str = "publish_date") -> DataFrame:
+    """Days from ``first`` to ``last`` without a row."""
+    every = pings.sparkSession.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS missing_day")
+    return every.join(pings.select(F.col(day).cast("date").alias("there")).distinct(), F.col("missing_day") == F.col("there"), "left_anti")
+
+
 def hours_by_file(pings: DataFrame) -> DataFrame:
     """``(file, hour)``: the hour of each file's earliest ping."""
     return pings.groupBy(F.input_file_name().alias("file")).agg(F.date_trunc("hour", F.min(F.to_timestamp("published_at"))).alias("hour"))

@@ -119,7 +119,7 @@ def test_scalars(spark):
     assert row["s"] == [[1, 2], [3]] and row["j"] == [0, 1, 2, 0, 3, 0]
     import hashlib
 
-    assert int(row["h"], 16) == int.from_bytes(hashlib.sha256(b"42|k").digest()[:8], "little")
+    assert int(row["h"]) == int.from_bytes(hashlib.sha256(b"42|k").digest()[:8], "little")
 
 
 VRP = """NAME : \tmini

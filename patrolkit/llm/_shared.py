@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patrolkit.plans.shared_tables import scratch, ship, written  # noqa: F401  used by the operators
+from patrolkit.plans.shared_tables import scratch, ship, small, written  # noqa: F401  used by the operators
 
 #: Rows and bytes handled at once inside a Python worker; a longer text is a slice of its own.
 SLICE_ROWS = 256

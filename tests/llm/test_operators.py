@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import math
 import random
 import re
 import zlib
@@ -782,34 +781,57 @@ def test_fingerprints_against_the_definition(text):
     assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("width", [2, 3, 4])
-def test_tallies_count_the_shared_positional_bytes(spark, width):
-    draw = random.Random(9)
-    values = [int.from_bytes(bytes(draw.choice([7, 200]) for _ in range(8)), "little", signed=True) for _ in range(40)]
-    table = spark.createDataFrame([(v,) for v in set(values)], "fp long")
-    got = {frozenset((r["src"], r["dst"])): r["shared"] for r in simhash.tallies(simhash.postings(table, width)).collect()}
-    for a, b in itertools.combinations(set(values), 2):
-        shared = sum(x == y for x, y in zip(a.to_bytes(8, "little", signed=True), b.to_bytes(8, "little", signed=True), strict=True))
-        assert got.get(frozenset((a, b)), 0) == math.comb(shared, width)
+def test_every_four_positions_hold_a_triple():
+    assert len(simhash.TRIPLES) == 20
+    for four in itertools.combinations(range(8), 4):
+        assert any(set(t) <= set(four) for t in simhash.TRIPLES)
 
 
-@pytest.mark.parametrize("width", [None, 2, 4])
-def test_links_lose_none_and_add_none(spark, width):
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=8, max_size=8), st.binary(min_size=8, max_size=8)), min_size=1, max_size=5))
+def test_tallies_count_the_shared_positional_bytes(pairs):
+    a, b = (np.array([int.from_bytes(p[k], "little") for p in pairs], np.uint64) for k in (0, 1))
+    assert simhash.tally(a, b).tolist() == [sum(x == y for x, y in zip(*p, strict=True)) for p in pairs]
+    assert simhash.linked(a, b, 4).tolist() == [(int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b, strict=True)]
+
+
+def groups_of(pairs, nodes):
+    label = {n: n for n in nodes}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, b in pairs:
+        label[root(a)] = root(b)
+    return {frozenset(n for n in nodes if root(n) == r) for r in {root(n) for n in nodes}}
+
+
+@pytest.mark.parametrize("block, short", [(4096, 16), (4096, 1), (13, 4), (3, 2)])
+def test_links_connect_what_all_pairs_connect(spark, block, short):
+    """Random fingerprints with near ones, and a group of near copies about one centre; long postings are cut into blocks."""
     draw = random.Random(8)
     values = {0, (1 << 64) - 1}
     for _ in range(40):
         base = draw.getrandbits(64)
         values.add(base)
         for _ in range(10):
-            other = base
-            for b in draw.sample(range(64), draw.randrange(1, 8)):
-                other ^= 1 << b
-            values.add(other)
+            values.add(base ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 8))))
+    centre = draw.getrandbits(64)
+    values |= {centre ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(3))) for _ in range(120)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    pairs = simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), width=width).collect()
-    got, rows = {frozenset((r["src"], r["dst"])) for r in pairs}, len(pairs)
-    want = {frozenset((a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
-    assert got == want and rows == len(want)
+    got = [(r["src"], r["dst"]) for r in simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), block=block, short=short).collect()]
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4
+    assert all(near(a, b) and a != b for a, b in got)
+    assert groups_of(got, signed) == groups_of([p for p in itertools.combinations(signed, 2) if near(*p)], signed)
+
+
+def test_near_copies_leave_few_links(spark):
+    centre = random.Random(3).getrandbits(63)
+    values = sorted({centre ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(63), 2)})
+    few, many = (simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in some], "fp long")).count() for some in (values[::4], values))
+    assert many < 20 * len(values) and many < 6 * few  # four times the copies, not sixteen times the links
 
 
 def brute_components(ids, prints):

@@ -1,14 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the items' word windows, one scan of each text.
 
 Texts and items are normalised byte by byte (A-Z lowered, other ASCII than letters and digits to spaces), so words are
-the runs between spaces and every other byte stays. Each distinct word of the items is one symbol of the automaton's
-alphabet and all other words share one that no window holds, so a text is scanned word by word and only whole words
-match. Hit words keep their place among the words of the text, which gives their offsets in the original.
+the runs between spaces and every other byte stays. Each distinct word of the items becomes two symbols, digits of its
+number of which the first and the second never look alike, so nodes have few children and only whole words match; all
+other words share a pair that no window holds. Hit words keep their place among the words of the text, which gives their offsets in the original.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from ._shared import free_name, ship, utf8, with_batches, written
 
 WINDOW_WORDS = 10
-#: UTF-8 bytes of items that one automaton may be built from (about 100 MB of memory a MB); larger benchmarks take several.
-AUTOMATON_BYTES = 2 << 20
+#: UTF-8 bytes of items that one automaton may be built from (about 170 MB of memory a MB); larger benchmarks take several.
+AUTOMATON_BYTES = 1 << 20
 #: Windows in a piece of an item: pieces, which overlap by a window less a word, are what is dealt to the automata.
 PIECE_WINDOWS = 2_000
 _TABLE = bytes(
@@ -39,7 +40,7 @@ _RUNS_ARROW = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.in
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of the items as strings of one symbol a word: ``owners[i]`` are the item ids of ``patterns[i]``."""
+    """Windows of the items as strings of two symbols a word: ``owners[i]`` are the item ids of ``patterns[i]``."""
 
     alphabet: dict[bytes, str]
     patterns: list[str]
@@ -53,12 +54,15 @@ class Windows:
         return made
 
 
-#: The symbol of a word that no item holds.
-_OTHER = "\x00"
+#: The symbols of a word that no item holds.
+_OTHER = "\x00\x00"
 
 
-def _symbol(number: int) -> str:
-    return chr(number if number < 0xD800 else number + 0x800)  # no surrogates
+def _symbols(words: list[bytes]) -> dict[bytes, str]:
+    """Two digits for each word, to about the root of their number as base."""
+    base = math.isqrt(len(words)) + 1
+    digit = lambda n: chr(n if n < 0xD800 else n + 0x800)  # noqa: E731  no surrogates
+    return {w: digit(1 + i // base) + digit(base + 2 + i % base) for i, w in enumerate(words)}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,12 +71,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 def windows(items: list[tuple[int | None, str | None]], size: int = WINDOW_WORDS) -> Windows:
     """The distinct windows of the items. An item without words has none; windows of a null id count for hits only."""
-    alphabet: dict[bytes, str] = {}
+    split = [(item_id, words_of((text or "").encode())) for item_id, text in items]
+    alphabet = _symbols(list(dict.fromkeys(w for _, words in split for w in words)))
     by: dict[str, set[int]] = {}
-    for item_id, text in items:
-        coded = "".join([alphabet.setdefault(w, _symbol(len(alphabet) + 1)) for w in words_of((text or "").encode())])
-        for i in range(max(1, len(coded) - size + 1) if coded else 0):
-            by.setdefault(coded[i : i + size], set()).update(() if item_id is None else (item_id,))
+    for item_id, words in split:
+        coded = "".join([alphabet[w] for w in words])
+        for i in range(0, max(1, len(words) - size + 1) * 2 if words else 0, 2):
+            by.setdefault(coded[i : i + 2 * size], set()).update(() if item_id is None else (item_id,))
     return Windows(alphabet, list(by), [tuple(sorted(ids)) for ids in by.values()])
 
 
@@ -88,8 +93,9 @@ def scan(text: bytes, made: ahocorasick.Automaton, found: Windows) -> tuple[int,
     edge = np.zeros(len(words) + 1, np.int64)
     ids: set[int] = set()
     for last, i in matches:
-        edge[last - len(found.patterns[i]) + 1] += 1
-        edge[last + 1] -= 1
+        end = last // 2 + 1
+        edge[end - len(found.patterns[i]) // 2] += 1
+        edge[end] -= 1
         ids.update(found.owners[i])
     return len(words), np.cumsum(edge[:-1]) > 0, ids
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,14 +77,45 @@ def _cell_links(core: DataFrame, eps: float, by: list[str]) -> DataFrame:
     return tried.where("linked").select("src", "dst").union(compared.select("src", "dst").distinct())
 
 
+#: Points of a group up to which one task clusters it in memory (about 200 bytes a point).
+KERNEL_ROWS = 500_000
+
+
+def _largest(points: DataFrame, by: list[str]) -> int:
+    sizes = points.groupBy(*by).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _by_kernel(points: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame:
+    ship(points.sparkSession)
+    whole = points.select(*by, "event_id", "lon", "lat")
+    kinds = dict(whole.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "event_id long", "is_core boolean", "label long", "is_noise boolean"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("event_id", kind="stable")
+        k = int(rows[min_samples].iloc[0]) if isinstance(min_samples, str) else min_samples
+        xy, ids = rows[["lon", "lat"]].to_numpy(float), rows["event_id"].to_numpy()
+        top, is_core = cell_dbscan(xy, eps, k)
+        label = np.where(top >= 0, ids[np.maximum(top, 0)] + 1, 0)
+        return rows[[*by, "event_id"]].assign(is_core=is_core, label=label, is_noise=label == 0)
+
+    if by:
+        return whole.groupBy(*by).applyInPandas(run, schema)
+    return whole.withColumn("whole__", F.lit(0)).groupBy("whole__").applyInPandas(run, schema)
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int | str, by: list[str] | None = None) -> DataFrame:
     """``(by, event_id, is_core, label, is_noise)``: label is 1 + the smallest core id of the cluster, 0 for noise.
 
     Ids are unique; with ``by`` every group is clustered on its own; ``min_samples`` may name a column of ``by``. Works on distinct positions with their numbers of
     points, in cells whose cores are one cluster by construction; clusters are connected components of cells. A border
     point takes the neighbouring cluster whose smallest core id is lowest. Nothing written grows faster than the points.
+    Groups of at most KERNEL_ROWS points go to a kernel that takes the same steps, a task for each group.
     """
     by = by or []
+    if _largest(points, by) <= KERNEL_ROWS:
+        return _by_kernel(points, eps, min_samples, by)
     with scratch():
         counted = _counted(points, eps, min_samples, by)
         core = counted.where("is_core")
@@ -105,45 +138,125 @@ def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return points.join(counted.select("lon", "lat", "neighbours"), ["lon", "lat"]).select("event_id", "neighbours", (F.col("neighbours") >= min_samples).alias("is_core"))
 
 
-def grid_dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels of one group of points: 0.. by the cluster's smallest core row, -1 for noise."""
+#: Pairs of points that the kernel lays out at once.
+_PAIRS = 4_000_000
+
+
+def _pairs_of_cells(start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (row of cell a, row of cell b) for aligned lists of cells, a bounded number of pairs at a time."""
+    many = size[a] * size[b]
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _PAIRS, "right")))
+        n = many[low:high]
+        which = np.repeat(np.arange(low, high), n)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = size[b[which]]
+        yield start[a[which]] + inside // wide, start[b[which]] + inside % wide
+        low = high
+
+
+def _folded(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each node's own number) after the nodes that links a-b connect took their least number."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def cell_dbscan(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(smallest core row of each row's cluster, is it a core)``, -1 for noise, for rows of two coordinates.
+
+    The steps of :func:`dbscan` on one group's arrays: cells of side eps / sqrt(2); only points of cells with under
+    ``min_samples`` count their neighbours; cells are linked by their outermost cores or, failing these, by all.
+    """
     n = len(x)
     if not n:
-        return np.empty(0, int)
-    cells = np.floor(x / eps).astype(np.int64)
-    where: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cells)):
-        where.setdefault(c, []).append(i)
-    offsets = np.stack(np.meshgrid(*[[-1, 0, 1]] * x.shape[1], indexing="ij"), -1).reshape(-1, x.shape[1])
-    near: list[np.ndarray] = [np.empty(0, int)] * n
-    for c, members in where.items():
-        around = [where[k] for k in map(tuple, np.array(c) + offsets) if k in where]
-        pool = np.concatenate([np.array(a) for a in around])
-        gap = x[members][:, None] - x[pool][None]
-        close = (gap * gap).sum(axis=2) <= eps * eps
-        for row, i in enumerate(members):
-            near[i] = pool[close[row]]
-    core = np.array([len(a) >= min_samples for a in near])
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in np.flatnonzero(core):
-        for j in near[i][core[near[i]]]:
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    top = np.array([root(i) if core[i] else -1 for i in range(n)])
-    for i in np.flatnonzero(~core):
-        options = top[near[i][core[near[i]]]]
-        if len(options):
-            top[i] = options.min()
-    order = {r: k for k, r in enumerate(sorted(set(top[top >= 0].tolist())))}
-    return np.array([order.get(t, -1) for t in top.tolist()])
+        return np.empty(0, int), np.empty(0, bool)
+    cells = np.floor(x / (eps / np.sqrt(2.0) * (1 - 1e-12))).astype(np.int64)
+    cells -= cells.min(axis=0) - 2
+    width = int(cells[:, 1].max()) + 3
+    key = cells[:, 0] * width + cells[:, 1]
+    order = np.argsort(key, kind="stable")
+    at, rows = x[order], order
+    names, start, size = np.unique(key[order], return_index=True, return_counts=True)
+
+    def beside(offset: tuple[int, int], mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = names[mine] + offset[0] * width + offset[1]
+        place = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        there = names[place] == wanted
+        return mine[there], place[there]
+
+    def close(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        gap = at[p] - at[q]
+        return gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] <= eps * eps
+
+    dense = size >= min_samples
+    sparse = np.flatnonzero(~dense)
+    near = np.zeros(n, np.int64)
+    for offset in _REACH:
+        for p, q in _pairs_of_cells(start, size, *beside(offset, sparse)):
+            near += np.bincount(p[close(p, q)], minlength=n)
+    core = np.repeat(dense, size) | (near >= min_samples)
+    if not core.any():
+        return np.full(n, -1), core
+    # the core points alone, cell by cell
+    kept = np.flatnonzero(core)
+    cell_of = np.repeat(np.arange(len(names)), size)[kept]
+    held = np.unique(cell_of)
+    first = np.searchsorted(cell_of, held)
+    amount = np.diff(np.append(first, len(cell_of)))
+    number = np.full(len(names), -1)
+    number[held] = np.arange(len(held))
+    ways = np.array([[1, 0], [-1, 0], [0, 1], [0, -1], [1, 1], [-1, -1], [1, -1], [-1, 1]], float)
+    rim = np.empty((len(held), len(ways)), np.int64)
+    for w, way in enumerate(ways):
+        rim[:, w] = kept[np.lexsort((at[kept] @ way, cell_of))[np.cumsum(amount) - 1]]
+    label = np.arange(len(held))
+    rest_a, rest_b = [], []
+    for offset in (o for o in _REACH if o > (0, 0)):
+        a, b = (number[c] for c in beside(offset, held))
+        a, b = a[b >= 0], b[b >= 0]
+        linked = np.zeros(len(a), bool)
+        for i, j in np.ndindex(len(ways), len(ways)):
+            open_ = np.flatnonzero(~linked)
+            linked[open_] = close(rim[a[open_], i], rim[b[open_], j])
+        label = _folded(label, a[linked], b[linked])
+        rest_a.append(a[~linked])
+        rest_b.append(b[~linked])
+    a, b = np.concatenate(rest_a), np.concatenate(rest_b)
+    apart = label[a] != label[b]
+    a, b = a[apart], b[apart]
+    for p, q in _pairs_of_cells(first, amount, a, b):
+        hit = close(kept[p], kept[q])
+        cell = number[cell_of]
+        label = _folded(label, cell[p[hit]], cell[q[hit]])
+    least = np.full(len(held), n)
+    np.minimum.at(least, label[number[cell_of]], rows[kept])
+    top = np.full(n, n)
+    top[kept] = least[label[number[cell_of]]]
+    border = np.full(n, n)
+    for offset in _REACH:
+        for p, q in _pairs_of_cells(start, size, *beside(offset, sparse)):
+            hit = core[q] & ~core[p]
+            p, q = p[hit], q[hit]
+            hit = close(p, q)
+            np.minimum.at(border, p[hit], top[q[hit]])
+    found = np.where(core, top, border)
+    out, is_core = np.empty(n, int), np.empty(n, bool)
+    out[rows], is_core[rows] = np.where(found < n, found, -1), core
+    return out, is_core
+
+
+def grid_dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """Labels of one group of points: 0.. by the cluster's smallest core row, -1 for noise."""
+    top, _ = cell_dbscan(x, eps, min_samples)
+    real = np.unique(top[top >= 0])
+    return np.where(top >= 0, np.searchsorted(real, top), -1)
 
 
 def dbscan_by_period(points: DataFrame, period: str, eps: float, min_samples: int) -> DataFrame:

@@ -73,6 +73,8 @@ def kth_distance(points: pd.DataFrame, k: int, block: int = 512) -> np.ndarray:
     return out
 
 
+#: Points of a period up to which one task compares them all, a block at a time.
+COMPARED_ROWS = 8_192
 #: Halvings of a period's extent that the k-distance grid knows.
 LEVELS = 16
 
@@ -83,9 +85,13 @@ def k_distances(points: DataFrame, period: str, k: int | str) -> DataFrame:
     ``k`` may name a column that is constant within a period; with fewer points the farthest counts. Exact: every
     position looks for the finest cell (the period's extent halved up to LEVELS times) that holds k points with it; the
     k-th lies within twice that cell's side, and so in the cells around the one of the next coarser level. Dense places
-    are searched in small cells and sparse ones in large ones, by equi-joins on cells; no task holds a period.
+    are searched in small cells and sparse ones in large ones, by equi-joins on cells; no task holds a period. Where no
+    period has more than COMPARED_ROWS points, a task compares those of a period.
     """
     keys = [period, "lon", "lat"]
+    largest = points.groupBy(period).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    if largest <= COMPARED_ROWS:
+        return _compared(points, period, k)
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
     own = points.select(*keys, "event_id", wanted.cast("long").alias("k__"))
     at = own.groupBy(*keys).agg(F.count("*").alias("weight"), F.max("k__").alias("k__"))
@@ -110,6 +116,18 @@ def k_distances(points: DataFrame, period: str, k: int | str) -> DataFrame:
     return own.join(found, keys).select(period, "event_id", "k_dist")
 
 
+def _compared(points: DataFrame, period: str, k: int | str) -> DataFrame:
+    ship(points.sparkSession)
+    kind = dict(points.dtypes)[period]
+    more = [k] if isinstance(k, str) else []
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        wanted = int(rows[k].iloc[0]) if isinstance(k, str) else k
+        return pd.DataFrame({period: rows[period], "event_id": rows["event_id"], "k_dist": kth_distance(rows, wanted)})
+
+    return points.select(period, "event_id", "lon", "lat", *more).groupBy(period).applyInPandas(run, f"`{period}` {kind}, event_id long, k_dist double")
+
+
 def spaced(nodes: DataFrame, score: str | Column, spacing_m: float, *, max_abs_lat: float = 60.0) -> DataFrame:
     """The nodes that a greedy pass by falling score (or a rising order column) accepts, each at least ``spacing_m`` from
     all accepted before.

@@ -78,8 +78,24 @@ def test_grid_kernel_agrees_with_brute_force(cells, k):
     assert got.tolist() == [order.get(v, -1) for v in want.tolist()]
 
 
+@pytest.fixture(params=[0, 500_000])
+def kernel_rows(request, monkeypatch):
+    """Distributed, and one task for each group."""
+    monkeypatch.setattr(cluster, "KERNEL_ROWS", request.param)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 12), st.sampled_from([0.3, 1.0, 3.0]), st.integers(1, 120))
+def test_cell_kernel_against_brute_force(seed, k, spread, n):
+    draw = np.random.default_rng(seed)
+    x = np.vstack([draw.normal(size=(n, 2)) * spread, np.round(draw.normal(size=(n // 2, 2)) * 4) / 4])
+    top, core = cluster.cell_dbscan(x, 0.5, k)
+    want, is_core = brute_dbscan(x, 0.5, k)
+    assert (top + 1).tolist() == want.tolist() and core.tolist() == is_core.tolist()
+
+
 @pytest.mark.parametrize("spread, k, step", [(4, 4, 4), (1, 6, 16), (12, 2, 2), (2, 300, 8)])
-def test_distributed_dbscan_agrees_with_brute_force(spark, spread, k, step):
+def test_distributed_dbscan_agrees_with_brute_force(spark, kernel_rows, spread, k, step):
     """Sparse, dense and repeated positions; cells that are all core, cells with some cores, and none."""
     x = np.round(np.random.default_rng(2).normal(size=(250, 2)) * spread * step) / step
     x[40:60] = x[3]
@@ -88,7 +104,7 @@ def test_distributed_dbscan_agrees_with_brute_force(spark, spread, k, step):
     assert [got[i] for i in range(len(x))] == list(zip(want.tolist(), core.tolist(), strict=True))
 
 
-def test_cells_whose_rims_do_not_meet_are_compared(spark):
+def test_cells_whose_rims_do_not_meet_are_compared(spark, kernel_rows):
     """Two neighbouring cells of many cores each, whose nearest pair is not among the outermost cores."""
     side = 0.5 / np.sqrt(2)
     draw = np.random.default_rng(5)
@@ -98,7 +114,7 @@ def test_cells_whose_rims_do_not_meet_are_compared(spark):
         assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.5, 5)[0].tolist()
 
 
-def test_groups_are_clustered_apart(spark):
+def test_groups_are_clustered_apart(spark, kernel_rows):
     draw = np.random.default_rng(6)
     x = np.round(draw.normal(size=(160, 2)) * 6) / 4
     day = draw.integers(0, 3, len(x))
@@ -210,8 +226,10 @@ def test_samples(spark):
     assert sampling.every_nth(rows, "day", "event_id", 10).count() == 102
 
 
-def test_k_distances_against_brute_force(spark):
+@pytest.mark.parametrize("compared", [0, 8_192])
+def test_k_distances_against_brute_force(spark, monkeypatch, compared):
     """Dense and sparse places, repeated positions, a period with too few points, and k by period."""
+    monkeypatch.setattr(spatial, "COMPARED_ROWS", compared)
     draw = np.random.default_rng(8)
     x = np.vstack([draw.normal(size=(150, 2)) * 0.01, draw.uniform(-5, 5, (60, 2)), np.repeat([[3.0, 3.0]], 9, axis=0), [[100.0, -40.0]]])
     rows = [(0, i, float(a), float(b), 4) for i, (a, b) in enumerate(x)] + [(1, 1000 + i, float(i), 0.0, 5) for i in range(3)] + [(2, 2000, 7.0, 7.0, 2)]

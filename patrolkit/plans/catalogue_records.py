@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patrolkit.operators import cluster, prizes, spatial, statistics, summaries
+from patrolkit.operators import cluster, prizes, robust, spatial, statistics, summaries
 
 from . import oracle as O
 from .catalogue import CENTRE_EPS, CENTRE_SAMPLES, CROSS_RADII, LEVELS, MAX_LAT, RADIUS_M, SCALE, _exact, _found, _halves, _merged, _nodes, _paired, _pings, _prizes, _realized, _selections, _travel
@@ -230,6 +230,43 @@ def q102_day_summary(spark, sf):
     return made.select(F.col("day").cast("string").alias("day"), "nearby_points", "clustered_points", "assigned_points", "clusters", F.round("noise_ratio", 8).alias("noise_ratio"), F.round("eps", 6).alias("eps"), "min_samples", "hashes", "nonzero_nodes", "largest_count")
 
 
+VALIDATED = (3, 7, 12)
+
+
+def q103_evaluator_values(spark, sf):
+    """The exact penalty of small seeded instances: 4 checks of 3, 7 and 12 nodes over 5 periods, scale 13, radius 0.1."""
+    n = F.explode(F.array(*[F.lit(v) for v in VALIDATED]))
+    grid = spark.range(4).select(n.alias("n"), F.col("id").alias("check")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    turn = ((F.col("n") * 100 + F.col("check")) * 50 + F.col("t")) * 50 + F.col("i")
+    x = (turn.cast("long") * 1103515245 + 12345) % 2147483648
+    drawn = ((F.floor(x / 1024).cast("long") * 1664525 + x * 69069 + 1013904223) % 2147483648) / 2147483648.0
+    name = F.concat_ws("|", F.col("n").cast("string"), F.col("check").cast("string"))
+    rows = grid.select(name.alias("selection"), "n", "check", F.col("t").alias("day"), F.col("i").cast("long").alias("node_id"), drawn.alias("prize"))
+    out = None
+    for count in VALIDATED:
+        for check in range(4):
+            part = rows.where((F.col("n") == count) & (F.col("check") == check))
+            sets = spark.createDataFrame([(f"{count}|{check}", 0.1, [i for i in range(count) if (i + check) % 4 == 0])], "selection string, epsilon double, nodes array<long>")
+            one = robust.robust(part, sets, "day", 13.0).select("selection", F.round("penalty", 5).alias("penalty"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q104_mild_parameters(spark, sf):
+    """The slow logarithmic rule for each vehicle's number of pings, and for a thousand times as many."""
+    sizes = _pings(spark, sf).groupBy("plate_num").agg(F.count("*").alias("n"))
+    rows = sizes.unionByName(sizes.withColumn("n", F.col("n") * 1000).withColumn("plate_num", -F.col("plate_num") - 1))
+    eps, k, hashes = cluster.mild_parameters(F.col("n"))
+    return rows.select("plate_num", "n", F.round(eps, 3).alias("eps"), k.alias("min_samples"), hashes.alias("hashes"))
+
+
+def q105_dimension_radius(spark, sf):
+    """The dimension-dependent rule on each day's k-distances, as if the points had 2, 20 and 54 dimensions."""
+    found = cluster.knee(spatial.k_distances(_pings(spark, sf), "day", 5).select("day", F.round("k_dist", 9).alias("k_dist")), "day", "k_dist")
+    rows = found.withColumn("d", F.explode(F.array(F.lit(2.0), F.lit(20.0), F.lit(54.0))))
+    return rows.select(F.col("day").cast("string").alias("day"), F.col("d").cast("int").alias("d"), F.round(cluster.dimension_radius(F.col("d"), F.col("raw"), F.col("least"), F.col("most")), 3).alias("eps"))
+
+
 RECORDS = f"""
 rec AS (
   SELECT *, (record % 41) * 100.0::DOUBLE / n AS visit_rate_pct, scale / 100.0::DOUBLE AS equivalent_km_per_full_prize FROM (
@@ -349,6 +386,28 @@ border AS (SELECT p.a AS event_id, min(l.root) AS root FROM pair p JOIN label l
 marked AS (SELECT s.*, coalesce(l.root, b.root) AS root FROM scaled s LEFT JOIN label l ON l.node = s.event_id LEFT JOIN border b ON b.event_id = s.event_id),
 hits AS (SELECT day, node_id, count(*) AS cnt FROM marked WHERE root IS NOT NULL AND dist_m <= 500 GROUP BY ALL)""", recursive=True)
 ORACLE = {
+    "q103_evaluator_values": O._with("""
+grid AS (SELECT n, c, t, i FROM (SELECT unnest([3, 7, 12]) AS n), (SELECT unnest(range(4)) AS c), (SELECT unnest(range(5)) AS t), LATERAL (SELECT unnest(range(n)) AS i)),
+mixed AS (SELECT *, ((((n * 100 + c) * 50 + t) * 50 + i)::BIGINT * 1103515245 + 12345) % 2147483648 AS x FROM grid),
+drawn AS (SELECT n, c, t, i, n::VARCHAR || '|' || c::VARCHAR AS selection, (((x // 1024) * 1664525 + x * 69069 + 1013904223) % 2147483648)::DOUBLE / 2147483648::DOUBLE AS prize FROM mixed),
+names AS (SELECT DISTINCT selection FROM drawn),
+open_ones AS (SELECT selection, t AS day, prize, 1 - prize AS room FROM drawn WHERE (i + c) % 4 <> 0),
+each_day AS (SELECT selection, day, sum(prize) AS missed, count(*) AS m FROM open_ones GROUP BY ALL),
+stats AS (SELECT selection, avg(missed) AS mean_missed, max(m) AS m FROM each_day GROUP BY selection)""", O.ROOMS, O._dual((0.1,)), recursive=True) + " SELECT selection, round(13 * value, 5) AS penalty FROM dual",
+    "q104_mild_parameters": """
+WITH sizes AS (SELECT user_id AS plate_num, count(*) AS n FROM events GROUP BY user_id),
+every AS (SELECT plate_num, n, ln(n::DOUBLE) - ln(10000::DOUBLE) AS g FROM (SELECT * FROM sizes UNION ALL SELECT -plate_num - 1, n * 1000 FROM sizes))
+SELECT plate_num, n, round(round_even(greatest(0.4::DOUBLE, 0.75::DOUBLE / (1 + 0.03::DOUBLE * g)), 4), 3) AS eps, CAST(trunc(least(10 + 0.6::DOUBLE * g, 30)) AS INTEGER) AS min_samples, CAST(trunc(least(10 + g / ln(2::DOUBLE), 20)) AS INTEGER) AS hashes FROM every""",
+    "q105_dimension_radius": O._with(O.PINGS, O._kdist(5)) + """,
+r AS (SELECT day, round(k_dist, 9) AS v FROM kd),
+line AS (SELECT day, v, row_number() OVER w AS i, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / CASE WHEN lag(v) OVER w IS NULL OR lead(v) OVER w IS NULL THEN 1 ELSE 2 END AS g FROM r WINDOW w AS (PARTITION BY day ORDER BY v)),
+steep AS (SELECT day, arg_max(v, {'g': round(g, 12), 'v': -v}) AS elbow FROM line GROUP BY day),
+q AS (SELECT day, quantile_cont(v, 0.9) AS q, min(v) AS lo, max(v) AS hi FROM r GROUP BY day),
+raw AS (SELECT day, lo, hi, CASE WHEN abs(q - elbow) / greatest(q, 1e-6) > 0.5 THEN (q + elbow) / 2 ELSE q END AS raw FROM q JOIN steep USING (day)),
+d AS (SELECT *, 1 / (1 + exp(-0.15::DOUBLE * (d - 15))) AS s, (exp((d - 6.5::DOUBLE) / 4) - 1) / (exp((d - 6.5::DOUBLE) / 4) + 1) AS bend FROM raw, (SELECT unnest([2.0::DOUBLE, 20.0::DOUBLE, 54.0::DOUBLE]) AS d)),
+e AS (SELECT *, 0.2::DOUBLE + 0.5::DOUBLE * s AS a, 0.3::DOUBLE + 0.45::DOUBLE * s AS b FROM d),
+f AS (SELECT *, (CASE WHEN hi - lo < 1e-6 THEN (a + b) / 2 ELSE a + (raw - lo) / (hi - lo) * (b - a) END - a) / (b - a) AS p, 0.4::DOUBLE * abs(bend) AS w FROM e)
+SELECT CAST(day AS VARCHAR) AS day, CAST(d AS INTEGER) AS d, round(round_even(0.01::DOUBLE + 0.99::DOUBLE / (1 + exp(-10 * (a + (p * (1 - w) + (0.5::DOUBLE + 0.3::DOUBLE * bend) * w) * (b - a) - 0.5::DOUBLE))), 4), 3) AS eps FROM f""",
     "q101_day_counts": DAYS + " SELECT CAST(day AS VARCHAR) AS day, node_id, cnt FROM hits",
     "q102_day_summary": DAYS + """
 SELECT CAST(m.day AS VARCHAR) AS day, count(*) AS nearby_points, count(root) AS clustered_points, count(*) FILTER (root IS NOT NULL AND dist_m <= 500) AS assigned_points, count(DISTINCT root) AS clusters,

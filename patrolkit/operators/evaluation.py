@@ -73,9 +73,9 @@ def silhouette(points: DataFrame, label: str, features: list[str]) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """One row: vertices and mean degree of an undirected edge table (src, dst), each edge given once."""
+    """One row: vertices and mean degree (null without an edge) of an undirected edge table (src, dst), each edge given once."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("v"))
-    return ends.agg(F.count_distinct("v").alias("vertices"), (F.count("*") / F.count_distinct("v")).alias("mean_degree"))
+    return ends.agg(F.count_distinct("v").alias("vertices"), F.try_divide(F.count("*"), F.count_distinct("v")).alias("mean_degree"))
 
 
 def second_eigenvalue(edges: DataFrame, rounds: int = 60) -> float:

@@ -463,7 +463,7 @@ def q53_wilcoxon_p(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue_more, catalogue_records
+    from . import catalogue_checks, catalogue_more, catalogue_records
 
-    found = {k: f for part in (globals(), vars(catalogue_more), vars(catalogue_records)) for k, f in part.items() if k[:1] == "q" and k[1:3].isdigit()}
+    found = {k: f for part in (globals(), vars(catalogue_more), vars(catalogue_records), vars(catalogue_checks)) for k, f in part.items() if k[:1] == "q" and k[1:3].isdigit()}
     return dict(sorted(found.items()))

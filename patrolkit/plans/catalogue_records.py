@@ -385,7 +385,27 @@ label AS (SELECT node, min(reach) AS root FROM walk GROUP BY node),
 border AS (SELECT p.a AS event_id, min(l.root) AS root FROM pair p JOIN label l ON l.node = p.b GROUP BY p.a),
 marked AS (SELECT s.*, coalesce(l.root, b.root) AS root FROM scaled s LEFT JOIN label l ON l.node = s.event_id LEFT JOIN border b ON b.event_id = s.event_id),
 hits AS (SELECT day, node_id, count(*) AS cnt FROM marked WHERE root IS NOT NULL AND dist_m <= 500 GROUP BY ALL)""", recursive=True)
+
+
+def _leading(name: str, source: str) -> str:
+    """CTE ``name`` (i, v): the leading eigenvector of a matrix (i, j, c), by squaring it 14 times; its largest entry is positive."""
+    return f"""
+{name}_p AS (
+  SELECT 0 AS turn, i, j, c FROM {source}
+  UNION ALL SELECT turn + 1, i, j, c / max(abs(c)) OVER () FROM (SELECT a.turn, a.i, b.j, sum(a.c * b.c) AS c FROM {name}_p a JOIN {name}_p b ON a.j = b.i WHERE a.turn < 14 GROUP BY a.turn, a.i, b.j)),
+{name}_j AS (SELECT j, sqrt(sum(c * c)) AS size FROM {name}_p WHERE turn = 14 GROUP BY j ORDER BY size DESC, j LIMIT 1),
+{name}_u AS (SELECT i, c / size AS v FROM {name}_p JOIN {name}_j USING (j) WHERE turn = 14),
+{name} AS (SELECT i, v * (SELECT sign(arg_max(v, abs(v))) FROM {name}_u) AS v FROM {name}_u)"""
+
+
 ORACLE = {
+    "q62_principal_components": O._with("""
+flat AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+mean AS (SELECT i, avg(x) AS m FROM flat GROUP BY i), cen AS (SELECT vec_id, i, x - m AS x FROM flat JOIN mean USING (i)),
+cov AS (SELECT a.i, b.i AS j, avg(a.x * b.x) AS c FROM cen a JOIN cen b USING (vec_id) GROUP BY a.i, b.i)""", _leading("first", "cov"), """
+lam AS (SELECT sum(a.v * c * b.v) AS l FROM cov JOIN first a ON a.i = cov.i JOIN first b ON b.i = cov.j),
+cov2 AS (SELECT cov.i, cov.j, c - l * a.v * b.v AS c FROM cov JOIN first a ON a.i = cov.i JOIN first b ON b.i = cov.j, lam)""", _leading("second", "cov2"), recursive=True) + """
+SELECT vec_id, round(sum(x * first.v), 6) AS c0, round(sum(x * second.v), 6) AS c1 FROM flat JOIN first USING (i) JOIN second USING (i) GROUP BY vec_id""",
     "q103_evaluator_values": O._with("""
 grid AS (SELECT n, c, t, i FROM (SELECT unnest([3, 7, 12]) AS n), (SELECT unnest(range(4)) AS c), (SELECT unnest(range(5)) AS t), LATERAL (SELECT unnest(range(n)) AS i)),
 mixed AS (SELECT *, ((((n * 100 + c) * 50 + t) * 50 + i)::BIGINT * 1103515245 + 12345) % 2147483648 AS x FROM grid),

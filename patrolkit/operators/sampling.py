@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patrolkit.plans.shared_tables import small
+
 #: Constants of the arithmetic generator: fixed values.
 FACTOR, STEP, MODULUS = 1103515245, 12345, 2147483648
 
@@ -14,12 +16,24 @@ def draw(key: Column) -> Column:
     return F.pmod(key * F.lit(FACTOR) + F.lit(STEP), F.lit(MODULUS))
 
 
+#: Draws in one of the ranges that an exact sample counts first (4,096 ranges).
+RANGE = 1 << 19
+
+
 def exact_share(rows: DataFrame, by: str, key: str, share: float) -> DataFrame:
-    """In each group the ``max(1, round(share * n))`` rows of least draw (then key)."""
-    marked = rows.withColumn("draw", draw(F.col(key)))
-    sizes = rows.groupBy(by).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("long")).alias("keep"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("draw", key))
-    return marked.withColumn("rank", rank).join(F.broadcast(sizes), by).where("rank <= keep").drop("rank", "keep", "draw")
+    """In each group the ``max(1, round(share * n))`` rows of least draw (then key).
+
+    Counts by ranges of draws tell which range the last kept row lies in, so rows are ranked inside one range only.
+    """
+    marked = rows.withColumn("draw__", draw(F.col(key))).withColumn("range__", F.floor(F.col("draw__") / RANGE))
+    counts = marked.groupBy(by, "range__").agg(F.count("*").alias("n__"))
+    earlier = Window.partitionBy(by).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col(by).alias("of__")).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("long")).alias("keep__"))
+    starts = counts.withColumn("before__", F.coalesce(F.sum("n__").over(earlier), F.lit(0))).join(sizes, F.col(by).eqNullSafe(F.col("of__")))
+    starts = starts.where("before__ < keep__").select(F.col(by).alias("in__"), F.col("range__").alias("at__"), "before__", "keep__")
+    near = marked.join(small(starts), F.col(by).eqNullSafe(F.col("in__")) & (F.col("range__") == F.col("at__")))
+    rank = F.row_number().over(Window.partitionBy(by, "range__").orderBy("draw__", key))
+    return near.withColumn("rank__", rank).where(F.col("before__") + F.col("rank__") <= F.col("keep__")).select(*rows.columns)
 
 
 def every_nth(rows: DataFrame, by: str, order: str, step: int) -> DataFrame:

@@ -135,27 +135,27 @@ def _features(of: list[list[tuple[int, int, float, float]]]) -> np.ndarray:
     return np.array(rows)
 
 
-def log_odds(toxic: Counter, clean: Counter, least_root: float = LEAST_ROOT) -> dict[str, float]:
+def log_odds(names: list[str], whole: np.ndarray, toxic: np.ndarray, clean: np.ndarray, least_root: float = LEAST_ROOT) -> dict[str, float]:
     """Scores of the tokens whose toxic share differs from that of all tokens; at most LEXICON_TOKENS of them.
 
-    What differs is decided by the root of the token's binomial deviance, which, unlike a standard error of log-odds,
-    holds for tokens that one side never shows.
+    ``toxic`` and ``clean`` count each name's texts; ``whole`` marks whole words, whose counts make the totals. What
+    differs is decided by the root of the token's binomial deviance, which, unlike a standard error of log-odds, holds for
+    tokens that one side never shows.
     """
-    n1, n0 = (sum(v for w, v in c.items() if not w.endswith("*")) for c in (toxic, clean))
+    n1, n0 = float(toxic[whole].sum()), float(clean[whole].sum())
     every = n1 + n0
     if not n1 or not n0:
         return {}
     share = n1 / every
-    words = list(toxic.keys() | clean.keys())
-    k = np.fromiter((toxic[w] for w in words), float, len(words))
-    m = k + np.fromiter((clean[w] for w in words), float, len(words))
+    k, m = toxic.astype(float), (toxic + clean).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(x > 0, x * np.log(x / y), 0.0) for x, y in ((k, m * share), (m - k, m * (1 - share)))]
     root = np.sqrt(np.maximum(0.0, 2 * (parts[0] + parts[1])))
-    prior = PRIOR_TOKENS * m / every
-    a, b = k + prior, m - k + prior
+    at = np.flatnonzero((root >= least_root) & (m > 0))
+    prior = PRIOR_TOKENS * m[at] / every
+    a, b = k[at] + prior, m[at] - k[at] + prior
     odds = np.log(a / (n1 + PRIOR_TOKENS - a)) - np.log(b / (n0 + PRIOR_TOKENS - b)) + NEUTRAL
-    found = sorted(((root[i], words[i], float(odds[i])) for i in np.flatnonzero(root >= least_root)), reverse=True)
+    found = sorted(((root[i], names[i], float(o)) for i, o in zip(at.tolist(), odds, strict=True)), reverse=True)
     return {word: value for _, word, value in found[:LEXICON_TOKENS]}
 
 
@@ -189,15 +189,26 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     fold = np.empty(len(labels), int)
     for k in (0, 1):
         fold[labels == k] = np.arange(sizes[k]) % FOLDS
-    parts = [[Counter() for _ in range(FOLDS)] for _ in (0, 1)]
-    for text, label, f in zip(words, labels.tolist(), fold.tolist(), strict=True):
-        parts[label][f].update({form for w in set(text) for form in forms(w)})
-    whole = [sum(parts[k], Counter()) for k in (0, 1)]
+    forms_of: dict[str, list[int]] = {}
+    number: dict[str, int] = {}
+    seen = []
+    for text in words:
+        numbers: set[int] = set()
+        for w in set(text):
+            if w not in forms_of:
+                forms_of[w] = [number.setdefault(f, len(number)) for f in forms(w)]
+            numbers.update(forms_of[w])
+        seen.append(np.fromiter(numbers, np.int64, len(numbers)))
+    names = list(number)
+    whole = np.array([not f.endswith("*") for f in names], bool)
+    count = lambda texts: np.bincount(np.concatenate([seen[i] for i in texts.tolist()] or [np.empty(0, np.int64)]), minlength=len(names))
+    parts = [[count(np.flatnonzero((labels == k) & (fold == f))) for f in range(FOLDS)] for k in (0, 1)]
+    clean, toxic = (sum(p) for p in parts)
     root = LEAST_ROOT * (2.0 * (FOLDS - 1) / FOLDS) ** 0.5
     scores: list[np.ndarray] = [np.empty(0)] * len(words)
     met: Counter = Counter()
     for f in range(FOLDS):
-        lexicon = log_odds(whole[1] - parts[1][f], whole[0] - parts[0][f], root)
+        lexicon = log_odds(names, whole, toxic - parts[1][f], clean - parts[0][f], root)
         known = WordScores(lexicon)
         for i in np.flatnonzero(fold == f).tolist():
             scores[i] = known.of(words[i])
@@ -208,7 +219,7 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     found = [maximal_segments(s) for s in scores]
     tops = [scale * max((s[2] for s in found[i]), default=0.0) - np.log(max(1, len(words[i]))) for i in np.flatnonzero(labels == 0).tolist()]
     location = float(np.mean(tops)) - 0.5772  # a Gumbel law's mean lies Euler's constant over its location
-    lexicon = log_odds(whole[1], whole[0], LEAST_ROOT * 2**0.5)
+    lexicon = log_odds(names, whole, toxic, clean, LEAST_ROOT * 2**0.5)
     plain = ToxicityModel(lexicon, scale, location)
     rows = [plain.significant(s, len(w)) for s, w in zip(found, words, strict=True)]
     target = labels.astype(float)

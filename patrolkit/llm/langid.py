@@ -31,6 +31,9 @@ HELD_OUT_OF, HELD_OUT = 4, 2
 FEATURE_SLOTS = 1 << 16
 BLOCK = 32
 MAX_KNOWN = 300_000
+#: Numbers (words times labels, with the blocks' matrices) that the marginals of some texts may lay out at once; one text
+#: alone may hold more.
+MAX_NUMBERS = 24_000_000
 #: Letters of a word at most; longer runs are several words.
 WORD_LETTERS = 40
 #: Words whose features are laid out at once.
@@ -188,7 +191,7 @@ class Emissions:
         self.scores = np.empty((1024, len(model.labels)), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > MAX_KNOWN:
+        if len(self.row) > min(MAX_KNOWN, MAX_NUMBERS // max(1, len(self.model.labels))):
             self.row.clear()
         row = self.row
         fresh = list({w: None for w in words if w not in row})
@@ -287,6 +290,17 @@ def fit_on_tables(docs: DataFrame) -> Crf:
     return fit(bounded_sample(rows, docs, "lang", per_label, SAMPLE_MAX_BYTES)[0])
 
 
+def groups_of(texts: np.ndarray, sizes: np.ndarray, labels: int, most: int = MAX_NUMBERS) -> list[np.ndarray]:
+    """``texts`` (with their numbers of words) in runs whose marginals lay out at most ``most`` numbers, or one text."""
+    out, held, start = [], 0, 0
+    for i, size in enumerate((sizes * labels * 6 + -(-sizes // BLOCK) * labels * labels).tolist()):
+        if i > start and held + size > most:
+            out.append(texts[start:i])
+            start, held = i, 0
+        held += size
+    return [*out, texts[start:]] if len(texts) else out
+
+
 def word_weights(words: list[str]) -> np.ndarray:
     """One over the root of each word's count in its text, so that a repeated phrase does not outvote the rest."""
     count = Counter(words)
@@ -311,27 +325,30 @@ def label(docs: DataFrame, model: Crf, text: str = "text", *, keep_text: bool =
         model = shared.value
         known = Emissions(model)
 
+        def one_group(some: np.ndarray, texts: list, sizes: np.ndarray, langs: list, scores: list, runs: list) -> None:
+            post = marginals(known.of([w for i in some for w in texts[i]]), sizes[some], model.transition)
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            weight = np.concatenate([word_weights(texts[i]) for i in some])
+            share = np.add.reduceat(post, starts, axis=0) / sizes[some][:, None]
+            votes = np.add.reduceat(post * weight[:, None], starts, axis=0)
+            best = post.argmax(axis=1)
+            change = np.flatnonzero(np.diff(best)) + 1
+            for j, i in enumerate(some.tolist()):
+                top = int(votes[j].argmax())
+                langs[i], scores[i] = model.labels[top], float(min(1.0, share[j, top]))
+                a, b = int(starts[j]), int(starts[j] + sizes[i])
+                cuts = change[np.searchsorted(change, a, "right") : np.searchsorted(change, b)]
+                if len(cuts):
+                    edges = [a, *cuts.tolist(), b]
+                    runs[i] = [{"first_word": x - a, "end_word": y - a, "lang": model.labels[best[x]]} for x, y in zip(edges, edges[1:], strict=False)]
+
         def work(column: pa.Array) -> list[pa.Array]:
             texts = [words_of(v) if v and model.labels else [] for v in column.to_pylist()]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             full = np.flatnonzero(sizes)
             langs, scores, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            if len(full):
-                post = marginals(known.of([w for i in full for w in texts[i]]), sizes[full], model.transition)
-                starts = np.cumsum(sizes[full]) - sizes[full]
-                weight = np.concatenate([word_weights(texts[i]) for i in full])
-                share = np.add.reduceat(post, starts, axis=0) / sizes[full][:, None]
-                votes = np.add.reduceat(post * weight[:, None], starts, axis=0)
-                best = post.argmax(axis=1)
-                change = np.flatnonzero(np.diff(best)) + 1
-                for j, i in enumerate(full.tolist()):
-                    top = int(votes[j].argmax())
-                    langs[i], scores[i] = model.labels[top], float(min(1.0, share[j, top]))
-                    a, b = int(starts[j]), int(starts[j] + sizes[i])
-                    cuts = change[np.searchsorted(change, a, "right") : np.searchsorted(change, b)]
-                    if len(cuts):
-                        edges = [a, *cuts.tolist(), b]
-                        runs[i] = [{"first_word": x - a, "end_word": y - a, "lang": model.labels[best[x]]} for x, y in zip(edges, edges[1:], strict=False)]
+            for some in groups_of(full, sizes[full], len(model.labels)):
+                one_group(some, texts, sizes, langs, scores, runs)
             kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))
             return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, kind)]
 

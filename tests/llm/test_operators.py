@@ -467,6 +467,17 @@ def test_likelihood_slopes_equal_finite_differences(lengths, k, seed):
             assert abs((sides[0] - sides[1]) / 2e-5 - slopes[place]) < 1e-5
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 500), max_size=20), st.integers(1, 40), st.integers(1, 50_000))
+def test_texts_are_grouped_by_what_they_lay_out(sizes, labels, most):
+    texts, sizes = np.arange(len(sizes)) * 3, np.array(sizes, dtype=np.int64)
+    groups = langid.groups_of(texts, sizes, labels, most)
+    assert [t for g in groups for t in g] == texts.tolist() and all(len(g) for g in groups)
+    for g in groups:
+        n = sizes[g // 3]
+        assert len(g) == 1 or (n * labels * 6 + -(-n // langid.BLOCK) * labels * labels).sum() <= most
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE_TEXTS", 1000)
     monkeypatch.setattr(langid, "fit", lambda sample: {lang for _, lang in sample})

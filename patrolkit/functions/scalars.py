@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,15 @@ def stable_seed(seed: int, key: Column) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), key), 256)
     turned = F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)])
     return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def uniform(key: Column, salt: int = 0) -> Column:
+    """A number in (0, 1) that a whole number from 0 and a salt decide, by arithmetic that any engine can follow."""
+    x = F.pmod((key.cast("bigint") * 64 + F.lit(salt % 64)) * F.lit(1103515245) + F.lit(12345 + salt), F.lit(2147483648))
+    y = F.pmod(F.floor(x / 1024).cast("bigint") * F.lit(1664525) + x * F.lit(69069) + F.lit(1013904223), F.lit(2147483648))
+    return (y + 0.5) / 2147483648.0
+
+
+def normal(key: Column, salt: int = 0) -> Column:
+    """A standard normal number from two uniform ones (salt and the next)."""
+    return F.sqrt(-2 * F.ln(uniform(key, salt))) * F.cos(F.lit(2 * math.pi) * uniform(key, salt + 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patrolkit.functions.scalars import uniform
 from patrolkit.plans.shared_tables import small
 
 #: Constants of the arithmetic generator: fixed values.
@@ -48,8 +49,9 @@ def per_cell(rows: DataFrame, cells: list[Column], key: str, most: int) -> DataF
     return named.withColumn("rank", rank).where(F.col("rank") <= most).select(*rows.columns)
 
 
-def fraction(rows: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    return rows.sample(withReplacement=False, fraction=share, seed=seed)
+def fraction(rows: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, by the draw of a whole-number key."""
+    return rows.where(uniform(F.col(key), seed) < share)
 
 
 def by_cluster_centres(rows: DataFrame, features: list[str], key: str, count: int, seed: int = 1) -> DataFrame:

@@ -392,3 +392,24 @@ def removal_savings(routes: DataFrame, by: list[str] | None = None) -> DataFrame
     wide = routes.withColumns(near)
     leg = lambda a, b: F.sqrt((F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2)
     return wide.withColumn("saving", (leg("p", "") + leg("", "n") - leg("p", "n")) * 100.0).drop(*near)
+
+
+def insertion_costs(routes: DataFrame, nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(by, node_id, added, vehicle, pos)``: for each node its cheapest place in the routes, before the stop at ``pos`` (one
+    more than the last for the way home); of equal ones the first vehicle and place.
+
+    ``routes`` holds (by, vehicle, pos, x, y), ``nodes`` (by, node_id, x, y). Nodes meet all legs of their plan: plans are
+    bounded.
+    """
+    by = by or []
+    order = Window.partitionBy(*by, "vehicle").orderBy("pos")
+    zero = F.lit(0.0)
+    legs = routes.select(*by, "vehicle", "pos", F.coalesce(F.lag("x").over(order), zero).alias("ax"), F.coalesce(F.lag("y").over(order), zero).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by_"))
+    home = routes.groupBy(*by, "vehicle").agg(F.max(F.struct("pos", "x", "y")).alias("l")).select(*by, "vehicle", (F.col("l.pos") + 1).alias("pos"), F.col("l.x").alias("ax"), F.col("l.y").alias("ay"), zero.alias("bx"), zero.alias("by_"))
+    every = legs.unionByName(home)
+    gap = lambda a, b, c, d: F.sqrt((a - c) ** 2 + (b - d) ** 2)
+    met = nodes.join(small(every), by) if by else nodes.crossJoin(small(every))
+    x, y, ax, ay, bx, by_ = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by_"))
+    added = (gap(ax, ay, x, y) + gap(x, y, bx, by_) - gap(ax, ay, bx, by_)) * 100.0
+    best = met.groupBy(*by, "node_id").agg(F.min(F.struct(F.round(added, 9).alias("added"), "vehicle", "pos")).alias("b"))
+    return best.select(*by, "node_id", "b.added", "b.vehicle", "b.pos")

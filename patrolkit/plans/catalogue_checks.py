@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions import scalars
 from patrolkit.functions.geo import cell
-from patrolkit.operators import evaluation, routing, sampling
+from patrolkit.operators import evaluation, routing, sampling, statistics
 from patrolkit.sources import pings as P
 from patrolkit.sources import sinks, vrp
 from patrolkit.streaming import batches
@@ -19,7 +21,7 @@ from . import oracle as O
 from .catalogue import _nodes, _pings
 from .catalogue_more import _planar
 from .catalogue_records import RECORDS, _records
-from .shared_tables import scratch_path
+from .shared_tables import scratch_path, ship
 
 
 def _folder(spark, name: str) -> str:
@@ -198,12 +200,94 @@ def q129_partitioned_files(spark, sf):
     return read.join(by_day, "publish_date").select(F.col("publish_date").cast("string").alias("day"), "read_rows", "footer_rows", "first_hour")
 
 
+def q130_random_instances(spark, sf):
+    """Three mixed instances of 50 customers."""
+    made = vrp.random_instances(spark, 3, 50, "mixed", 7)
+    return made.select("instance", "node", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"), F.round("demand", 6).alias("demand"))
+
+
+def q131_two_moons(spark, sf):
+    return vrp.two_moons(spark, 1000).select("id", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"), "label")
+
+
+def q132_blobs(spark, sf):
+    return vrp.blobs(spark, 600, 3, 5).select("id", *[F.round(c, 8).alias(c) for c in ("x0", "x1", "x2")], "label")
+
+
+def q133_block_model(spark, sf):
+    return vrp.block_model(spark, 120, 3, 0.3, 0.02)
+
+
+def q134_fraction_sample(spark, sf):
+    return sampling.fraction(_pings(spark, sf).select("event_id", "plate_num"), 0.2, "event_id")
+
+
+def q135_cheapest_insertions(spark, sf):
+    """Nodes left out of a plan and the cheapest place of each in it."""
+    placed = routing.sector_routes(_nodes(spark, sf).where("node_id % 7 <> 3"), 4)
+    made = statistics.insertion_costs(placed, _planar(spark, sf).where("node_id % 7 = 3").select("node_id", "x", "y"))
+    return made.select("node_id", F.round("added", 5).alias("added"), "vehicle", "pos")
+
+
+def q136_nearest_neighbour_routes(spark, sf):
+    """Each region's nodes by repeated nearest neighbour from the depot, one task a region."""
+    ship(spark)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node_id")
+        inst = routing.Instance(part[["x", "y"]].to_numpy(float), np.zeros((1, len(part))), 1, np.inf, 0.0, 0.0)
+        ids = part["node_id"].to_numpy()
+        turn = routing.nearest_first(inst, list(range(len(part))))
+        return pd.DataFrame({"region_key": part["region_key"].to_numpy()[0], "pos": np.arange(1, len(part) + 1), "node_id": ids[turn]})
+
+    return _planar(spark, sf).groupBy("region_key").applyInPandas(run, "region_key long, pos long, node_id long")
+
+
+def _uniform_sql(key: str, salt: int) -> str:
+    x = f"((({key})::BIGINT * 64 + {salt % 64}) * 1103515245 + {12345 + salt}) % 2147483648"
+    return f"((((({x}) // 1024) * 1664525 + ({x}) * 69069 + 1013904223) % 2147483648 + 0.5::DOUBLE) / 2147483648::DOUBLE)"
+
+
+def _normal_sql(key: str, salt: int) -> str:
+    return f"(sqrt(-2 * ln({_uniform_sql(key, salt)})) * cos(2 * pi() * {_uniform_sql(key, salt + 1)}))"
+
+
 _DRAW = "({0} * 1103515245 + 12345) % 2147483648"
 CANDIDATES = """,
 cand AS (SELECT scale::DOUBLE AS scale, optimization_epsilon AS epsilon, round(avg(holdout_coverage_pct) + 15, 6) AS coverage_pct, round(avg(holdout_cvar), 4) AS cvar_cost, round(avg(holdout_cost), 4) AS mean_cost, round(avg(travel), 4) AS travel FROM rec GROUP BY ALL)"""
 GAPS = ", g AS (SELECT method, record * 7 % 601 AS n, round(objective / 1000, 6) AS gap, CASE WHEN status <> 'P' THEN objective END AS cost FROM rec)"
 
+def _near_sql(i: int) -> str:
+    return f"least(1, greatest(0, 0.2::DOUBLE + 0.6::DOUBLE * {_uniform_sql('instance * 3 + node % 3 + 63', 10 + i)} + 0.07::DOUBLE * {_normal_sql('place', 2 + 2 * i)}))"
+
+
 ORACLE = {
+    "q130_random_instances": f"""
+WITH r AS (SELECT id // 50 AS instance, id % 50 + 1 AS node, id + 7 * 150 AS place FROM (SELECT unnest(range(150)) AS id))
+SELECT instance, node, round(CASE WHEN node % 2 = 0 THEN {_near_sql(0)} ELSE {_uniform_sql('place', 0)} END, 8) AS x, round(CASE WHEN node % 2 = 0 THEN {_near_sql(1)} ELSE {_uniform_sql('place', 1)} END, 8) AS y,
+  round((1 + floor({_uniform_sql('place', 6)} * 9)) / 40, 6) AS demand FROM r""",
+    "q131_two_moons": f"""
+WITH r AS (SELECT id, {_uniform_sql('id + 1000', 0)} * pi() AS t FROM (SELECT unnest(range(1000)) AS id))
+SELECT id, round(CASE WHEN id % 2 = 0 THEN cos(t) ELSE 1 - cos(t) END + {_normal_sql('id + 1000', 2)} * 0.07::DOUBLE, 8) AS x, round(CASE WHEN id % 2 = 0 THEN sin(t) ELSE 0.5::DOUBLE - sin(t) END + {_normal_sql('id + 1000', 4)} * 0.07::DOUBLE, 8) AS y, CAST(id % 2 AS INTEGER) AS label FROM r""",
+    "q132_blobs": "SELECT id, " + ", ".join(f"round(20 * {_uniform_sql('id % 5 + 5', 2 * j)} - 10 + {_normal_sql('id + 600', 2 * j)}, 8) AS x{j}" for j in range(3)) + ", CAST(id % 5 AS INTEGER) AS label FROM (SELECT unnest(range(600)) AS id)",
+    "q133_block_model": f"SELECT a AS src, b AS dst FROM (SELECT unnest(range(120)) AS a), (SELECT unnest(range(120)) AS b) WHERE a < b AND {_uniform_sql('a * 120 + b', 1)} < CASE WHEN a % 3 = b % 3 THEN 0.3::DOUBLE ELSE 0.02::DOUBLE END",
+    "q134_fraction_sample": f"SELECT event_id, user_id AS plate_num FROM events WHERE {_uniform_sql('event_id', 42)} < 0.2::DOUBLE",
+    "q135_cheapest_insertions": O._with(O.NODES, O.XY) + """,
+placed AS (SELECT *, ntile(4) OVER w AS vehicle, row_number() OVER w AS turn FROM xy WHERE node_id % 7 <> 3 WINDOW w AS (ORDER BY round(atan2(y, x), 9), node_id)),
+stops AS (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY turn) AS pos FROM placed),
+legs AS (
+  SELECT vehicle, pos, coalesce(lag(x) OVER v, 0) AS ax, coalesce(lag(y) OVER v, 0) AS ay, x AS bx, y AS b_y FROM stops WINDOW v AS (PARTITION BY vehicle ORDER BY pos)
+  UNION ALL SELECT vehicle, max(pos) + 1, arg_max(x, pos), arg_max(y, pos), 0, 0 FROM stops GROUP BY vehicle),
+cost AS (SELECT n.node_id, l.vehicle, l.pos, round((sqrt((ax - x) * (ax - x) + (ay - y) * (ay - y)) + sqrt((x - bx) * (x - bx) + (y - b_y) * (y - b_y)) - sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y))) * 100, 9) AS added FROM xy n, legs l WHERE n.node_id % 7 = 3),
+best AS (SELECT node_id, min({'added': added, 'vehicle': vehicle, 'pos': pos}) AS b FROM cost GROUP BY node_id)
+SELECT node_id, round(b.added, 5) AS added, b.vehicle AS vehicle, b.pos AS pos FROM best""",
+    "q136_nearest_neighbour_routes": O._with(O.NODES, O.XY, """
+walk AS (
+  SELECT region_key, CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS node_id, 0::DOUBLE AS x, 0::DOUBLE AS y, CAST([] AS BIGINT[]) AS seen FROM xy GROUP BY region_key
+  UNION ALL
+  SELECT region_key, pos + 1, b.n, b.x, b.y, list_append(seen, b.n) FROM (
+    SELECT w.region_key, w.pos, any_value(w.seen) AS seen, min({'d': sqrt((n.x - w.x) * (n.x - w.x) + (n.y - w.y) * (n.y - w.y)) * 100, 'n': n.node_id, 'x': n.x, 'y': n.y}) AS b
+    FROM walk w JOIN xy n ON n.region_key = w.region_key AND NOT list_contains(w.seen, n.node_id) GROUP BY w.region_key, w.pos))""", recursive=True) + " SELECT region_key, pos, node_id FROM walk WHERE pos > 0",
     "q106_instance_file": O._with(O.NODES, O.XY) + """,
 kept AS (SELECT node_id + 1 AS n, CAST(printf('%.4f', x) AS DOUBLE) AS x, CAST(printf('%.4f', y) AS DOUBLE) AS y FROM xy WHERE node_id % 7 <> 3)
 SELECT i AS node, coalesce(round(x, 4), 0) AS x, coalesce(round(y, 4), 0) AS y, CASE WHEN n IS NULL THEN 0 ELSE (n % 9)::DOUBLE END AS demand FROM (SELECT unnest(range(1, (SELECT max(n) FROM kept) + 1)) AS i) LEFT JOIN kept ON n = i""",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patrolkit.functions.scalars import normal, uniform
+
 #: Vehicle capacities by number of customers: fixed values.
 CAPACITY = {10: 20, 20: 30, 50: 40, 100: 50, 200: 80, 500: 100, 1000: 250}
 _NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
@@ -56,29 +60,37 @@ def rounded_tour_cost(stops: DataFrame, by: list[str]) -> DataFrame:
 
 
 def random_instances(spark: SparkSession, count: int, customers: int, kind: str = "uniform", seed: int = 1) -> DataFrame:
-    """``(instance, node, x, y, demand, capacity)``: seeded customers in the unit square; kinds uniform, cluster, mixed."""
-    rows = spark.range(count * customers).select(F.floor(F.col("id") / customers).alias("instance"), (F.col("id") % customers + 1).alias("node"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), F.randn(seed + 2).alias("g"), F.randn(seed + 3).alias("h"), F.rand(seed + 4).alias("w"))
-    centre = lambda salt: F.pmod(F.xxhash64("instance", F.pmod("node", F.lit(3)), F.lit(salt)), F.lit(1000)) / 1000.0
+    """``(instance, node, x, y, demand, capacity)``: seeded customers in the unit square; kinds uniform, cluster, mixed.
+
+    Every number follows from the customer's place and the seed, so instances are the same on any cluster.
+    """
+    place = F.col("id") + F.lit(seed) * F.lit(count * customers)
+    rows = spark.range(count * customers).select(F.floor(F.col("id") / customers).alias("instance"), (F.col("id") % customers + 1).alias("node"), place.alias("place"))
+    centre = F.col("instance") * 3 + F.col("node") % 3 + F.lit(seed) * F.lit(count * 3)
     inside = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    near = (inside(0.2 + 0.6 * centre(1) + 0.07 * F.col("g")), inside(0.2 + 0.6 * centre(2) + 0.07 * F.col("h")))
+    near = [inside(0.2 + 0.6 * uniform(centre, 10 + i) + 0.07 * normal(F.col("place"), 2 + 2 * i)) for i in (0, 1)]
     grouped = {"uniform": F.lit(False), "cluster": F.lit(True), "mixed": F.col("node") % 2 == 0}[kind]
     size = min((k for k in CAPACITY if k >= customers), default=max(CAPACITY))
-    return rows.select("instance", "node", F.when(grouped, near[0]).otherwise(F.col("u")).alias("x"), F.when(grouped, near[1]).otherwise(F.col("v")).alias("y"), ((1 + F.floor(F.col("w") * 9)) / float(CAPACITY[size])).alias("demand"), F.lit(1.0).alias("capacity"))
+    x, y = (F.when(grouped, near[i]).otherwise(uniform(F.col("place"), i)) for i in (0, 1))
+    demand = (1 + F.floor(uniform(F.col("place"), 6) * 9)) / float(CAPACITY[size])
+    return rows.select("instance", "node", x.alias("x"), y.alias("y"), demand.alias("demand"), F.lit(1.0).alias("capacity"))
 
 
 def two_moons(spark: SparkSession, n: int, noise: float = 0.07, seed: int = 1) -> DataFrame:
-    t = F.rand(seed) * F.lit(3.141592653589793)
+    """``(id, x, y, label)``: two half circles that reach into each other, with normal noise."""
+    key = F.col("id") + F.lit(seed * n)
     upper = F.col("id") % 2 == 0
-    rows = spark.range(n).withColumn("t", t)
-    x = F.when(upper, F.cos("t")).otherwise(1 - F.cos("t")) + F.randn(seed + 1) * noise
-    y = F.when(upper, F.sin("t")).otherwise(0.5 - F.sin("t")) + F.randn(seed + 2) * noise
+    rows = spark.range(n).withColumn("t", uniform(key, 0) * F.lit(math.pi))
+    x = F.when(upper, F.cos("t")).otherwise(1 - F.cos("t")) + normal(key, 2) * noise
+    y = F.when(upper, F.sin("t")).otherwise(0.5 - F.sin("t")) + normal(key, 4) * noise
     return rows.select("id", x.alias("x"), y.alias("y"), F.when(upper, 0).otherwise(1).alias("label"))
 
 
 def blobs(spark: SparkSession, n: int, d: int, k: int, spread: float = 1.0, seed: int = 1) -> DataFrame:
-    centre = lambda j: (F.pmod(F.xxhash64("label", F.lit(j), F.lit(seed)), F.lit(20_001)) - 10_000) / 1000.0
+    """``(id, x0 .., label)``: normal clouds about ``k`` centres in -10..10."""
+    centre = lambda j: 20 * uniform(F.col("label") + F.lit(seed * k), 2 * j) - 10
     rows = spark.range(n).withColumn("label", (F.col("id") % k).cast("int"))
-    return rows.select("id", *[(centre(j) + F.randn(seed + j) * spread).alias(f"x{j}") for j in range(d)], "label")
+    return rows.select("id", *[(centre(j) + normal(F.col("id") + F.lit(seed * n), 2 * j) * spread).alias(f"x{j}") for j in range(d)], "label")
 
 
 def block_model(spark: SparkSession, n: int, k: int, p: float, q: float, seed: int = 1) -> DataFrame:
@@ -86,7 +98,8 @@ def block_model(spark: SparkSession, n: int, k: int, p: float, q: float, seed: i
     a = spark.range(n).select(F.col("id").alias("src"))
     b = spark.range(n).select(F.col("id").alias("dst"))
     same = F.col("src") % k == F.col("dst") % k
-    return a.join(b, F.col("src") < F.col("dst")).where(F.rand(seed) < F.when(same, p).otherwise(q))
+    drawn = uniform(F.col("src") * n + F.col("dst"), seed)
+    return a.join(b, F.col("src") < F.col("dst")).where(drawn < F.when(same, p).otherwise(q))
 
 
 def decoded_degrees(column: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from patrolkit.functions.scalars import ratio_or_one
 from patrolkit.plans.shared_tables import ship, small
 
-from .ranking import counts_before
+from .ranking import RANGES, counts_before
 
 
 def realized(misses: DataFrame, travel: float, scale: float) -> DataFrame:
@@ -91,11 +91,11 @@ def calibration(rows: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def pareto(rows: DataFrame, cost: str, gain: str, tie: str, parts: int = 64, *, positive_cost: bool = False, least_gain: float | None = None) -> DataFrame:
+def pareto(rows: DataFrame, cost: str, gain: str, tie: str, *, positive_cost: bool = False, least_gain: float | None = None) -> DataFrame:
     """Rows that no cheaper (or equal) row matches in gain: least cost first, strictly more gain each time.
 
-    On demand only positive costs and gains from ``least_gain`` on count. Each hashed part keeps its own frontier first;
-    only those few meet in one window.
+    On demand only positive costs and gains from ``least_gain`` on count. Costs are cut at approximate quantiles; the
+    largest gain of the cheaper ranges (RANGES rows) and a window inside one range give what a row has to exceed.
     """
     if positive_cost:
         rows = rows.where(F.col(cost) > 0)
@@ -103,13 +103,17 @@ def pareto(rows: DataFrame, cost: str, gain: str, tie: str, parts: int = 64, *,
         rows = rows.where(F.col(gain) >= least_gain)
     best_at_cost = rows.groupBy(cost).agg(F.max(F.struct(F.col(gain).alias("g"), (-F.col(tie)).alias("t"))).alias("top"))
     points = best_at_cost.select(F.col(cost), F.col("top.g").alias(gain), (-F.col("top.t")).alias(tie))
-
-    def frontier(df: DataFrame, keys: list[Column]) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("best", F.max(gain).over(order)).where(F.col("best").isNull() | (F.col(gain) > F.col("best") + 1e-9)).drop("best")
-
-    local = frontier(points.withColumn("part", F.pmod(F.xxhash64(cost), F.lit(parts))), [F.col("part")]).drop("part")
-    return frontier(local, []).select(tie, cost, gain)
+    shares = ", ".join(str(i / RANGES) for i in range(1, RANGES))
+    edges = points.agg(F.expr(f"percentile_approx({cost}, array({shares}), 1000)").alias("edges__"))
+    place = F.size(F.filter(F.coalesce("edges__", F.array().cast("array<double>")), lambda e: e < F.col(cost)))
+    cut = points.crossJoin(F.broadcast(edges)).withColumn("range__", place).drop("edges__")  # one row of edges
+    tops = cut.groupBy("range__").agg(F.max(gain).alias("top__"))
+    cheaper = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    starts = tops.select(F.col("range__").alias("at__"), F.max("top__").over(cheaper).alias("before__"))
+    inside = F.max(gain).over(Window.partitionBy("range__").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    met = cut.withColumn("inside__", inside).join(F.broadcast(starts), F.col("range__") == F.col("at__"))
+    best = F.greatest("inside__", "before__")
+    return met.where(best.isNull() | (F.col(gain) > best + 1e-9)).select(tie, cost, gain)
 
 
 def lower_envelope(pool: DataFrame, levels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, quality, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity, vptree
+from . import chat, decontaminate, fim, langid, mixing, quality, repair, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity, vptree
 from ._training import remainder
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -89,6 +89,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(texts(spark, sf_dir))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digests(repair.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_sharding, op2_vantage_point_search, op3_decontamination, op4_toxicity, op5_chat_formatting, op6_language_id,
-            op7_sentencepiece, op8_secret_scans, op9_quality, op10_simhash_near_dedup, pipeline,
+            op7_sentencepiece, op8_secret_scans, op9_quality, op10_simhash_near_dedup, op11_fill_in_middle, op12_source_mix,
+            op13_conversation_repair, pipeline,
         )
     }
 
@@ -144,7 +159,104 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+_DRAW = "CAST('0x' || substr(h, {0}, 8) AS BIGINT)"
+_UNITS = r"CASE WHEN {0} = 0 THEN '' ELSE array_to_string(u[1:{0}], '') END"
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+cut AS (
+  SELECT *, len(u) AS n, {_DRAW.format(1)} % (len(u) + 1) AS a, {_DRAW.format(9)} % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_DRAW.format(17)} % 100 >= 100 THEN 'plain'
+      WHEN {_DRAW.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+part AS (
+  SELECT *, {_UNITS.format("least(a, b)")} AS p, {_UNITS.format("greatest(a, b)")} AS pm FROM cut),
+made AS (SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s FROM part)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM made
+"""
+
+# Best (cost, audit) up to each row at each state (0 nothing, 1 behind system, 2 user, 3 assistant) as nine digits and the audit,
+# so that the least string is the cheapest and then the least audit. A row is kept, rerolled or deleted; up to two rows are
+# inserted before it.
+_NONE = "'999999999'"
+_PLUS = "CASE WHEN {0} >= " + _NONE + " THEN " + _NONE + " ELSE lpad(CAST(CAST(substr({0}, 1, 9) AS INTEGER) + {1} AS VARCHAR), 9, '0') || substr({0}, 10) || '{2}' END"
+
+
+def _plus(state: str, cost: object, letter: str) -> str:
+    return _PLUS.format(state, cost, letter)
+
+
+def _kept(state: str, initial: str, reroled: bool) -> str:
+    keep = f"CASE WHEN f NOT IN (1, 2) AND i = '{initial}' THEN {_plus(state, 'x', 'K')} ELSE {_NONE} END"
+    return keep if not reroled else f"least({keep}, CASE WHEN f NOT IN (1, 2) THEN {_plus(state, '(2 + x)', 'R')} ELSE {_NONE} END)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+      for c in string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')])),
+      lambda s, c: CASE WHEN c >= 0 THEN xor(s, c) WHEN s % 2 = 1 THEN xor(s // 2, CAST(3988292384 AS BIGINT)) ELSE s // 2 END)) % 20 AS k
+  FROM conversations),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM dealt, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM rows_) AS a),
+r AS (
+  SELECT *, substr(role, 1, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS f
+  FROM placed),
+every AS (SELECT DISTINCT conv_id FROM conversations),
+best AS (
+  SELECT conv_id, 0 AS p, '000000000' AS s0, {_NONE} AS s1, {_NONE} AS s2, {_NONE} AS s3 FROM every
+  UNION ALL
+  SELECT conv_id, p + 1,
+    {_plus("s0", 3, "D")} AS s0,
+    least({_plus("s1", 3, "D")}, {_kept("s0", "s", False)}) AS s1,
+    least({_plus("i2", 3, "D")}, {_kept("s0", "u", True)}, {_kept("s1", "u", True)}, {_kept("i3", "u", True)}) AS s2,
+    least({_plus("i3", 3, "D")}, {_kept("i2", "a", True)}) AS s3
+  FROM (
+    SELECT *, least(s3, {_plus("i2", 2, "I")}) AS i3 FROM (
+      SELECT best.*, r.f, r.i, CASE WHEN r.f = 3 THEN 1 ELSE 0 END AS x,
+        least(s2, {_plus("s0", 2, "I")}, {_plus("s1", 2, "I")}, {_plus("s3", 2, "I")}) AS i2
+      FROM best JOIN r ON best.conv_id IS NOT DISTINCT FROM r.conv_id AND r.p = best.p + 1) AS a) AS b),
+ended AS (
+  SELECT conv_id, least(s0, s3, {_plus("i2", 2, "I")}) AS e
+  FROM (SELECT *, least(s2, {_plus("s1", 2, "I")}) AS i2 FROM best)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1),
+plan AS (SELECT conv_id, CAST(substr(e, 1, 9) AS BIGINT) AS cost, substr(e, 10) AS audit FROM ended),
+letters AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS c, length(translate(substr(audit, 1, j), 'I', '')) AS p, length(translate(substr(audit, 1, j), 'D', '')) AS q
+  FROM plan, unnest(range(1, length(audit) + 1)) AS t(j)),
+edits AS (
+  SELECT l.*, r.role, r.text, max(CASE WHEN c = 'K' AND q = 1 AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS sys
+  FROM letters AS l LEFT JOIN r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.p = r.p AND c <> 'I'),
+mended AS (
+  SELECT conv_id, string_agg(CASE WHEN c = 'K' THEN role WHEN (q - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole
+  FROM edits WHERE c <> 'D' GROUP BY conv_id),
+pairs AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i AS two FROM r),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank,
+    count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every LEFT JOIN plan ON every.conv_id IS NOT DISTINCT FROM plan.conv_id LEFT JOIN told ON every.conv_id IS NOT DISTINCT FROM told.conv_id
+LEFT JOIN mended ON every.conv_id IS NOT DISTINCT FROM mended.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force, exact round trips or held-out rows."""
-    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op11_fill_in_middle": OP11_SQL, "op13_conversation_repair": OP13_SQL}

@@ -1,16 +1,18 @@
-"""Density clustering: exact DBSCAN (distributed, and one period in a kernel), adaptive parameters, hashed variants."""
+"""Density clustering: exact DBSCAN (in tiles, on cells, and one period in a kernel), adaptive parameters, hashed variants."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import METRES_PER_DEGREE
-from patrolkit.plans.shared_tables import scratch, ship, written
+from patrolkit.plans.shared_tables import scratch, ship, small, written
 
 from .components import components
 from .spatial import neighbour_counts
@@ -77,32 +79,103 @@ def _cell_links(core: DataFrame, eps: float, by: list[str]) -> DataFrame:
     return tried.where("linked").select("src", "dst").union(compared.select("src", "dst").distinct())
 
 
-#: Points of a group up to which one task clusters it in memory (about 200 bytes a point).
-KERNEL_ROWS = 500_000
+#: Cells along a side of the smallest tile, and the rings of cells around a tile that its task sees: neighbours of the
+#: cores lie in two rings, and the neighbours that make those cores in two more.
+BLOCK_CELLS, CORE_RING, SEEN_RING = 16, 2, 4
+#: A tile grows while it holds at most TILE_ROWS points, up to TILE_LEVELS doublings of its side.
+TILE_ROWS, TILE_LEVELS = 16_384, 12
+#: Points of a smallest tile up to which tasks take tiles (about 200 bytes a point, of nine blocks at most). Where more
+#: points lie within a few eps, no tile is small, and the table goes through joins on cells instead.
+DENSE_ROWS = 100_000
 
 
-def _largest(points: DataFrame, by: list[str]) -> int:
-    sizes = points.groupBy(*by).agg(F.count("*").alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+def _tiles(points: DataFrame, eps: float, by: list[str], least: int | str) -> tuple[DataFrame, DataFrame]:
+    """``(points in blocks, blocks)``: points with their cell and block, and the tile of each block that holds points.
 
-
-def _by_kernel(points: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame:
+    A block is BLOCK_CELLS by BLOCK_CELLS cells. Its tile is the largest square of blocks around it, aligned by powers of
+    two, that holds at most TILE_ROWS points; at least the block itself.
+    """
+    more = [least] if isinstance(least, str) and least not in by else []
+    side = eps / np.sqrt(2.0) * (1 - 1e-12)
+    block = lambda c: F.floor(F.col(c) / BLOCK_CELLS)
+    at = points.select(*by, *more, "event_id", "lon", "lat", F.floor(F.col("lon") / F.lit(side)).alias("cx"), F.floor(F.col("lat") / F.lit(side)).alias("cy"))
+    at = at.withColumns({"bx": block("cx"), "by__": block("cy")})
+    blocks = at.groupBy(*by, "bx", "by__").agg(F.count("*").alias("held"))
+    up = lambda c: F.expr(f"shiftright({c}, level)")
+    levels = blocks.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TILE_LEVELS))))
+    within = F.sum("held").over(Window.partitionBy(*by, "level", up("bx"), up("by__")))
+    fits = levels.withColumn("within", within).where((F.col("level") == 0) | (F.col("within") <= TILE_ROWS))
+    return at, written(fits.groupBy(*by, "bx", "by__").agg(F.max("level").alias("level"), F.max("held").alias("held")), "blocks")
+
+
+def _tile_clusters(points: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame | None:
+    """What the tiles' tasks find, as a written table; None where a block holds over DENSE_ROWS points.
+
+    ``(by, event_id, is_core, labels, links)``: a tile's own points with the local clusters that they belong to or border
+    on, named by their smallest core ids; and rows without ``is_core`` that link a cell's smallest core id near the tile's
+    edge with its local cluster.
+    """
+    at, blocks = _tiles(points, eps, by, min_samples)
+    if blocks.agg(F.coalesce(F.max("held"), F.lit(0)).alias("n")).first()["n"] > DENSE_ROWS:
+        return None
     ship(points.sparkSession)
-    whole = points.select(*by, "event_id", "lon", "lat")
-    kinds = dict(whole.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "event_id long", "is_core boolean", "label long", "is_noise boolean"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("event_id", kind="stable")
-        k = int(rows[min_samples].iloc[0]) if isinstance(min_samples, str) else min_samples
-        xy, ids = rows[["lon", "lat"]].to_numpy(float), rows["event_id"].to_numpy()
-        top, is_core = cell_dbscan(xy, eps, k)
-        label = np.where(top >= 0, ids[np.maximum(top, 0)] + 1, 0)
-        return rows[[*by, "event_id"]].assign(is_core=is_core, label=label, is_noise=label == 0)
-
-    if by:
-        return whole.groupBy(*by).applyInPandas(run, schema)
-    return whole.withColumn("whole__", F.lit(0)).groupBy("whole__").applyInPandas(run, schema)
+    inside = lambda c, b: F.col(c) - F.col(b) * BLOCK_CELLS
+
+    def steps(o: Column) -> Column:
+        """To the blocks that see a cell at the offset ``o`` of its own block: itself, the one before, the one behind."""
+        before, behind = o < SEEN_RING, o >= BLOCK_CELLS - SEEN_RING
+        return F.when(before & behind, F.array(F.lit(0), F.lit(-1), F.lit(1))).when(before, F.array(F.lit(0), F.lit(-1))).when(behind, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+
+    rings = lambda o, step: F.when(step == 0, F.lit(0)).when(step < 0, o + 1).otherwise(BLOCK_CELLS - o)
+    ox, oy = inside("cx", "bx"), inside("cy", "by__")
+    spread = at.withColumn("dx", F.explode(steps(ox))).withColumn("dy", F.explode(steps(oy)))
+    spread = spread.withColumn("ring", F.greatest(rings(ox, F.col("dx")), rings(oy, F.col("dy"))))
+    spread = spread.withColumns({"bx": F.col("bx") + F.col("dx"), "by__": F.col("by__") + F.col("dy")}).drop("dx", "dy")
+    tile = {"tx": F.expr("shiftright(bx, level)"), "ty": F.expr("shiftright(by__, level)")}
+    tiled = spread.join(small(blocks.drop("held")), [*by, "bx", "by__"]).withColumns(tile).drop("bx", "by__")
+    kinds = dict(points.dtypes)
+    keys = [*by, "level", "tx", "ty"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "event_id long, is_core boolean, labels array<long>"])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, ring = rows.column("event_id").to_numpy(), rows.column("ring").to_numpy()
+        order = np.lexsort((ring, ids))
+        order = order[np.append(True, np.diff(ids[order]) != 0)]  # a point may be near several blocks of a tile
+        ids, ring = ids[order], ring[order]
+        xy, cells = (np.column_stack([rows.column(c).to_numpy()[order] for c in names]) for names in (("lon", "lat"), ("cx", "cy")))
+        least = rows.column(min_samples)[0].as_py() if isinstance(min_samples, str) else min_samples
+        found = clustered(xy, eps, least, ring <= CORE_RING, cells)
+        level, tx, ty = (k.as_py() for k in key[-3:])
+        side = BLOCK_CELLS << level
+        low = np.array([tx * side, ty * side])
+        edge = ((cells < low + CORE_RING) | (cells >= low + side - CORE_RING)).any(axis=1)
+        own = ring == 0
+        mine = np.flatnonzero(own)
+        # the smallest core of each cell near the edge, here and in the tiles around, which see the same cells whole
+        shared = np.flatnonzero(found.core & (edge | ~own))
+        _, first = np.unique(cells[shared], axis=0, return_index=True)
+        shared = shared[first]
+        of, many = found.labels_of(mine)
+        offsets = np.concatenate([[0], np.cumsum(many), many.sum() + np.arange(1, len(shared) + 1)])
+        labels = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[np.concatenate([of, found.top[shared]])], pa.int64()))
+        core = pa.array(np.concatenate([found.core[mine], np.ones(len(shared), bool)]), pa.bool_(), mask=np.arange(len(mine) + len(shared)) >= len(mine))
+        out = [pa.array(ids[np.concatenate([mine, shared])], pa.int64()), core, labels]
+        same = [pa.repeat(k, len(out[0])) for k in key[: len(by)]]
+        return pa.Table.from_arrays([*same, *out], names=[*by, "event_id", "is_core", "labels"])
+
+    return written(tiled.groupBy(*keys).applyInArrow(run, schema), "tile_clusters")
+
+
+def _joined_tiles(found: DataFrame, by: list[str]) -> DataFrame:
+    """Labels of all points from the tiles' local clusters and the links between them."""
+    links = found.where("is_core is null").select(F.col("event_id").alias("src"), F.get("labels", F.lit(0)).alias("dst"))
+    names = small(components(links).where("node <> label"))
+    mine = found.where("is_core is not null").select(*by, "event_id", "is_core", "labels")
+    single = mine.where(F.size("labels") <= 1).withColumn("local", F.get("labels", F.lit(0))).drop("labels")
+    single = single.join(names, F.col("local") == F.col("node"), "left").select(*by, "event_id", "is_core", F.coalesce("label", "local").alias("label"))
+    several = mine.where(F.size("labels") > 1).withColumn("local", F.explode("labels")).join(names, F.col("local") == F.col("node"), "left")
+    several = several.groupBy(*by, "event_id", "is_core").agg(F.min(F.coalesce("label", "local")).alias("label"))
+    return single.unionByName(several).select(*by, "event_id", "is_core", F.coalesce(F.col("label") + 1, F.lit(0)).alias("label"))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int | str, by: list[str] | None = None) -> DataFrame:
@@ -111,12 +184,17 @@ def dbscan(points: DataFrame, eps: float, min_samples: int | str, by: list[str]
     Ids are unique; with ``by`` every group is clustered on its own; ``min_samples`` may name a column of ``by``. Works on distinct positions with their numbers of
     points, in cells whose cores are one cluster by construction; clusters are connected components of cells. A border
     point takes the neighbouring cluster whose smallest core id is lowest. Nothing written grows faster than the points.
-    Groups of at most KERNEL_ROWS points go to a kernel that takes the same steps, a task for each group.
+
+    Tiles of about TILE_ROWS points, with the points around that decide about theirs, are clustered by one task each; the
+    cells that two tiles see link their clusters. Where over DENSE_ROWS points lie in one smallest tile, joins on cells
+    take the same steps for the whole table.
     """
     by = by or []
-    if _largest(points, by) <= KERNEL_ROWS:
-        return _by_kernel(points, eps, min_samples, by)
     with scratch():
+        found = _tile_clusters(points, eps, min_samples, by)
+        if found is not None:
+            labelled = written(_joined_tiles(found, by), "labels", keep=True)
+            return labelled.select(*by, "event_id", "is_core", "label", (F.col("label") == 0).alias("is_noise"))
         counted = _counted(points, eps, min_samples, by)
         core = counted.where("is_core")
         found = components(_cell_links(core, eps, by))
@@ -168,17 +246,39 @@ def _folded(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def cell_dbscan(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(smallest core row of each row's cluster, is it a core)``, -1 for noise, for rows of two coordinates.
-
-    The steps of :func:`dbscan` on one group's arrays: cells of side eps / sqrt(2); only points of cells with under
-    ``min_samples`` count their neighbours; cells are linked by their outermost cores or, failing these, by all.
+@dataclass(frozen=True)
+class Clustered:
+    """Cores of a bounded group of rows, the smallest core row of each core's cluster (-1 for other rows), and the
+    distinct pairs of a row that is no core and the ``top`` of a cluster that it borders on, by row and top."""
+
+    core: np.ndarray
+    top: np.ndarray
+    border: np.ndarray
+    beside: np.ndarray
+
+    def labels_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tops of ``rows`` (rising) one after the other, and how many each row has: a core its own, others all that
+        they border on."""
+        who = np.concatenate([np.flatnonzero(self.core), self.border])
+        what = np.concatenate([self.top[self.core], self.beside])
+        asked = np.zeros(len(self.core), bool)
+        asked[rows] = True
+        who, what = who[asked[who]], what[asked[who]]
+        order = np.lexsort((what, who))
+        return what[order], np.bincount(who, minlength=len(self.core))[rows]
+
+
+def clustered(x: np.ndarray, eps: float, min_samples: int, trusted: np.ndarray | None = None, cells: np.ndarray | None = None) -> Clustered:
+    """Clusters of rows of two coordinates, by the steps of :func:`dbscan` on arrays: cells of side eps / sqrt(2); only
+    points of cells with under ``min_samples`` count their neighbours; cells are linked by their outermost cores or,
+    failing these, by all. Rows that are not ``trusted`` (whole cells) count as neighbours, but are no cores.
     """
     n = len(x)
+    trusted = np.ones(n, bool) if trusted is None else trusted
+    cells = np.floor(x / (eps / np.sqrt(2.0) * (1 - 1e-12))).astype(np.int64) if cells is None else cells
     if not n:
-        return np.empty(0, int), np.empty(0, bool)
-    cells = np.floor(x / (eps / np.sqrt(2.0) * (1 - 1e-12))).astype(np.int64)
-    cells -= cells.min(axis=0) - 2
+        return Clustered(np.empty(0, bool), *(np.empty(0, np.int64) for _ in range(3)))
+    cells = cells - (cells.min(axis=0) - 2)
     width = int(cells[:, 1].max()) + 3
     key = cells[:, 0] * width + cells[:, 1]
     order = np.argsort(key, kind="stable")
@@ -196,14 +296,15 @@ def cell_dbscan(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray
         return gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] <= eps * eps
 
     dense = size >= min_samples
-    sparse = np.flatnonzero(~dense)
+    certain = trusted[rows]
+    sparse = np.flatnonzero(~dense & certain[start])
     near = np.zeros(n, np.int64)
     for offset in _REACH:
         for p, q in _pairs_of_cells(start, size, *beside(offset, sparse)):
             near += np.bincount(p[close(p, q)], minlength=n)
-    core = np.repeat(dense, size) | (near >= min_samples)
+    core = (np.repeat(dense, size) | (near >= min_samples)) & certain
     if not core.any():
-        return np.full(n, -1), core
+        return Clustered(core, np.full(n, -1), np.empty(0, np.int64), np.empty(0, np.int64))
     # the core points alone, cell by cell
     kept = np.flatnonzero(core)
     cell_of = np.repeat(np.arange(len(names)), size)[kept]
@@ -239,17 +340,28 @@ def cell_dbscan(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray
     np.minimum.at(least, label[number[cell_of]], rows[kept])
     top = np.full(n, n)
     top[kept] = least[label[number[cell_of]]]
-    border = np.full(n, n)
+    lone, whose = [], []
     for offset in _REACH:
         for p, q in _pairs_of_cells(start, size, *beside(offset, sparse)):
             hit = core[q] & ~core[p]
             p, q = p[hit], q[hit]
             hit = close(p, q)
-            np.minimum.at(border, p[hit], top[q[hit]])
-    found = np.where(core, top, border)
-    out, is_core = np.empty(n, int), np.empty(n, bool)
-    out[rows], is_core[rows] = np.where(found < n, found, -1), core
-    return out, is_core
+            met = np.unique(rows[p[hit]] * n + top[q[hit]])
+            lone.append(met // n)
+            whose.append(met % n)
+    met = np.unique(np.concatenate(lone) * n + np.concatenate(whose)) if lone else np.empty(0, np.int64)
+    out, is_core = np.empty(n, np.int64), np.empty(n, bool)
+    out[rows], is_core[rows] = np.where(core, top, -1), core
+    return Clustered(is_core, out, met // n, met % n)
+
+
+def cell_dbscan(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(smallest core row of each row's cluster, is it a core)``, -1 for noise, for one bounded group of rows."""
+    found = clustered(x, eps, min_samples)
+    top, n = found.top.copy(), len(x)
+    least = np.full(n, n)
+    np.minimum.at(least, found.border, found.beside)
+    return np.where(found.core, top, np.where(least < n, least, -1)), found.core
 
 
 def grid_dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:

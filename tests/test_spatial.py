@@ -78,10 +78,14 @@ def test_grid_kernel_agrees_with_brute_force(cells, k):
     assert got.tolist() == [order.get(v, -1) for v in want.tolist()]
 
 
-@pytest.fixture(params=[0, 500_000])
+@pytest.fixture(params=["cells", "small tiles", "grown tiles", "one tile"])
 def kernel_rows(request, monkeypatch):
-    """Distributed, and one task for each group."""
-    monkeypatch.setattr(cluster, "KERNEL_ROWS", request.param)
+    """Joins on cells, tiles of a few cells, tiles that grow to some points, and tiles of the registered size."""
+    if request.param == "cells":
+        monkeypatch.setattr(cluster, "DENSE_ROWS", 0)
+    if request.param in ("small tiles", "grown tiles"):
+        monkeypatch.setattr(cluster, "BLOCK_CELLS", 4)
+        monkeypatch.setattr(cluster, "TILE_ROWS", 1 if request.param == "small tiles" else 40)
 
 
 @settings(max_examples=60, deadline=None)
@@ -126,6 +130,30 @@ def test_groups_are_clustered_apart(spark, kernel_rows):
         assert [got[i] for i in ids] == [0 if w == 0 else int(ids[w - 1]) + 1 for w in want]
 
 
+@pytest.mark.parametrize("k, spread", [(3, 3.0), (6, 2.0)])
+def test_tiles_join_long_clusters_and_borders(spark, kernel_rows, k, spread):
+    """Winding clusters over many tiles, and points that border on clusters of several tiles."""
+    draw = np.random.default_rng(k)
+    walk = np.cumsum(draw.normal(size=(400, 2)) * 0.3, axis=0)
+    x = np.vstack([walk, draw.normal(size=(300, 2)) * spread, -np.abs(draw.normal(size=(60, 2))) * 9])
+    x = x[draw.permutation(len(x))]
+    got = {r["event_id"]: (r["label"], r["is_core"]) for r in cluster.dbscan(points(spark, x), 0.5, k).collect()}
+    want, core = brute_dbscan(x, 0.5, k)
+    assert [got[i] for i in range(len(x))] == list(zip(want.tolist(), core.tolist(), strict=True))
+
+
+def test_registered_clusters_on_both_sides(spark, monkeypatch):
+    """q12 at sf0.01 in many tiles, and by joins on cells, gives what it gives as registered."""
+    from patrolkit.plans import catalogue
+
+    labels = lambda: sorted(map(tuple, catalogue.q12_dbscan_labels(spark, "/root/testdata/sf0.01").collect()))
+    plain = labels()
+    monkeypatch.setattr(cluster, "TILE_ROWS", 500)
+    assert labels() == plain
+    monkeypatch.setattr(cluster, "DENSE_ROWS", 0)
+    assert labels() == plain
+
+
 def test_empty_clouds(spark):
     none = points(spark, [])
     assert cluster.dbscan(none, 0.5, 3).count() == 0

@@ -119,7 +119,7 @@ def plain_targets(sizes, weights=(5, 2, 1), most=3, share=1.0):
 
 
 @given(st.lists(st.integers(0, 1_000), min_size=1, max_size=12), st.booleans())
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=4, deadline=None)
 def test_mix_targets(spark, sizes, with_null):
     named = {(None if with_null and i == 0 else f"s{i}é"[: 1 + i % 3] + str(i)): n for i, n in enumerate(sizes)}
     table = spark.createDataFrame(list(named.items()), "source string, source_size long")
@@ -227,7 +227,7 @@ def test_mix_query(spark, sf):
     for r in got:
         taken[r["source"]] += r["taken"]
         assert r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(aims[r["source"]])
-    assert all(abs(taken[s] - aims[s]) <= max(5, 0.005 * aims[s]) for s in sizes)
+    assert all(abs(taken[s] - aims[s]) <= 0.1 * aims[s] for s in sizes)  # ten documents a source
 
 
 # ---- 13 conversation repair ------------------------------------------------------------------------------------------

@@ -392,14 +392,21 @@ def centroids(labelled: DataFrame, by: list[str], noise: int = -1) -> DataFrame:
     return labelled.where(F.col("label") != noise).groupBy(*by, "label").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("sampled_count"))
 
 
+#: Constant, slope and bounds of the neighbours of a core and of the hash functions about 10,000 points, and
+#: the quantile and bounds of the regional radius.
+CORE_RULE, HASH_RULE, REGION_RULE = (6.4, 0.2, 5.0, 12.0), (10.0, 20.0), (0.7, 2e-4, 1e-2)
+
+
 def min_samples_for(n: Column) -> Column:
     """Neighbours that a core needs: 6.4 + 0.2 ln(n / 10000), between 5 and 12, cut to whole numbers."""
-    return F.floor(F.least(F.lit(12.0), F.greatest(F.lit(5.0), F.lit(6.4) + F.lit(0.2) * F.ln(n / F.lit(10_000.0))))).cast("int")
+    constant, slope, least, most = map(F.lit, CORE_RULE)
+    return F.floor(F.least(most, F.greatest(least, constant + slope * F.ln(n / F.lit(10_000.0))))).cast("int")
 
 
 def hashes_for(n: Column, least: int = 1) -> Column:
     """Hash functions: 10 + log2(n / 10000), at most 20, cut towards zero, at least ``least``."""
-    raw = F.least(F.lit(20.0), F.lit(10.0) + F.ln(n / F.lit(10_000.0)) / F.ln(F.lit(2.0)))
+    plain, most = map(F.lit, HASH_RULE)
+    raw = F.least(most, plain + F.ln(n / F.lit(10_000.0)) / F.ln(F.lit(2.0)))
     return F.greatest(F.lit(least), raw.cast("int"))
 
 
@@ -450,34 +457,47 @@ def knee(rows: DataFrame, by: str, value: str, quantile: float = 0.9) -> DataFra
 def region_parameters(k_dist: DataFrame, period: str, points: DataFrame) -> DataFrame:
     """``(period, n, eps, min_samples, hashes)`` by the 70 % quantile of the k-distances, held to 0.0002..0.01."""
     n = points.groupBy(period).agg(F.count("*").cast("double").alias("n"))
-    q = k_dist.groupBy(period).agg(F.expr("percentile(k_dist, 0.7)").alias("q70"))
-    eps = F.least(F.lit(1e-2), F.greatest(F.lit(2e-4), F.col("q70")))
+    share, least, most = REGION_RULE
+    q = k_dist.groupBy(period).agg(F.expr(f"percentile(k_dist, {share})").alias("typical"))
+    eps = F.least(F.lit(most), F.greatest(F.lit(least), F.col("typical")))
     return n.join(q, period).select(period, F.col("n").cast("long").alias("n"), eps.alias("eps"), min_samples_for(F.col("n")).alias("min_samples"), hashes_for(F.col("n"), 6).alias("hashes"))
 
 
-def density_parameters(k_dist: DataFrame, first_dist: DataFrame, points: DataFrame, period: str) -> DataFrame:
-    """``(period, n, eps, min_samples, hashes)`` by the scale- and density-adaptive rules, as columns over period statistics.
+#: Fixed values of the density rules: the nearest distance's factor, what the density and the size add to the least and
+#: the largest radius, these radii's own bounds, the quantiles of few and of over 50,000 points, the median's factor, the
+#: third quantile, and the share of the range that is used.
+DENSITY = {"base": 1.5, "low": 0.5, "low_fall": 0.1, "high": 3.0, "high_rise": 0.2, "least": 0.001, "most": 0.5, "few": 0.6, "many": 0.7, "median": 1.2, "third": 0.75, "used": 0.8}
+
+
+def density_radii(k_dist: DataFrame, first_dist: DataFrame, points: DataFrame, period: str) -> DataFrame:
+    """``(period, n, eps, eps_min, eps_max)`` by the scale- and density-adaptive rules, as columns over period statistics.
 
-    ``first_dist`` holds each point's distance to its nearest other point (``k_dist`` with k = 2).
+    ``first_dist`` holds each point's distance to its nearest other point (``k_dist`` with k = 2). The radius is the middle
+    of three typical k-distances, moved from the k-distances' range into the radii's.
     """
-    n = F.col("n")
+    n, at = F.col("n"), DENSITY
     stats = points.groupBy(period).agg(F.count("*").cast("double").alias("n"), ((F.max("lon") - F.min("lon")) * (F.max("lat") - F.min("lat"))).alias("area"))
     nearest = first_dist.groupBy(period).agg(F.avg("k_dist").alias("nearest"))
-    q = k_dist.groupBy(period).agg(
-        *[F.expr(f"percentile(k_dist, {p})").alias(a) for p, a in ((0.5, "q50"), (0.6, "q60"), (0.7, "q70"), (0.75, "q75"))], F.min("k_dist").alias("low"), F.max("k_dist").alias("high")
-    )
+    quantile = lambda p, name: F.expr(f"percentile(k_dist, {p})").alias(name)
+    q = k_dist.groupBy(period).agg(quantile(0.5, "half"), quantile(at["few"], "few"), quantile(at["many"], "many"), quantile(at["third"], "third"), F.min("k_dist").alias("low"), F.max("k_dist").alias("high"))
     joined = stats.join(nearest, period).join(q, period)
     density = F.log10(F.greatest(F.lit(1.0), n / F.greatest(F.col("area"), F.lit(1e-12))))
     size = F.when(n > 1000, F.log10(n / 1000)).otherwise(0.0)
-    base = F.col("nearest") * 1.5
-    joined = joined.withColumns({"eps_min": F.greatest(F.lit(0.001), base * (0.5 - 0.1 * density)), "eps_max_raw": F.least(F.lit(0.5), base * (3.0 + 0.2 * size))})
-    joined = joined.withColumn("eps_max", F.when(F.col("eps_max_raw") <= F.col("eps_min"), F.col("eps_min") * 2).otherwise(F.col("eps_max_raw")))
-    three = F.array_sort(F.array(F.when(n > 50_000, F.col("q70")).otherwise(F.col("q60")), F.col("q50") * 1.2, F.col("q75")))
-    joined = joined.withColumn("raw", F.element_at(three, 2))
+    base = F.col("nearest") * at["base"]
+    joined = joined.withColumns({"eps_min": F.greatest(F.lit(at["least"]), base * (at["low"] - at["low_fall"] * density)), "widest": F.least(F.lit(at["most"]), base * (at["high"] + at["high_rise"] * size))})
+    joined = joined.withColumn("eps_max", F.when(F.col("widest") <= F.col("eps_min"), F.col("eps_min") * 2).otherwise(F.col("widest")))
+    three = F.array_sort(F.array(F.when(n > 50_000, F.col("many")).otherwise(F.col("few")), F.col("half") * at["median"], F.col("third")))
     spread = F.col("high") - F.col("low")
-    eps = F.when(spread > 1e-6, F.col("eps_min") + (F.col("raw") - F.col("low")) / spread * (F.col("eps_max") - F.col("eps_min")) * 0.8).otherwise((F.col("eps_min") + F.col("eps_max")) / 2)
-    eps = F.least(F.col("eps_max"), F.greatest(F.col("eps_min"), eps))
-    return joined.select(period, n.cast("long").alias("n"), F.bround(eps, 6).alias("eps"), min_samples_for(n).alias("min_samples"), hashes_for(n).alias("hashes"))
+    moved = F.col("eps_min") + (F.element_at(three, 2) - F.col("low")) / spread * (F.col("eps_max") - F.col("eps_min")) * at["used"]
+    eps = F.when(spread > 1e-6, moved).otherwise((F.col("eps_min") + F.col("eps_max")) / 2)
+    return joined.select(period, "n", F.least("eps_max", F.greatest("eps_min", eps)).alias("eps"), "eps_min", "eps_max")
+
+
+def density_parameters(k_dist: DataFrame, first_dist: DataFrame, points: DataFrame, period: str) -> DataFrame:
+    """``(period, n, eps, min_samples, hashes)`` with the radii of :func:`density_radii`."""
+    n = F.col("n")
+    radii = density_radii(k_dist, first_dist, points, period)
+    return radii.select(period, n.cast("long").alias("n"), F.bround("eps", 6).alias("eps"), min_samples_for(n).alias("min_samples"), hashes_for(n).alias("hashes"))
 
 
 def eps_in_metres(eps: Column) -> Column:

@@ -27,10 +27,12 @@ CANDIDATE_SHARE = 0.2
 RUIN_SHARE = 0.08
 ACCEPT_WORSE = 0.1
 EXCHANGED = 12
+#: Fixed values of the learned removals: the largest share of the nodes that goes, the rewards of a plan that is the best
+#: so far, better, taken and turned down, how fast weights follow them, and how fast and from where the heat falls.
 REMOVAL_SHARE = 0.15
-REWARDS = (5.0, 2.0, 1.0, 0.0)
+REWARDS = {"best": 5.0, "better": 2.0, "taken": 1.0, "turned down": 0.0}
 REACTION = 0.2
-COOLING = 0.995
+COOLING, FIRST_HEAT = 0.995, 0.01
 #: What ``solve`` knows: seeded random starts; ruin and repair from a greedy start; weighted removals with cooling; angular
 #: sectors cut to the budget, as they are, with two-opt, and with ruin and repair; and a greedy start with ruin and repair.
 METHODS = ("grasp", "ils", "alns", "cut", "cut two-opt", "warm", "greedy")
@@ -293,44 +295,85 @@ def solve(inst: Instance, method: str, seed: int, rounds: int) -> list[list[int]
     start = trimmed(inst, full_routes(inst)) if method == "warm" else extend(inst, empty, None)
     if method == "greedy":
         return ruin_and_repair(inst, start, draw, rounds)
-    return ruin_and_repair(inst, improve(inst, start, exchange=method != "alns"), draw, rounds, weighted=method == "alns")
+    if method == "alns":
+        return learned_ruin_and_repair(inst, improve(inst, start, exchange=False), draw, rounds)
+    return ruin_and_repair(inst, improve(inst, start), draw, rounds)
 
 
-def ruin_and_repair(inst: Instance, start: list[list[int]], draw: np.random.Generator, rounds: int, *, weighted: bool = False) -> list[list[int]]:
-    """The best plan met while plans are ruined, repaired and improved. Plain: a random share goes, worse plans are taken by
-    chance. ``weighted``: one of three removals by its past rewards, and worse plans by a cooling."""
+Plan = list[list[int]]
+#: The order in which nodes of a plan go: by chance, small prizes first, or those first that cost most for their prize.
+RANKINGS: dict[str, Callable[[Instance, Plan, list[int], np.random.Generator], np.ndarray]] = {
+    "chance": lambda inst, plan, nodes, draw: draw.random(len(nodes)),
+    "prize": lambda inst, plan, nodes, draw: inst.means[nodes],
+    "cost": lambda inst, plan, nodes, draw: -_saved(inst, plan, nodes) / np.maximum(inst.means[nodes], TOLERANCE),
+}
+
+
+def _saved(inst: Instance, plan: Plan, nodes: list[int]) -> np.ndarray:
+    """What each node's route gets shorter without it."""
+    route_of = {i: route for route in plan for i in route}
+    return np.array([inst.cost(route_of[i]) - inst.cost([j for j in route_of[i] if j != i]) for i in nodes])
+
+
+class Removals:
+    """Chooses what leaves a plan: each ranking has a weight, which follows the rewards of the plans that came of it."""
+
+    def __init__(self, inst: Instance, draw: np.random.Generator):
+        self.inst, self.draw = inst, draw
+        self.weights = dict.fromkeys(RANKINGS, 1.0)
+        self.last = next(iter(RANKINGS))
+
+    def __call__(self, plan: Plan) -> set[int]:
+        names = list(self.weights)
+        self.last = names[int(np.searchsorted(np.cumsum([self.weights[n] for n in names]), self.draw.random() * sum(self.weights.values()), "right"))]
+        nodes = sorted(i for route in plan for i in route)
+        if not nodes:
+            return set()
+        most = max(1, int(REMOVAL_SHARE * self.inst.n))
+        first = np.argsort(RANKINGS[self.last](self.inst, plan, nodes, self.draw), kind="stable")
+        return {nodes[i] for i in first[: 1 + int(most * self.draw.random())]}
+
+    def learn(self, outcome: str) -> None:
+        self.weights[self.last] += REACTION * (REWARDS[outcome] - self.weights[self.last])
+        self.weights[self.last] = max(TOLERANCE, self.weights[self.last])  # no ranking is lost for good
+
+
+def _without(plan: Plan, gone: set[int]) -> Plan:
+    return [[i for i in route if i not in gone] for route in plan]
+
+
+def ruin_and_repair(inst: Instance, start: Plan, draw: np.random.Generator, rounds: int) -> Plan:
+    """The best plan met while a random share of the nodes goes and returns; worse plans are kept by a fixed chance."""
     now = best = start
-    value = best_value = inst.value(start)
-    heat, weights = max(1.0, 0.01 * value), np.ones(3)
     for _ in range(rounds):
-        visited = [i for r in now for i in r]
-        how = int(draw.choice(3, p=weights / weights.sum())) if weighted else 0
-        if weighted:
-            gone = _removals(inst, now, visited, how, draw) if visited else set()
-        else:
-            gone = set(draw.permutation(visited)[: max(1, round(RUIN_SHARE * inst.n))].tolist())
-        candidate = improve(inst, extend(inst, [[i for i in r if i not in gone] for r in now], draw), exchange=not weighted)
-        new = inst.value(candidate)
-        chance = math.exp(max(-700.0, (value - new) / heat)) if weighted else ACCEPT_WORSE
-        taken = new < value or draw.random() < chance
-        grade = 0 if new < best_value else 1 if new < value - 1e-9 else 2 if taken else 3
-        weights[how] = max(1e-6, (1 - REACTION) * weights[how] + REACTION * REWARDS[grade])
-        heat *= COOLING
-        if new < best_value:
-            best, best_value = candidate, new
-        if taken:
-            now, value = candidate, new
+        visited = [i for route in now for i in route]
+        gone = set(draw.permutation(visited)[: max(1, round(RUIN_SHARE * inst.n))].tolist())
+        candidate = improve(inst, extend(inst, _without(now, gone), draw))
+        if inst.value(candidate) < inst.value(best):
+            best = candidate
+        if inst.value(candidate) < inst.value(now) or draw.random() < ACCEPT_WORSE:
+            now = candidate
     return best
 
 
-def _removals(inst: Instance, routes, visited, how: int, draw) -> set[int]:
-    q = min(len(visited), int(draw.integers(1, max(2, int(REMOVAL_SHARE * inst.n)) + 1)))
-    if how == 0:
-        return set(draw.choice(visited, q, replace=False).tolist())
-    if how == 1:
-        return set(sorted(visited, key=lambda i: inst.means[i])[:q])
-    saved = {i: inst.cost(r) - inst.cost([j for j in r if j != i]) for r in routes for i in r}
-    return set(sorted(visited, key=lambda i: -saved[i] / max(inst.means[i], 1e-6))[:q])
+def learned_ruin_and_repair(inst: Instance, start: Plan, draw: np.random.Generator, rounds: int) -> Plan:
+    """The best plan met while learned removals ruin plans and insertions repair them; worse plans are kept by a chance
+    that falls with their loss over the heat, which cools every round."""
+    plans = {"now": start, "best": start}
+    values = {name: inst.value(plan) for name, plan in plans.items()}
+    removals = Removals(inst, draw)
+    for round_ in range(rounds):
+        heat = max(1.0, FIRST_HEAT * inst.value(start)) * COOLING**round_
+        candidate = improve(inst, extend(inst, _without(plans["now"], removals(plans["now"])), draw), exchange=False)
+        value = inst.value(candidate)
+        loss = value - values["now"]
+        lucky = draw.random() < math.exp(-min(700.0, max(0.0, loss) / heat))
+        outcome = "best" if value < values["best"] else "better" if loss < -TOLERANCE else "taken" if lucky else "turned down"
+        removals.learn(outcome)
+        for name, change in (("best", outcome == "best"), ("now", outcome != "turned down")):
+            if change:
+                plans[name], values[name] = candidate, value
+    return plans["best"]
 
 
 def trimmed(inst: Instance, routes: list[list[int]]) -> list[list[int]]:

@@ -6,93 +6,88 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import ship, small
+from patrolkit.plans.shared_tables import ship, small, written
 
-from .cluster import grid_dbscan
-from .spatial import kth_distance
-
-#: Points on which a setting is scored, and settings tried.
-EVALUATED_ROWS = 2000
-MAX_TRIALS = 10
+from .cluster import density_radii, grid_dbscan
+from .spatial import k_distances
 
+#: Points on which a setting is scored, and points of a period that its trials see (drawn by a hash of the ids).
+EVALUATED_ROWS = 2_000
+SAMPLED_ROWS = 50_000
+#: Fixed values of the neighbour counts: the factors of log10(n) and of log10(n / 10), the constant, slope and bounds of
+#: the rule by ln(n / 10000), the surroundings below and above the rules, the bounds of all counts, and how many are tried.
+COUNTS = {"by_size": 0.8, "by_tenth": 0.9, "constant": 6.4, "slope": 0.2, "rule": (5, 12), "around": (1, 2), "all": (5, 15), "tried": 10}
+#: Fixed values of the score: places for each expected cluster squared, what noise takes, and the least factor it leaves.
+SCORE = {"places": 2_000, "noise": 1.5, "least": 0.1}
+#: The neighbours that a period gets in whose trials nothing scored: the tried count nearest to this.
+PLAIN_COUNT = 10
+_SPREAD = 1 << 30
+
+
+def candidate_counts(n: Column) -> Column:
+    """The neighbour counts to try for ``n`` places, as an array: all between the least and the largest of four rules,
+    with their surroundings."""
+    low, high = COUNTS["rule"]
+    held = lambda v: F.least(F.lit(high), F.greatest(F.lit(low), v.cast("int")))
+    digits = F.log10(n)
+    by_size = (digits * COUNTS["by_size"]).cast("int")
+    smooth = held(F.lit(COUNTS["constant"]) + F.lit(COUNTS["slope"]) * F.ln(n / F.lit(10_000.0)))
+    rules = [held(by_size), held(F.greatest(F.lit(0.0), digits - 1) * COUNTS["by_tenth"]), smooth, held(F.floor((F.greatest(F.lit(low), by_size) + smooth) / 2))]
+    (before, behind), (least, most) = COUNTS["around"], COUNTS["all"]
+    return F.slice(F.sequence(F.greatest(F.lit(least), F.least(*rules) - before), F.least(F.lit(most), F.greatest(*rules) + behind)), 1, COUNTS["tried"])
 
-def candidate_counts(n: int) -> list[int]:
-    """Neighbour counts to try for n places: several rules of n, their surroundings, all between 5 and 15."""
-    base = int(min(max(5, 6.4 + 0.2 * math.log(n / 10_000)), 12))
-    by_size = max(5, int(math.log10(n) * 0.8))
-    rules = {min(12, max(5, v)) for v in (int(math.log10(n) * 0.8), int(math.log10(max(1.0, n * 0.1)) * 0.9), base, (by_size + base) // 2)} | {base}
-    low, high = max(5, min(rules) - 1), min(15, max(rules) + 2)
-    return sorted(rules | set(range(low, high + 1)))[:MAX_TRIALS]
 
+def score(labels: np.ndarray, n: int) -> float:
+    """Closeness to the number of clusters that n places suggest, less what noise takes; 0 without a cluster."""
+    clusters = len(np.unique(labels[labels >= 0]))
+    wanted = max(2, math.isqrt(n // SCORE["places"]))
+    kept = max(SCORE["least"], 1 - SCORE["noise"] * float((labels < 0).mean()))
+    return kept * wanted / (wanted + abs(clusters - wanted)) if clusters else 0.0
 
-def radius_range(xy: np.ndarray, first: np.ndarray) -> tuple[float, float]:
-    """Least and largest radius from the mean distance to the nearest other place and the density."""
-    n = len(xy)
-    density = n / max(float(np.prod(np.ptp(xy, axis=0))), 1e-12)
-    base = 1.5 * float(first.mean())
-    low = max(0.001, base * (0.5 - 0.1 * math.log10(max(1.0, density))))
-    high = min(0.5, base * (3.0 + (0.2 * math.log10(n / 1000) if n > 1000 else 0.0)))
-    return (low, high) if high > low else (low, 2 * low)
 
+def trials(points: DataFrame, period: str, sampled_rows: int = SAMPLED_ROWS) -> DataFrame:
+    """``(period, n, k, eps, eps_min, eps_max, score)``: every neighbour count tried for a period, with the radius that the
+    density rules give it and the score of the clusters found on EVALUATED_ROWS of the period's sample.
 
-def scaled_radius(k_dist: np.ndarray, n: int, low: float, high: float) -> float:
-    """The middle of three typical k-distances, moved from their range into the radius range."""
-    typical = float(np.median([np.quantile(k_dist, 0.7 if n > 50_000 else 0.6), 1.2 * np.median(k_dist), np.quantile(k_dist, 0.75)]))
-    least, most = float(k_dist.min()), float(k_dist.max())
-    if most - least <= 1e-6:
-        return (low + high) / 2
-    return float(np.clip(low + 0.8 * (typical - least) / (most - least) * (high - low), low, high))
+    k-distances, quantiles and radii are columns over the sample; a task sees the scored rows of one setting.
+    """
+    sizes = points.groupBy(F.col(period).alias("of")).agg(F.count("*").alias("all_rows"))
+    draw = F.pmod(F.xxhash64("event_id"), F.lit(_SPREAD))
+    rows = points.select(period, "event_id", "lon", "lat").join(small(sizes), F.col(period) == F.col("of")).drop("of")
+    rows = written(rows.withColumn("draw", draw).where(F.col("draw") * F.col("all_rows") < F.lit(sampled_rows * _SPREAD)), "sampled")
+    held = rows.groupBy(period).agg(F.count("*").alias("sampled"), F.max("all_rows").alias("all_rows"))
+    counts = held.select(F.col(period).alias("of"), F.explode(candidate_counts(F.col("sampled"))).alias("k"), F.monotonically_increasing_id().alias("place"))
+    counts = written(counts.select("of", "k", F.concat_ws("/", "place", "k").alias("trial")), "counts")
+    tried = rows.join(small(counts), F.col(period) == F.col("of")).drop("of")
+    first = k_distances(rows, period, 2).join(small(counts), F.col(period) == F.col("of")).select("trial", "event_id", "k_dist")
+    radii = written(density_radii(k_distances(tried, "trial", "k"), first, tried, "trial"), "radii")
+    best = Window.partitionBy(period).orderBy("draw", "event_id")  # a sample of bounded size
+    scored = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= EVALUATED_ROWS).join(small(counts), F.col(period) == F.col("of"))
+    scored = scored.join(small(radii.select(F.col("trial").alias("named"), F.col("n").alias("sampled"), "eps")), F.col("trial") == F.col("named"))
+    ship(points.sparkSession)
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        setting = part.iloc[0]
+        labels = grid_dbscan(part.sort_values("event_id")[["lon", "lat"]].to_numpy(float), float(setting["eps"]), int(setting["k"]))
+        return pd.DataFrame({"trial": [setting["trial"]], "score": [score(labels, int(setting["sampled"]))]})
 
-def score(labels: np.ndarray, n: int) -> float:
-    """Closeness to the number of clusters that n places suggest, less what noise takes; 0 without a cluster."""
-    clusters = len(set(labels.tolist()) - {-1})
-    if not clusters:
-        return 0.0
-    wanted = max(2, int(math.sqrt(n / 2000)))
-    noise = float((labels == -1).mean())
-    return max(0.1, 1 - 1.5 * noise) / (1 + abs(clusters - wanted) / wanted)
-
-
-def best_setting(xy: np.ndarray, seed: int = 42) -> tuple[float, int, float]:
-    """``(radius, neighbours, score)`` of the best trial (fewer neighbours first); all scores 0: neighbours next to 10."""
-    frame = pd.DataFrame(xy, columns=["lon", "lat"])
-    n = len(xy)
-    low, high = radius_range(xy, kth_distance(frame, 2))
-    chosen = np.random.default_rng(seed).choice(n, min(n, EVALUATED_ROWS), replace=False)
-    trials = []
-    for k in candidate_counts(n):
-        if k < n:
-            radius = scaled_radius(kth_distance(frame, k), n, low, high)
-            trials.append((score(grid_dbscan(xy[np.sort(chosen)], radius, k), n), radius, k))
-    if not trials:
-        return (low + high) / 2, max(5, min(15, n // 2)), 0.0
-    top = max(trials, key=lambda t: (t[0], -t[2])) if any(t[0] > 0 for t in trials) else min(trials, key=lambda t: (abs(t[2] - 10), t[2]))
-    return round(top[1], 6), top[2], top[0]
-
-
-#: Points of a period that its trials see; a larger period is sampled by a hash of the ids.
-SAMPLED_ROWS = 50_000
+    found = scored.select("trial", "event_id", "lon", "lat", "k", "eps", "sampled").groupBy("trial").applyInPandas(run, "trial string, score double")
+    named = counts.join(radii, "trial").join(found, "trial").join(held.select(period, "all_rows"), F.col("of") == F.col(period))
+    return named.select(period, F.col("all_rows").alias("n"), F.col("n").alias("sampled"), "k", "eps", "eps_min", "eps_max", "score")
 
 
 def enhanced_parameters(points: DataFrame, period: str, sampled_rows: int = SAMPLED_ROWS) -> DataFrame:
-    """``(period, n, eps, min_samples, score)`` by trials on a sample of about ``sampled_rows`` points of each period.
+    """``(period, n, eps, min_samples, score)``: the best trial of each period (fewer neighbours first).
 
-    A period is one task, bounded by the sample, which is part of the strategy; n is the number of all its points.
+    n is the number of all its points, the trials see a sample of about ``sampled_rows``. Where nothing scores, the count
+    nearest to PLAIN_COUNT is taken; where no count is smaller than the sample, half of it and the middle of the radii.
     """
-    ship(points.sparkSession)
-    kind = dict(points.dtypes)[period]
-    sizes = points.groupBy(F.col(period).alias("of")).agg(F.count("*").alias("all_rows"))
-    spread = 1 << 30
-    draw = F.pmod(F.xxhash64("event_id"), F.lit(spread))
-    rows = points.select(period, "event_id", "lon", "lat").join(small(sizes), F.col(period) == F.col("of")).where(draw * F.col("all_rows") < F.lit(sampled_rows * spread))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        xy = rows.sort_values("event_id")[["lon", "lat"]].to_numpy(float)
-        radius, k, got = best_setting(xy)
-        return pd.DataFrame({period: [rows[period].iloc[0]], "n": [int(rows["all_rows"].iloc[0])], "eps": [radius], "min_samples": [k], "score": [got]})
-
-    return rows.select(period, "event_id", "lon", "lat", "all_rows").groupBy(period).applyInPandas(run, f"{period} {kind}, n long, eps double, min_samples int, score double")
+    valid = F.col("k") < F.col("sampled")
+    by_score = F.when(valid, F.struct(F.col("score"), F.when(F.col("score") > 0, -F.col("k")).otherwise(-F.abs(F.col("k") - PLAIN_COUNT)).alias("near"), (-F.col("k")).alias("few"), F.bround("eps", 6).alias("eps")))
+    top = trials(points, period, sampled_rows).groupBy(period, "n").agg(F.max(by_score).alias("top"), F.max("sampled").alias("sampled"), F.max((F.col("eps_min") + F.col("eps_max")) / 2).alias("middle"))
+    least, most = COUNTS["all"]
+    half = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("sampled") / 2))).cast("int")
+    return top.select(period, "n", F.coalesce("top.eps", "middle").alias("eps"), F.coalesce(-F.col("top.few"), half).cast("int").alias("min_samples"), F.coalesce("top.score", F.lit(0.0)).alias("score"))

@@ -33,15 +33,32 @@ def test_rounded_legs():
     assert d[0].tolist() == [0, 0, 2, 3]
 
 
-def test_settings_find_the_blobs():
+def test_settings_find_the_blobs(spark):
     draw = np.random.default_rng(2)
     xy = np.vstack([draw.normal([0.1, 0.1], 0.004, (150, 2)), draw.normal([0.3, 0.3], 0.004, (150, 2))])
-    radius, k, score = tuning.best_setting(xy)
-    assert 0.001 <= radius <= 0.5 and 5 <= k <= 15 and score > 0
-    assert all(5 <= c <= 15 for n in (20, 3014, 10**6) for c in tuning.candidate_counts(n))
+    rows = [("blobs", i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("few", 1_000 + i, i / 7, i / 9) for i in range(4)] + [("spread", 2_000 + i, float(i), float(i * i)) for i in range(9)]
+    table = spark.createDataFrame(rows, "day string, event_id long, lon double, lat double")
+    got = {r["day"]: r for r in tuning.enhanced_parameters(table, "day").collect()}
+    assert 0.001 <= got["blobs"]["eps"] <= 0.5 and got["blobs"]["score"] > 0 and got["blobs"]["n"] == 300
+    tried = tuning.trials(table, "day").where("day = 'blobs'").collect()
+    best = max(tried, key=lambda r: (r["score"], -r["k"]))
+    assert (got["blobs"]["min_samples"], got["blobs"]["eps"]) == (best["k"], round(best["eps"], 6))
+    assert got["few"]["min_samples"] == 5 and got["few"]["score"] == 0.0 and got["few"]["eps"] > 0
+    assert got["spread"]["score"] == 0.0 and got["spread"]["min_samples"] == max(r["k"] for r in tuning.trials(table, "day").where("day = 'spread' and k < 9").collect())
     assert tuning.score(np.full(10, -1), 100) == 0.0
 
 
+def test_candidate_counts(spark):
+    ns = (2, 20, 3_014, 40_000, 10**6, 10**9)
+    rows = spark.createDataFrame([(n,) for n in ns], "n long")
+    got = {r["n"]: r["k"] for r in rows.select("n", tuning.candidate_counts(F.col("n")).alias("k")).collect()}
+    for n in ns:
+        smooth = int(min(max(5, 6.4 + 0.2 * np.log(n / 10_000)), 12))
+        sizes = int(0.8 * np.log10(n))
+        rules = [min(12, max(5, sizes)), min(12, max(5, int(0.9 * max(0.0, np.log10(n) - 1)))), smooth, (max(5, sizes) + smooth) // 2]
+        assert got[n] == list(range(max(5, min(rules) - 1), min(15, max(rules) + 2) + 1))[:10]
+
+
 def test_scaling(spark):
     rows = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0)], "a double, b double")
     assert [tuple(r) for r in features.standard_scaled(rows, ["a", "b"]).collect()] == [(-1.0, 0.0), (1.0, 0.0), (None, 0.0)]

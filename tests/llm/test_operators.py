@@ -475,15 +475,80 @@ def test_texts_are_grouped_by_what_they_lay_out(sizes, labels, most):
     assert [t for g in groups for t in g] == texts.tolist() and all(len(g) for g in groups)
     for g in groups:
         n = sizes[g // 3]
-        assert len(g) == 1 or (n * labels * 6 + -(-n // langid.BLOCK) * labels * labels).sum() <= most
+        blocks = -(-n // langid.BLOCK) * labels * labels if labels <= langid.BLOCK_LABELS else 0
+        assert len(g) == 1 or (n * labels * 6 + blocks).sum() <= most
 
 
 def test_every_language_is_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 1000)
+    """Thousands of languages, of one document too, are sampled in one pass."""
     monkeypatch.setattr(langid, "fit", lambda sample: {lang for _, lang in sample})
-    langs = [f"l{i:03}" for i in range(230)]
-    rows = [(i, f"text {i} of {lang} with words w{i}", lang) for i, lang in enumerate(langs * 12)]
-    assert len(langid.fit_on_tables(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) > 200
+    langs = [f"l{i:04}" for i in range(2_500)]
+    rows = [(i, f"text {i} of {lang} with words w{i}", lang) for i, lang in enumerate(langs * 4 + ["alone"])]
+    rows.append((4 * 10**6, "same id", "x"))
+    rows.append((4 * 10**6, "same id", "y"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.fit_on_tables(table)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2 and lang not in "xy"}
+    assert got == learned and len(got) > 2_400
+
+
+def dense(tied, k):
+    return np.where(np.eye(k, dtype=bool), tied[0], tied[1])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 70), min_size=1, max_size=5), st.integers(2, 5), st.integers(0, 999))
+def test_tied_and_stepped_fields_equal_the_dense_one(lengths, k, seed):
+    draw = np.random.default_rng(seed)
+    emission, tied, sizes = draw.normal(size=(sum(lengths), k)) * 2, draw.normal(size=2), np.array(lengths)
+    target = draw.integers(0, k, len(emission))
+    assert np.allclose(langid.marginals(emission, sizes, tied), langid.marginals(emission, sizes, dense(tied, k)))
+    by_word, by_pair = langid.likelihood_slopes(emission, sizes, tied, target, np.eye(k)[target])
+    word, pair = langid.likelihood_slopes(emission, sizes, dense(tied, k), target, np.eye(k)[target])
+    assert np.allclose(by_word, word) and np.allclose(by_pair, [np.trace(pair), pair.sum() - np.trace(pair)])
+    full = draw.normal(size=(k, k))
+    before, after = draw.uniform(0.1, 1, (2, len(sizes), k))
+    for got, want in zip(langid._by_words(np.exp(emission), sizes, full, before, after), langid.forward_backward(emission, sizes, full, before, after), strict=True):
+        assert np.allclose(got / got.sum(axis=1, keepdims=True), want / want.sum(axis=1, keepdims=True))
+    n = sizes[0]
+    cuts = dict(langid.long_marginals(lambda words: emission[words], list(range(n)), full, k, 16))
+    assert np.allclose(np.concatenate([cuts[at] for at in sorted(cuts)]), langid.marginals(emission[:n], sizes[:1], full))
+
+
+def test_summed_rows_in_runs(monkeypatch):
+    draw = np.random.default_rng(4)
+    rows, at, owner = draw.normal(size=(30, 70)), draw.integers(0, 9, 200), draw.integers(0, 30, 200)
+    want = np.zeros((9, 70))
+    np.add.at(want, at, rows[owner] * 0.5)
+    for numbers in (70, 700, 10**6):
+        monkeypatch.setattr(langid, "FIT_NUMBERS", numbers)
+        assert np.allclose(langid._summed(rows, at, np.zeros((9, 70)), 0.5, owner), want)
+
+
+def test_a_cut_long_text_is_labelled_as_a_whole_one(spark, monkeypatch):
+    words = {"a": ["alba", "alma", "arka"], "b": ["bobo", "bubi", "bekku"]}
+    draw = random.Random(1)
+    text = lambda lang, n: " ".join(draw.choice(words[lang]) for _ in range(n))
+    model = langid.fit([(text(lang, 40), lang) for lang in words for _ in range(60)])
+    rows = spark.createDataFrame([(0, text("a", 900) + " " + text("b", 500) + " " + text("a", 30))], "doc_id long, text string")
+    whole = langid.label(rows, model).first()
+    monkeypatch.setattr(langid, "MAX_NUMBERS", 640)
+    found = langid.label(rows, model).first()
+    assert found["lang_pred"] == whole["lang_pred"] and found["switches"] == whole["switches"] and abs(found["score"] - whole["score"]) < 1e-9
+
+
+def test_many_languages_fit_in_bounded_memory():
+    import tracemalloc
+
+    draw = random.Random(2)
+    langs = {f"l{i:04}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(2_000)}
+    sample = [(" ".join(draw.choices(words, k=6)), lang) for lang, words in langs.items()]
+    tracemalloc.start()
+    model = langid.fit(sample, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.labels) == 2_000 and model.weights.size <= 2.1 * langid.FIT_WEIGHTS and model.transition.shape == (2,)
+    assert peak < 600e6, peak
 
 
 def test_long_texts_cross_blocks():

@@ -1,7 +1,8 @@
 """Secret scans: assignment-aware lexing of source and configuration text.
 
-The text is searched for assignment signs (``name = value``, ``name: value``, ``"name": value``, ``:=``, ``=>``, ``+=``)
-and ``<name>value</name>``; from each the value is lexed over as many lines as it takes: quoted, triple-quoted and
+The text is searched for assignment signs (``name = value``, ``name: value``, ``"name": value``, ``:=``, ``=>``, ``+=``,
+``<-``; ``x["name"]`` and several names before one sign too), ``<name>value</name>``, ``--name value``, ``setName(value)``
+and ``call("name", value)``; a name such as key with a name such as value behind it is a pair as well; from each the value is lexed over as many lines as it takes: quoted, triple-quoted and
 backtick strings, joins by ``+``, brackets with what they hold, arguments of calls, indented blocks and lists, values on the next line,
 and bare values to the end of their run. Names are looked up among all constants assigned earlier in the same text, so a
 literal reaches every name that it is given to in the end; what a bracket holds also reaches the name outside. A literal
@@ -45,10 +46,22 @@ _HEX = re.compile(f"[0-9a-f]{{{LEAST_HEX},}}")  # runs are matched whole, so onl
 
 _NAME = r"[A-Za-z_$][\w.$-]*"
 _NAMED = re.compile(_NAME + r"\Z")
-_MARK = re.compile(r"[=:]|<(?=[A-Za-z_])")
+_MARK = re.compile(r"[=:(]|<(?=[A-Za-z_-])|--(?=[A-Za-z])")
 _TAG = re.compile(rf"<({_NAME})[ \t]*+>[ \t]*+([^<>\s][^<>\n]*+)</")
 _BRACKET = re.compile(r"[()\[\]{}]")
-_SIGN = re.compile(r"[ \t]*(?:(?P<add>\+)=(?!=)|:=|=>|=(?![=>])|:(?!:))")
+_SIGN = re.compile(r"[ \t]*(?:(?P<add>\+)=(?!=)|:=|=>|=(?![=>])|:(?!:)|<-(?!-))")
+#: A name in quotes with a comma behind it, as the first argument of a call; an option whose value is the next word.
+_KEYED = re.compile(rf"""\(\s*(?P<q>["'])(?P<key>{_NAME})(?P=q)\s*,\s*(?=\S)""")
+_OPTION = re.compile(r"--([A-Za-z][\w-]*)[ \t]+(?=[^\s-])")
+_NEW = re.compile(r"(?:new|await)[ \t]+(?=[A-Za-z_$])")
+#: What a setter's name begins with; the rest names what it sets. Calls with such a name give a value to a name.
+_SETTER = re.compile(r"(?:[Ss]et|[Ww]ith)(?=[A-Z_])_?")
+_GIVES = re.compile(r"(?i)set|put|def|add|assign|insert|store|save|export|register|update")
+#: Names of pairs that are written apart: what the first one holds is the name of what the second one holds.
+_KEYS, _VALUES = frozenset(("key", "name", "id")), frozenset(("value", "val", "default", "content"))
+#: Characters between the two at most; user information of an address at most.
+_APART = 200
+_USER_INFO = re.compile(r"""://[^\s/:@"'<>]{0,256}:(?!\$?\{)([^\s/:@"'<>]{6,1024})@""")
 _STRING = re.compile(
     r"""[rRbBuUfF]{0,2}(?:(?P<q>\"""|\''')(?P<long>[\s\S]*?)(?:(?P=q)|\Z)|"(?P<two>(?:[^"\\\n]|\\.)*+)"|'(?P<one>(?:[^'\\\n]|\\.)*+)'|`(?P<tick>[^`]*+)`)"""
 )
@@ -139,6 +152,7 @@ class _Lexer:
     def __init__(self, text: str):
         self.text, self.out = text, Assignments()
         self.known: dict[str, int] = {}
+        self.key: tuple[int, int] | None = None  # the last literal that a name such as "key" holds
         self._pairs: dict[int, int] | None = None
 
     @property
@@ -184,7 +198,18 @@ class _Lexer:
     def _begin_at(self, mark: int, low: int) -> int:
         """Opens the assignment of the sign or tag at ``mark``, if there is one; returns where to go on."""
         text = self.text
-        if text[mark] == "<":
+        if text[mark] == "(":
+            first = mark
+            while first > low and (text[first - 1].isalnum() or text[first - 1] in "_.$"):
+                first -= 1
+            return self._given_by_call(first, mark) or mark + 1
+        if text[mark] == "-":
+            option = _OPTION.match(text, mark, self.end)
+            if option is None:
+                return mark + 2
+            self._begin(option[1], *option.span(1))
+            return option.end()
+        if text[mark] == "<" and text[mark + 1 : mark + 2] != "-":
             tag = _TAG.match(text, mark, self.end)
             if tag is None:
                 return mark + 1
@@ -199,6 +224,8 @@ class _Lexer:
         last = stop
         while last > low and text[last - 1] in " \t":
             last -= 1
+        subscript = last > low and text[last - 1] == "]"
+        last -= subscript
         quote = text[last - 1] if last > low and text[last - 1] in "\"'" else ""
         last -= len(quote)
         first = last
@@ -206,13 +233,83 @@ class _Lexer:
             first -= 1
         while first < last and not (text[first].isalpha() or text[first] in "_$"):
             first += 1
-        if not _NAMED.match(text, first, last) or (quote and text[first - 1 : first] != quote):
+        if not _NAMED.match(text, first, last) or (quote and text[first - 1 : first] != quote) or (subscript and text[first - 2 : first - 1] != "["):
             return sign.end()
+        if text[mark] == "=" and not quote and (end := self._several(first, last, low, sign.end())):
+            return end
         self._begin(text[first:last], first, last, sign)
         return sign.end()
 
+    def _several(self, first: int, last: int, low: int, at: int) -> int | None:
+        """The end of ``a, b = 1, "x"``, where as many plain items stand behind the sign as names before it; else None."""
+        text, names, start = self.text, [(first, last)], first
+        while True:
+            while start > low and text[start - 1] in " \t":
+                start -= 1
+            if start <= low or text[start - 1] != ",":
+                break
+            start -= 1
+            while start > low and text[start - 1] in " \t":
+                start -= 1
+            end = start
+            while start > low and (text[start - 1].isalnum() or text[start - 1] in "_.$-"):
+                start -= 1
+            if not _NAMED.match(text, start, end):
+                return None
+            names.append((start, end))
+        if len(names) < 2:
+            return None
+        names.reverse()
+        items: list[tuple[re.Match | None, int, int]] = []
+        while True:
+            while at < self.end and text[at] in " \t":
+                at += 1
+            string = _STRING.match(text, at, self.end)
+            run = string or _BARE_INSIDE.match(text, at, self.end)
+            if run is None or len(items) == len(names):
+                return None
+            items.append((string, at, run.end()))
+            at = run.end()
+            while at < self.end and text[at] in " \t":
+                at += 1
+            if at >= self.end or text[at] != ",":
+                break
+            at += 1
+        if len(items) != len(names) or at < self.end and text[at] not in "\r\n;#":
+            return None
+        for (a, b), (string, low, high) in zip(names, items, strict=True):
+            self._begin(text[a:b], a, b)
+            if string:
+                self._string(string)
+            elif not self._refer(text[low:high]):
+                self._literal(low, high)
+            self._close()
+        return at
+
+    def _given_by_call(self, first: int, bracket: int) -> int | None:
+        """Opens what a call gives to a name: ``setName(value`` or ``call("name", value``; returns where to go on."""
+        text = self.text
+        called = text[first:bracket]
+        if not called or bracket not in self.pairs:
+            return None
+        keyed = _KEYED.match(text, bracket, self.end)
+        method = called.rfind(".") + 1
+        setter = _SETTER.match(called, method)
+        if keyed and (_GIVES.match(called, method) or not _LOOKUP.search(called, method)):
+            name, at = keyed.span("key"), keyed.end()
+        elif setter and setter.end() < len(called) and not keyed:
+            name, at = (first + setter.end(), bracket), bracket + 1
+        else:
+            return None
+        self._begin(text[slice(*name)], *name)
+        self.stack[-1].fresh = False
+        self._open(")", self.stack[-1].number)
+        return at
+
     def _begin(self, name: str, first: int, last: int, sign: re.Match | None = None) -> None:
         number = len(self.out.names) // 2
+        if self.key and name.lower() in _VALUES and 0 < first - self.key[1] <= _APART and not re.search(r"[<>{}]|\n[ \t]*\r?\n", self.text[self.key[1] : first]):
+            first, last = self.key
         self.out.names.extend((first, last))
         self.stack.append(_Frame(number, "", name, sign[0].strip() if sign else ""))
         if sign and sign["add"]:
@@ -241,8 +338,11 @@ class _Lexer:
 
     def _literal(self, start: int, end: int) -> None:
         if self.stack[-1].number >= 0 and start < end:
-            self.out.literals.extend((self.stack[-1].number, start, end))
+            number = self.stack[-1].number
+            self.out.literals.extend((number, start, end))
             self._mark_given()
+            if self.text[slice(*self.out.names[2 * number : 2 * number + 2])].lower() in _KEYS:
+                self.key = (start, end) if end - start <= _APART and _NAMED.match(self.text, start, end) else None
 
     def _refer(self, name: str) -> bool:
         if name not in self.known or self.stack[-1].number < 0:
@@ -283,6 +383,8 @@ class _Lexer:
             while at < end and text[at] in " \t":
                 at += 1
         first, frame.fresh, frame.after_string = frame.fresh, False, False
+        if made := _NEW.match(text, at, end):
+            at = made.end()
         if first and (newline := _LINE_END.match(text, at, end)):
             return self._next_lines(newline.end())
         string = _STRING.match(text, at, end)
@@ -416,6 +518,8 @@ class _Lexer:
             return at + 1
         kind, value = token.lastgroup, token[0]
         if kind == "call" and token.end() - 1 in self.pairs:
+            if value[-1] == "(" and (within := self._given_by_call(at, token.end() - 1)):
+                return within
             self._refer(value[:-1])
             self._open(_SHUT[value[-1]], -1 if value[-1] == "[" or _LOOKUP.search(value) else frame.number)
         elif kind == "word":
@@ -466,13 +570,16 @@ def secret_literals(text: str) -> list[tuple[int, int, float, str]]:
             score = weight[best] * strength(text[start:end])
             if score >= CUT:
                 out.append((start, end, score, text[names[2 * best] : names[2 * best + 1]]))
+    if "://" in text:  # the password of an address needs no name
+        held = {(a, b) for a, b, *_ in out}
+        out += [(*m.span(1), max(CUT, strength(m[1])), "://") for m in _USER_INFO.finditer(text) if m.span(1) not in held]
     return sorted(out)
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], list[float]]:
     """``(base spans, all spans, scores of all spans)``; a base span's score is one."""
     base = base_spans(text)
-    by = {(a, "literal", b): s for a, b, s, _ in secret_literals(text)} if "=" in text or ":" in text or "</" in text else {}
+    by = {(a, "literal", b): s for a, b, s, _ in secret_literals(text)} if _MARK.search(text) else {}
     every = in_order(base + list(by))
     return base, every, [by.get(s, 1.0) for s in every]
 

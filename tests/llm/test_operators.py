@@ -720,6 +720,10 @@ PLANTED = "aB3$kL9zQ1xV7w"
         "Authorization: Bearer {0}", "pwd = {0}(abc)Lm2", "sad :( text\npwd: {0},x)1\n", "pwd=`{0}`", '{{"db": {{"pwd":"{0}","u":"x"}}}}', "pwd: str = '{0}'",
         "k += '{0}'\nk += 'zzz'\npwd = k", "a = '{0}'\nb = [a]\npwd = b[0]", "pwd = a.b('{0}').strip()", "--db-pwd={0} --x", "pwd => '{0}',", "f(x)(pwd={0}, y=1)",
         "auth_key := base64.b64decode(b'{0}')", "pwd = 'unclosed{0}\nnext = 1", "f(pwd='x{0}', other=g('zz'), z=1)\npwd = {0}", "x = {{\n  pwd: '{0}',\n}}", "pwd = \\\n  '{0}'",
+        "k = '{0}'\ncfg[\"password\"] = k", "cfg['db']['pwd'] = '{0}'", "x.setPassword(\"{0}\");", "k = '{0}'\nset_pwd(k)", "x.withToken('{0}').go()", "define('DB_PASSWORD', '{0}');",
+        "props.put(\"db.pwd\", \"{0}\")", "f(setenv('API_TOKEN', '{0}', 1))", "String pwd = new String(\"{0}\");", "a, pwd = 1, '{0}'", "k = '{0}'\nx, y, pwd = 3, z, k\n", "pwd <- '{0}'",
+        '<add key="pwd" value="{0}"/>', "env:\n  - name: DB_PASSWORD\n    value: {0}\nnext: 1", '{{"name": "DB_PASSWORD", "value": "{0}"}}', "tool --user other --password {0} plain",
+        "postgres://other:{0}@next/d", "x = 'https://u:{0}@h/'",
     ],
 )
 def test_no_part_of_a_planted_secret_survives(text):
@@ -731,14 +735,14 @@ def test_no_part_of_a_planted_secret_survives(text):
 
 
 def test_what_is_no_secret_stays():
-    for text in ("pwd = os.environ['DB_PASSWORD_X1']", "pwd = os.getenv('DB_PASSWORD_X1')", "title = f('aB3$kL9zQ1xV7w')", "colours:\n  - aB3$kL9zQ1xV7w\n", "plain words, nothing: here (or there"):
+    for text in ("pwd = os.environ['DB_PASSWORD_X1']", "pwd = os.getenv('DB_PASSWORD_X1')", "title = f('aB3$kL9zQ1xV7w')", "colours:\n  - aB3$kL9zQ1xV7w\n", "plain words, nothing: here (or there", "x[0] = 'aB3$kL9zQ1xV7w'", "getenv('DB_PASSWORD', k)", "<add key=\"title\" value=\"aB3$kL9zQ1xV7w\"/>", "name: password\n\nvalue: aB3$kL9zQ1xV7w", "http://host:8080/a@b", "a, b = 1, 'aB3$kL9zQ1xV7w'"):
         assert secret_scan.secret_literals(text) == []
 
 
 def test_lexing_takes_linear_time():
     import time
 
-    for piece in ("a = {", "pwd = f(", "x: [", "'", '"""', "`", "(", ")", "k: |\n ", "= ", "<a>x", "  \\ ", "- x: ", "a+", "$", ",a", "a.b", "\n", " "):
+    for piece in ("a = {", "pwd = f(", "x: [", "'", '"""', "`", "(", ")", "k: |\n ", "= ", "<a>x", "  \\ ", "- x: ", "a+", "$", ",a", "a.b", "\n", " ", "a(", "--a ", "setA(", 'a("b",', "x, y = ", "a,", '"name": ab ', "value: ", "<-", 'x["a"] = ', "://a:b", "new "):
         took = []
         for n in (20_000, 80_000):
             text = "name: " + piece * n

@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation: linked documents move to their neighbours' shards under byte quotas.
 
 Documents with equal texts are linked, so a group of links is a text with its copies. Large texts, of which there can only
-be few, are laid into the shards first, each whole where a place exists and else in as few shards as the rooms allow. All
-smaller groups then leave their shards at once, so that opposite moves free each other's bytes: a group asks for the
-shard that holds most of it, a shard grants up to its room, and refused groups fill the rooms left, whole. No group has a
-link cut after that but a large one that fits nowhere, so further rounds have nothing to move. Documents without a link
+be few, are laid into the shards first, each whole where a place exists and else in as few shards as the rooms allow. The
+documents of all smaller groups get labels by hash, in proportion to the rooms left. In every round the copies of a text
+that lie outside the shard that holds most of them ask to move there; moves between two shards are swapped, and what is
+left goes as far as rooms are free. Copies that meet move on as one, so the cut edges fall from round to round. When no
+move is granted any more, the texts that are still split fill the rooms left, each as a whole. Documents without a link
 then fill what is left of each shard, long ones first, by running totals over hashed parts of the table.
 """
 
@@ -28,6 +29,10 @@ PARTS = 256
 #: Rows are told apart by these columns, in this order, and dealt to parts by these: by content, but for null ids.
 ORDER = ("doc_id", "text_crc32", "row")
 DEAL = ("doc_id", "text_crc32", "tie")
+#: Rounds of label propagation at most; they end earlier when no move is granted.
+ROUNDS = 8
+#: Rows that ask to move from one shard to another and are dealt with by one window.
+PART_ROWS = 100_000
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -89,35 +94,91 @@ def pack(texts: list[tuple[str, int, int]], room: list[float]) -> list[tuple[str
     return out
 
 
-def propagate(state: DataFrame, room: list[float], parts: int = PARTS) -> DataFrame:
+def quotas(asked: dict[tuple[int, int], float], free: list[float]) -> tuple[dict[tuple[int, int], float], list[float]]:
+    """Bytes granted from shard to shard under the bytes asked for, and the rooms after that.
+
+    Opposite requests are swapped; what is left moves into free rooms, largest first, and frees rooms for others. A swap
+    leaves both loads as they are, so every shard stays under its room.
+    """
+    given = {(i, j): min(n, asked.get((j, i), 0.0)) for (i, j), n in asked.items()}
+    free, moved = list(free), True
+    while moved:
+        moved = False
+        for (i, j), n in sorted(asked.items(), key=lambda t: (-t[1], t[0])):
+            more = min(n - given[i, j], max(0.0, free[j]))
+            if more > 1.0:
+                given[i, j] += more
+                free[j] -= more
+                free[i] += more
+                moved = True
+    return given, free
+
+
+def _wishes(state: DataFrame) -> DataFrame:
+    """``state`` with the shard that holds most copies of a row's text (a hash decides between equal ones, so that moves
+    go both ways), and the row's bytes."""
+    most = F.max(F.struct("n", F.xxhash64("text_key", "shard").alias("tie"), "shard")).over(Window.partitionBy("text_key"))  # a row a shard at most
+    return state.select("*", most.alias("most")).select("text_key", "shard", "n", "size", F.col("most.shard").alias("wish"), (F.col("n") * F.col("size")).alias("bytes"))
+
+
+def one_round(state: DataFrame, free: list[float]) -> tuple[DataFrame, int]:
+    """The state after the moves that one round grants, and how many rows moved.
+
+    Rows whose text has more copies elsewhere ask to join these. Of the bytes from one shard to another a share is
+    granted: in each hashed part (of about PART_ROWS rows) by running totals, short of the share by less than a row, so
+    no window spans a shard, and a swap leaves both loads as they are but for such rows.
+    """
+    told = written(_wishes(state), "wishes")
+    sums = told.where("shard <> wish").groupBy("shard", "wish").agg(F.sum("bytes").alias("n"), F.count("*").alias("rows")).collect()  # shards squared at most
+    asked = {(r["shard"], r["wish"]): float(r["n"]) for r in sums}
+    parts = max([1, *(-(-r["rows"] // PART_ROWS) for r in sums)])
+    given, _ = quotas(asked, free)
+    shares = [(i, j, n / asked[i, j]) for (i, j), n in given.items() if n > 0]
+    if not shares:
+        return state, 0
+    table = F.broadcast(state.sparkSession.createDataFrame(shares, "shard int, wish int, share double"))
+    keys = Window.partitionBy("shard", "wish", F.pmod(F.xxhash64("text_key"), F.lit(parts)))
+    upto = F.sum("bytes").over(keys.orderBy("bytes", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    granted = (F.col("shard") != F.col("wish")) & (upto <= F.col("share") * F.sum("bytes").over(keys) + F.lit(1e-6))
+    asking = told.where("shard <> wish").join(table, ["shard", "wish"], "left").withColumn("granted", F.coalesce(granted, F.lit(False)))
+    rows = asking.select("text_key", F.when(F.col("granted"), F.col("wish")).otherwise(F.col("shard")).alias("shard"), "n", "size", "granted")
+    rows = written(rows.unionByName(told.where("shard = wish").select("text_key", "shard", "n", "size", F.lit(False).alias("granted"))), "moved")
+    after = rows.groupBy("text_key", "shard").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    return written(after, "labels", keep=True), rows.where("granted").count()
+
+
+def cut_of(state: DataFrame) -> int:
+    """Pairs of copies in two shards."""
+    per = state.groupBy("text_key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("square"))
+    return int(per.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("square")) / 2), F.lit(0.0)).alias("cut")).first()["cut"])
+
+
+def propagate(state: DataFrame, room: list[float], parts: int = PARTS, rounds: int = ROUNDS, report: list[int] | None = None) -> DataFrame:
     """``(text_key, shard)``: one shard for each text of the state ``(text_key, shard, n, size)``, under the rooms.
 
-    A text asks for the shard that holds most of its copies (the smallest of equal ones). A shard grants small requests
-    before large ones (by powers of two); the power that no longer fits is granted in part, dealt to hashed parts in
-    proportion, so no window spans a shard and none exceeds its room. Refused texts then fill what is left by running
-    totals, long ones first, each as a whole: a shard may end half a text over its room.
+    Rounds of moves towards the shards that hold most copies go on until none is granted or ``rounds`` were made;
+    ``report`` gets the cut edges before each and after the last. The texts that are still split then fill what is left
+    by running totals, long ones first, each as a whole: a shard may end half a text over its room.
     """
     shards = len(room)
-    tally = state.groupBy("text_key").agg(F.max(F.struct("n", (-F.col("shard")).alias("place"))).alias("most"), F.sum(F.col("n") * F.col("size")).alias("size"))
-    part = F.pmod(F.xxhash64("text_key"), F.lit(parts)).cast("int")
-    asked = tally.select("text_key", "size", (-F.col("most.place")).alias("wish"), F.floor(F.log2("size")).cast("int").alias("grade"), part.alias("part"))
-    asked = written(asked, "wishes")
-    sums = asked.groupBy("wish", "grade").agg(F.sum("size").alias("n")).collect()  # shards times powers of two
-    left, shares = [max(0.0, r) for r in room], []
-    for r in sorted(sums, key=lambda r: r["grade"]):
-        given = min(left[r["wish"]], float(r["n"]))
-        left[r["wish"]] -= given
-        shares.append((r["wish"], r["grade"], given / r["n"]))
-    table = F.broadcast(state.sparkSession.createDataFrame(shares, "wish int, grade int, share double"))
-    keys = Window.partitionBy("wish", "grade", "part")
-    upto = F.sum("size").over(keys.orderBy("text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    granted = (upto <= F.col("share") * F.sum("size").over(keys) + F.lit(1e-6)).alias("granted")
-    told = written(asked.join(table, ["wish", "grade"]).select("text_key", "size", F.col("wish").alias("shard"), granted), "told")
+    state = written(state.select("text_key", F.col("shard").cast("int").alias("shard"), "n", "size"), "labels")
+    loads = lambda: _loads(state, shards, F.col("n") * F.col("size"))
+    for _ in range(rounds):
+        if report is not None:
+            report.append(cut_of(state))
+        with scratch():
+            state, moved = one_round(state, [r - n for r, n in zip(room, loads(), strict=True)])
+        if not moved:
+            break
+    if report is not None:
+        report.append(cut_of(state))
+    per = state.groupBy("text_key").agg(F.min("shard").alias("shard"), F.max("shard").alias("other"), F.sum(F.col("n") * F.col("size")).alias("size"))
+    per = written(per, "told")
     columns = ["text_key", "size", "shard"]
-    every, refused = told.where("granted").select(*columns), told.where("not granted").select("text_key", "size")
+    every, split = per.where("shard = other").select(*columns), per.where("shard <> other").select("text_key", "size")
     room = [r - m for r, m in zip(room, _loads(every, shards, F.col("size")), strict=True)]
-    limit = (sum(room) / shards if sums else 0.0) * LONG_SHARE
-    for name, some in (("long_texts", refused.where(F.col("size") > limit)), ("short_texts", refused.where(F.col("size") <= limit))):
+    limit = sum(max(0.0, r) for r in room) / shards * LONG_SHARE
+    for name, some in (("long_texts", split.where(F.col("size") > limit)), ("short_texts", split.where(F.col("size") <= limit))):
         filled = written(_fill(some, [max(0.0, r) for r in room], parts, ("text_key",), ("text_key",)).select(*columns), name)
         room = [r - m for r, m in zip(room, _loads(filled, shards, F.col("size")), strict=True)]
         every = every.union(filled)
@@ -132,12 +193,12 @@ def cut_edges(placed: DataFrame, text: str = "text", shard: str = "shard") -> Da
     return per_text.select(F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("edges"), F.coalesce(F.sum(F.col("edges") - F.col("whole")), F.lit(0)).cast("long").alias("cut"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, report: list[int] | None = None) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row, by the law of even bytes.
 
     Repeated rows and ids stay apart (each row has its own slot); null ids and texts are rows like others; an empty
     table gives an empty table; other columns are not looked at, whatever their names. A document longer than a shard's
-    share leaves its shard that much larger. The result follows from the rows' contents, except that rows without an id
+    share leaves its shard that much larger. ``report`` gets the cut edges of small groups by round. The result follows from the rows' contents, except that rows without an id
     are told apart by their place in the files.
     """
     with scratch():
@@ -165,9 +226,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         placed = placed.select(*columns)
 
         small = written(linked.join(names, linked.text_key == names.large_key, "left_anti"), "small")
-        dealt = small.withColumn("shard", F.pmod(F.xxhash64(*DEAL), F.lit(shards)).cast("int"))
+        bounds, reached = [], 0.0
+        for r in room:
+            reached += max(0.0, r)
+            bounds.append(reached)
+        spread = 1 << 30
+        drawn = F.pmod(F.xxhash64(*DEAL), F.lit(spread)) * F.lit(reached / spread)  # a shard by its room
+        dealt = small.withColumn("shard", _ranges(drawn, bounds).cast("int"))
         state = dealt.groupBy("text_key", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-        told = written(propagate(state, room, parts).select(F.col("text_key").alias("told_key"), "shard"), "told_texts")
+        told = written(propagate(state, room, parts, report=report).select(F.col("text_key").alias("told_key"), "shard"), "told_texts")
         gathered = join_hot(small, "text_key", told, "told_key", hot).select(*columns)
         placed = written(placed.union(gathered), "linked")
 

@@ -115,6 +115,72 @@ def test_sharding_follows_from_contents_and_cuts_few_links(spark, docs_of):
     assert got["cut"] < 0.2 * sharding.cut_edges(by_chance).first()["cut"]
 
 
+def plain_round(state, free, tie):
+    """One round on a dictionary (text, shard) -> copies of ``size`` bytes each, with whole grants in the order of bytes."""
+    held, asked, moves = {}, {}, []
+    for (text, shard), (n, size) in state.items():
+        held.setdefault(text, []).append((n, tie[text, shard], shard, size))
+    for text, at in held.items():
+        wish = max(at)[2]
+        for n, _, place, size in at:
+            if place != wish:
+                asked[place, wish] = asked.get((place, wish), 0.0) + n * size
+                moves.append((n * size, text, place, wish))
+    given, _ = sharding.quotas(asked, free)
+    out, used = {}, {}
+    going = set()
+    for size, text, i, j in sorted(moves):
+        used[i, j] = used.get((i, j), 0) + size
+        if used[i, j] <= given[i, j] + 1e-6:
+            going.add((text, i))
+    wish = {(text, i): j for _, text, i, j in moves}
+    for (text, shard), (n, size) in state.items():
+        to = wish[text, shard] if (text, shard) in going else shard
+        out[text, to] = (out.get((text, to), (0, size))[0] + n, size)
+    return out, len(going)
+
+
+def test_sharding_rounds_are_the_plain_ones(spark):
+    draw = random.Random(6)
+    state = {}
+    for t in range(300):
+        size = draw.randrange(20, 400)
+        for shard in draw.sample(range(5), draw.randrange(1, 5)):
+            state[f"t{t:03}", shard] = (draw.randrange(1, 4), size)
+    load = [sum(n * size for (_, k), (n, size) in state.items() if k == shard) for shard in range(5)]
+    room = [x + extra for x, extra in zip(load, (0, 900, 0, 3_000, 50), strict=True)]
+    table, cuts = spark.createDataFrame([(t, k, n, s) for (t, k), (n, s) in state.items()], "text_key string, shard int, n long, size long"), []
+    every = spark.createDataFrame([(t, k) for t in {t for t, _ in state} for k in range(5)], "text_key string, shard int")
+    tie = {(r["text_key"], r["shard"]): r["h"] for r in every.select("*", F.xxhash64("text_key", "shard").alias("h")).collect()}
+    for _ in range(4):
+        load = [sum(n * size for (_, k), (n, size) in state.items() if k == shard) for shard in range(5)]
+        assert all(x <= r + 4 * 3 * 400 for x, r in zip(load, room, strict=True))  # a row from each other shard
+        free = [r - x for r, x in zip(room, load, strict=True)]
+        cuts.append(sharding.cut_of(table))
+        table, moved = sharding.one_round(table, free)
+        state, want = plain_round(state, free, tie)
+        assert moved == want and {(r["text_key"], r["shard"]): (r["n"], r["size"]) for r in table.collect()} == state
+    assert cuts == sorted(cuts, reverse=True) and cuts[-1] < cuts[0] / 2
+
+
+@given(st.dictionaries(st.tuples(st.integers(0, 3), st.integers(0, 3)).filter(lambda t: t[0] != t[1]), st.integers(1, 10**6).map(float)), st.lists(st.integers(0, 10**5).map(float), min_size=4, max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_sharding_quotas_keep_the_rooms(asked, free):
+    given_, left = sharding.quotas(asked, free)
+    for k in range(4):
+        change = sum(n for (_, j), n in given_.items() if j == k) - sum(n for (i, _), n in given_.items() if i == k)
+        assert change <= free[k] + 1e-6 and abs(free[k] - change - left[k]) < 1e-3
+    assert all(0 <= n <= asked[e] + 1e-6 for e, n in given_.items())
+
+
+def test_sharding_cut_edges_fall(docs_of):
+    texts = [f"pair {i // 2:05d} " * 3 for i in range(3_000)] + [f"six {i // 6:05d} " * 3 for i in range(3_000)] + [f"own {i}" for i in range(500)]
+    random.Random(3).shuffle(texts)
+    cuts = []
+    sharding.shard(docs_of(texts), 8, report=cuts).count()
+    assert len(cuts) >= 3 and cuts == sorted(cuts, reverse=True) and cuts[-1] < 0.1 * cuts[0], cuts
+
+
 # ---- 2 vantage-point trees -------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,9 @@
 Texts and items are normalised byte by byte (A-Z lowered, other ASCII than letters and digits to spaces), so words are
 the runs between spaces and every other byte stays. Each distinct word of the items becomes two symbols, digits of its
 number of which the first and the second never look alike, so nodes have few children and only whole words match; all
-other words share a pair that no window holds. Hit words keep their place among the words of the text, which gives their offsets in the original.
+other words share a pair that no window holds. The automaton holds every second half-window of an item, a tenth of the
+nodes that whole windows take; each window contains one of them, so where one is found the windows around it are looked
+up by a hash and compared word by word. Hit words keep their place among the words of the text, which gives their offsets in the original.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 from ._shared import free_name, ship, utf8, with_batches, written
 
 WINDOW_WORDS = 10
-#: UTF-8 bytes of items that one automaton may be built from (about 170 MB of memory a MB); larger benchmarks take several.
-AUTOMATON_BYTES = 1 << 20
+#: UTF-8 bytes of items that one automaton may be built from (about 30 MB of memory a MB); larger benchmarks take several.
+AUTOMATON_BYTES = 8 << 20
 #: Windows in a piece of an item: pieces, which overlap by a window less a word, are what is dealt to the automata.
 PIECE_WINDOWS = 2_000
 _TABLE = bytes(
@@ -40,64 +42,146 @@ _RUNS_ARROW = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.in
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of the items as strings of two symbols a word: ``owners[i]`` are the item ids of ``patterns[i]``."""
+    """The windows of the items, as arrays of word numbers.
 
-    alphabet: dict[bytes, str]
-    patterns: list[str]
-    owners: list[tuple[int, ...]]
+    ``blocks`` are the automaton's patterns, two symbols a word: every second half-window of an item, of which each window
+    holds one, and whole items of fewer words than a window (with their place in ``short``, else -1; True for blocks).
+    ``hashes`` are the windows' hashes in order, ``where`` the place of each in ``words``, and the owners of window i are
+    ``owners[first[i]:first[i + 1]]``.
+    """
+
+    size: int
+    alphabet: dict[bytes, int]
+    codes: list[str]
+    blocks: dict[str, tuple[bool, int]]
+    short: list[tuple[str, ...]]
+    words: np.ndarray
+    mix: int
+    hashes: np.ndarray
+    where: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    names: list[str | None]
 
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
-        for i, pattern in enumerate(self.patterns):
-            made.add_word(pattern, i)
+        for pattern, what in self.blocks.items():
+            made.add_word(pattern, (len(pattern) // 2, *what))
         made.make_automaton()
         return made
 
+    def found(self, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, set[str]]:
+        """Those of the ``starts`` where a window stands, and the windows' owners; hashes are checked word by word."""
+        if not len(starts) or not len(self.hashes):
+            return starts[:0], set()
+        hashes = _hashes(numbers, starts, self.size, self.mix)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        step = np.arange(self.size)
+        same = (self.hashes[at] == hashes) & (numbers[starts[:, None] + step] == self.words[self.where[at][:, None] + step]).all(axis=1)
+        ids = {self.names[j] for i in np.unique(at[same]).tolist() for j in self.owners[self.first[i] : self.first[i + 1]].tolist()}
+        return starts[same], ids - {None}
+
 
 #: The symbols of a word that no item holds.
 _OTHER = "\x00\x00"
+#: Windows that are hashed at once.
+_HASHED = 200_000
 
 
-def _symbols(words: list[bytes]) -> dict[bytes, str]:
-    """Two digits for each word, to about the root of their number as base."""
-    base = math.isqrt(len(words)) + 1
+def _symbols(words: int) -> list[str]:
+    """Two digits for each word number from 1 on, to about the root of their number as base; number 0 is any other word."""
+    base = math.isqrt(words) + 1
     digit = lambda n: chr(n if n < 0xD800 else n + 0x800)  # noqa: E731  no surrogates
-    return {w: digit(1 + i // base) + digit(base + 2 + i % base) for i, w in enumerate(words)}
+    return [_OTHER, *(digit(1 + i // base) + digit(base + 2 + i % base) for i in range(words))]
+
+
+def _hashes(numbers: np.ndarray, starts: np.ndarray, size: int, mix: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` numbers from each start on."""
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), _HASHED):
+        some, got = starts[low : low + _HASHED], np.uint64(mix)
+        for j in range(size):
+            got = (got + numbers[some + j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            got = got ^ (got >> np.uint64(31))
+        out[low : low + _HASHED] = got
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def windows(items: list[tuple[int | None, str | None]], size: int = WINDOW_WORDS) -> Windows:
-    """The distinct windows of the items. An item without words has none; windows of a null id count for hits only."""
-    split = [(item_id, words_of((text or "").encode())) for item_id, text in items]
-    alphabet = _symbols(list(dict.fromkeys(w for _, words in split for w in words)))
-    by: dict[str, set[int]] = {}
-    for item_id, words in split:
-        coded = "".join([alphabet[w] for w in words])
-        for i in range(0, max(1, len(words) - size + 1) * 2 if words else 0, 2):
-            by.setdefault(coded[i : i + 2 * size], set()).update(() if item_id is None else (item_id,))
-    return Windows(alphabet, list(by), [tuple(sorted(ids)) for ids in by.values()])
-
-
-def scan(text: bytes, made: ahocorasick.Automaton, found: Windows) -> tuple[int, np.ndarray | None, set[int]]:
-    """``(words, hit flags or None, item ids)`` of one text."""
+def windows(items: list[tuple[object, str | None]], size: int = WINDOW_WORDS) -> Windows:
+    """The windows of the items. An item without words has none; windows of a null id count for hits only."""
+    alphabet: dict[bytes, int] = {}
+    split, names = [], []
+    for item_id, text in items:
+        words = words_of((text or "").encode())
+        if words:
+            split.append(np.fromiter((alphabet.setdefault(w, len(alphabet) + 1) for w in words), np.int32, len(words)))
+            names.append(None if item_id is None else str(item_id))
+    codes = _symbols(len(alphabet))
+    half = (size + 1) // 2
+    blocks: dict[str, tuple[bool, int]] = {}
+    short: list[set[str]] = []
+    starts, owners, at = [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
+    for i, numbers in enumerate(split):
+        coded = "".join([codes[n] for n in numbers.tolist()])
+        if len(numbers) < size:
+            known = blocks.get(coded, (False, -1))
+            if known[1] < 0:
+                known = (known[0], len(short))
+                short.append(set())
+            blocks[coded] = known
+            short[known[1]].update(() if names[i] is None else (names[i],))
+        else:
+            for low in range(0, len(coded) - 2 * half + 1, 2 * half):
+                block = coded[low : low + 2 * half]
+                blocks[block] = (True, blocks.get(block, (False, -1))[1])
+            starts.append(np.arange(at, at + len(numbers) - size + 1))
+            owners.append(np.full(len(starts[-1]), i, np.int32))
+        at += len(numbers)
+    words, begin, own = np.concatenate([*split, np.empty(0, np.int32)]), np.concatenate(starts), np.concatenate(owners)
+    for mix in range(1, 100):  # until no two different windows have one hash
+        hashes = _hashes(words, begin, size, mix)
+        order = np.lexsort((own, hashes))
+        new = np.append(True, hashes[order][1:] != hashes[order][:-1])[: len(order)]
+        leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+        if all((words[begin[order] + j] == words[begin[leader] + j]).all() for j in range(size)):
+            break
+    once = new | np.append(True, own[order][1:] != own[order][:-1])[: len(order)]
+    order, new = order[once], new[once]
+    first = np.append(np.flatnonzero(new), len(order))
+    return Windows(size, alphabet, codes, blocks, [tuple(sorted(s)) for s in short], words, mix, hashes[order[new]], begin[order[new]], first, own[order], names)
+
+
+def scan(text: bytes, made: ahocorasick.Automaton, found: Windows) -> tuple[int, np.ndarray | None, set[str]]:
+    """``(words, hit flags or None, item ids)`` of one text: the automaton runs over it once; half-windows that it finds
+    tell where windows may stand."""
     words = words_of(text)
-    if not words or not found.patterns:
+    if not words or not found.blocks:
         return len(words), None, set()
-    get = found.alphabet.get
-    matches = list(made.iter("".join([get(w, _OTHER) for w in words])))
+    get, codes = found.alphabet.get, found.codes
+    numbers = [get(w, 0) for w in words]
+    matches = list(made.iter("".join([codes[n] for n in numbers])))
     if not matches:
         return len(words), None, set()
     edge = np.zeros(len(words) + 1, np.int64)
-    ids: set[int] = set()
-    for last, i in matches:
+    ids: set[str] = set()
+    near: set[int] = set()
+    for last, (many, block, short) in matches:
         end = last // 2 + 1
-        edge[end - len(found.patterns[i]) // 2] += 1
-        edge[end] -= 1
-        ids.update(found.owners[i])
-    return len(words), np.cumsum(edge[:-1]) > 0, ids
+        if short >= 0:
+            edge[end - many] += 1
+            edge[end] -= 1
+            ids.update(found.short[short])
+        if block:
+            near.update(range(max(0, end - found.size), min(end - many, len(words) - found.size) + 1))
+    starts, more = found.found(np.array(numbers, np.int32), np.array(sorted(near), np.int64))
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + found.size, -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    return len(words), hit if hit.any() else None, ids | more
 
 
 def runs_of(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -126,16 +210,16 @@ def pieces(benchmark: DataFrame, size: int = WINDOW_WORDS, piece: int = PIECE_WI
                 for at in range(0, max(1, len(words) - size + 1) if words else 0, piece):
                     ids.append(item_id)
                     texts.append(b" ".join(words[at : at + piece + size - 1]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["item_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["item_id", "text"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, text string").distinct()
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, text string").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, size: int = WINDOW_WORDS, limit: int = AUTOMATON_BYTES, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items and runs.
 
     Every row stays one row, repeated ones too. A null text has no words; a text of any length is scanned whole. Equal
-    item ids count once; an item of fewer words than a window is one window; an empty benchmark hits nothing. Columns
+    item ids (of any type, as text) count once; an item of fewer words than a window is one window; an empty benchmark hits nothing. Columns
     that have the new names stay, and the new ones get underscores in front. One automaton of at most about ``limit``
     bytes of items is sent to the tasks; a larger benchmark is dealt to several by hash, whose scans leave the hit words
     of the rows that they hit in the shared folder, one automaton at a time.
@@ -151,22 +235,22 @@ def _fields() -> list[T.StructField]:
     return [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
         T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-        T.StructField("items", T.ArrayType(T.LongType())), T.StructField("runs", RUNS),
+        T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", RUNS),
     ]
 
 
-def _columns(results: list[tuple[bytes, int, np.ndarray | None, set[int]]]) -> list[pa.Array]:
+def _columns(results: list[tuple[bytes, int, np.ndarray | None, set[str]]]) -> list[pa.Array]:
     n, hits, items, digest, flags, ids, runs = [], [], [], [], [], [], []
     for text, words, hit, found in results:
-        named = sorted(map(str, found))
+        named = sorted(found)
         n.append(words)
         hits.append(0 if hit is None else int(hit.sum()))
         items.append(len(named))
         digest.append(hashlib.sha256(",".join(named).encode()).hexdigest())
         flags.append(hits[-1] > 0)
-        ids.append(sorted(found))
+        ids.append(named)
         runs.append([] if hit is None else runs_of(text, hit))
-    return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array(flags, pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(runs, _RUNS_ARROW)]
+    return [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array(flags, pa.bool_()), pa.array(ids, pa.list_(pa.string())), pa.array(runs, _RUNS_ARROW)]
 
 
 _built: dict[int, tuple[Windows, ahocorasick.Automaton]] = {}
@@ -175,7 +259,7 @@ _built: dict[int, tuple[Windows, ahocorasick.Automaton]] = {}
 def _automaton_of(shared) -> tuple[Windows, ahocorasick.Automaton | None]:
     """The automaton of a broadcast, built once in a worker process; one at a time."""
     found = shared.value
-    if not found.patterns:
+    if not found.blocks:
         return found, None
     if _built.get(id(found), (None,))[0] is not found:
         _built.clear()
@@ -215,17 +299,17 @@ def _rounds(docs: DataFrame, rows: DataFrame, cuts: int, text: str, size: int, k
             def work(column: pa.Array) -> list[pa.Array]:
                 got = [scan(x or b"", made, found) for x in utf8(column)]
                 flags = [None if hit is None else np.packbits(hit).tobytes() for _, hit, _ in got]
-                return [pa.array(flags, pa.binary()), pa.array([sorted(ids) for *_, ids in got], pa.list_(pa.int64()))]
+                return [pa.array(flags, pa.binary()), pa.array([sorted(ids) for *_, ids in got], pa.list_(pa.string()))]
 
             return work
 
-        fields = [T.StructField("flags", T.BinaryType()), T.StructField("ids", T.ArrayType(T.LongType()))]
+        fields = [T.StructField("flags", T.BinaryType()), T.StructField("ids", T.ArrayType(T.StringType()))]
         hit = with_batches(numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").alias("text")), "text", fields, make, drop_source=True)
         hit = written(hit.where("flags is not null"), "hit_rows")
         shared.destroy()
         left = hit if left is None else left.union(hit)
     name = free_name([*docs.columns, row], "scanned")
-    given = numbered.withColumn(name, F.struct(F.col(f"`{text}`").alias("text"), F.array().cast("array<struct<flags:binary,ids:array<bigint>>>").alias("hits")))
+    given = numbered.withColumn(name, F.struct(F.col(f"`{text}`").alias("text"), F.array().cast("array<struct<flags:binary,ids:array<string>>>").alias("hits")))
     if left is not None:
         per_row = left.groupBy(F.col("row").alias("hit_row")).agg(F.collect_list(F.struct("flags", "ids")).alias("hits"))  # one entry an automaton
         given = numbered.join(per_row, numbered[row] == per_row["hit_row"], "left").withColumn(name, F.struct(F.col(f"`{text}`").alias("text"), "hits"))

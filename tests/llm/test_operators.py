@@ -304,14 +304,37 @@ WORDS = st.lists(st.sampled_from(["a", "b", "A", "ab", "é", "É", "日", "-", "
 def test_scan_against_brute_force(text, items, size):
     numbered = list(enumerate(items))
     found = decontaminate.windows(numbered, size)
-    n, hit, ids = decontaminate.scan(text.encode(), found.automaton() if found.patterns else None, found)
-    assert (n, 0 if hit is None else int(hit.sum()), ids) == brute_scan(text, numbered, size)
+    n, hit, ids = decontaminate.scan(text.encode(), found.automaton() if found.blocks else None, found)
+    words, hits, owners = brute_scan(text, numbered, size)
+    assert (n, 0 if hit is None else int(hit.sum()), ids) == (words, hits, set(map(str, owners)))
     if hit is not None:
         for run in decontaminate.runs_of(text.encode(), hit):
             part = text[run["start"] : run["end"]]
             assert len(decontaminate.words_of(part.encode())) == run["end_word"] - run["first_word"]
 
 
+def test_a_large_benchmark_takes_one_scan(spark, docs_of):
+    """Megabytes of items with ids that are no numbers: one automaton, whose windows are found wherever they stand."""
+    draw = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    items = [(f"set/{i}", " ".join(draw.choices(vocabulary, k=draw.randrange(1, 400)))) for i in range(2_000)]
+    items += [("copy", items[3][1]), (None, items[4][1])]
+    texts, want = [], []
+    for i in range(60):
+        words = items[i][1].split()
+        at = draw.randrange(max(1, len(words) - 12))
+        part = words[at : at + draw.choice([9, 10, 11, 40])]
+        texts.append(" ".join(["before", *part, "behind", *draw.choices(vocabulary, k=30)]))
+        whole = len(part) >= 10 or len(part) == len(words)
+        want.append((len(part) if whole else 0, {items[i][0], *(["copy"] if i == 3 else [])} if whole else set()))
+    table = spark.createDataFrame(items, "item_id string, text string")
+    assert 2e6 < table.agg(F.sum(F.length("text"))).first()[0] < decontaminate.AUTOMATON_BYTES
+    got = {r["doc_id"]: (r["n_hit"], set(r["items"])) for r in decontaminate.contamination(docs_of(texts), table).collect()}
+    for i, (hits, owners) in enumerate(want):
+        shorts = {name for name, text in items if len(text.split()) < 10 and f" {text} " in f" {texts[i]} "}
+        assert got[i][1] - shorts == owners - shorts and got[i][0] >= hits
+
+
 def test_decontamination_in_several_rounds(spark, docs_of, monkeypatch):
     """Whatever the cuts, and whichever of them are empty, the rows are those of one round; long items go in pieces."""
     monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from patrolkit.functions import scalars
 from patrolkit.functions.geo import cell
-from patrolkit.operators import evaluation, routing, sampling, statistics
+from patrolkit.operators import cluster, evaluation, routing, sampling, statistics
 from patrolkit.sources import pings as P
 from patrolkit.sources import sinks, vrp
 from patrolkit.streaming import batches
+from patrolkit.streaming.changes import ChangingClusters
 
 from . import experiments
 from . import oracle as O
-from .catalogue import _nodes, _pings
+from .catalogue import HASHES, _nodes, _pings
 from .catalogue_more import _planar
 from .catalogue_records import RECORDS, _records
 from .shared_tables import scratch_path, ship
@@ -181,6 +182,40 @@ def q127_live_labels(spark, sf):
     return batches.live_labels(changes, rows.select("event_id", "label"))
 
 
+def _streamed(spark, steps, made):
+    """Labels after a stream has taken the ``steps`` (tables): each is written, and a new object over the same folders takes
+    it from a new start of the stream, so state, logs and folds come from the shared folder."""
+    folder, labels = scratch_path(spark, f"stream-{uuid.uuid4().hex}"), None
+    for step in steps:
+        step.write.mode("append").parquet(f"{folder}/in")
+        state = made(f"{folder}/state")
+        state.attach(batches.read_points(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in step.dtypes), 64), f"{folder}/checkpoint").awaitTermination()
+        labels = state.labels()
+    return labels.select("event_id", "is_core", "label")
+
+
+def q137_changing_clusters(spark, sf):
+    """Labels of the live pings after a stream of inserts by id and deletes of every tenth, which come with later rows."""
+    points = _pings(spark, sf).select("event_id", "lon", "lat")
+    changes = points.select(F.lit("insert").alias("op"), "*").unionByName(points.where("event_id % 10 = 0").select(F.lit("delete").alias("op"), "*"))
+    later = F.when(F.col("op") == "delete", F.col("event_id") % 2).otherwise(F.col("event_id") % 3 % 2)
+    steps = [changes.where(later == k) for k in (0, 1)]
+    return _streamed(spark, steps, lambda at: ChangingClusters(spark, at, 0.001, 10, cluster.shifts(HASHES, 0.001)))
+
+
+def q138_streamed_clusters(spark, sf):
+    """Labels of all pings after an insert-only stream with a restart: the rule of q42."""
+    points = _pings(spark, sf).select("event_id", "lon", "lat")
+    return _streamed(spark, [points.where(F.col("event_id") % 2 == k) for k in (0, 1)], lambda at: batches.IncrementalClusters(spark, at, 0.001, 10, cluster.shifts(HASHES, 0.001)))
+
+
+def q139_burnt_in_clusters(spark, sf):
+    """A stream whose cores are those of the first half of the days; later pings take labels from them."""
+    points = _pings(spark, sf).select("event_id", "lon", "lat", "day")
+    steps = [points.where(days).drop("day") for days in (F.dayofmonth("day") <= 15, F.dayofmonth("day") > 15)]
+    return _streamed(spark, steps, lambda at: batches.IncrementalClusters(spark, at, 0.001, 10, cluster.shifts(HASHES, 0.001), burn_in=1))
+
+
 def q128_rounded_tours(spark, sf):
     """Closed tours of the regions' nodes by number, every leg rounded half to even."""
     stops = _planar(spark, sf).select("region_key", F.col("node_id").alias("pos"), F.round(F.col("x") * 10).alias("x"), F.round(F.col("y") * 10).alias("y"))
@@ -343,6 +378,17 @@ c AS (SELECT turn AS iter, label, 1 AS d FROM r UNION ALL SELECT turn + 2, label
 i AS (SELECT DISTINCT iter FROM c), l AS (SELECT DISTINCT label FROM c), s AS (SELECT iter, label, sum(d) AS d FROM c GROUP BY ALL),
 n AS (SELECT i.iter, l.label, sum(coalesce(s.d, 0)) OVER (PARTITION BY l.label ORDER BY i.iter) AS n FROM i CROSS JOIN l LEFT JOIN s ON s.iter = i.iter AND s.label = l.label)
 SELECT CAST(iter AS BIGINT) AS iter, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS classes FROM n GROUP BY iter""",
+    "q137_changing_clusters": "WITH RECURSIVE " + O.PINGS + ", live AS (SELECT * FROM pings WHERE event_id % 10 <> 0)," + O._hashed(True).replace("FROM pings", "FROM live"),
+    "q138_streamed_clusters": "WITH RECURSIVE " + O.PINGS + "," + O._hashed(True),
+    "q139_burnt_in_clusters": "WITH RECURSIVE " + O.PINGS + ", known AS (SELECT * FROM pings WHERE day(day) <= 15)," + O._hashed(True).replace("FROM pings", "FROM known").split("\nSELECT p.event_id")[0] + """,
+early AS (
+  SELECT p.event_id, c.event_id IS NOT NULL AS is_core, coalesce(coalesce(w.label, CASE WHEN c.event_id IS NOT NULL THEN p.event_id END) + 1, 0) AS label
+  FROM known p LEFT JOIN core c USING (event_id) LEFT JOIN labels w USING (event_id)),
+frozen AS (SELECT j, cx, cy, min(label) AS label FROM bucket JOIN early USING (event_id) WHERE is_core GROUP BY ALL),
+asked AS (SELECT event_id, j, floor((lon + e) / 0.002::DOUBLE) AS cx, floor((lat + e) / 0.002::DOUBLE) AS cy FROM pings, eta WHERE day(day) > 15),
+met AS (SELECT event_id, arg_min(label, j) AS label FROM asked JOIN frozen USING (j, cx, cy) GROUP BY event_id)
+SELECT event_id, is_core, CAST(label AS BIGINT) AS label FROM early
+UNION ALL SELECT event_id, false, CAST(coalesce(label, 0) AS BIGINT) FROM (SELECT DISTINCT event_id FROM asked) LEFT JOIN met USING (event_id)""",
     "q128_rounded_tours": O._with(O.NODES, O.XY) + """,
 p AS (SELECT region_key, node_id AS pos, round(x * 10) AS x, round(y * 10) AS y FROM xy),
 n AS (SELECT *, coalesce(lead(x) OVER v, first(x) OVER (PARTITION BY region_key ORDER BY pos)) AS nx, coalesce(lead(y) OVER v, first(y) OVER (PARTITION BY region_key ORDER BY pos)) AS ny FROM p WINDOW v AS (PARTITION BY region_key ORDER BY pos))

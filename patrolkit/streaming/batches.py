@@ -117,8 +117,13 @@ class IncrementalClusters:
 
     def attach(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Feeds a streaming table of points ``(event_id, lon, lat)``, one micro-batch at a time."""
-        events = bucket_events(stream, self.eps, self.k, self.etas)
-        return events.writeStream.foreachBatch(self.take).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return self._events(stream).writeStream.foreachBatch(self.take).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def _events(self, stream: DataFrame) -> DataFrame:
+        return bucket_events(stream, self.eps, self.k, self.etas)
+
+    def _points(self) -> DataFrame:
+        return self._read("points", "event_id long, lon double, lat double")
 
     def _fold(self) -> tuple[DataFrame, DataFrame]:
         """``(cores with labels, buckets with labels)``, with the cores since the last fold worked in."""
@@ -163,7 +168,7 @@ class IncrementalClusters:
     def labels(self) -> DataFrame:
         """``(event_id, is_core, label)`` of all points so far; label is 1 + the smallest member, 0 for noise."""
         cores, leads = self._fold()
-        points = self._read("points", "event_id long, lon double, lat double")
+        points = self._points()
         frozen = F.col("batch") >= (self.burn_in if self.burn_in is not None else (1 << 31) - 1)
         rest = points.join(cores.select("event_id"), "event_id", "left_anti")
         met = buckets(rest, self.eps, self.etas).join(leads, ["j", "cx", "cy"]).groupBy("event_id").agg(F.min(F.struct("j", "label")).alias("first")).select("event_id", F.col("first.label").alias("found"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patrolkit.functions import scalars
 from patrolkit.operators import capacitated, cluster, robust, routing, starts
-from patrolkit.operators.forest import Forest
+from patrolkit.operators import forest
 from patrolkit.plans import experiments
 from patrolkit.sources import pings as P
 from patrolkit.sources import sinks
@@ -118,16 +118,32 @@ def test_evaluator_against_a_plain_search(n):
         assert robust.robust_value(samples, open_, 0.1, 13.0)[0] == pytest.approx(13.0 * best, abs=5e-4 * 13)
 
 
-def test_forest_walkthrough_with_cuts():
-    forest = Forest(6)
-    assert [forest.link(a, b) for a, b in ((0, 2), (2, 4), (4, 0), (1, 3), (3, 5), (5, 1))] == [True, True, False, True, True, False]
-    assert {forest.root(i) for i in range(6)} == {0, 1}
-    assert forest.link(2, 5) and {forest.root(i) for i in range(6)} == {0}
-    assert forest.cut(0, 2) and not forest.cut(0, 2)
-    assert [forest.root(i) for i in range(6)] == [0, 1, 1, 1, 1, 1]
-    assert forest.add_node() == 6 and forest.neighbours(6) == set()
-    forest.remove_node(3)
-    assert forest.root(5) == 2 and forest.root(1) == 1
+def least_members(nodes, links):
+    label = {n: n for n in nodes}
+    while True:
+        moved = [(n, min(label[a], label[b])) for a, b in links for n in (a, b) if label[n] > min(label[a], label[b])]
+        if not moved:
+            return label
+        for n, least in moved:
+            label[n] = min(label[n], least)
+
+
+def test_links_that_come_and_go(spark):
+    """Cuts that split, cuts that a replacement link outlives, links that join again, against labels from scratch."""
+    draw = np.random.default_rng(5)
+    labels, links = spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "src long, dst long")
+    nodes, held = set(), set()
+    batches_ = [[("link", a, b) for a, b in ((0, 2), (2, 4), (4, 0), (1, 3), (3, 5), (5, 1), (6, 6))], [("cut", 0, 2), ("link", 5, 2), ("cut", 8, 9)]]
+    for _ in range(3):
+        pairs = draw.integers(0, 14, (8, 2)).tolist()
+        batches_.append([("cut" if draw.random() < 0.5 and held else "link", *p) for p in pairs] + [("cut", *p) for p in sorted(held)[:2]])
+    for batch in batches_:
+        labels, links = forest.changed_links(labels, links, spark.createDataFrame(batch, "op string, src long, dst long"))
+        real = [(op, min(a, b), max(a, b)) for op, a, b in batch if a != b]
+        nodes |= {n for _, a, b in real for n in (a, b)}
+        held = (held | {(a, b) for op, a, b in real if op == "link"}) - {(a, b) for op, a, b in real if op == "cut"}
+        assert {tuple(r) for r in links.collect()} == held
+        assert {r["node"]: r["label"] for r in labels.collect()} == least_members(nodes, held)
 
 
 def test_batched_reversals_shorten_every_tour():

@@ -228,6 +228,32 @@ def test_stream_gives_the_static_labels(spark, tmp_path):
     assert max(touched) <= 50 * 3  # at most one bucket of each hash function for each point of a batch
 
 
+def test_points_that_come_and_go(spark, tmp_path):
+    """After every batch the labels of the live points from scratch: deletes that split clusters, late inserts, returns."""
+    from patrolkit.operators.cluster import hashed_dbscan, shifts
+    from patrolkit.streaming.changes import ChangingClusters
+
+    draw = np.random.default_rng(9)
+    at = np.round(draw.normal(size=(160, 2)) * 0.8, 2)
+    etas, net = shifts(3, 0.3), {}
+    steps = [
+        [("insert", i) for i in range(110)],
+        [("delete", i) for i in range(0, 110, 3)] + [("delete", 120)] + [("insert", i) for i in range(110, 118)],  # 120 goes before it comes
+        [("insert", i) for i in range(118, 160)] + [("insert", i) for i in range(0, 110, 6)] + [("delete", 1), ("delete", 2)],
+    ]
+    for step in steps:
+        rows = [(op, i, float(at[i][0]), float(at[i][1])) for op, i in step]
+        spark.createDataFrame(rows, "op string, event_id long, lon double, lat double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state = ChangingClusters(spark, str(tmp_path / "state"), 0.3, 5, etas)  # a new object over the same folders
+        state.attach(batches.read_points(spark, str(tmp_path / "in"), "op string, event_id long, lon double, lat double"), str(tmp_path / "checkpoint")).awaitTermination()
+        for op, i in step:
+            net[i] = net.get(i, 0) + (1 if op == "insert" else -1)
+        live = spark.createDataFrame([(i, float(at[i][0]), float(at[i][1])) for i, n in net.items() if n > 0], "event_id long, lon double, lat double")
+        want = {r["event_id"]: (r["is_core"], r["label"]) for r in hashed_dbscan(live, 0.3, 5, etas, core_by="any bucket").collect()}
+        assert {r["event_id"]: (r["is_core"], r["label"]) for r in state.labels().collect()} == want
+    assert len({label for _, label in want.values()}) > 2
+
+
 def test_recomputed_baseline(spark):
     from patrolkit.operators.cluster import dbscan
 

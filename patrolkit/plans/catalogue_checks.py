@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patrolkit.functions import scalars
 from patrolkit.functions.geo import cell
-from patrolkit.operators import cluster, evaluation, routing, sampling, statistics
+from patrolkit.operators import cluster, evaluation, routing, sampling, statistics, subsets
 from patrolkit.sources import pings as P
 from patrolkit.sources import sinks, vrp
 from patrolkit.streaming import batches
@@ -19,7 +19,7 @@ from patrolkit.streaming.changes import ChangingClusters
 
 from . import experiments
 from . import oracle as O
-from .catalogue import HASHES, _nodes, _pings
+from .catalogue import HASHES, _nodes, _pings, _prizes
 from .catalogue_more import _planar
 from .catalogue_records import RECORDS, _records
 from .shared_tables import scratch_path, ship
@@ -216,6 +216,29 @@ def q139_burnt_in_clusters(spark, sf):
     return _streamed(spark, steps, lambda at: batches.IncrementalClusters(spark, at, 0.001, 10, cluster.shifts(HASHES, 0.001), burn_in=1))
 
 
+#: Neighbours in the angle about the depot that make one small instance, the loss of a node by its mean prize, and the budget.
+PART, LOSS, BUDGET = 7, 3_000.0, 9_000.0
+
+
+def _parts(spark, sf):
+    """The regions' nodes in the order of their angle, in parts of at most PART nodes."""
+    turned = routing.sector_routes(_nodes(spark, sf), 1, by="region_key")
+    return turned.select("region_key", F.floor((F.col("pos") - 1) / PART).alias("part"), "node_id", "x", "y")
+
+
+def q140_optimal_tours(spark, sf):
+    """The shortest closed tour of every part, proven by the subset programme."""
+    tours = subsets.subset_tours(_parts(spark, sf), ["region_key", "part"])
+    return tours.groupBy("region_key", "part").agg(F.max("n").alias("n"), F.round(F.max_by("cost", "n"), 4).alias("cost"), F.count("*").alias("subsets"))
+
+
+def q141_optimal_selections(spark, sf):
+    """For every part the nodes whose tour under a budget, with the losses of the others, costs least."""
+    means = _prizes(spark, sf).groupBy("node_id").agg(F.round(F.avg("prize") * LOSS, 4).alias("loss"))
+    best = subsets.best_selections(_parts(spark, sf).join(means, "node_id"), ["region_key", "part"], BUDGET)
+    return best.select("region_key", "part", "mask", "n", *[F.round(c, 4).alias(c) for c in ("cost", "missed", "objective")])
+
+
 def q128_rounded_tours(spark, sf):
     """Closed tours of the regions' nodes by number, every leg rounded half to even."""
     stops = _planar(spark, sf).select("region_key", F.col("node_id").alias("pos"), F.round(F.col("x") * 10).alias("x"), F.round(F.col("y") * 10).alias("y"))
@@ -296,6 +319,18 @@ def _near_sql(i: int) -> str:
     return f"least(1, greatest(0, 0.2::DOUBLE + 0.6::DOUBLE * {_uniform_sql('instance * 3 + node % 3 + 63', 10 + i)} + 0.07::DOUBLE * {_normal_sql('place', 2 + 2 * i)}))"
 
 
+#: Cheapest paths from the depot through every subset of a part's nodes to each last node, and the closed tours.
+_TOURS = f"""
+turned AS (SELECT *, row_number() OVER (PARTITION BY region_key ORDER BY round(atan2(y, x), 9), node_id) - 1 AS turn FROM xy),
+n AS (SELECT region_key, turn // {PART} AS part, node_id, x, y, row_number() OVER (PARTITION BY region_key, turn // {PART} ORDER BY node_id) - 1 AS bit FROM turned),
+paths AS (
+  SELECT region_key, part, CAST(1 AS BIGINT) << bit AS mask, bit, x, y, sqrt(x * x + y * y) * 100 AS cost FROM n
+  UNION ALL
+  SELECT p.region_key, p.part, p.mask | (CAST(1 AS BIGINT) << n.bit), n.bit, any_value(n.x), any_value(n.y), min(p.cost + sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) * 100)
+  FROM paths p JOIN n ON n.region_key = p.region_key AND n.part = p.part AND (p.mask >> n.bit) & 1 = 0
+  GROUP BY p.region_key, p.part, p.mask | (CAST(1 AS BIGINT) << n.bit), n.bit),
+tours AS (SELECT region_key, part, mask, min(cost + sqrt(x * x + y * y) * 100) AS cost FROM paths GROUP BY ALL)"""
+
 ORACLE = {
     "q130_random_instances": f"""
 WITH r AS (SELECT id // 50 AS instance, id % 50 + 1 AS node, id + 7 * 150 AS place FROM (SELECT unnest(range(150)) AS id))
@@ -389,6 +424,16 @@ asked AS (SELECT event_id, j, floor((lon + e) / 0.002::DOUBLE) AS cx, floor((lat
 met AS (SELECT event_id, arg_min(label, j) AS label FROM asked JOIN frozen USING (j, cx, cy) GROUP BY event_id)
 SELECT event_id, is_core, CAST(label AS BIGINT) AS label FROM early
 UNION ALL SELECT event_id, false, CAST(coalesce(label, 0) AS BIGINT) FROM (SELECT DISTINCT event_id FROM asked) LEFT JOIN met USING (event_id)""",
+    "q140_optimal_tours": O._with(O.NODES, O.XY, _TOURS, recursive=True) + """
+SELECT region_key, part, max(bit_count(mask)::INTEGER) AS n, round(arg_max(cost, bit_count(mask)), 4) AS cost, count(*) AS subsets FROM tours GROUP BY ALL""",
+    "q141_optimal_selections": O._with(O.BASE, O.XY, _TOURS, f"""
+losses AS (SELECT node_id, round(avg(prize) * {LOSS}::DOUBLE, 4) AS loss FROM prizes GROUP BY node_id),
+every AS (SELECT region_key, part, mask, cost FROM tours WHERE cost <= {BUDGET} UNION ALL SELECT region_key, part, 0, 0 FROM n GROUP BY ALL),
+valued AS (
+  SELECT region_key, part, mask, any_value(cost) AS cost, coalesce(sum(loss) FILTER ((mask >> bit) & 1 = 0), 0) AS missed
+  FROM every JOIN n USING (region_key, part) JOIN losses USING (node_id) GROUP BY region_key, part, mask)""", recursive=True) + """
+SELECT region_key, part, CAST(mask AS BIGINT) AS mask, bit_count(mask)::INTEGER AS n, round(cost, 4) AS cost, round(missed, 4) AS missed, round(cost + missed, 4) AS objective
+FROM valued QUALIFY row_number() OVER (PARTITION BY region_key, part ORDER BY cost + missed, mask) = 1""",
     "q128_rounded_tours": O._with(O.NODES, O.XY) + """,
 p AS (SELECT region_key, node_id AS pos, round(x * 10) AS x, round(y * 10) AS y FROM xy),
 n AS (SELECT *, coalesce(lead(x) OVER v, first(x) OVER (PARTITION BY region_key ORDER BY pos)) AS nx, coalesce(lead(y) OVER v, first(y) OVER (PARTITION BY region_key ORDER BY pos)) AS ny FROM p WINDOW v AS (PARTITION BY region_key ORDER BY pos))

@@ -148,3 +148,34 @@ def test_robust_penalties_over_rows_equal_the_kernel(spark):
     for key, (value, _) in by_matrix.items():
         assert by_rows[key][0] == pytest.approx(value, abs=1e-4)
     assert by_rows["all", 0.1] == (0.0, 3.0)
+
+
+def test_subset_programme_is_the_optimum_and_bounds_the_searches(spark):
+    """Tours of all subsets and best selections by trying everything; no search is below."""
+    import itertools
+
+    from patrolkit.operators import subsets
+
+    draw = np.random.default_rng(3)
+    sizes, xy, loss = {1: 6, 2: 1, 3: 7}, {}, {}
+    for k, n in sizes.items():
+        xy[k], loss[k] = draw.normal(size=(n, 2)), draw.uniform(50, 400, n)
+    rows = [(k, 10 * k + i, float(a), float(b), float(w)) for k, n in sizes.items() for i, ((a, b), w) in enumerate(zip(xy[k], loss[k], strict=True))]
+    table = spark.createDataFrame(rows, "k long, node_id long, x double, y double, loss double")
+    got = {(r["k"], r["mask"]): (r["n"], r["cost"]) for r in subsets.subset_tours(table, ["k"]).collect()}
+    best = {r["k"]: r for r in subsets.best_selections(table, ["k"], 500.0).collect()}
+    assert len(got) == sum(2**n - 1 for n in sizes.values())
+    for k, n in sizes.items():
+        inst = routing.Instance(xy[k], np.zeros((1, n)), 1, np.inf, 0.0, 0.0)
+        values = {0: (float(loss[k].sum()), 0.0)}
+        for mask in range(1, 2**n):
+            some = [i for i in range(n) if mask >> i & 1]
+            cost = min(inst.cost(list(order)) for order in itertools.permutations(some))
+            assert got[k, mask] == (len(some), pytest.approx(cost))
+            if cost <= 500.0:
+                values[mask] = (cost + float(sum(loss[k][i] for i in range(n) if not mask >> i & 1)), cost)
+        assert best[k]["objective"] == pytest.approx(min(values.values())[0]) and values[best[k]["mask"]][0] == pytest.approx(best[k]["objective"])
+        assert sum(map(inst.cost, routing.full_routes(inst))) >= got[k, 2**n - 1][1] - 1e-9
+    with pytest.raises(Exception, match="over 12 nodes"):
+        subsets.subset_tours(spark.createDataFrame([(1, i, 0.0, float(i)) for i in range(13)], "k long, node_id long, x double, y double"), ["k"]).count()
+    assert subsets.subset_tours(table.limit(0), ["k"]).count() == 0

@@ -107,8 +107,9 @@ def robust_value(samples: np.ndarray, unvisited: np.ndarray, epsilon: float, sca
     return scale * best[0], scale * best[1]
 
 
-#: Cells of the periods by nodes matrix up to which one goes to every task; larger ones stay distributed.
-MATRIX_CELLS = 20_000_000
+#: Cells of the periods by nodes matrix up to which one goes to every task (about 100 bytes a cell on the driver while it
+#: is laid out); larger ones stay distributed.
+MATRIX_CELLS = 2_000_000
 
 
 def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale: float = PENALTY, cells: int = MATRIX_CELLS) -> DataFrame:
@@ -117,7 +118,7 @@ def robust(prizes: DataFrame, selections: DataFrame, period: str = "day", scale:
     The prizes are counted first: the matrix of a case study of at most ``cells`` goes to the tasks, where equal
     selections are evaluated once for each radius; a larger table goes through :func:`robust_by_rows`.
     """
-    if prizes.limit(cells + 1).count() > cells:
+    if prizes.count() > cells:
         return robust_by_rows(prizes, selections, period, scale)
     rows = prizes.select(period, "node_id", "prize").toPandas()  # counted above
     wide = rows.pivot(index=period, columns="node_id", values="prize").sort_index()
@@ -148,7 +149,7 @@ def robust_over_spans(prizes: DataFrame, index: str, tasks: DataFrame, scale: fl
     unvisited node. The matrix goes to the tasks once for all cases; a larger table is evaluated case by case.
     """
     keys = ["case", "model", "epsilon", "first", "last"]
-    if prizes.limit(cells + 1).count() > cells:
+    if prizes.count() > cells:
         out = None
         for c in tasks.select(*keys).distinct().collect():  # a few cases
             part = prizes.where(F.col(index).between(c["first"], c["last"]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.scalars import ratio_or_one
-from patrolkit.plans.shared_tables import ship, small
+from patrolkit.plans.shared_tables import scratch, ship, small, written
 
 from .ranking import RANGES, counts_before
 
@@ -261,34 +261,46 @@ def bootstrap_interval(rows: DataFrame, period: str, value: str, by: str, *, blo
     return rows.select(by, period, value).groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, low double, high double")
 
 
-#: Cells of a panel that may go to every task of a bootstrap.
-PANEL_CELLS = 20_000_000
-
-
 def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int = 4, reps: int = 500, seed: int = 7) -> DataFrame:
-    """Spearman correlations of training means with resampled holdout means, one row for each replicate.
+    """``(replicate, rho)``: Spearman correlations of training means with resampled holdout means.
 
-    ``panel`` holds (period, node_id, prize, train): one case study, counted and then sent whole to the tasks that draw
-    replicates; a larger panel is an error. Means are rounded to nine decimals before they are ranked.
+    ``panel`` holds (period, node_id, prize, train). A replicate draws periods in circular blocks of their order; the
+    draws follow from the number of periods, so a node's task makes all its resampled means from the node's own series
+    (a period without the node counts as one without a value). Ranks among the nodes come from counts by value in ranges,
+    and the correlations from sums, so no task holds the panel or a replicate. Means are rounded to nine decimals before
+    they are ranked.
     """
-    if panel.limit(PANEL_CELLS + 1).count() > PANEL_CELLS:
-        raise ValueError(f"the panel has over {PANEL_CELLS} cells; aggregate nodes or periods first")
-    rows = panel.toPandas()  # counted above
-    wide = rows.pivot(index=period, columns="node_id", values="prize").sort_index()
-    base = rows.groupby("node_id")[train].first().reindex(wide.columns).to_numpy(float)
-    session = panel.sparkSession
-    ship(session)
-    shared = session.sparkContext.broadcast((wide.to_numpy(float), base))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, train_mean = shared.value
-        ranks = pd.Series(np.round(train_mean, 9)).rank()
-        for part in batches:
-            index = resampled(len(matrix), block, part["id"].to_numpy(), seed)
-            out = [ranks.corr(pd.Series(np.round(matrix[i].mean(axis=0), 9)).rank()) for i in index]
-            yield pd.DataFrame({"replicate": part["id"], "rho": out})
-
-    return session.range(reps).mapInPandas(run, "replicate long, rho double")
+    with scratch():
+        periods = panel.select(period).distinct().withColumn("at", F.row_number().over(Window.orderBy(period)) - 1)  # a series' length
+        periods = written(periods, "periods")
+        n = periods.count()
+        ship(panel.sparkSession)
+        series = panel.join(small(periods), period).select("node_id", "at", "prize", F.round(train, 9).alias("train"))
+        kind = dict(panel.dtypes)["node_id"]
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            x = np.full(n, np.nan)
+            x[rows["at"].to_numpy()] = rows["prize"].to_numpy(float)
+            step = max(1, _LAID_OUT // max(1, n))
+            means = np.concatenate([x[resampled(n, block, np.arange(a, min(reps, a + step)), seed)].mean(axis=1) for a in range(0, reps, step)])
+            return pd.DataFrame({"node_id": rows["node_id"].iloc[0], "train": rows["train"].iloc[0], "replicate": np.arange(reps), "mean": np.round(means, 9)})
+
+        means = series.groupBy("node_id").applyInPandas(run, f"node_id {kind}, train double, replicate long, mean double")
+        means = written(means.where("not isnan(mean) and train is not null"), "means")
+        by_train = _midranks(means.groupBy("train", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "train", "rank_train")
+        by_mean = _midranks(means.groupBy("mean", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "mean", "rank_mean")
+        ranked = means.join(by_train, ["replicate", "train"]).join(by_mean, ["replicate", "mean"])
+        return written(ranked.groupBy("replicate").agg(F.corr("rank_train", "rank_mean").alias("rho")), "rho", keep=True)
+
+
+#: Values of one node's resamples that are laid out at once.
+_LAID_OUT = 2_000_000
+
+
+def _midranks(per_value: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``(by, value, name)``: the mean rank of each value's rows in its group, from counts by value."""
+    before = counts_before(per_value, by, value, "count__", "before__")
+    return before.select(*by, value, (F.col("before__") + (F.col("count__") + 1) / 2).alias(name))
 
 
 def student_tail(t: float, df: float) -> float:

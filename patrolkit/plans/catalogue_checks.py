@@ -217,7 +217,7 @@ def q139_burnt_in_clusters(spark, sf):
 
 
 #: Neighbours in the angle about the depot that make one small instance, the loss of a node by its mean prize, and the budget.
-PART, LOSS, BUDGET = 7, 3_000.0, 9_000.0
+PART, LOSS, BUDGET = 7, 12_000.0, 20_000.0
 
 
 def _parts(spark, sf):

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,18 @@ def test_live_labels(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "event_id long, label int")
     got = [(r["n"], r["classes"]) for r in batches.live_labels(changes, labels).orderBy("iter").collect()]
     assert got == [(2, 2), (3, 2), (2, 1)]
+
+
+def test_spearman_bootstrap_against_whole_panels(spark):
+    """The replicates of a panel in memory: ties, and a node that lacks a period, which no replicate with that period ranks."""
+    draw = np.random.default_rng(8)
+    panel = {(p, n): float(draw.integers(0, 4)) for p in range(9) for n in range(12) if (p, n) != (2, 5)}
+    train = draw.integers(0, 6, 12).astype(float)
+    rows = spark.createDataFrame([(p, n, v, float(train[n])) for (p, n), v in panel.items()], "day long, node_id long, prize double, t double")
+    got = {r["replicate"]: r["rho"] for r in statistics.spearman_bootstrap(rows, "day", "t", block=2, reps=25, seed=3).collect()}
+    matrix = np.array([[panel.get((p, n), np.nan) for n in range(12)] for p in range(9)])
+    for rep, index in enumerate(statistics.resampled(9, 2, np.arange(25), 3)):
+        means = np.round(matrix[index].mean(axis=0), 9)
+        held = ~np.isnan(means)
+        ranks = [pd.Series(v[held]).rank() for v in (train, means)]
+        assert got[rep] == pytest.approx(ranks[0].corr(ranks[1]))

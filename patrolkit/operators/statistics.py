@@ -286,7 +286,7 @@ def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int
             return pd.DataFrame({"node_id": rows["node_id"].iloc[0], "train": rows["train"].iloc[0], "replicate": np.arange(reps), "mean": np.round(means, 9)})
 
         means = series.groupBy("node_id").applyInPandas(run, f"node_id {kind}, train double, replicate long, mean double")
-        means = written(means.where("not isnan(mean) and train is not null"), "means")
+        means = written(means.where("mean is not null and not isnan(mean) and train is not null"), "means")
         by_train = _midranks(means.groupBy("train", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "train", "rank_train")
         by_mean = _midranks(means.groupBy("mean", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "mean", "rank_mean")
         ranked = means.join(by_train, ["replicate", "train"]).join(by_mean, ["replicate", "mean"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import METRES_PER_DEGREE
-from patrolkit.plans.shared_tables import scratch, ship, small, written
+from patrolkit.plans.shared_tables import BROADCAST_ROWS, scratch, ship, small, written
 
 from .components import components
 from .spatial import neighbour_counts
@@ -83,23 +83,26 @@ def _cell_links(core: DataFrame, eps: float, by: list[str]) -> DataFrame:
 #: cores lie in two rings, and the neighbours that make those cores in two more.
 BLOCK_CELLS, CORE_RING, SEEN_RING = 16, 2, 4
 #: A tile grows while it holds at most TILE_ROWS points, up to TILE_LEVELS doublings of its side.
-TILE_ROWS, TILE_LEVELS = 16_384, 12
+TILE_ROWS, TILE_LEVELS = 8_192, 12
 #: Points of a smallest tile up to which tasks take tiles (about 200 bytes a point, of nine blocks at most). Where more
 #: points lie within a few eps, no tile is small, and the table goes through joins on cells instead.
 DENSE_ROWS = 100_000
 
 
+def _celled_points(points: DataFrame, eps: float, by: list[str], least: int | str) -> DataFrame:
+    more = [least] if isinstance(least, str) and least not in by else []
+    side = eps / np.sqrt(2.0) * (1 - 1e-12)
+    return points.select(*by, *more, "event_id", "lon", "lat", F.floor(F.col("lon") / F.lit(side)).alias("cx"), F.floor(F.col("lat") / F.lit(side)).alias("cy"))
+
+
 def _tiles(points: DataFrame, eps: float, by: list[str], least: int | str) -> tuple[DataFrame, DataFrame]:
     """``(points in blocks, blocks)``: points with their cell and block, and the tile of each block that holds points.
 
     A block is BLOCK_CELLS by BLOCK_CELLS cells. Its tile is the largest square of blocks around it, aligned by powers of
     two, that holds at most TILE_ROWS points; at least the block itself.
     """
-    more = [least] if isinstance(least, str) and least not in by else []
-    side = eps / np.sqrt(2.0) * (1 - 1e-12)
     block = lambda c: F.floor(F.col(c) / BLOCK_CELLS)
-    at = points.select(*by, *more, "event_id", "lon", "lat", F.floor(F.col("lon") / F.lit(side)).alias("cx"), F.floor(F.col("lat") / F.lit(side)).alias("cy"))
-    at = at.withColumns({"bx": block("cx"), "by__": block("cy")})
+    at = _celled_points(points, eps, by, least).withColumns({"bx": block("cx"), "by__": block("cy")})
     blocks = at.groupBy(*by, "bx", "by__").agg(F.count("*").alias("held"))
     up = lambda c: F.expr(f"shiftright({c}, level)")
     levels = blocks.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TILE_LEVELS))))
@@ -111,14 +114,15 @@ def _tiles(points: DataFrame, eps: float, by: list[str], least: int | str) -> tu
 def _tile_clusters(points: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame | None:
     """What the tiles' tasks find, as a written table; None where a block holds over DENSE_ROWS points.
 
-    ``(by, event_id, is_core, labels, links)``: a tile's own points with the local clusters that they belong to or border
-    on, named by their smallest core ids; and rows without ``is_core`` that link a cell's smallest core id near the tile's
-    edge with its local cluster.
+    ``(by, event_id, is_core, labels)``: a tile's own points with the local clusters that they belong to or border on, named
+    by their smallest core ids; and rows without ``is_core`` that link a cell's smallest core id near the tile's edge with
+    its local cluster.
     """
     at, blocks = _tiles(points, eps, by, min_samples)
-    if blocks.agg(F.coalesce(F.max("held"), F.lit(0)).alias("n")).first()["n"] > DENSE_ROWS:
+    sums = blocks.agg(F.coalesce(F.max("held"), F.lit(0)).alias("most"), F.count("*").alias("n")).first()
+    if sums["most"] > DENSE_ROWS:
         return None
-    ship(points.sparkSession)
+    few = F.broadcast(blocks) if sums["n"] <= BROADCAST_ROWS else blocks
     inside = lambda c, b: F.col(c) - F.col(b) * BLOCK_CELLS
 
     def steps(o: Column) -> Column:
@@ -132,8 +136,14 @@ def _tile_clusters(points: DataFrame, eps: float, min_samples: int | str, by: li
     spread = spread.withColumn("ring", F.greatest(rings(ox, F.col("dx")), rings(oy, F.col("dy"))))
     spread = spread.withColumns({"bx": F.col("bx") + F.col("dx"), "by__": F.col("by__") + F.col("dy")}).drop("dx", "dy")
     tile = {"tx": F.expr("shiftright(bx, level)"), "ty": F.expr("shiftright(by__, level)")}
-    tiled = spread.join(small(blocks.drop("held")), [*by, "bx", "by__"]).withColumns(tile).drop("bx", "by__")
-    kinds = dict(points.dtypes)
+    tiled = spread.join(few.drop("held"), [*by, "bx", "by__"]).withColumns(tile).drop("bx", "by__")
+    return written(_in_tiles(tiled, eps, min_samples, by), "tile_clusters", keep=True)
+
+
+def _in_tiles(tiled: DataFrame, eps: float, min_samples: int | str, by: list[str]) -> DataFrame:
+    """A task for each tile of ``tiled`` (by, level, tx, ty, ring, event_id, lon, lat, cx, cy); level -1: the tile is all."""
+    ship(tiled.sparkSession)
+    kinds = dict(tiled.dtypes)
     keys = [*by, "level", "tx", "ty"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "event_id long, is_core boolean, labels array<long>"])
 
@@ -146,10 +156,11 @@ def _tile_clusters(points: DataFrame, eps: float, min_samples: int | str, by: li
         least = rows.column(min_samples)[0].as_py() if isinstance(min_samples, str) else min_samples
         found = clustered(xy, eps, least, ring <= CORE_RING, cells)
         level, tx, ty = (k.as_py() for k in key[-3:])
-        side = BLOCK_CELLS << level
-        low = np.array([tx * side, ty * side])
-        edge = ((cells < low + CORE_RING) | (cells >= low + side - CORE_RING)).any(axis=1)
-        own = ring == 0
+        own, edge = ring == 0, np.zeros(len(ids), bool)
+        if level >= 0:
+            side = BLOCK_CELLS << level
+            low = np.array([tx * side, ty * side])
+            edge = ((cells < low + CORE_RING) | (cells >= low + side - CORE_RING)).any(axis=1)
         mine = np.flatnonzero(own)
         # the smallest core of each cell near the edge, here and in the tiles around, which see the same cells whole
         shared = np.flatnonzero(found.core & (edge | ~own))
@@ -163,13 +174,18 @@ def _tile_clusters(points: DataFrame, eps: float, min_samples: int | str, by: li
         same = [pa.repeat(k, len(out[0])) for k in key[: len(by)]]
         return pa.Table.from_arrays([*same, *out], names=[*by, "event_id", "is_core", "labels"])
 
-    return written(tiled.groupBy(*keys).applyInArrow(run, schema), "tile_clusters")
+    return tiled.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _largest(points: DataFrame, by: list[str]) -> int:
+    sizes = points.groupBy(*by).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def _joined_tiles(found: DataFrame, by: list[str]) -> DataFrame:
     """Labels of all points from the tiles' local clusters and the links between them."""
     links = found.where("is_core is null").select(F.col("event_id").alias("src"), F.get("labels", F.lit(0)).alias("dst"))
-    names = small(components(links).where("node <> label"))
+    names = small(written(components(links).where("node <> label"), "names", keep=True))
     mine = found.where("is_core is not null").select(*by, "event_id", "is_core", "labels")
     single = mine.where(F.size("labels") <= 1).withColumn("local", F.get("labels", F.lit(0))).drop("labels")
     single = single.join(names, F.col("local") == F.col("node"), "left").select(*by, "event_id", "is_core", F.coalesce("label", "local").alias("label"))
@@ -186,15 +202,19 @@ def dbscan(points: DataFrame, eps: float, min_samples: int | str, by: list[str]
     point takes the neighbouring cluster whose smallest core id is lowest. Nothing written grows faster than the points.
 
     Tiles of about TILE_ROWS points, with the points around that decide about theirs, are clustered by one task each; the
-    cells that two tiles see link their clusters. Where over DENSE_ROWS points lie in one smallest tile, joins on cells
+    cells that two tiles see link their clusters. Groups that fit a tile are one each. Where over DENSE_ROWS points lie in one smallest tile, joins on cells
     take the same steps for the whole table.
     """
     by = by or []
+    noise = (F.col("label") == 0).alias("is_noise")
+    if by and _largest(points, by) <= min(TILE_ROWS, DENSE_ROWS):
+        whole = {"level": F.lit(-1), "tx": F.lit(0), "ty": F.lit(0), "ring": F.lit(0)}
+        alone = _in_tiles(_celled_points(points, eps, by, min_samples).withColumns(whole), eps, min_samples, by)
+        return alone.select(*by, "event_id", "is_core", F.coalesce(F.array_min("labels") + 1, F.lit(0)).alias("label")).select("*", noise)
     with scratch():
         found = _tile_clusters(points, eps, min_samples, by)
         if found is not None:
-            labelled = written(_joined_tiles(found, by), "labels", keep=True)
-            return labelled.select(*by, "event_id", "is_core", "label", (F.col("label") == 0).alias("is_noise"))
+            return _joined_tiles(found, by).select("*", noise)
         counted = _counted(points, eps, min_samples, by)
         core = counted.where("is_core")
         found = components(_cell_links(core, eps, by))

@@ -97,7 +97,7 @@ def test_queries_and_sql_are_registered():
     import __spark_entry__ as entry
     from patrolkit.llm import queries
 
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries() if k != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.queries() if k != "pipeline"}
     assert set(queries.queries()) <= set(entry.queries())
     assert [name for name, _ in pipe.STAGES] and F is not None
 

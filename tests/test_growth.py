@@ -28,3 +28,16 @@ def test_nearest_node_meets_each_position_once(spark, monkeypatch):
     got = {r["event_id"]: r["node_id"] for r in spatial.nearest_node(points, nodes, 600.0, max_abs_lat=35.0).collect()}
     assert got == {0: 4, 1: 3, 2: None}  # ties to the lowest id
     assert seen[0][2].agg(F.max(F.size("near"))).first()[0] == 2
+
+
+def test_spacing_pairs_positions_not_nodes(spark, monkeypatch):
+    seen = _sizes(monkeypatch, spatial, "written")
+    rows = [(i, 104.0 + 0.1 * (i % 3), 30.5, float(i * 37 % 101)) for i in range(90)]
+    nodes = spark.createDataFrame(rows, "node_id long, lon double, lat double, weight double")
+    kept = {r["node_id"] for r in spatial.spaced(nodes, "weight", 15_000.0, max_abs_lat=35.0).collect()}
+    best, order = [], sorted(rows, key=lambda r: (-r[3], r[0]))
+    for r in order:  # 0.1 degrees are 9.6 km here, 0.2 are 19.2 km
+        if all(abs(r[1] - b[1]) > 0.15 for b in best):
+            best.append(r)
+    assert kept == {r[0] for r in best}
+    assert [n for name, n, _ in seen if name == "ranked"] == [3]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patrolkit.plans.shared_tables import small
+
 
 def contingency(rows: DataFrame, truth: str, found: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(found).alias("found")).agg(F.count("*").alias("n"))
@@ -62,14 +64,21 @@ def scatter_scores(points: DataFrame, label: str, features: list[str]) -> DataFr
 
 
 def silhouette(points: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Mean silhouette (Euclidean) of labels >= 0. Distances to all points are its definition, so the input is bounded."""
-    kept = points.where(F.col(label) >= 0).select("id", F.col(label).alias("l"), *features)
-    other = kept.select(F.col("id").alias("id2"), F.col("l").alias("l2"), *[F.col(f).alias(f"{f}2") for f in features])
+    """Mean silhouette (Euclidean) of labels >= 0.
+
+    Equal positions of a label are one row with their number. Distances between all positions are the definition: each
+    part of the positions meets all of them, and only their sums by label are shuffled.
+    """
+    places = points.where(F.col(label) >= 0).groupBy(F.col(label).alias("l"), *features).agg(F.count("*").alias("w"))
+    kept = places.withColumn("id", F.struct("l", *features)).repartition(4 * points.sparkSession.sparkContext.defaultParallelism)
+    other = small(places.select(F.col("l").alias("l2"), F.col("w").alias("w2"), *[F.col(f).alias(f"{f}2") for f in features]))
     d = F.sqrt(sum(((F.col(f) - F.col(f"{f}2")) ** 2 for f in features), F.lit(0.0)))
-    means = kept.join(other, F.col("id") != F.col("id2")).groupBy("id", "l", "l2").agg(F.avg(d).alias("d"))
-    per = means.groupBy("id", "l").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
+    met = kept.crossJoin(other).groupBy("id", "l", "w", "l2").agg(F.sum(F.col("w2") * d).alias("sum"), F.sum(F.when(d.isNotNull(), F.col("w2"))).alias("n"))
+    others = F.col("n") - (F.col("l") == F.col("l2")).cast("long")  # without the point itself
+    means = met.withColumn("d", F.when(others > 0, F.col("sum") / others))
+    per = means.groupBy("id", "l", "w").agg(F.max(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(value).alias("silhouette"))
+    return per.agg(F.try_divide(F.sum(F.col("w") * value), F.sum("w")).alias("silhouette"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from patrolkit.operators import spatial
+from patrolkit.operators import evaluation, spatial
 
 
 def _sizes(monkeypatch, module, name):
@@ -41,3 +42,22 @@ def test_spacing_pairs_positions_not_nodes(spark, monkeypatch):
             best.append(r)
     assert kept == {r[0] for r in best}
     assert [n for name, n, _ in seen if name == "ranked"] == [3]
+
+
+def test_silhouette_meets_positions_and_equals_all_pairs(spark, monkeypatch):
+    seen = _sizes(monkeypatch, evaluation, "small")
+    rows = [(i, i % 3, float(i % 4), float(i % 5 // 2)) for i in range(120)] + [(500, 7, 9.0, 9.0), (501, -1, 0.0, 0.0)]
+    got = evaluation.silhouette(spark.createDataFrame(rows, "id long, label int, x double, y double"), "label", ["x", "y"]).first()["silhouette"]
+    kept = [r for r in rows if r[1] >= 0]
+    x, label = np.array([r[2:] for r in kept]), np.array([r[1] for r in kept])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    values = []
+    for i, own in enumerate(label):
+        mean = {c: d[i][(label == c) & (np.arange(len(label)) != i)] for c in set(label)}
+        if not len(mean[own]):
+            values.append(0.0)
+            continue
+        a, b = mean.pop(own).mean(), min(v.mean() for v in mean.values())
+        values.append((b - a) / max(a, b))
+    assert abs(got - np.mean(values)) < 1e-12
+    assert seen[0][1] == len({r[1:] for r in kept})

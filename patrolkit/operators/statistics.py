@@ -265,32 +265,39 @@ def spearman_bootstrap(panel: DataFrame, period: str, train: str, *, block: int
     """``(replicate, rho)``: Spearman correlations of training means with resampled holdout means.
 
     ``panel`` holds (period, node_id, prize, train). A replicate draws periods in circular blocks of their order; the
-    draws follow from the number of periods, so a node's task makes all its resampled means from the node's own series
-    (a period without the node counts as one without a value). Ranks among the nodes come from counts by value in ranges,
-    and the correlations from sums, so no task holds the panel or a replicate. Means are rounded to nine decimals before
-    they are ranked.
+    draws follow from the number of periods, so a node's resampled means follow from its own series (a period without
+    the node counts as one without a value), and nodes of equal training means and series are resampled once, with their
+    number. Ranks among the nodes come from counts by value in ranges, and the correlations from sums, so no task holds
+    the panel or a replicate. Means are rounded to nine decimals before they are ranked.
     """
     with scratch():
         periods = panel.select(period).distinct().withColumn("at", F.row_number().over(Window.orderBy(period)) - 1)  # a series' length
         periods = written(periods, "periods")
         n = periods.count()
         ship(panel.sparkSession)
-        series = panel.join(small(periods), period).select("node_id", "at", "prize", F.round(train, 9).alias("train"))
-        kind = dict(panel.dtypes)["node_id"]
+        series = panel.join(small(periods), period).groupBy("node_id").agg(F.max(F.round(train, 9)).alias("train"), F.array_sort(F.collect_list(F.struct("at", "prize"))).alias("series"))
+        kinds = series.where("train is not null").groupBy("train", "series").agg(F.count("*").alias("count__"))
+        kinds = kinds.select("train", F.transform("series", lambda v: v["at"]).alias("at"), F.transform("series", lambda v: v["prize"].cast("double")).alias("prize"), "count__")
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            x = np.full(n, np.nan)
-            x[rows["at"].to_numpy()] = rows["prize"].to_numpy(float)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             step = max(1, _LAID_OUT // max(1, n))
-            means = np.concatenate([x[resampled(n, block, np.arange(a, min(reps, a + step)), seed)].mean(axis=1) for a in range(0, reps, step)])
-            return pd.DataFrame({"node_id": rows["node_id"].iloc[0], "train": rows["train"].iloc[0], "replicate": np.arange(reps), "mean": np.round(means, 9)})
-
-        means = series.groupBy("node_id").applyInPandas(run, f"node_id {kind}, train double, replicate long, mean double")
-        means = written(means.where("mean is not null and not isnan(mean) and train is not null"), "means")
-        by_train = _midranks(means.groupBy("train", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "train", "rank_train")
-        by_mean = _midranks(means.groupBy("mean", "replicate").agg(F.count("*").alias("count__")), ["replicate"], "mean", "rank_mean")
-        ranked = means.join(by_train, ["replicate", "train"]).join(by_mean, ["replicate", "mean"])
-        return written(ranked.groupBy("replicate").agg(F.corr("rank_train", "rank_mean").alias("rho")), "rho", keep=True)
+            for part in batches:
+                for at, prize, train_, count in zip(part["at"], part["prize"], part["train"], part["count__"], strict=True):
+                    x = np.full(n, np.nan)
+                    x[np.asarray(at)] = np.asarray(prize, float)
+                    means = np.concatenate([x[resampled(n, block, np.arange(a, min(reps, a + step)), seed)].mean(axis=1) for a in range(0, reps, step)])
+                    yield pd.DataFrame({"train": train_, "replicate": np.arange(reps), "mean": np.round(means, 9), "count__": count})
+
+        means = kinds.mapInPandas(run, "train double, replicate long, mean double, count__ long")
+        means = written(means.where("mean is not null and not isnan(mean)").groupBy("replicate", "train", "mean").agg(F.sum("count__").alias("count__")), "means")
+        by_train = _midranks(means.groupBy("train", "replicate").agg(F.sum("count__").alias("count__")), ["replicate"], "train", "rank_train")
+        by_mean = _midranks(means.groupBy("mean", "replicate").agg(F.sum("count__").alias("count__")), ["replicate"], "mean", "rank_mean")
+        middle = means.groupBy("replicate").agg(((F.sum("count__") + 1) / 2).alias("middle"))  # the mean of the ranks
+        ranked = means.join(by_train, ["replicate", "train"]).join(by_mean, ["replicate", "mean"]).join(F.broadcast(middle), "replicate")
+        x, y, w = F.col("rank_train") - F.col("middle"), F.col("rank_mean") - F.col("middle"), F.col("count__")
+        sums = ranked.groupBy("replicate").agg(F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+        rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+        return written(sums.select("replicate", rho.alias("rho")), "rho", keep=True)
 
 
 #: Values of one node's resamples that are laid out at once.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from patrolkit.operators import evaluation, spatial
+from patrolkit.operators import evaluation, spatial, statistics
 
 
 def _sizes(monkeypatch, module, name):
@@ -61,3 +61,16 @@ def test_silhouette_meets_positions_and_equals_all_pairs(spark, monkeypatch):
         values.append((b - a) / max(a, b))
     assert abs(got - np.mean(values)) < 1e-12
     assert seen[0][1] == len({r[1:] for r in kept})
+
+
+def test_bootstrap_resamples_equal_series_once(spark, monkeypatch):
+    seen = _sizes(monkeypatch, statistics, "written")
+    rows = [(day, node, float(node % 4 * (day + 1) % 5), float(node % 4)) for node in range(40) for day in range(6)]
+    panel = spark.createDataFrame(rows, "day int, node_id long, prize double, t double")
+    got = {r["replicate"]: r["rho"] for r in statistics.spearman_bootstrap(panel, "day", "t", block=2, reps=5, seed=3).collect()}
+    x = np.array([[rows[node * 6 + day][2] for day in range(6)] for node in range(40)])
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    train = rank(np.arange(40) % 4)
+    for rep, places in enumerate(statistics.resampled(6, 2, np.arange(5), 3)):
+        assert abs(got[rep] - np.corrcoef(train, rank(np.round(x[:, places].mean(axis=1), 9)))[0, 1]) < 1e-12
+    assert [n for name, n, _ in seen if name == "means"][0] <= 5 * 4

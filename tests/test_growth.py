@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from patrolkit.operators import evaluation, spatial, statistics
@@ -74,3 +75,19 @@ def test_bootstrap_resamples_equal_series_once(spark, monkeypatch):
     for rep, places in enumerate(statistics.resampled(6, 2, np.arange(5), 3)):
         assert abs(got[rep] - np.corrcoef(train, rank(np.round(x[:, places].mean(axis=1), 9)))[0, 1]) < 1e-12
     assert [n for name, n, _ in seen if name == "means"][0] <= 5 * 4
+
+
+@pytest.mark.parametrize("most", [2, 512])
+def test_k_distances_write_each_position_a_few_times(spark, monkeypatch, most):
+    monkeypatch.setattr(spatial, "COMPARED_ROWS", 0)
+    monkeypatch.setattr(spatial, "TILE_POSITIONS", most)
+    seen = _sizes(monkeypatch, spatial, "written")
+    draw = np.random.default_rng(5)
+    x = np.vstack([np.round(draw.normal(size=(900, 2)) * 0.01, 3), draw.normal(size=(900, 2)) * 1e-7 + 2.0, draw.uniform(-3, 3, (100, 2)), [[90.0, -40.0]]])
+    table = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(x)], "day int, event_id long, lon double, lat double")
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)
+    for k in (1, 5, 12):
+        got = {r["event_id"]: r["k_dist"] for r in spatial.k_distances(table, "day", k).collect()}
+        assert np.array_equal([got[i] for i in range(len(x))], d[:, k - 1])
+    places = len({tuple(p) for p in x})
+    assert max(n for _, n, _ in seen) <= 2 * places

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patrolkit.operators import evaluation, spatial, statistics
+from patrolkit.operators import evaluation, prizes, spatial, statistics
 
 
 def _sizes(monkeypatch, module, name):
@@ -91,3 +91,16 @@ def test_k_distances_write_each_position_a_few_times(spark, monkeypatch, most):
         assert np.array_equal([got[i] for i in range(len(x))], d[:, k - 1])
     places = len({tuple(p) for p in x})
     assert max(n for _, n, _ in seen) <= 2 * places
+
+
+def test_day_counts_find_the_near_points_once(spark, monkeypatch):
+    seen = _sizes(monkeypatch, prizes, "written")
+    draw = np.random.default_rng(2)
+    rows = [(day, 100 * day + i, 104.0 + float(a), 30.5 + float(b)) for day in range(2) for i, (a, b) in enumerate(draw.normal(size=(60, 2)) * 0.001)]
+    points = spark.createDataFrame([*rows, (0, 999, 110.0, 30.5)], "day int, event_id long, lon double, lat double")
+    nodes = spark.createDataFrame([(1, 104.0, 30.5)], "node_id long, lon double, lat double")
+    counted, summary = prizes.day_counts(points, nodes, "day", max_abs_lat=35.0)
+    got = {r["day"]: r for r in summary.collect()}
+    assert [got[d]["nearby_points"] for d in (0, 1)] == [60, 60]
+    assert {r["day"]: r["cnt"] for r in counted.collect()} == {d: got[d]["assigned_points"] for d in (0, 1)}
+    assert [(name, n) for name, n, _ in seen] == [("near_nodes", 120), ("parameters", 2)]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patrolkit.operators import evaluation, prizes, spatial, statistics
+from patrolkit.operators import evaluation, prizes, robust, spatial, statistics
 
 
 def _sizes(monkeypatch, module, name):
@@ -104,3 +104,35 @@ def test_day_counts_find_the_near_points_once(spark, monkeypatch):
     assert [got[d]["nearby_points"] for d in (0, 1)] == [60, 60]
     assert {r["day"]: r["cnt"] for r in counted.collect()} == {d: got[d]["assigned_points"] for d in (0, 1)}
     assert [(name, n) for name, n, _ in seen] == [("near_nodes", 120), ("parameters", 2)]
+
+
+def test_counted_rooms_give_the_kernels_value():
+    draw = np.random.default_rng(8)
+    for turn in range(60):
+        samples = draw.integers(0, 1 + turn % 7, (4, 30)) / max(1, turn % 7)
+        open_ = draw.random(30) < 0.6
+        room, weight = (np.zeros((4, 30)) for _ in range(2))
+        for t, row in enumerate(1.0 - samples[:, open_]):
+            values, n = np.unique(row, return_counts=True)
+            room[t, : len(values)], weight[t, : len(values)] = values, n
+        for epsilon in (0.0, 0.1, 0.7, 2.0):
+            got = robust.counted_value(samples[:, open_].sum(axis=1), room, weight, epsilon, 10.0)
+            assert got[0] == pytest.approx(robust.robust_value(samples, open_, epsilon, 10.0)[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("cells", [1, 10**6])
+def test_robust_penalties_count_equal_prizes_once(spark, monkeypatch, cells):
+    seen = _sizes(monkeypatch, robust, "written")
+    samples = np.array([[(node % 3) * (t % 2) / 2 for node in range(200)] for t in range(6)])
+    table = spark.createDataFrame([(t, node, float(samples[t, node])) for t in range(6) for node in range(200)], "number int, node_id long, prize double")
+    sets = {"some": list(range(0, 200, 4)), "none": [], "all": list(range(200)), "again": [*range(0, 200, 4), 0, None]}
+    cases = [("a", "SP", 0.5, 0, 2), ("a", "RO", 0.5, 0, 2), ("a", "Exact DRO", 0.5, 0, 2), ("b", "Exact DRO", 0.5, 1, 5)]
+    tasks = spark.createDataFrame([(*c, name, nodes) for c in cases for name, nodes in sets.items()], "case string, model string, epsilon double, first int, last int, selection string, nodes array<long>")
+    got = {(r["case"], r["model"], r["selection"]): r["penalty"] for r in robust.robust_over_spans(table, "number", tasks, 10.0, cells).collect()}
+    assert len(got) == 16
+    for name, nodes in sets.items():
+        open_ = ~np.isin(np.arange(200), [n for n in nodes if n is not None])
+        for case, model, epsilon, first, last in cases:
+            exact = 10.0 * open_.sum() if model == "RO" else robust.robust_value(samples[first : last + 1], open_, 0.0 if model == "SP" else epsilon, 10.0)[0]
+            assert got[case, model, name] == pytest.approx(exact, abs=1e-4)
+    assert max(n for name, n, _ in seen if name == "rooms") <= 2 * 6 * 3  # two different sets that leave nodes, three prizes

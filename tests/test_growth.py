@@ -136,3 +136,13 @@ def test_robust_penalties_count_equal_prizes_once(spark, monkeypatch, cells):
             exact = 10.0 * open_.sum() if model == "RO" else robust.robust_value(samples[first : last + 1], open_, 0.0 if model == "SP" else epsilon, 10.0)[0]
             assert got[case, model, name] == pytest.approx(exact, abs=1e-4)
     assert max(n for name, n, _ in seen if name == "rooms") <= 2 * 6 * 3  # two different sets that leave nodes, three prizes
+
+
+def test_one_candidate_needs_no_array_functions(spark):
+    points = spark.createDataFrame([(0, 104.0, 30.5), (1, 104.0011, 30.5), (2, 104.1, 30.5), (3, None, 30.5), (4, 103.0, 30.5), (5, 103.0061, 30.5)], "event_id long, lon double, lat double")
+    nodes = spark.createDataFrame([(7, 104.0, 30.5), (8, 104.002, 30.5), (9, 103.0, 30.5)], "node_id long, lon double, lat double")
+    found = spatial.nearest_node(points, nodes, 600.0, max_abs_lat=35.0)
+    assert {r["event_id"]: r["node_id"] for r in found.collect()} == {0: 7, 1: 8, 2: None, 3: None, 4: 9, 5: 9}  # 5: 584 m
+    plan = found.groupBy("node_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    lead = [part[-200:] for part in plan.split("array_min(")[:-1]]
+    assert lead and all("size(near" in part for part in lead)  # arrays only where a cell has several nodes

@@ -146,3 +146,12 @@ def test_one_candidate_needs_no_array_functions(spark):
     plan = found.groupBy("node_id").count()._jdf.queryExecution().optimizedPlan().toString()
     lead = [part[-200:] for part in plan.split("array_min(")[:-1]]
     assert lead and all("size(near" in part for part in lead)  # arrays only where a cell has several nodes
+
+
+def test_node_sets_are_named_without_interpreted_functions(spark):
+    rows = [("a", [3, 1, None, 3]), ("b", [1, 3]), ("c", [None]), ("d", None), ("e", [])]
+    named = robust._named(spark.createDataFrame(rows, "selection string, nodes array<long>"))
+    got = {r["selection"]: (r["nodes"], r["set"]) for r in named.collect()}
+    assert [got[s][0] for s in "abcde"] == [[1, 3], [1, 3], [], [], []]
+    assert got["a"] == got["b"] and got["c"] == got["d"] == got["e"]
+    assert "lambda" not in named._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patrolkit.plans.shared_tables import ship, written
+from patrolkit.plans.shared_tables import ship, small, written
 
 from . import robust, statistics
 
@@ -196,42 +196,42 @@ def folds(table: list[tuple[str, int, int, int]]) -> list[tuple[str, str, int, i
     return out
 
 
-def _chosen(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, cases: list[tuple[str, str, float, int, int]], scale: float) -> DataFrame:
+def _chosen(prizes: DataFrame, index: str, sets: DataFrame, rooms: DataFrame, travel: DataFrame, cases: list[tuple[str, str, float, int, int]], scale: float) -> DataFrame:
     """``(case, model, epsilon, plan, objective, travel, penalty)``: for each case the plan of least objective.
 
     A case is (name, model, epsilon, first, last) and looks at the periods whose number lies in first..last. Models: SP
-    (radius 0), RO (the box penalty, of all unvisited nodes) and Exact DRO.
+    (radius 0), RO (the box penalty, of all unvisited nodes) and Exact DRO. ``sets`` holds (selection, nodes), ``rooms``
+    what :func:`robust.rooms_of` gives for them.
     """
     spark = prizes.sparkSession
     table = spark.createDataFrame(cases, "case string, model string, epsilon double, first int, last int")
-    sets = pool.groupBy("selection").agg(F.collect_list("node_id").alias("nodes"))
-    value = robust.robust_over_spans(prizes, index, sets.crossJoin(F.broadcast(table)), scale)
+    value = robust.robust_over_spans(prizes, index, sets.crossJoin(F.broadcast(table)), scale, rooms=rooms)
     cost = value.join(F.broadcast(travel), "selection").withColumn("objective", F.col("travel") + F.col("penalty"))
     best = cost.groupBy("case", "model", "epsilon").agg(F.min(F.struct(F.round("objective", 6).alias("objective"), "selection", "travel", "penalty")).alias("b"))
     return best.select("case", "model", "epsilon", F.col("b.selection").alias("plan"), F.col("b.objective").alias("objective"), F.col("b.travel").alias("travel"), F.col("b.penalty").alias("penalty"))
 
 
-def evaluated(chosen: DataFrame, prizes: DataFrame, pool: DataFrame, scale: float) -> DataFrame:
-    """``chosen`` with mean_cost, cvar_cost, worst_cost and coverage_pct over the periods of ``prizes`` (case, ...)."""
-    plans = pool.withColumnRenamed("selection", "plan")
-    rows = F.broadcast(chosen.select("case", "plan", "travel")).join(prizes, "case")
-    marks = F.broadcast(plans.where("node_id is not null").withColumn("seen", F.lit(True)))
+def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int, int]], index: str, pool: DataFrame, scale: float) -> DataFrame:
+    """``chosen`` with mean_cost, cvar_cost, worst_cost and coverage_pct over the periods of each case's span.
+
+    A span is (case, first, last) and holds the periods of ``prizes`` (period, node_id, prize, number ``index``) between. A
+    plan meets a period's nodes once, however many cases value it there.
+    """
+    chosen = written(chosen, "chosen")  # a row a case
+    table = prizes.sparkSession.createDataFrame(spans, "case string, first int, last int")
+    asked = chosen.select("case", "plan", "travel").join(F.broadcast(table.where("first <= last")), "case").withColumn("at", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    wanted = small(asked.select("plan", "at").distinct())
+    marks = pool.withColumnRenamed("selection", "plan").where("node_id is not null").join(F.broadcast(chosen.select("plan").distinct()), "plan", "left_semi")
+    rows = prizes.join(wanted, F.col(index) == F.col("at")).join(small(marks.select("plan", "node_id", F.lit(True).alias("seen"))), ["plan", "node_id"], "left")
     open_ = F.col("seen").isNull()
-    per = rows.join(marks, ["plan", "node_id"], "left").groupBy("case", "plan", "period").agg(
-        F.sum(F.when(open_, F.col("prize")).otherwise(0.0)).alias("missed"), F.sum("prize").alias("total"), F.first("travel").alias("travel")
-    )
+    sums = rows.groupBy("plan", "at", "period").agg(F.sum(F.when(open_, F.col("prize")).otherwise(0.0)).alias("missed"), F.sum("prize").alias("total"))
+    per = asked.join(sums, ["plan", "at"])
     cost = per.withColumns({"cost": F.round(F.col("travel") + F.lit(scale) * F.col("missed"), 6), "coverage": F.when(F.col("total") > 0, 1 - F.col("missed") / F.col("total")).otherwise(1.0) * 100})
     tail = statistics.tail_summary(cost, "cost", ["case"]).select("case", F.col("mean_value").alias("mean_cost"), F.col("cvar_value").alias("cvar_cost"), F.col("worst_value").alias("worst_cost"))
     share = cost.groupBy("case").agg(F.avg("coverage").alias("coverage_pct"))
     return chosen.join(tail, "case").join(share, "case")
 
 
-def _periods(prizes: DataFrame, spans: list[tuple[str, int, int]], index: str) -> DataFrame:
-    """``prizes`` once for each case (case, first, last) that its period's number lies in."""
-    table = prizes.sparkSession.createDataFrame(spans, "case string, first int, last int")
-    return prizes.join(F.broadcast(table), F.col(index).between(F.col("first"), F.col("last"))).select("case", "period", "node_id", "prize")
-
-
 def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, table: list[tuple[str, int, int, int]], radii: list[float], scale: float, *, refit: bool = True, rule: str = "tail") -> tuple[DataFrame, DataFrame]:
     """``(calibration, test)`` over the rolling origins of ``table``; plans are chosen from a pool.
 
@@ -244,17 +244,19 @@ def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel:
     names = [t[0] for t in table]
     prizes = written(prizes.select("period", "node_id", "prize", F.col(index).alias("number")), "fold_prizes")
     travel = written(travel, "fold_travel")
+    sets = pool.groupBy("selection").agg(F.collect_list("node_id").alias("nodes"))
+    rooms = robust.rooms_of(prizes, sets, "number")  # of both choices
     grid = [(f"{f}|{e}", "Exact DRO", float(e), *span[f, "train"]) for f in names for e in radii]
-    validate = _periods(prizes, [(f"{f}|{e}", *span[f, "validate"]) for f in names for e in radii], "number")
-    calibration = evaluated(_chosen(prizes, "number", pool, travel, grid, scale), validate, pool, scale).withColumn("fold", F.split("case", r"\|")[0])
+    validate = [(f"{f}|{e}", *span[f, "validate"]) for f in names for e in radii]
+    calibration = evaluated(_chosen(prizes, "number", sets, rooms, travel, grid, scale), prizes, validate, "number", pool, scale).withColumn("fold", F.split("case", r"\|")[0])
     calibration = written(calibration, "calibration")
     order = ["cvar_cost", "mean_cost", "epsilon", "travel"] if rule == "tail" else ["mean_cost", "epsilon"]
     rounded = [F.round(c, 6).alias(c) for c in order]
     picked = {r["fold"]: r["best"]["epsilon"] for r in calibration.groupBy("fold").agg(F.min(F.struct(*rounded)).alias("best")).collect()}  # a row a fold
     models = [(f, m) for f in names for m in ("SP", "RO", "Exact DRO")]
     refits = [(f"{f}|{m}", m, 0.0 if m == "SP" else float(picked[f]), 1, span[f, "validate" if refit else "train"][1]) for f, m in models]
-    held = _periods(prizes, [(f"{f}|{m}", *span[f, "test"]) for f, m in models], "number")
-    tested = evaluated(_chosen(prizes, "number", pool, travel, refits, scale), held, pool, scale).withColumn("fold", F.split("case", r"\|")[0])
+    held = [(f"{f}|{m}", *span[f, "test"]) for f, m in models]
+    tested = evaluated(_chosen(prizes, "number", sets, rooms, travel, refits, scale), prizes, held, "number", pool, scale).withColumn("fold", F.split("case", r"\|")[0])
     return calibration.drop("case", "model"), tested.drop("case")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patrolkit.operators import evaluation, prizes, robust, spatial, statistics
+from patrolkit.operators import evaluation, prizes, robust, spatial, statistics, summaries
 
 
 def _sizes(monkeypatch, module, name):
@@ -155,3 +155,29 @@ def test_node_sets_are_named_without_interpreted_functions(spark):
     assert [got[s][0] for s in "abcde"] == [[1, 3], [1, 3], [], [], []]
     assert got["a"] == got["b"] and got["c"] == got["d"] == got["e"]
     assert "lambda" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _rolling_case(spark):
+    samples = np.array([[(node * (t % 4 + 1)) % 5 / 4 for node in range(12)] for t in range(6)])
+    table = spark.createDataFrame([(t + 1, t + 1, node, float(samples[t, node])) for t in range(6) for node in range(12)], "period int, number int, node_id long, prize double")
+    sets = {"even": list(range(0, 12, 2)), "few": [1, 5], "none": []}
+    pool = spark.createDataFrame([(s, n) for s, nodes in sets.items() for n in nodes or [None]], "selection string, node_id long")
+    travel = spark.createDataFrame([("even", 9.0), ("few", 3.0), ("none", 0.0)], "selection string, travel double")
+    return samples, table, sets, pool, travel
+
+
+def test_rolling_selection_counts_rooms_once_and_meets_a_plan_once(spark, monkeypatch):
+    rooms, marks = _sizes(monkeypatch, robust, "written"), _sizes(monkeypatch, summaries, "small")
+    samples, table, sets, pool, travel = _rolling_case(spark)
+    _, tested = summaries.calibrate_refit_test(table, "number", pool, travel, [("a", 2, 2, 2), ("b", 2, 1, 3)], [0.1, 0.4], 10.0)
+    rows = tested.collect()
+    assert len(rows) == 6
+    cost = {"even": 9.0, "few": 3.0, "none": 0.0}
+    for r in rows:
+        open_ = ~np.isin(np.arange(12), sets[r["plan"]])
+        held = samples[4:6] if r["fold"] == "a" else samples[3:6]
+        daily = cost[r["plan"]] + 10.0 * held[:, open_].sum(axis=1)
+        assert r["mean_cost"] == pytest.approx(daily.mean(), abs=1e-5) and r["worst_cost"] == pytest.approx(daily.max(), abs=1e-5)
+        assert r["coverage_pct"] == pytest.approx((1 - held[:, open_].sum(axis=1) / held.sum(axis=1)).mean() * 100)
+    assert [name for name, _, _ in rooms].count("rooms") == 1
+    assert max(n for _, n, _ in marks) <= pool.count()

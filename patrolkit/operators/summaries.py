@@ -232,13 +232,14 @@ def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int,
     return chosen.join(tail, "case").join(share, "case")
 
 
-def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, table: list[tuple[str, int, int, int]], radii: list[float], scale: float, *, refit: bool = True, rule: str = "tail") -> tuple[DataFrame, DataFrame]:
+def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, table: list[tuple[str, int, int, int]], radii: list[float], scale: float, *, refit: bool = True, rule: str = "tail", test: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """``(calibration, test)`` over the rolling origins of ``table``; plans are chosen from a pool.
 
     For each fold and radius the plan of least training objective is valued over the validation periods. The fold's radius
     is that of least tail, mean, radius and travel (``rule`` "tail"), or of least mean, then radius ("mean"). SP, RO and
     Exact DRO then choose anew over training and validation (``refit``) or stay with training, and are valued over the
-    test periods, which nothing before has seen. ``prizes`` holds (period, node_id, prize) and the period's number.
+    test periods, which nothing before has seen; without ``test`` that is left out. ``prizes`` holds (period, node_id,
+    prize) and the period's number.
     """
     span = {(f, p): (a, b) for f, p, a, b in folds(table)}
     names = [t[0] for t in table]
@@ -249,6 +250,8 @@ def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel:
     grid = [(f"{f}|{e}", "Exact DRO", float(e), *span[f, "train"]) for f in names for e in radii]
     validate = [(f"{f}|{e}", *span[f, "validate"]) for f in names for e in radii]
     calibration = evaluated(_chosen(prizes, "number", sets, rooms, travel, grid, scale), prizes, validate, "number", pool, scale).withColumn("fold", F.split("case", r"\|")[0])
+    if not test:
+        return calibration.drop("case", "model"), None
     calibration = written(calibration, "calibration")
     order = ["cvar_cost", "mean_cost", "epsilon", "travel"] if rule == "tail" else ["mean_cost", "epsilon"]
     rounded = [F.round(c, 6).alias(c) for c in order]

@@ -181,3 +181,14 @@ def test_rolling_selection_counts_rooms_once_and_meets_a_plan_once(spark, monkey
         assert r["coverage_pct"] == pytest.approx((1 - held[:, open_].sum(axis=1) / held.sum(axis=1)).mean() * 100)
     assert [name for name, _, _ in rooms].count("rooms") == 1
     assert max(n for _, n, _ in marks) <= pool.count()
+
+
+def test_calibration_alone_leaves_the_test_out(spark, monkeypatch):
+    chosen = _sizes(monkeypatch, summaries, "written")
+    _, table, _, pool, travel = _rolling_case(spark)
+    args = table, "number", pool, travel, [("a", 2, 2, 2), ("b", 2, 1, 3)], [0.1, 0.4], 10.0
+    whole = summaries.calibrate_refit_test(*args)[0]
+    before = [name for name, _, _ in chosen].count("chosen")
+    alone, none = summaries.calibrate_refit_test(*args, test=False)
+    assert none is None and sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.collect()))
+    assert [name for name, _, _ in chosen].count("chosen") - before == 1

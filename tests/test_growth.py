@@ -192,3 +192,30 @@ def test_calibration_alone_leaves_the_test_out(spark, monkeypatch):
     alone, none = summaries.calibrate_refit_test(*args, test=False)
     assert none is None and sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.collect()))
     assert [name for name, _, _ in chosen].count("chosen") - before == 1
+
+
+@pytest.mark.parametrize("cells", [1, 10**6])
+def test_robust_penalties_make_no_zero_prizes(spark, monkeypatch, cells):
+    seen = _sizes(monkeypatch, robust, "written")
+    samples = np.zeros((40, 50))  # periods x nodes; most periods have no prize at all
+    samples[::8, 3], samples[5, [3, 4, 7]] = 1.0, [1.0, 0.5, 0.25]
+    paid = spark.createDataFrame([(int(t), int(n), float(samples[t, n])) for t, n in zip(*samples.nonzero(), strict=True)] + [(0, 9, 0.0)], "day int, node_id long, prize double")
+    grid = spark.range(50).withColumnRenamed("id", "node_id"), spark.createDataFrame([(t,) for t in [*range(40), 5, None]], "day int")
+    sets = {"some": [3, 4, 10, 11, 99], "none": [None], "all": list(range(50)), "rest": list(range(8, 50))}
+    tasks = spark.createDataFrame([(s, e, nodes) for s, nodes in sets.items() for e in (0.0, 0.3, 2.0)], "selection string, epsilon double, nodes array<long>")
+    got = {(r["selection"], r["epsilon"]): r for r in robust.robust(paid, tasks, scale=10.0, cells=cells, grid=grid).collect()}
+    assert len(got) == 12
+    for (name, epsilon), row in got.items():
+        exact = robust.robust_value(samples, ~np.isin(np.arange(50), [n for n in sets[name] if n is not None]), epsilon, 10.0)[0]
+        assert row["penalty"] == pytest.approx(exact, abs=1e-4)
+    assert got["all", 0.3]["multiplier"] == pytest.approx(50**0.5)
+    assert max(n for name, n, _ in seen if name != "robust_tasks") <= 3 * (40 + 8)  # not 3 x 40 x 50
+
+
+def test_template_ranking_writes_paid_prizes_only(spark, sf, monkeypatch):
+    from patrolkit.plans import catalogue
+
+    seen = _sizes(monkeypatch, robust, "written")
+    catalogue.queries()["q87_template_ranking"](spark, sf)
+    paid = catalogue._prizes(spark, sf).where("prize > 0").count()
+    assert [n for name, n, _ in seen if name == "robust_prizes"] == [paid]

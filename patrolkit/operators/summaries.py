@@ -211,11 +211,12 @@ def _chosen(prizes: DataFrame, index: str, sets: DataFrame, rooms: DataFrame, tr
     return best.select("case", "model", "epsilon", F.col("b.selection").alias("plan"), F.col("b.objective").alias("objective"), F.col("b.travel").alias("travel"), F.col("b.penalty").alias("penalty"))
 
 
-def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int, int]], index: str, pool: DataFrame, scale: float) -> DataFrame:
+def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int, int]], index: str, pool: DataFrame, scale: float, periods: DataFrame | None = None) -> DataFrame:
     """``chosen`` with mean_cost, cvar_cost, worst_cost and coverage_pct over the periods of each case's span.
 
     A span is (case, first, last) and holds the periods of ``prizes`` (period, node_id, prize, number ``index``) between. A
-    plan meets a period's nodes once, however many cases value it there.
+    plan meets a period's nodes once, however many cases value it there. With ``periods`` (period, number), ``prizes`` may
+    leave out prizes of 0.
     """
     chosen = written(chosen, "chosen")  # a row a case
     table = prizes.sparkSession.createDataFrame(spans, "case string, first int, last int")
@@ -225,6 +226,9 @@ def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int,
     rows = prizes.join(wanted, F.col(index) == F.col("at")).join(small(marks.select("plan", "node_id", F.lit(True).alias("seen"))), ["plan", "node_id"], "left")
     open_ = F.col("seen").isNull()
     sums = rows.groupBy("plan", "at", "period").agg(F.sum(F.when(open_, F.col("prize")).otherwise(0.0)).alias("missed"), F.sum("prize").alias("total"))
+    if periods is not None:
+        every = periods.select("period", F.col(index).alias("at")).dropna().join(wanted, "at")
+        sums = every.join(sums, ["plan", "at", "period"], "left").fillna(0.0, ["missed", "total"])
     per = asked.join(sums, ["plan", "at"])
     cost = per.withColumns({"cost": F.round(F.col("travel") + F.lit(scale) * F.col("missed"), 6), "coverage": F.when(F.col("total") > 0, 1 - F.col("missed") / F.col("total")).otherwise(1.0) * 100})
     tail = statistics.tail_summary(cost, "cost", ["case"]).select("case", F.col("mean_value").alias("mean_cost"), F.col("cvar_value").alias("cvar_cost"), F.col("worst_value").alias("worst_cost"))
@@ -232,24 +236,26 @@ def evaluated(chosen: DataFrame, prizes: DataFrame, spans: list[tuple[str, int,
     return chosen.join(tail, "case").join(share, "case")
 
 
-def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, table: list[tuple[str, int, int, int]], radii: list[float], scale: float, *, refit: bool = True, rule: str = "tail", test: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel: DataFrame, table: list[tuple[str, int, int, int]], radii: list[float], scale: float, *, refit: bool = True, rule: str = "tail", test: bool = True, grid: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``(calibration, test)`` over the rolling origins of ``table``; plans are chosen from a pool.
 
     For each fold and radius the plan of least training objective is valued over the validation periods. The fold's radius
     is that of least tail, mean, radius and travel (``rule`` "tail"), or of least mean, then radius ("mean"). SP, RO and
     Exact DRO then choose anew over training and validation (``refit``) or stay with training, and are valued over the
     test periods, which nothing before has seen; without ``test`` that is left out. ``prizes`` holds (period, node_id,
-    prize) and the period's number.
+    prize) and the period's number; with ``grid``, the nodes and the periods with their number, it may leave out prizes of 0.
     """
     span = {(f, p): (a, b) for f, p, a, b in folds(table)}
     names = [t[0] for t in table]
     prizes = written(prizes.select("period", "node_id", "prize", F.col(index).alias("number")), "fold_prizes")
+    nodes, periods = grid or (None, None)
+    periods = periods.select("period", F.col(index).alias("number")).dropna().distinct() if grid else None
     travel = written(travel, "fold_travel")
     sets = pool.groupBy("selection").agg(F.collect_list("node_id").alias("nodes"))
-    rooms = robust.rooms_of(prizes, sets, "number")  # of both choices
+    rooms = robust.rooms_of(prizes, sets, "number", (nodes, periods) if grid else None)  # of both choices
     grid = [(f"{f}|{e}", "Exact DRO", float(e), *span[f, "train"]) for f in names for e in radii]
     validate = [(f"{f}|{e}", *span[f, "validate"]) for f in names for e in radii]
-    calibration = evaluated(_chosen(prizes, "number", sets, rooms, travel, grid, scale), prizes, validate, "number", pool, scale).withColumn("fold", F.split("case", r"\|")[0])
+    calibration = evaluated(_chosen(prizes, "number", sets, rooms, travel, grid, scale), prizes, validate, "number", pool, scale, periods).withColumn("fold", F.split("case", r"\|")[0])
     if not test:
         return calibration.drop("case", "model"), None
     calibration = written(calibration, "calibration")
@@ -259,7 +265,7 @@ def calibrate_refit_test(prizes: DataFrame, index: str, pool: DataFrame, travel:
     models = [(f, m) for f in names for m in ("SP", "RO", "Exact DRO")]
     refits = [(f"{f}|{m}", m, 0.0 if m == "SP" else float(picked[f]), 1, span[f, "validate" if refit else "train"][1]) for f, m in models]
     held = [(f"{f}|{m}", *span[f, "test"]) for f, m in models]
-    tested = evaluated(_chosen(prizes, "number", sets, rooms, travel, refits, scale), prizes, held, "number", pool, scale).withColumn("fold", F.split("case", r"\|")[0])
+    tested = evaluated(_chosen(prizes, "number", sets, rooms, travel, refits, scale), prizes, held, "number", pool, scale, periods).withColumn("fold", F.split("case", r"\|")[0])
     return calibration.drop("case", "model"), tested.drop("case")
 
 

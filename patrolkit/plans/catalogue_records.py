@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from patrolkit.operators import cluster, prizes, robust, spatial, statistics, summaries
 
 from . import oracle as O
-from .catalogue import CENTRE_EPS, CENTRE_SAMPLES, CROSS_RADII, LEVELS, MAX_LAT, RADIUS_M, SCALE, _exact, _found, _halves, _merged, _nodes, _paired, _pings, _prizes, _realized, _selections, _travel
+from .catalogue import CENTRE_EPS, CENTRE_SAMPLES, CROSS_RADII, LEVELS, MAX_LAT, RADIUS_M, SCALE, _exact, _found, _grid, _halves, _merged, _nodes, _paid, _paired, _pings, _realized, _selections, _travel
 
 FOLDS = [("early", 12, 4, 4), ("middle", 15, 4, 4), ("late", 18, 4, 4)]
 STRICT = [("strict", 16, 6, 8)]
@@ -155,8 +155,10 @@ def q91_candidates(spark, sf):
 
 
 def _rolling(spark, sf, table, **kind):
-    rows = _prizes(spark, sf).select(F.col("day").alias("period"), "node_id", "prize", F.dayofmonth("day").alias("number"))
-    return summaries.calibrate_refit_test(rows, "number", _selections(spark, sf), _travel(spark, sf), table, SEARCH_RADII, SCALE, **kind)
+    numbered = F.col("day").alias("period"), F.dayofmonth("day").alias("number")
+    nodes, days = _grid(spark, sf)
+    rows = _paid(spark, sf).select(*numbered, "node_id", "prize")
+    return summaries.calibrate_refit_test(rows, "number", _selections(spark, sf), _travel(spark, sf), table, SEARCH_RADII, SCALE, grid=(nodes, days.select(*numbered)), **kind)
 
 
 _TESTED = ("objective", "travel", "mean_cost", "cvar_cost", "worst_cost")

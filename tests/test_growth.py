@@ -219,3 +219,20 @@ def test_template_ranking_writes_paid_prizes_only(spark, sf, monkeypatch):
     catalogue.queries()["q87_template_ranking"](spark, sf)
     paid = catalogue._prizes(spark, sf).where("prize > 0").count()
     assert [n for name, n, _ in seen if name == "robust_prizes"] == [paid]
+
+
+def test_rolling_selection_makes_no_zero_prizes(spark, monkeypatch):
+    samples, table, _, pool, travel = _rolling_case(spark)
+    samples[4], samples[1, 3:] = 0.0, 0.0
+    periods = spark.createDataFrame([(t, min(t, 6)) for t in range(1, 8)], "period int, number int")  # 7 shares a number, and has no prize
+    dense = spark.createDataFrame([(t, min(t, 6), node, float(samples[t - 1, node]) if t < 7 else 0.0) for t in range(1, 8) for node in range(12)], "period int, number int, node_id long, prize double")
+    args = "number", pool, travel, [("a", 2, 2, 2), ("b", 2, 1, 3)], [0.1, 0.4], 10.0
+    whole = [sorted(map(tuple, part.collect())) for part in summaries.calibrate_refit_test(dense, *args)]
+    seen = _sizes(monkeypatch, summaries, "written")
+    nodes = spark.range(12).withColumnRenamed("id", "node_id")
+    paid = [sorted(map(tuple, part.collect())) for part in summaries.calibrate_refit_test(dense.where("prize > 0"), *args, grid=(nodes, periods))]
+    for want, got in zip(whole, paid, strict=True):
+        assert len(want) == len(got) > 0
+        for a, b in zip(want, got, strict=True):
+            assert a == tuple(pytest.approx(v, abs=1e-6) if isinstance(v, float) else v for v in b)
+    assert [n for name, n, _ in seen if name == "fold_prizes"] == [int((samples > 0).sum())]

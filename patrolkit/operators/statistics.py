@@ -417,22 +417,89 @@ def removal_savings(routes: DataFrame, by: list[str] | None = None) -> DataFrame
     return wide.withColumn("saving", (leg("p", "") + leg("", "n") - leg("p", "n")) * 100.0).drop(*near)
 
 
+#: Positions and legs that one task of the insertion costs compares, how many of each at a time, and by how much costs that
+#: round alike to nine places can differ.
+POSITIONS, LEGS = 8_192, 65_536
+POSITION_BLOCK, LEG_BLOCK = 64, 1_024
+ROUNDING = 1.5e-9
+
+
 def insertion_costs(routes: DataFrame, nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(by, node_id, added, vehicle, pos)``: for each node its cheapest place in the routes, before the stop at ``pos`` (one
     more than the last for the way home); of equal ones the first vehicle and place.
 
-    ``routes`` holds (by, vehicle, pos, x, y), ``nodes`` (by, node_id, x, y). Nodes meet all legs of their plan: plans are
-    bounded.
+    ``routes`` holds (by, vehicle, pos, x, y), ``nodes`` (by, node_id, x, y). Different positions meet different legs of
+    their plan, a bounded number of each in one task; nodes at one position and legs between the same two count once.
     """
     by = by or []
     order = Window.partitionBy(*by, "vehicle").orderBy("pos")
     zero = F.lit(0.0)
     legs = routes.select(*by, "vehicle", "pos", F.coalesce(F.lag("x").over(order), zero).alias("ax"), F.coalesce(F.lag("y").over(order), zero).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by_"))
     home = routes.groupBy(*by, "vehicle").agg(F.max(F.struct("pos", "x", "y")).alias("l")).select(*by, "vehicle", (F.col("l.pos") + 1).alias("pos"), F.col("l.x").alias("ax"), F.col("l.y").alias("ay"), zero.alias("bx"), zero.alias("by_"))
-    every = legs.unionByName(home)
-    gap = lambda a, b, c, d: F.sqrt((a - c) ** 2 + (b - d) ** 2)
-    met = nodes.join(small(every), by) if by else nodes.crossJoin(small(every))
-    x, y, ax, ay, bx, by_ = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by_"))
-    added = (gap(ax, ay, x, y) + gap(x, y, bx, by_) - gap(ax, ay, bx, by_)) * 100.0
-    best = met.groupBy(*by, "node_id").agg(F.min(F.struct(F.round(added, 9).alias("added"), "vehicle", "pos")).alias("b"))
-    return best.select(*by, "node_id", "b.added", "b.vehicle", "b.pos")
+    ends = ["ax", "ay", "bx", "by_"]
+    every = legs.unionByName(home).groupBy(*by, *ends).agg(F.min(F.struct("vehicle", "pos")).alias("first")).select(*by, *ends, "first.vehicle", "first.pos")
+    places = nodes.select(*by, "x", "y").distinct()
+    tiles, parts = (t.groupBy(*by).agg(F.ceil(F.count("*") / most).alias(c)) for t, most, c in ((places, POSITIONS, "tiles"), (every, LEGS, "parts")))
+    sizes = tiles.join(parts, by) if by else tiles.crossJoin(parts).where("tiles > 0 and parts > 0")
+    sized = lambda t: t.join(sizes, by) if by else t.crossJoin(F.broadcast(sizes))
+    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = sized(places).select(*by, "x", "y", dealt(["x", "y"], "tiles").alias("tile"), all_of("parts").alias("part"))
+    right = sized(every).select(*by, *ends, "vehicle", "pos", dealt(ends, "parts").alias("part"), all_of("tiles").alias("tile"))
+    keys = [*by, "tile", "part"]
+    kept = [*by, "x", "y", "added", "vehicle", "pos"]
+    schema = left.select(*by, "x", "y", F.lit(0.0).alias("added")).crossJoin(right.select("vehicle", "pos")).schema
+    for f in schema:
+        f.nullable = True
+    ship(nodes.sparkSession)
+
+    def run(points: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or part.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in kept})
+        found = cheapest_legs(points[["x", "y"]].to_numpy(float), part[ends].to_numpy(float), part[["vehicle", "pos"]].reset_index(drop=True))
+        at = points.reset_index(drop=True).loc[found.pop("place"), [*by, "x", "y"]].reset_index(drop=True)
+        return pd.concat([at, found], axis=1)[kept]
+
+    made = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    last = F.struct(F.col("added").isNull(), F.round("added", 9).alias("added"), "vehicle", "pos")  # unknown costs come last
+    best = made.groupBy(*by, "x", "y").agg(F.min(last).alias("b"))
+    other = best.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("x").alias("x_of"), F.col("y").alias("y_of"), "b")
+    same = F.col("x").eqNullSafe(F.col("x_of")) & F.col("y").eqNullSafe(F.col("y_of"))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"{c}_of"))
+    return nodes.join(other, same).groupBy(*by, "node_id").agg(F.min("b").alias("b")).select(*by, "node_id", "b.added", "b.vehicle", "b.pos")
+
+
+def cheapest_legs(xy: np.ndarray, legs: np.ndarray, names: pd.DataFrame) -> pd.DataFrame:
+    """``(place, added, vehicle, pos)``: for each row of ``xy`` the least cost added to a leg (ax, ay, bx, by), and the others
+    that round like it; of equal costs the first ``names`` (vehicle, pos). A place without a known cost has the first leg."""
+    order = names.sort_values(["vehicle", "pos"]).index.to_numpy()
+    legs, names = legs[order], names.loc[order].reset_index(drop=True)
+    whole, placed = np.flatnonzero(~np.isnan(legs).any(axis=1)), np.flatnonzero(~np.isnan(xy).any(axis=1))
+    ax, ay, bx, by_ = legs[whole].T
+    length = np.sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))
+    best = np.full(len(xy), np.inf)
+    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.arange(len(xy)), np.full(len(xy), np.inf), np.zeros(len(xy), int))]
+    for p in range(0, len(placed), POSITION_BLOCK):
+        rows = placed[p : p + POSITION_BLOCK]
+        x, y = xy[rows, :1], xy[rows, 1:]
+        for k in range(0, len(whole), LEG_BLOCK):
+            at = slice(k, k + LEG_BLOCK)
+            dx, dy, ex, ey = ax[at] - x, ay[at] - y, x - bx[at], y - by_[at]
+            added = (np.sqrt(dx * dx + dy * dy) + np.sqrt(ex * ex + ey * ey) - length[at]) * 100.0
+            low = added.min(axis=1)
+            near = np.flatnonzero(low <= best[rows] + ROUNDING)
+            best[rows] = np.minimum(best[rows], low)
+            added = added[near]
+            i, j = np.nonzero(added <= best[rows[near]][:, None] + ROUNDING)
+            cost = added[i, j]
+            first = np.lexsort((j, cost, i))
+            i, j, cost = i[first], j[first], cost[first]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (cost[1:] != cost[:-1])
+            known.append((rows[near[i[new]]], cost[new], whole[j[new] + k]))
+    place, cost, leg = (np.concatenate(c) for c in zip(*known, strict=True))
+    close = (cost <= best[place] + ROUNDING) & ((cost < np.inf) | np.isinf(best[place]))
+    made = pd.DataFrame({"place": place, "added": cost, "leg": leg})[close].sort_values(["place", "added", "leg"]).drop_duplicates(["place", "added"])
+    made["added"] = made["added"].where(made["added"] < np.inf)
+    return pd.concat([made[["place", "added"]].reset_index(drop=True), names.loc[made["leg"]].reset_index(drop=True)], axis=1)

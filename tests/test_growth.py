@@ -236,3 +236,53 @@ def test_rolling_selection_makes_no_zero_prizes(spark, monkeypatch):
         for a, b in zip(want, got, strict=True):
             assert a == tuple(pytest.approx(v, abs=1e-6) if isinstance(v, float) else v for v in b)
     assert [n for name, n, _ in seen if name == "fold_prizes"] == [int((samples > 0).sum())]
+
+
+def _insertions(routes, nodes):
+    """Plain search of the cheapest place of every node: (node, cost, vehicle, pos)."""
+    legs = []
+    for v in sorted({r[0] for r in routes}):
+        path = [(0.0, 0.0), *[r[2:] for r in sorted(routes) if r[0] == v], (0.0, 0.0)]
+        legs += [(v, p + 1, *path[p], *path[p + 1]) for p in range(len(path) - 1)]
+    gap = lambda a, b, c, d: ((a - c) ** 2 + (b - d) ** 2) ** 0.5
+    return {n: min((round((gap(ax, ay, x, y) + gap(x, y, bx, by) - gap(ax, ay, bx, by)) * 100, 9), v, p) for v, p, ax, ay, bx, by in legs) for n, x, y in nodes}
+
+
+def _rows_of_joins(plan):
+    """Rows that the joins of an executed plan made (without adaptive execution)."""
+    metric = plan.metrics().get("numOutputRows")
+    own = [metric.get().value()] if "Join" in plan.nodeName() or "Cartesian" in plan.nodeName() else []
+    return own + [n for i in range(plan.children().size()) for n in _rows_of_joins(plan.children().apply(i))]
+
+
+def test_insertions_meet_positions_and_legs_once(spark):
+    routes = [(v, p, float((p - 1) // 20 % 3 - v), float((p - 1) // 20 * 7 % 4)) for v in (1, 2) for p in range(1, 121)]
+    nodes = [(1000 + i, float(i * 3 % 4) - 1.5, float(i % 3)) for i in range(200)]
+    want = _insertions(routes, nodes)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = statistics.insertion_costs(spark.createDataFrame(routes, "vehicle long, pos long, x double, y double"), spark.createDataFrame(nodes, "node_id long, x double, y double"))
+        got = {r["node_id"]: (r["vehicle"], r["pos"], r["added"]) for r in made.collect()}
+        rows = _rows_of_joins(made._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {n: r[:2] for n, r in got.items()} == {n: r[1:] for n, r in want.items()}
+    assert all(abs(got[n][2] - r[0]) < 2e-9 for n, r in want.items())
+    assert rows and max(rows) <= 200  # not 200 nodes by 242 legs
+
+
+def test_insertions_in_many_tiles_by_plan(spark, monkeypatch):
+    for name, value in (("POSITIONS", 3), ("LEGS", 4), ("POSITION_BLOCK", 2), ("LEG_BLOCK", 2)):
+        monkeypatch.setattr(statistics, name, value)
+    draw = np.random.default_rng(5)
+    routes = [(g, v, p, *draw.random(2).round(2).tolist()) for g in (1, 2) for v in (1, 2) for p in range(1, 12)] + [(2, 3, 1, None, 0.5)]
+    nodes = [(g, n, *draw.random(2).round(2).tolist()) for g in (1, 2) for n in range(20)] + [(1, 90, None, 0.1), (3, 91, 0.1, 0.1)]
+    made = statistics.insertion_costs(spark.createDataFrame(routes, "g long, vehicle long, pos long, x double, y double"), spark.createDataFrame(nodes, "g long, node_id long, x double, y double"), ["g"])
+    got = {(r["g"], r["node_id"]): (r["vehicle"], r["pos"], r["added"]) for r in made.collect()}
+    assert got.pop((1, 90)) == (1, 1, None)  # a place that is not known costs nothing known
+    for g in (1, 2):
+        want = _insertions([r[1:] for r in routes if r[0] == g and r[3] is not None], [r[1:] for r in nodes if r[0] == g and r[2] is not None])
+        for n, r in want.items():
+            v, p, added = got.pop((g, n))
+            assert (v, p) == r[1:] and abs(added - r[0]) < 2e-9
+    assert not got

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patrolkit.operators import evaluation, prizes, robust, spatial, statistics, summaries
+from patrolkit.operators import evaluation, prizes, robust, routing, spatial, statistics, summaries
 
 
 def _sizes(monkeypatch, module, name):
@@ -286,3 +286,42 @@ def test_insertions_in_many_tiles_by_plan(spark, monkeypatch):
             v, p, added = got.pop((g, n))
             assert (v, p) == r[1:] and abs(added - r[0]) < 2e-9
     assert not got
+
+
+@pytest.mark.parametrize("spread", [0, 1.2, 50])
+def test_long_routes_equal_the_plain_search_without_a_table(monkeypatch, spread):
+    def plain(inst, route):
+        path, again = [0, *(i + 1 for i in route), 0], True
+        d = np.sqrt(((inst.places[:, None] - inst.places[None]) ** 2).sum(axis=2)) * 100.0
+        while again:
+            again = False
+            for i in range(1, len(path) - 2):
+                for j in range(i + 1, len(path) - 1):
+                    if d[path[i - 1], path[i]] + d[path[j], path[j + 1]] - d[path[i - 1], path[j]] - d[path[i], path[j + 1]] > routing.GAIN:
+                        path[i : j + 1] = path[i : j + 1][::-1]
+                        again = True
+        return [i - 1 for i in path[1:-1]], float(d[path[:-1], path[1:]].sum())
+
+    monkeypatch.setattr(routing, "TABLE_NODES", 0)
+    monkeypatch.setattr(routing, "LEG_BLOCK", 5)
+    for seed in range(25):
+        draw = np.random.default_rng(seed)
+        n = int(draw.integers(1, 40))
+        inst = routing.Instance(np.round(draw.normal(size=(n, 2)) * spread) * 7.3, np.zeros((1, n)), 2, np.inf, 0.0, 0.0)  # many at one place
+        route = draw.permutation(n).tolist()
+        got = routing.two_opt(inst, route)
+        assert (got, inst.cost(got)) == plain(inst, route)
+
+
+def test_full_routes_need_no_table_of_distances():
+    import tracemalloc
+
+    n = 3_000  # a table of all pairs holds 72 MB
+    xy = np.random.default_rng(2).normal(size=(n // 20, 2)).repeat(20, axis=0) * 30
+    tracemalloc.start()
+    inst = routing.Instance(xy, np.zeros((1, n)), 2, np.inf, 0.0, 0.0)
+    routes = routing.full_routes(inst)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(i for r in routes for i in r) == list(range(n))
+    assert peak < 20e6

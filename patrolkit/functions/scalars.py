@@ -79,3 +79,10 @@ def uniform(key: Column, salt: int = 0) -> Column:
 def normal(key: Column, salt: int = 0) -> Column:
     """A standard normal number from two uniform ones (salt and the next)."""
     return F.sqrt(-2 * F.ln(uniform(key, salt))) * F.cos(F.lit(2 * math.pi) * uniform(key, salt + 1))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """``round(value, digits)`` of a double, in compiled arithmetic but where a value is large or near a half."""
+    scaled = value * F.lit(10.0**digits)
+    clear = (F.abs(scaled) < 1e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(clear, F.floor(scaled + 0.5).cast("double") / F.lit(10.0**digits)).otherwise(F.round(value, digits))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patrolkit.functions.geo import dihedral, local_km
+from patrolkit.functions.scalars import rounded
 from patrolkit.operators import capacitated, cluster, features, routing, spatial, statistics, tuning
 from patrolkit.sources import pings as P
 from patrolkit.streaming import batches
@@ -62,7 +63,7 @@ def q59_unit_square(spark, sf):
 
 def q60_distance_matrix(spark, sf):
     made = spatial.distance_matrix(_planar(spark, sf), ["region_key"])
-    return made.select("region_key", "node_id", "other_id", F.round("distance", 4).alias("distance"))
+    return made.select("region_key", "node_id", "other_id", rounded(F.col("distance"), 4).alias("distance"))
 
 
 def q61_standard_scaling(spark, sf):

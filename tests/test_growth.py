@@ -325,3 +325,28 @@ def test_full_routes_need_no_table_of_distances():
     tracemalloc.stop()
     assert sorted(i for r in routes for i in r) == list(range(n))
     assert peak < 20e6
+
+
+def test_distance_matrix_of_one_instance_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE_NODES", 7, raising=False)
+    xy = np.random.default_rng(1).normal(size=(60, 2)).round(3) * 40
+    rows = [(i % 9 // 8, i, *xy[i].tolist()) for i in range(60)] + [(None, 60, 0.0, 0.0), (5, 61, None, 1.0)]
+    nodes = spark.createDataFrame(rows, "g long, node_id long, x double, y double").coalesce(1)
+    made = spatial.distance_matrix(nodes, ["g"])
+    got = {(r["g"], r["node_id"], r["other_id"]): r["distance"] for r in made.collect()}
+    assert got.pop((5, 61, 61)) is None
+    want = {(a[0], a[1], b[1]): np.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) * 100.0 for a in rows[:60] for b in rows[:60] if a[0] == b[0]}
+    assert got == want and made.count() == len(want) + 1
+    assert made.where("g = 0").select(F.spark_partition_id()).distinct().count() > 1
+    alone = spatial.distance_matrix(nodes.where("g = 1").drop("g"))
+    assert {(r["node_id"], r["other_id"]) for r in alone.collect()} == {k[1:] for k in want if k[0] == 1}
+
+
+def test_rounded_equals_round(spark):
+    from patrolkit.functions.scalars import rounded
+
+    draw = np.random.default_rng(6)
+    values = [*(draw.random(20_000) * 10.0 ** draw.integers(-6, 12, 20_000)).tolist(), *((2 * draw.integers(0, 10**8, 20_000) + 1) / 2e4).tolist(), *((2 * draw.integers(0, 10**8, 20_000) + 1) / 2e5).tolist()]
+    values += [-v for v in values[::3]] + [0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e300, 5e-5, 0.00015, 49999.99995, None]
+    both = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 4).alias("want"), rounded(F.col("v"), 4).alias("got"))
+    assert both.where("not (want <=> got)").collect() == []
